@@ -6,11 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .cotraining import classify_quality
+from .decontamination import contamination
+from .licenses import scan_licences
 from .packing import pack_documents
+from .pii import replace_pii
 from .quality_rules import quality_rules
+from .sharding import SHARDING_SQL, shard_documents
 from .token_blocks import token_table_digest
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Bytes of text in a shard.
+SHARD_BYTES = 32 << 20
+#: The secret of the surrogates; a production run passes its own to replace_pii.
+PII_KEY = "driftgrid"
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,18 +27,43 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shift", "matched", "item_tokens", "exact")
+
+
 def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table_digest(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_quality_rules, op8_token_blocks)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_co_training, op2_pii_surrogates, op3_best_fit_packing, op4_licence_scan, op5_extendible_sharding, op6_quality_rules,
+    op7_template_decontamination, op8_token_blocks,
+)}
+
+ORACLE_SQL: dict[str, str] = {"op5_extendible_sharding": SHARDING_SQL.format(limit=SHARD_BYTES)}
