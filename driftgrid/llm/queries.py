@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .cotraining import classify_quality
 from .decontamination import contamination
+from .jaccard_join import jaccard_join
 from .licenses import scan_licences
 from .packing import pack_documents
 from .pii import replace_pii
@@ -61,9 +62,13 @@ def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table_digest(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_pii_surrogates, op3_best_fit_packing, op4_licence_scan, op5_extendible_sharding, op6_quality_rules,
-    op7_template_decontamination, op8_token_blocks,
+    op7_template_decontamination, op8_token_blocks, op10_jaccard_join,
 )}
 
 ORACLE_SQL: dict[str, str] = {"op5_extendible_sharding": SHARDING_SQL.format(limit=SHARD_BYTES)}
