@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .cotraining import classify_quality
@@ -14,6 +15,7 @@ from .packing import pack_documents
 from .pii import replace_pii
 from .quality_rules import quality_rules
 from .sharding import SHARDING_SQL, shard_documents
+from .substring_dedup import remove_repeated
 from .token_blocks import token_table_digest
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,13 +64,18 @@ def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table_digest(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_pii_surrogates, op3_best_fit_packing, op4_licence_scan, op5_extendible_sharding, op6_quality_rules,
-    op7_template_decontamination, op8_token_blocks, op10_jaccard_join,
+    op7_template_decontamination, op8_token_blocks, op9_substring_dedup, op10_jaccard_join,
 )}
 
 ORACLE_SQL: dict[str, str] = {"op5_extendible_sharding": SHARDING_SQL.format(limit=SHARD_BYTES)}
