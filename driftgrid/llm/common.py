@@ -53,3 +53,12 @@ def arrow_rows(spark: SparkSession, rows: int):
 def words(text: Column) -> Column:
     """The words of a text as an array: runs of characters other than ASCII white space; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+
+
+def sieve(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) for conditions on costly columns.
+
+    A plain filter is pushed below the projections that make its columns, which evaluates them twice, and again inside each
+    lambda. A column that isn't deterministic keeps it in its place.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")

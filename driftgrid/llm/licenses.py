@@ -21,6 +21,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sieve
+
 #: Short notices by which families are granted.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
@@ -101,7 +103,7 @@ class LicenceModel:
         """rows(line) with tokens, family and probability (calibrated)."""
         scored = self.model.transform(self.features(rows)).drop("features", "probability")
         names = F.array(*map(F.lit, CLASSES))
-        found = scored.where(F.col("prediction") != CLASSES.index(NONE))  # only what looks like a licence is calibrated
+        found = sieve(scored, F.col("prediction") != CLASSES.index(NONE))  # only what looks like a licence is calibrated
         p = self._softmax(vector_to_array("rawPrediction"), self.temperature)
         return found.withColumn("p", p).select("*", F.get(names, F.col("prediction").cast("int")).alias("family"), F.array_max("p").alias("probability")).drop("rawPrediction", "prediction", "p")
 
@@ -126,4 +128,5 @@ def scan_licences(docs: DataFrame, certain: float = 0.5, share: float = 0.6, sam
     marked = F.col("line").rlike(r"(?i)licen[sc]|copyright|permission|redistribut|creative commons|\bCC[ -]?(?:BY|0)")
     family = F.when(confirmed, F.col("family")).when(marked, F.lit(UNKNOWN)).otherwise(F.lit(NONE))
     rounded = [F.round(c, 6).alias(c) for c in ("probability", "template_share")]
-    return found.select("doc_id", "paragraph", family.alias("licence"), F.col("family").alias("predicted"), *rounded).where(F.col("licence") != NONE).withColumnRenamed("licence", "family")
+    found = found.select("doc_id", "paragraph", family.alias("licence"), F.col("family").alias("predicted"), *rounded)
+    return sieve(found, F.col("licence") != NONE).withColumnRenamed("licence", "family")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import sieve, words
 
 BUCKETS = 1 << 14
 #: Words of a window of the repetition rule.
@@ -78,7 +78,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Per row of docs: doc_id, the counts, n_grams and llr_millionths (the sum), base_failed and kept."""
-    weights = gram_weights(docs, trusted, buckets)
+    return _judged(docs, gram_weights(docs, trusted, buckets), threshold, buckets)
+
+
+def _judged(docs: DataFrame, weights: list[int], threshold: int, buckets: int) -> DataFrame:
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
     score = F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -89,3 +92,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOL
         .select("doc_id", *counts, F.size("grams").cast("long").alias("n_grams"), score.alias("llr_millionths"), failed.alias("base_failed"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr_millionths") >= threshold * F.col("n_grams")))
     )
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; texts are not shuffled for it."""
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc_id"), "text")
+    weights = gram_weights(docs, trusted, buckets)
+    return sieve(_judged(own, weights, threshold, buckets), F.col("kept")).select("doc_id.*")
