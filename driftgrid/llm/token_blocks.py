@@ -1,7 +1,7 @@
 """Token-ID / binary output: ids in the minimum bits of the vocabulary, in blocks that can be read at random.
 
 A token table is a folder with two datasets. ``blocks`` has a row per block of whole documents: ``shard`` and ``block``
-(its place), ``bits``, ``n_ids``, ``doc_ids``, ``ends`` (per document the ids of the block up to its end) and
+(its place), ``before`` (the ids of the shard before it), ``bits``, ``n_ids``, ``doc_ids``, ``ends`` (per document the ids of the block up to its end) and
 ``payload``: id k takes bits [k * bits, (k + 1) * bits), lowest bit first. ``shards`` has a row per shard with
 ``first_id``, the ids of all shards before it. Ids of place p in a block are found without reading what precedes them.
 Spark's writer commits the files, so a lost executor or a second attempt leaves no half-written block.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, shared_dir
 from .tokens import encoder
 
-BLOCKS = "shard int, block int, bits int, n_ids bigint, doc_ids array<bigint>, ends array<bigint>, payload binary"
+BLOCKS = "shard int, block int, before bigint, bits int, n_ids bigint, doc_ids array<bigint>, ends array<bigint>, payload binary"
 READ = "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, ids binary"
 
 
@@ -63,13 +63,13 @@ def write_token_table(docs: DataFrame, tokenizer: str, path: str, block_ids: int
     def packed(batches):
         enc = encoder(tokenizer)
         bits = max(1, (enc.size - 1).bit_length())
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, block, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, ends, ids, total = [], [], [], 0
 
         def row():
             joined = np.concatenate(ids)
             return pa.RecordBatch.from_pylist(
-                [{"shard": shard, "block": block, "bits": bits, "n_ids": total, "doc_ids": doc_ids, "ends": ends, "payload": pack(joined, bits)}],
+                [{"shard": shard, "block": block, "before": before, "bits": bits, "n_ids": total, "doc_ids": doc_ids, "ends": ends, "payload": pack(joined, bits)}],
                 schema=schema,
             )
 
@@ -82,13 +82,13 @@ def write_token_table(docs: DataFrame, tokenizer: str, path: str, block_ids: int
                 ends.append(total)
                 if total >= block_ids:
                     yield row()
-                    block += 1
+                    block, before = block + 1, before + total
                     doc_ids, ends, ids, total = [], [], [], 0
         if ids:
             yield row()
 
     schema = pa.schema(
-        [("shard", pa.int32()), ("block", pa.int32()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())]
+        [("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())]
     )
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
@@ -120,10 +120,7 @@ def read_token_table(spark, path: str) -> DataFrame:
                 )
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    sizes = blocks.select("shard", "block", "n_ids")
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.select("shard", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    docs = blocks.join(places, ["shard", "block"]).mapInArrow(rows, READ)
+    docs = blocks.mapInArrow(rows, READ)
     shards = spark.read.parquet(f"{path}/shards").select("shard", "first_id")
     return docs.join(shards, "shard").select("doc_id", (F.col("first_id") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +12,6 @@ import numpy as np
 END_ID = 0
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_SPACE_RUN = re.compile(r"\s |\s\Z|\A\s")
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: How a byte-level vocabulary writes the bytes of Latin letters: those outside the printable range are moved up.
 _BYTES = {b: 0x100 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
@@ -20,9 +20,10 @@ _BYTES = {b: 0x100 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1),
 class Encoder:
     """Encodes texts word by word.
 
-    A single space between two visible characters always opens a new pre-token of a byte-level vocabulary, so a
-    text can be cut before such spaces, and the ids of the pieces, joined, are the ids of the text. What the library
-    returned for a piece is kept (at most ``memo`` pieces), because most pieces are common words. A run of Latin
+    A single space between two visible characters always opens a new pre-token of a byte-level vocabulary, and a single
+    line end is one, so a text can be cut there, and the ids of the pieces, joined, are the ids of the text. What the library
+    returned for a piece is kept, because most pieces are common words: when ``memo`` pieces are known, those not met again are
+    forgotten by the time as many new ones are. A run of Latin
     letters is one pre-token and goes to the library's BPE model directly; any other piece goes through its whole
     pipeline. Texts with other runs of white space are cut only at the single spaces.
     """
@@ -35,13 +36,16 @@ class Encoder:
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.memo = memo
         self.after_space: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.older: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
         self.end = self._bytes([END_ID])
+        self.line_end = self._library("\n")
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _library(self, piece: str) -> bytes:
         return self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
@@ -52,17 +56,19 @@ class Encoder:
         found = known.get(word)
         if found is not None:
             return found
-        if m := _WORD.fullmatch(word):
+        found = self.older[space].get(word)
+        if found is not None:
+            pass
+        elif m := _WORD.fullmatch(word):
             if m[2]:
                 found = self._piece(m[1], space) + self._piece(m[2], False)
             else:
                 coded = (" " * space + word).encode().decode("latin-1").translate(_BYTES)
                 found = self._bytes([t.id for t in self.model.tokenize(coded)])
-        elif "\n" in word and all(lines := word.split("\n")) and len(word.split()) == len(lines):
-            found = self._piece(lines[0], space) + b"".join([self._piece("\n", False) + self._piece(x, False) for x in lines[1:]])
         else:
             found = self._library(" " * space + word)
         if len(known) >= self.memo:
+            self.older[space] = known.copy()
             known.clear()
         known[word] = found
         return found
@@ -71,15 +77,19 @@ class Encoder:
         """The ids of a text, with the end id; null counts as empty."""
         if not text:
             return np.frombuffer(self.end, self.kind)
-        if _SPACE_RUN.search(text):
+        lines = text.split("\n")
+        if len(text.split()) != text.count(" ") + len(lines):  # white space other than single spaces and line ends
             first, *rest = _SAFE.split(text)
             out = [self._library(first), *[self._piece(x[1:], True) if " " not in x[1:] else self._library(x) for x in rest]]
         else:
-            first, *rest = text.split(" ")
-            out = list(map(self.after_space.get, rest))
-            if None in out:
-                out = [self._piece(w, True) if x is None else x for w, x in zip(rest, out, strict=True)]
-            out.insert(0, self._piece(first, False))
+            out, after_space, plain = [], self.after_space.get, self.plain.get
+            for line in lines:
+                first, *rest = line.split(" ")
+                found = list(map(after_space, rest))
+                if None in found:
+                    found = [self._piece(w, True) if x is None else x for w, x in zip(rest, found, strict=True)]
+                out += [self.line_end, plain(first) or self._piece(first, False), *found]
+            del out[0]
         out.append(self.end)
         return np.frombuffer(b"".join(out), self.kind)
 
