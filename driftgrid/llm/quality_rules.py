@@ -35,7 +35,7 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     docs(doc_id, text); trusted(doc_id). The counts are summed before they are shuffled; the result has ``buckets`` numbers.
     """
     flags = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
-    own = docs.select("doc_id", "text").join(flags, F.col("doc_id") == F.col("trusted_id"), "left")
+    own = docs.select("doc_id", "text").join(flags.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
     grams = own.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), words(F.col("text")).alias("w")).select("t", F.explode(_grams(F.col("w"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     held = {r["bucket"]: (r["raw"], r["good"]) for r in counts.collect()}  # at most ``buckets`` rows
