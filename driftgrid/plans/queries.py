@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +38,12 @@ def rounded(columns: dict[str, str], digits: int = 6) -> str:
     return ", ".join(f"round({v}, {digits}) AS {k}" for k, v in columns.items())
 
 
-def per_row(name: str, source: str, keys: list[str], made: dict[str, tuple[Column, str]], digits: int = 6, where: str = "") -> None:
-    """A query of formulas on the rows of an adapter: column and SQL side by side."""
+def per_row(name: str, source: str, keys: list[str], made: dict[str, tuple[Callable[[], Column], str]], digits: int = 6, where: str = "") -> None:
+    """A query of formulas on the rows of an adapter: column (made when a session is there) and SQL side by side."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = fixture(spark, sf_dir, source)
-        return (df.where(where) if where else df).select(*keys, *[r6(c, k, digits) for k, (c, _) in made.items()])
+        return (df.where(where) if where else df).select(*keys, *[r6(c(), k, digits) for k, (c, _) in made.items()])
 
     query(name, f"SELECT {', '.join(keys)}, {rounded({k: s for k, (_, s) in made.items()}, digits)} FROM {source}" + (f" WHERE {where}" if where else ""), (source,))(run)
 
@@ -59,42 +60,44 @@ ECC = repr(geo.ECC2**0.5)
 CM70 = f"(cos(radians(70.0)) / sqrt(1 - {geo.ECC2} * sin(radians(70.0)) * sin(radians(70.0))))"
 RHO = f"({geo.RADIUS_KM} * {CM70} * {t_sql('radians(lat)', ECC)} / {t_sql('radians(70.0)', ECC)})"
 P = ["point_id"]
-XY = geo.ll_to_xy(C("lat"), C("lon"), 45.0, 70.0)
-per_row("F1_ll_to_xy", "points_fx", P, {"x": (XY["x"], f"CASE WHEN lat >= 89.995 THEN 0 ELSE {RHO} * sin(radians(lon + 45)) END"), "y": (XY["y"], f"CASE WHEN lat >= 89.995 THEN 0 ELSE -{RHO} * cos(radians(lon + 45)) END")}, 5)
-BACK = geo.xy_to_ll(XY["x"], XY["y"], False, 45.0, 70.0)
-per_row("F2_xy_to_ll", "points_fx", P, {"lat": (BACK["lat"], "lat"), "lon": (F.pmod(BACK["lon"], F.lit(360.0)), "lon")}, 4)
-per_row("F3_ps_scale", "points_fx", P, {"exact": (geo.ps_scale(C("lat"), 70), f"(cos(radians(lat)) / sqrt(1 - {geo.SCALE_ECC2} * pow(sin(radians(lat)), 2))) / (1.9332279 * {t_sql('radians(lat)', repr(geo.SCALE_ECC2**0.5))})"), "approx": (geo.ps_scale_approx(C("lat"), 70.0), "(1 + sin(radians(lat))) / (1 + sin(radians(70.0)))")})
-CELL = geo.xy_cell(C("lon"), C("lat"), 10.0, 60.0, 0.7, 0.3)
-NEAR = geo.xy_cell(C("lon"), C("lat"), 10.0, 60.0, 0.7, 0.3, nearest=True)
-per_row("F4_cells", "points_fx", P, {"i": (CELL["i"], "CAST(trunc((lat - 60.0) / CAST(0.3 AS DOUBLE)) AS INT)"), "j": (CELL["j"], "CAST(trunc((lon - 10.0) / CAST(0.7 AS DOUBLE)) AS INT)"), "nj": (NEAR["j"], "CAST(trunc((lon - 10.0) / CAST(0.7 AS DOUBLE) + 0.5) AS INT)")})
+XY = lambda: geo.ll_to_xy(C("lat"), C("lon"), 45.0, 70.0)
+per_row("F1_ll_to_xy", "points_fx", P, {"x": (lambda: XY()["x"], f"CASE WHEN lat >= 89.995 THEN 0 ELSE {RHO} * sin(radians(lon + 45)) END"), "y": (lambda: XY()["y"], f"CASE WHEN lat >= 89.995 THEN 0 ELSE -{RHO} * cos(radians(lon + 45)) END")}, 5)
+BACK = lambda: geo.xy_to_ll(XY()["x"], XY()["y"], False, 45.0, 70.0)
+per_row("F2_xy_to_ll", "points_fx", P, {"lat": (lambda: BACK()["lat"], "lat"), "lon": (lambda: F.pmod(BACK()["lon"], F.lit(360.0)), "lon")}, 4)
+per_row("F3_ps_scale", "points_fx", P, {"exact": (lambda: geo.ps_scale(C("lat"), 70), f"(cos(radians(lat)) / sqrt(1 - {geo.SCALE_ECC2} * pow(sin(radians(lat)), 2))) / (1.9332279 * {t_sql('radians(lat)', repr(geo.SCALE_ECC2**0.5))})"), "approx": (lambda: geo.ps_scale_approx(C("lat"), 70.0), "(1 + sin(radians(lat))) / (1 + sin(radians(70.0)))")})
+CELL = lambda: geo.xy_cell(C("lon"), C("lat"), 10.0, 60.0, 0.7, 0.3)
+NEAR = lambda: geo.xy_cell(C("lon"), C("lat"), 10.0, 60.0, 0.7, 0.3, nearest=True)
+per_row("F4_cells", "points_fx", P, {"i": (lambda: CELL()["i"], "CAST(trunc((lat - 60.0) / CAST(0.3 AS DOUBLE)) AS INT)"), "j": (lambda: CELL()["j"], "CAST(trunc((lon - 10.0) / CAST(0.7 AS DOUBLE)) AS INT)"), "nj": (lambda: NEAR()["j"], "CAST(trunc((lon - 10.0) / CAST(0.7 AS DOUBLE) + 0.5) AS INT)")})
 N_SQL = f"({geo.MAJOR_KM} * {geo.MAJOR_KM} / sqrt(pow({geo.MAJOR_KM} * cos(radians(lat)), 2) + pow({geo.MINOR_KM} * sin(radians(lat)), 2)))"
 ER_SQL = f"sqrt(pow({N_SQL} * cos(radians(lat)), 2) + pow(pow(CAST({geo.MINOR_KM} AS DOUBLE) / {geo.MAJOR_KM}, 2) * {N_SQL} * sin(radians(lat)), 2))"
-per_row("F5_radii", "points_fx", P, {"curvature": (geo.curvature_radius(F.radians("lat")), N_SQL), "radius": (geo.earth_radius(F.radians("lat")), ER_SQL), "spherical": (geo.to_spherical(C("h"), C("lat"), 6.37e6), f"h + ({ER_SQL} * 1000 - 6370000)")}, 5)
-ECEF = geo.ll_to_ecef(C("lat"), C("lon"), C("h"))
-per_row("F6_ecef", "points_fx", P, {"x": (ECEF["x"], f"({N_SQL} + h / 1000) * cos(radians(lat)) * cos(radians(lon))"), "y": (ECEF["y"], f"({N_SQL} + h / 1000) * cos(radians(lat)) * sin(radians(lon))"), "z": (ECEF["z"], f"({N_SQL} * (pow(CAST({geo.MINOR_KM} AS DOUBLE) / {geo.MAJOR_KM}, 2)) + h / 1000) * sin(radians(lat))")}, 5)
+per_row("F5_radii", "points_fx", P, {"curvature": (lambda: geo.curvature_radius(F.radians("lat")), N_SQL), "radius": (lambda: geo.earth_radius(F.radians("lat")), ER_SQL), "spherical": (lambda: geo.to_spherical(C("h"), C("lat"), 6.37e6), f"h + ({ER_SQL} * 1000 - 6370000)")}, 5)
+ECEF = lambda: geo.ll_to_ecef(C("lat"), C("lon"), C("h"))
+per_row("F6_ecef", "points_fx", P, {"x": (lambda: ECEF()["x"], f"({N_SQL} + h / 1000) * cos(radians(lat)) * cos(radians(lon))"), "y": (lambda: ECEF()["y"], f"({N_SQL} + h / 1000) * cos(radians(lat)) * sin(radians(lon))"), "z": (lambda: ECEF()["z"], f"({N_SQL} * (pow(CAST({geo.MINOR_KM} AS DOUBLE) / {geo.MAJOR_KM}, 2)) + h / 1000) * sin(radians(lat))")}, 5)
 S = ["l_orderkey", "l_linenumber"]
-LOOK = geo.look_geometry(C("slant"), F.lit(6371000.0) + C("z"), F.lit(7071000.0))
-per_row("F7_look_geometry", "samples_fx", S, {"theta": (LOOK["theta"], "acos((slant * slant + 7071000.0 * 7071000.0 - pow(6371000.0 + z, 2)) / (2 * slant * 7071000.0))"), "psi": (LOOK["psi"], "acos((7071000.0 * 7071000.0 - slant * slant - pow(6371000.0 + z, 2)) / (2 * slant * (6371000.0 + z)))"), "range": (geo.slant_range(C("slant"), F.lit(2.3), C("l_linenumber")), "slant + CAST(2.3 AS DOUBLE) * l_linenumber")})
-per_row("F8_xy_angle", "points_fx", P, {"north": (geo.xy_angle(C("lon") - 180, C("lat") - 70, False), "atan2(70 - lat, 180 - lon)"), "south": (geo.xy_angle(C("lon") - 180, C("lat") - 70, True), "atan2(70 - lat, 180 - lon) + pi()")})
-ROT, UNROT, EXY = geo.rotate_ra_to_xy(C("dr"), C("da"), C("xy"), C("heading")), geo.rotate_xy_to_ra(C("dr"), C("da"), C("xy"), C("heading")), geo.errors_to_xy(C("sr"), C("sa"), C("xy"), C("heading"))
-per_row("F9_rotations", "samples_fx", S, {"x": (ROT["x"], "dr * cos(heading - xy) + da * sin(heading - xy)"), "y": (ROT["y"], "da * cos(heading - xy) - dr * sin(heading - xy)"), "r": (UNROT["r"], "dr * cos(heading - xy) - da * sin(heading - xy)"), "a": (UNROT["a"], "dr * sin(heading - xy) + da * cos(heading - xy)"), "ex": (EXY["x"], "pow(sr * cos(heading - xy), 2) + pow(sa * sin(heading - xy), 2)"), "ey": (EXY["y"], "pow(sr * sin(heading - xy), 2) + pow(sa * cos(heading - xy), 2)")})
+LOOK = lambda: geo.look_geometry(C("slant"), F.lit(6371000.0) + C("z"), F.lit(7071000.0))
+per_row("F7_look_geometry", "samples_fx", S, {"theta": (lambda: LOOK()["theta"], "acos((slant * slant + 7071000.0 * 7071000.0 - pow(6371000.0 + z, 2)) / (2 * slant * 7071000.0))"), "psi": (lambda: LOOK()["psi"], "acos((7071000.0 * 7071000.0 - slant * slant - pow(6371000.0 + z, 2)) / (2 * slant * (6371000.0 + z)))"), "range": (lambda: geo.slant_range(C("slant"), F.lit(2.3), C("l_linenumber")), "slant + CAST(2.3 AS DOUBLE) * l_linenumber")})
+per_row("F8_xy_angle", "points_fx", P, {"north": (lambda: geo.xy_angle(C("lon") - 180, C("lat") - 70, False), "atan2(70 - lat, 180 - lon)"), "south": (lambda: geo.xy_angle(C("lon") - 180, C("lat") - 70, True), "atan2(70 - lat, 180 - lon) + pi()")})
+ROT = lambda: geo.rotate_ra_to_xy(C("dr"), C("da"), C("xy"), C("heading"))
+UNROT = lambda: geo.rotate_xy_to_ra(C("dr"), C("da"), C("xy"), C("heading"))
+EXY = lambda: geo.errors_to_xy(C("sr"), C("sa"), C("xy"), C("heading"))
+per_row("F9_rotations", "samples_fx", S, {"x": (lambda: ROT()["x"], "dr * cos(heading - xy) + da * sin(heading - xy)"), "y": (lambda: ROT()["y"], "da * cos(heading - xy) - dr * sin(heading - xy)"), "r": (lambda: UNROT()["r"], "dr * cos(heading - xy) - da * sin(heading - xy)"), "a": (lambda: UNROT()["a"], "dr * sin(heading - xy) + da * cos(heading - xy)"), "ex": (lambda: EXY()["x"], "pow(sr * cos(heading - xy), 2) + pow(sa * sin(heading - xy), 2)"), "ey": (lambda: EXY()["y"], "pow(sr * sin(heading - xy), 2) + pow(sa * cos(heading - xy), 2)")})
 FLAT = "(sqrt(dzdr * dzdr + dzda * dzda) > 0.05 AND z / 100 < 75) OR (sqrt(dzdr * dzdr + dzda * dzda) > 0.03 AND z / 100 < 50)"
-LIM = geo.slope_limits(C("dzdr"), C("dzda"), C("z") / 100)
-per_row("F10_slope_limits", "samples_fx", S, {"dzdx": (LIM["dzdx"], f"CASE WHEN {FLAT} THEN 0 ELSE greatest(least(dzdr, 0.12), -0.12) END"), "dzdy": (LIM["dzdy"], f"CASE WHEN {FLAT} THEN 0 ELSE greatest(least(dzda, 0.12), -0.12) END")})
-per_row("F11_baseline", "samples_fx", S, {"b": (geo.baseline_poly(C("bn"), C("bp"), C("sr"), C("x")), "bn + bp * x + sr * x * x"), "norm": (geo.norm_azimuth(C("slant"), F.lit(900000.0)), "(slant - 450000.0) / 900000.0")})
-COV = F.array(C("sr"), F.lit(0.1), F.lit(0.1), C("theta"))
-per_row("F12_quad_form", "samples_fx", S, {"q": (geo.quad_form(COV, F.array(C("dr"), C("da"))), "dr * dr * sr + 2 * CAST(0.1 AS DOUBLE) * dr * da + da * da * theta")})
+LIM = lambda: geo.slope_limits(C("dzdr"), C("dzda"), C("z") / 100)
+per_row("F10_slope_limits", "samples_fx", S, {"dzdx": (lambda: LIM()["dzdx"], f"CASE WHEN {FLAT} THEN 0 ELSE greatest(least(dzdr, 0.12), -0.12) END"), "dzdy": (lambda: LIM()["dzdy"], f"CASE WHEN {FLAT} THEN 0 ELSE greatest(least(dzda, 0.12), -0.12) END")})
+per_row("F11_baseline", "samples_fx", S, {"b": (lambda: geo.baseline_poly(C("bn"), C("bp"), C("sr"), C("x")), "bn + bp * x + sr * x * x"), "norm": (lambda: geo.norm_azimuth(C("slant"), F.lit(900000.0)), "(slant - 450000.0) / 900000.0")})
+COV = lambda: F.array(C("sr"), F.lit(0.1), F.lit(0.1), C("theta"))
+per_row("F12_quad_form", "samples_fx", S, {"q": (lambda: geo.quad_form(COV(), F.array(C("dr"), C("da"))), "dr * dr * sr + 2 * CAST(0.1 AS DOUBLE) * dr * da + da * da * theta")})
 BENT = "sqrt(slant * slant - 2 * slant * (bn * sin(theta_d) + bp * cos(theta_d)) + bn * bn + bp * bp)"
-per_row("F13_range_offset", "samples_fx", S, {"dr": (velocity.calibrate_range(C("dr"), F.lit(2.3), C("slant"), C("theta_d"), C("bn"), C("bp"), F.lit(0.75)), f"dr * CAST(2.3 AS DOUBLE) - ({BENT} - slant + 0.75)"), "dem": (velocity.dem_error(C("bn"), C("slant"), C("theta")), "abs(bn) * 15 / (slant * sin(theta))")}, 5)
-per_row("F14_azimuth_offset", "samples_fx", S, {"da": (velocity.calibrate_azimuth(C("da"), F.lit(14.1), C("code") == 1, C("slant"), C("theta"), F.lit(0.5), F.lit(1e-6), F.lit(2e-6), C("x") * 0.1), "CASE WHEN code = 1 THEN -da ELSE da END * CAST(14.1 AS DOUBLE) - (0.5 + slant * sin(theta) * 1e-6 - slant * cos(theta) * 2e-6) - x * CAST(0.1 AS DOUBLE)")})
+per_row("F13_range_offset", "samples_fx", S, {"dr": (lambda: velocity.calibrate_range(C("dr"), F.lit(2.3), C("slant"), C("theta_d"), C("bn"), C("bp"), F.lit(0.75)), f"dr * CAST(2.3 AS DOUBLE) - ({BENT} - slant + 0.75)"), "dem": (lambda: velocity.dem_error(C("bn"), C("slant"), C("theta")), "abs(bn) * 15 / (slant * sin(theta))")}, 5)
+per_row("F14_azimuth_offset", "samples_fx", S, {"da": (lambda: velocity.calibrate_azimuth(C("da"), F.lit(14.1), C("code") == 1, C("slant"), C("theta"), F.lit(0.5), F.lit(1e-6), F.lit(2e-6), C("x") * 0.1), "CASE WHEN code = 1 THEN -da ELSE da END * CAST(14.1 AS DOUBLE) - (0.5 + slant * sin(theta) * 1e-6 - slant * cos(theta) * 2e-6) - x * CAST(0.1 AS DOUBLE)")})
 CAP = "CASE WHEN {0} > 0.2 OR {0} < 0 THEN 0.2 ELSE {0} END"
-per_row("F15_offset_sigma", "samples_fx", S, {"sa": (velocity.azimuth_sigma(C("sa"), C("theta_d"), F.lit(14.0)), f"sqrt(pow({CAP.format('sa')}, 2) + pow(greatest(theta_d, 0.001), 2)) * 14"), "sr": (velocity.range_sigma(C("sr") * 3, C("theta_d"), F.lit(2.0)), f"greatest(theta_d, {CAP.format('(sr * 3)')}) * 2")})
-per_row("F16_phase", "samples_fx", S, {"phase": (velocity.topo_phase(C("dr") * C("bn"), C("da")), "dr * bn - da"), "fit": (velocity.phase_error(C("sr"), C("theta") * 10), "sqrt(sr + pow(least(pi(), theta * 10), 2))"), "dem": (velocity.phase_error_dem(C("bn"), C("slant"), C("theta"), F.lit(220.0)), "sqrt(pow(pi() / 4, 2) + pow(abs(bn) * 30 / (slant * sin(theta)) * 220, 2))")})
-per_row("F17_tides", "samples_fx", S, {"correction": (velocity.tide_correction(C("code"), C("da"), C("psi"), C("n_days")), "CASE WHEN code = 1 THEN -da * cos(psi) * n_days / 365.25 ELSE 0 END"), "sigma": (velocity.tide_sigma(C("code"), C("sr"), C("psi")), "CASE WHEN code = 1 THEN sqrt(sr * sr + pow(0.1 * cos(psi), 2)) ELSE sr END")})
-VEL = velocity.radar_velocity(C("dr"), C("da"), C("psi"), C("n_days"), C("dzdr") / 4, C("dzda") / 4, C("code"))
+per_row("F15_offset_sigma", "samples_fx", S, {"sa": (lambda: velocity.azimuth_sigma(C("sa"), C("theta_d"), F.lit(14.0)), f"sqrt(pow({CAP.format('sa')}, 2) + pow(greatest(theta_d, 0.001), 2)) * 14"), "sr": (lambda: velocity.range_sigma(C("sr") * 3, C("theta_d"), F.lit(2.0)), f"greatest(theta_d, {CAP.format('(sr * 3)')}) * 2")})
+per_row("F16_phase", "samples_fx", S, {"phase": (lambda: velocity.topo_phase(C("dr") * C("bn"), C("da")), "dr * bn - da"), "fit": (lambda: velocity.phase_error(C("sr"), C("theta") * 10), "sqrt(sr + pow(least(pi(), theta * 10), 2))"), "dem": (lambda: velocity.phase_error_dem(C("bn"), C("slant"), C("theta"), F.lit(220.0)), "sqrt(pow(pi() / 4, 2) + pow(abs(bn) * 30 / (slant * sin(theta)) * 220, 2))")})
+per_row("F17_tides", "samples_fx", S, {"correction": (lambda: velocity.tide_correction(C("code"), C("da"), C("psi"), C("n_days")), "CASE WHEN code = 1 THEN -da * cos(psi) * n_days / 365.25 ELSE 0 END"), "sigma": (lambda: velocity.tide_sigma(C("code"), C("sr"), C("psi")), "CASE WHEN code = 1 THEN sqrt(sr * sr + pow(0.1 * cos(psi), 2)) ELSE sr END")})
+VEL = lambda: velocity.radar_velocity(C("dr"), C("da"), C("psi"), C("n_days"), C("dzdr") / 4, C("dzda") / 4, C("code"))
 GROUND = "(CASE WHEN code <> 1 THEN 0.25 ELSE 0 END)"
-MODES = {m: velocity.vertical_velocity(m, C("dr"), C("da"), C("dzdr"), C("dzda"), C("dr"), C("psi"), C("n_days")) for m in ("default", "horizontal", "vertical", "los", "incidence")}
-per_row("F18_radar_velocity", "samples_fx", S, {"vr": (VEL["vr"], f"(dr * 365.25 / n_days / sin(psi) + da * 365.25 / n_days / tan(psi) * dzda * {GROUND}) / (1 - dzdr * {GROUND} / tan(psi))"), "va": (VEL["va"], "da * 365.25 / n_days"), "vz0": (MODES["default"], "dr * dzdr + da * dzda"), "vz1": (MODES["horizontal"], "dr * 365.25 / n_days / sin(psi)"), "vz2": (MODES["vertical"], "dr * 365.25 / n_days / cos(psi)"), "vz3": (MODES["los"], "dr * 365.25 / n_days"), "vz4": (MODES["incidence"], "degrees(psi)")}, 7)
+MODES = lambda: {m: velocity.vertical_velocity(m, C("dr"), C("da"), C("dzdr"), C("dzda"), C("dr"), C("psi"), C("n_days")) for m in ("default", "horizontal", "vertical", "los", "incidence")}
+per_row("F18_radar_velocity", "samples_fx", S, {"vr": (lambda: VEL()["vr"], f"(dr * 365.25 / n_days / sin(psi) + da * 365.25 / n_days / tan(psi) * dzda * {GROUND}) / (1 - dzdr * {GROUND} / tan(psi))"), "va": (lambda: VEL()["va"], "da * 365.25 / n_days"), "vz0": (lambda: MODES()["default"], "dr * dzdr + da * dzda"), "vz1": (lambda: MODES()["horizontal"], "dr * 365.25 / n_days / sin(psi)"), "vz2": (lambda: MODES()["vertical"], "dr * 365.25 / n_days / cos(psi)"), "vz3": (lambda: MODES()["los"], "dr * 365.25 / n_days"), "vz4": (lambda: MODES()["incidence"], "degrees(psi)")}, 7)
 
 
 @query("F19_crossing_velocity", """, m AS (SELECT *, CASE WHEN abs(heading) >= 0.8 AND abs(heading) <= 2 * pi() - 0.8 THEN 1 END AS ok, 1 / pow(sin(heading), 2) AS k FROM samples_fx),
@@ -111,9 +114,9 @@ def _crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("v", v).where("v is not null").select(*S, *[r6(C(f"v.{n}"), n, 4) for n in ("vx", "vy", "ex", "det")])
 
 
-per_row("F20_optical_velocity", "samples_fx", S, {"v": (velocity.optical_velocity(C("dr"), C("da"), F.lit(15.0), C("n_days"), F.lit(1.013721839)), "(dr - da) * 15 * 365.25 / n_days * CAST(1.013721839 AS DOUBLE)"), "var": (velocity.optical_variance(C("sr"), C("theta") * 2, C("sa"), C("sr") * 0.01, F.lit(15.0), C("n_days")), "least(greatest(pow(greatest(theta * 2, 0) / 15, 2) - pow(greatest(sa, 0), 2), 0) + CAST(0.05 AS DOUBLE) * 0.05 + sr * sr + sr * 0.01, CAST(0.2 AS DOUBLE) * 0.2) * pow(15 * 365.25 / n_days, 2)")})
+per_row("F20_optical_velocity", "samples_fx", S, {"v": (lambda: velocity.optical_velocity(C("dr"), C("da"), F.lit(15.0), C("n_days"), F.lit(1.013721839)), "(dr - da) * 15 * 365.25 / n_days * CAST(1.013721839 AS DOUBLE)"), "var": (lambda: velocity.optical_variance(C("sr"), C("theta") * 2, C("sa"), C("sr") * 0.01, F.lit(15.0), C("n_days")), "least(greatest(pow(greatest(theta * 2, 0) / 15, 2) - pow(greatest(sa, 0), 2), 0) + CAST(0.05 AS DOUBLE) * 0.05 + sr * sr + sr * 0.01, CAST(0.2 AS DOUBLE) * 0.2) * pow(15 * 365.25 / n_days, 2)")})
 JD = "(CAST(date_diff('day', DATE '1970-01-01', image_date) AS DOUBLE) + 2440588)"
-per_row("F21_julian_days", "acquisitions_fx", ["image_id"], {"jd": (dates.julian_day(C("image_date")), JD), "image_jd": (dates.image_jd(C("image_date"), C("n_days") * 100), f"{JD} + n_days * 100 / 86400"), "start": (dates.window_jd(C("image_date")), f"{JD} - 0.5"), "back": (F.datediff(dates.jd_to_date(dates.julian_day(C("image_date")) - 0.25), C("image_date")), "CAST(0 AS INT)")})
+per_row("F21_julian_days", "acquisitions_fx", ["image_id"], {"jd": (lambda: dates.julian_day(C("image_date")), JD), "image_jd": (lambda: dates.image_jd(C("image_date"), C("n_days") * 100), f"{JD} + n_days * 100 / 86400"), "start": (lambda: dates.window_jd(C("image_date")), f"{JD} - 0.5"), "back": (lambda: F.datediff(dates.jd_to_date(dates.julian_day(C("image_date")) - 0.25), C("image_date")), "CAST(0 AS INT)")})
 W1, W2 = 2449900.5, 2449990.5
 DW = """CASE WHEN abs(0.5 * (a + b + 1) - 0.5 * (2449900.5 + 2449990.5)) > 90 THEN 0 WHEN 90 / (b - a) < 0.49 OR 90 / (b - a) < 0.6 THEN 0
   WHEN a >= 2449900.5 AND b <= 2449990.5 THEN 1
@@ -132,29 +135,29 @@ query("F22_date_weight", ACQ + " SELECT image_id, round(CAST(weight AS DOUBLE),
 query("P1_pairs_in_window", ACQ + " SELECT image_id FROM w WHERE weight > 0.99999 UNION ALL SELECT image_id + 1000000000 FROM w WHERE weight > 0.05 AND weight >= 0.5", ("acquisitions_fx",))(
     lambda s, d: _weighted(s, d).where("weight > 0.99999").select("image_id").unionByName(_weighted(s, d).where("weight > 0.05 and weight >= 0.5").select((C("image_id") + 1000000000).alias("image_id")))
 )
-POWER = [C("z") / 100000, F.when(C("code") == 1, "s1").when(C("code") == 2, "fine").when(C("code") == 5, "lband").otherwise("none"), 33 + C("dr") / 5, C("psi"), F.lit(220.0), F.lit(1.0)]
+POWER = lambda: [C("z") / 100000, F.when(C("code") == 1, "s1").when(C("code") == 2, "fine").when(C("code") == 5, "lband").otherwise("none"), 33 + C("dr") / 5, C("psi"), F.lit(220.0), F.lit(1.0)]
 FINE = "pow(10.0, (" + " + ".join(f"({c}) * pow(CAST((33 + dr / 5 - 33.399360) / 1.880050 AS DOUBLE), {9 - k})" for k, c in enumerate(image.FINE_BEAM)) + ") / 10)"
 LBAND = "pow(" + " + ".join(f"({c}) * pow(CAST(33 + dr / 5 - 34 AS DOUBLE), {4 - k})" for k, c in enumerate(image.L_BAND)) + ", 2)"
-per_row("F23_sensor_calibration", "samples_fx", S, {"value": (image.sensor_calibration(*POWER), f"CASE code WHEN 1 THEN z / 100000 * sin(psi) / 48400 WHEN 2 THEN z / 100000 / {FINE} WHEN 5 THEN z / 100000 / {LBAND} ELSE z / 100000 * pow(sin(psi), 3) END")}, 5)
+per_row("F23_sensor_calibration", "samples_fx", S, {"value": (lambda: image.sensor_calibration(*POWER()), f"CASE code WHEN 1 THEN z / 100000 * sin(psi) / 48400 WHEN 2 THEN z / 100000 / {FINE} WHEN 5 THEN z / 100000 / {LBAND} ELSE z / 100000 * pow(sin(psi), 3) END")}, 5)
 DB = "(round(log10(CASE WHEN sr * 0.01 - 0.0005 < 0.001001 THEN CASE WHEN sr * 0.01 - 0.0005 > 1e-9 THEN 0.00102 ELSE 0.001 END ELSE sr * 0.01 - 0.0005 END) * 1000) / 100)"
-SIG = image.to_db(C("sr") * 0.01 - 0.0005)
-per_row("F24_decibels", "samples_fx", S, {"db": (SIG, DB), "correction": (image.gamma_correction(C("theta"), C("sr"), C("psi")), "greatest(least(10 * log10(theta / sr / sin(psi)), 20), -29.9)")}, 5)
-per_row("F25_byte_scale", "samples_fx", S, {"b": (image.byte_scale(C("sr"), 0.02, 0.08, 0.5), "CASE WHEN sr = 0 THEN 0 ELSE greatest(least(CAST(trunc(pow(greatest(least((sr - CAST(0.02 AS DOUBLE)) / (CAST(0.08 AS DOUBLE) - CAST(0.02 AS DOUBLE)), 1), 0), 0.5) * 255) AS INT), 255), 1) END")})
+SIG = lambda: image.to_db(C("sr") * 0.01 - 0.0005)
+per_row("F24_decibels", "samples_fx", S, {"db": (lambda: SIG(), DB), "correction": (lambda: image.gamma_correction(C("theta"), C("sr"), C("psi")), "greatest(least(10 * log10(theta / sr / sin(psi)), 20), -29.9)")}, 5)
+per_row("F25_byte_scale", "samples_fx", S, {"b": (lambda: image.byte_scale(C("sr"), 0.02, 0.08, 0.5), "CASE WHEN sr = 0 THEN 0 ELSE greatest(least(CAST(trunc(pow(greatest(least((sr - CAST(0.02 AS DOUBLE)) / (CAST(0.08 AS DOUBLE) - CAST(0.02 AS DOUBLE)), 1), 0), 0.5) * 255) AS INT), 255), 1) END")})
 LOS = "n_days / 365.25 * (dr * sin(psi) - dzdr * cos(psi))"
-per_row("F26_motion_correction", "samples_fx", S, {"range": (velocity.motion_correction(C("theta"), "range", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days")), f"theta - {LOS}"), "azimuth": (velocity.motion_correction(C("theta"), "azimuth", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days")), "theta - da * n_days / 365.25"), "phase": (velocity.motion_correction(C("theta"), "phase", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days"), 220.0), f"theta - 220 * {LOS}")})
-per_row("F27_unflatten", "samples_fx", S, {"phase": (velocity.unflatten_phase(C("dr"), C("bn"), C("bp"), C("theta_d"), C("slant"), F.lit(0.5)), f"dr + 0.5 * ({BENT} - slant)")}, 4)
-CORNER = [F.struct((C("theta") * a).alias("x"), (C("psi") * b).alias("y"), (C("dr") * a * b).alias("z")) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
-per_row("F28_pixel_area", "samples_fx", S, {"area": (velocity.pixel_area(CORNER), "0.5 * sqrt(pow(dr * psi, 2) * 0 + pow(theta * dr, 2) + pow(theta * psi, 2)) + 0.5 * sqrt(pow(psi * dr, 2) + pow(theta * psi, 2))")}, 5)
-TIME = dates.multilook_start(C("slant") / 10, C("dr") * 100, F.lit(500.0), F.lit(9.0))
+per_row("F26_motion_correction", "samples_fx", S, {"range": (lambda: velocity.motion_correction(C("theta"), "range", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days")), f"theta - {LOS}"), "azimuth": (lambda: velocity.motion_correction(C("theta"), "azimuth", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days")), "theta - da * n_days / 365.25"), "phase": (lambda: velocity.motion_correction(C("theta"), "phase", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days"), 220.0), f"theta - 220 * {LOS}")})
+per_row("F27_unflatten", "samples_fx", S, {"phase": (lambda: velocity.unflatten_phase(C("dr"), C("bn"), C("bp"), C("theta_d"), C("slant"), F.lit(0.5)), f"dr + 0.5 * ({BENT} - slant)")}, 4)
+CORNER = lambda: [F.struct((C("theta") * a).alias("x"), (C("psi") * b).alias("y"), (C("dr") * a * b).alias("z")) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+per_row("F28_pixel_area", "samples_fx", S, {"area": (lambda: velocity.pixel_area(CORNER()), "0.5 * sqrt(pow(dr * psi, 2) * 0 + pow(theta * dr, 2) + pow(theta * psi, 2)) + 0.5 * sqrt(pow(psi * dr, 2) + pow(theta * psi, 2))")}, 5)
+TIME = lambda: dates.multilook_start(C("slant") / 10, C("dr") * 100, F.lit(500.0), F.lit(9.0))
 SEC = "(slant / 10 + dr * 100 + CAST(0.5 AS DOUBLE) * 8 / 500)"
-per_row("F29_times", "samples_fx", S, {"day_shift": (TIME["day_shift"], f"CAST(floor({SEC} / 86400) AS INT)"), "second": (TIME["second"], f"{SEC} - floor({SEC} / 86400) * 86400")}, 4)
-ONE = {"a_x": C("slant") * 8, "a_y": F.lit(0.0), "a_z": F.lit(0.0), "a_vx": F.lit(0.0), "a_vy": F.lit(0.0), "a_vz": F.lit(7500.0), "b_x": C("slant") * 8 + C("bn"), "b_y": C("bp"), "b_z": C("dr")}
+per_row("F29_times", "samples_fx", S, {"day_shift": (lambda: TIME()["day_shift"], f"CAST(floor({SEC} / 86400) AS INT)"), "second": (lambda: TIME()["second"], f"{SEC} - floor({SEC} / 86400) * 86400")}, 4)
+ONE = lambda: {"a_x": C("slant") * 8, "a_y": F.lit(0.0), "a_z": F.lit(0.0), "a_vx": F.lit(0.0), "a_vy": F.lit(0.0), "a_vz": F.lit(7500.0), "b_x": C("slant") * 8 + C("bn"), "b_y": C("bp"), "b_z": C("dr")}
 
 
 @query("F30_state_vector_baseline", "SELECT l_orderkey, l_linenumber, round(bp * cos(theta) - bn * sin(theta), 5) AS bn, round(-bn * cos(theta) - bp * sin(theta), 5) AS bp FROM samples_fx", ("samples_fx",))
 def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture(spark, sf_dir, "samples_fx").withColumn("th", C("theta")).withColumn("pb", C("bp"))
-    df = df.withColumns({k: v for k, v in ONE.items()})
+    df = df.withColumns({k: v for k, v in ONE().items()})
     side = geocode.state_vector_baseline("a_", "b_", C("th"))
     return df.withColumn("s", side).select(*S, r6(C("s.bn"), "bn", 5), r6(C("s.bp"), "bp", 5))
 
@@ -259,14 +262,14 @@ on("J12_sample_ties", ("pairs_fx", "cells_fx"), """, h AS (SELECT pair_id, 4 AS
         p.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(12)))).select("pair_id", "i", "j", (C("pair_id") % 10 + C("i") * 2 + C("j") * C("j")).cast("double").alias("off")), ["off"],
     ).select("pair_id", "tie_id", r6(C("off"), "off"))
 )
-per_row("P3_valid_sample", "samples_fx", S, {"dr": (C("dr"), "dr")}, where="abs(dr) < 13e4 and abs(da) < 10e4 and z > -1000 and z <= 10000")
+per_row("P3_valid_sample", "samples_fx", S, {"dr": (lambda: C("dr"), "dr")}, where="abs(dr) < 13e4 and abs(da) < 10e4 and z > -1000 and z <= 10000")
 QUERIES["P3_valid_sample"] = lambda s, d: mosaic.valid_sample(fixture(s, d, "samples_fx")).select(*S, r6(C("dr"), "dr"))
 on("P4_mask_policy", ("cells_fx",), "SELECT i, j, 'tides' AS mode FROM cells_fx WHERE code NOT IN (5, 2) UNION ALL SELECT i, j, 'none' FROM cells_fx WHERE code = 0")(lambda c: mosaic.mask_policy(c).select("i", "j", F.lit("tides").alias("mode")).unionByName(mosaic.mask_policy(c, False).select("i", "j", F.lit("none").alias("mode"))))
 REF = "SELECT i, j, avg(vx) AS rx, avg(vy) AS ry FROM obs_fx WHERE pair_id % 3 = 0 GROUP BY 1, 2"
 on("P5_clip_to_reference", ("obs_fx",), f", r AS ({REF}) SELECT pair_id, o.i, o.j FROM obs_fx o LEFT JOIN r ON r.i = o.i AND r.j = o.j WHERE NOT coalesce(sqrt(pow(vx - rx, 2) + pow(vy - ry, 2)) > 20 AND (sqrt(rx * rx + ry * ry) < 100 OR sqrt(vx * vx + vy * vy) < 100), false)")(
     lambda o: mosaic.clip_to_reference(o, o.where("pair_id % 3 = 0").groupBy("i", "j").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy")), 20.0).select("pair_id", "i", "j")
 )
-per_row("P13_trim_pad", "cells_fx", ["i", "j"], {"value": (C("z"), "CASE WHEN j < 3 OR j >= 17 THEN 0 ELSE z END")})
+per_row("P13_trim_pad", "cells_fx", ["i", "j"], {"value": (lambda: C("z"), "CASE WHEN j < 3 OR j >= 17 THEN 0 ELSE z END")})
 QUERIES["P13_trim_pad"] = lambda s, d: images.trim_pad(fixture(s, d, "cells_fx").select("i", "j", C("j").alias("r"), C("z").alias("value")), 3, 20).select("i", "j", r6(C("value"), "value"))
 on("P14_ties_in_bbox", ("points_fx",), "SELECT point_id FROM points_fx WHERE lon BETWEEN 20 AND 80 AND lat BETWEEN 65 AND 75")(lambda p: mosaic.ties_in_bbox(p.select("point_id", C("lon").alias("x"), C("lat").alias("y")), (20.0, 80.0, 65.0, 75.0)).select("point_id"))
 on("U1_all_pairs", ("pairs_fx",), "SELECT pair_id, pass_type FROM pairs_fx")(lambda p: p.where("pass_type = 0").unionByName(p.where("pass_type = 1")).select("pair_id", "pass_type"))
@@ -350,7 +353,7 @@ on("K1_velocity_layers", ("obs_fx",), f", fe AS (SELECT *, 1 AS f FROM obs_fx),
     lambda o: sinks.velocity_layers(mosaic.finish(mosaic.mosaic_sums(o))).select("i", "j", *[r6(C(c), c, 5) for c in ("vx", "vy", "dt", "ex", "ey")])
 )
 on("K2_mosaic_meta", ("pairs_fx", "obs_fx"), "SELECT pair_id, jd1 + n_days / 2 AS central_jd, DATE '1970-01-01' + CAST(floor(jd1 + 0.5) - 2440588 AS INT) AS date1, DATE '1970-01-01' + CAST(floor(jd1 + n_days + 0.5) - 2440588 AS INT) AS date2, n_days, CAST(i_min + i_max AS DOUBLE) / 2 AS i_mid, CAST(j_min + j_max AS DOUBLE) / 2 AS j_mid FROM pairs_fx WHERE pair_id IN (SELECT pair_id FROM obs_fx)")(sinks.mosaic_meta)
-on("K3_tie_lines", ("points_fx",), "SELECT printf('%.6f %.6f %.2f %.3f %.3f %.3f', lat, lon, h / 7, lat / 7, lon / 7, h * 0) AS value FROM points_fx WHERE h > 0")(lambda p: sinks.tie_lines(p.where("h > 0").select("lat", "lon", (C("h") / 7).alias("z"), (C("lat") / 7).alias("vx"), (C("lon") / 7).alias("vy"), (C("h") * 0).alias("vz"))))
+on("K3_tie_lines", ("points_fx",), "SELECT printf('%.6f %.6f %.2f %.3f %.3f %.3f', lat, lon, h * CAST(0.71317 AS DOUBLE), lat / 7, lon / 7, h * 0) AS value FROM points_fx WHERE h > 0")(lambda p: sinks.tie_lines(p.where("h > 0").select("lat", "lon", (C("h") * 0.71317).alias("z"), (C("lat") / 7).alias("vx"), (C("lon") / 7).alias("vy"), (C("h") * 0).alias("vz"))))
 on("K4_image_layers", ("samples_fx",), f"SELECT l_orderkey, l_linenumber, {DB} AS sigma0, greatest(round({DB} + theta, 2), -30.0) AS gamma0 FROM samples_fx")(lambda s: sinks.image_layers(s.select(*S, (C("sr") * 0.01 - 0.0005).alias("value"), C("theta").alias("gamma_correction"))).select(*S, "sigma0", "gamma0"))
 on("K5_fit_lines", ("ties_fx",), None)(lambda t: sinks.fit_lines(fit.fit_range_params(t, "bnbpdbp")))
 on("K6_geocoded_points", ("samples_fx",), "SELECT l_orderkey, l_linenumber, round(CASE WHEN code = 5 THEN -9999 ELSE theta * 4 + 1.5 END, 6) AS range, round(CASE WHEN code = 5 THEN -9999 ELSE psi * 2 + 0.5 END, 6) AS azimuth FROM samples_fx")(
@@ -380,7 +383,7 @@ def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = lambda k: F.radians(F.lit(70.0)) + (k * 10.0 - 55.0) * rate
     state = lambda k: F.struct((radius * F.cos(a(k)) * F.cos(lon)).alias("x"), (radius * F.cos(a(k)) * F.sin(lon)).alias("y"), (radius * F.sin(a(k))).alias("z"), (-7500.0 * F.sin(a(k)) * F.cos(lon)).alias("vx"), (-7500.0 * F.sin(a(k)) * F.sin(lon)).alias("vy"), (7500.0 * F.cos(a(k))).alias("vz"))
     degrees = F.degrees(lon)
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(C("s_suppkey").alias("scene_id"), F.lit(66.0).alias("lat_min"), F.lit(74.0).alias("lat_max"), (degrees - 20).alias("lon_min"), (degrees + 20).alias("lon_max"), F.lit(0.0).alias("t0"), F.lit(10.0).alias("step"), F.transform(n, state).alias("states"), F.lit(50.0).alias("start"), F.lit(500.0).alias("prf"), F.lit(800000.0).alias("near"), F.lit(10.0).alias("pixel"), F.lit(6000).alias("n_range"), F.lit(5000).alias("n_azimuth"), F.lit(False).alias("look_left"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(C("s_suppkey").alias("scene_id"), F.lit(60.0).alias("lat_min"), F.lit(80.0).alias("lat_max"), (degrees - 20).alias("lon_min"), (degrees + 20).alias("lon_max"), F.lit(0.0).alias("t0"), F.lit(10.0).alias("step"), F.transform(n, state).alias("states"), F.lit(50.0).alias("start"), F.lit(500.0).alias("prf"), F.lit(800000.0).alias("near"), F.lit(10.0).alias("pixel"), F.lit(6000).alias("n_range"), F.lit(5000).alias("n_azimuth"), F.lit(False).alias("look_left"))
 
 
 query("J8_geocode_points")(lambda s, d: geocode.geocode_points(fixture(s, d, "points_fx"), _scenes(s, d)))

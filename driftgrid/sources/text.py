@@ -24,8 +24,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: file, id (its name without the suffix) and text."""
-    f = F.col("_metadata.file_path")
-    return spark.read.option("wholetext", True).text(path).select(f.alias("file"), F.regexp_extract(f, r"([^/]+?)(\.[^./]*)?$", 1).alias("id"), F.col("value").alias("text"))
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.col("path").alias("file"), F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("id"), F.decode("content", "UTF-8").alias("text"))
 
 
 def _numbers(text: Column) -> Column:
