@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import settled, words, written
 
 TEXT_FEATURES, META_FEATURES = 1 << 12, 1 << 9
 
@@ -123,7 +123,7 @@ class CoTraining:
             return docs.select("doc_id", *[F.lit(float(self.constant)).alias(c) for c in ("text_score", "meta_score", "score")])
         rows = self._margins(views(docs))
         own = [self._sigmoid(self.platt[v], [f"{v}_margin"]).alias(f"{v}_score") for v in self.VIEWS]
-        return rows.select("doc_id", *own, self._sigmoid(self.combined, [f"{v}_margin" for v in self.VIEWS]).alias("score"))
+        return settled(rows.select("doc_id", *own, self._sigmoid(self.combined, [f"{v}_margin" for v in self.VIEWS]).alias("score")))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, keep: float = 0.5, **options) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settled, written
 
 # Titles of address with the gender they tell.
 MALE = "Mr|Herr|Monsieur|Señor|господин"
@@ -167,7 +167,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     gaps = F.split(text, ENTITY, -1)
     merged = F.array_join(F.flatten(F.zip_with(gaps, "entities", lambda gap, x: F.array(gap, F.coalesce(F.concat(x["lead"], x["surrogate"]), F.lit(""))))), "")
-    return (
+    return settled(
         keyed.withColumn("entities", F.transform(entities(text), replaced))
         .drop("attempts")
         .withColumn("text", F.when(F.size("entities") > 0, merged).otherwise(text))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sieve, words
+from .common import settled, sieve, words
 
 BUCKETS = 1 << 14
 #: Words of a window of the repetition rule.
@@ -78,7 +78,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Per row of docs: doc_id, the counts, n_grams and llr_millionths (the sum), base_failed and kept."""
-    return _judged(docs, gram_weights(docs, trusted, buckets), threshold, buckets)
+    return settled(_judged(docs, gram_weights(docs, trusted, buckets), threshold, buckets))
 
 
 def _judged(docs: DataFrame, weights: list[int], threshold: int, buckets: int) -> DataFrame:
