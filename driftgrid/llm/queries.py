@@ -11,9 +11,10 @@ from .cotraining import classify_quality
 from .decontamination import contamination
 from .jaccard_join import jaccard_join
 from .licenses import scan_licences
+from .oracles import JACCARD_SQL, SUBSTRING_SQL, quality_sql
 from .packing import pack_documents
 from .pii import replace_pii
-from .quality_rules import quality_rules
+from .quality_rules import BUCKETS, THRESHOLD, quality_rules
 from .sharding import SHARDING_SQL, shard_documents
 from .substring_dedup import remove_repeated
 from .token_blocks import token_table_digest
@@ -78,4 +79,9 @@ QUERIES = {f.__name__: f for f in (
     op7_template_decontamination, op8_token_blocks, op9_substring_dedup, op10_jaccard_join,
 )}
 
-ORACLE_SQL: dict[str, str] = {"op5_extendible_sharding": SHARDING_SQL.format(limit=SHARD_BYTES)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_extendible_sharding": SHARDING_SQL.format(limit=SHARD_BYTES),
+    "op6_quality_rules": quality_sql(BUCKETS, THRESHOLD),
+    "op9_substring_dedup": SUBSTRING_SQL,
+    "op10_jaccard_join": JACCARD_SQL,
+}
