@@ -14,14 +14,14 @@ are averaged (0.5 counts as good). Repeated rows get equal scores. With no label
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled, words, written
 
-TEXT_FEATURES, META_FEATURES = 1 << 12, 1 << 9
+TEXT_FEATURES, META_FEATURES, STYLE_FEATURES = 1 << 12, 1 << 9, 7
 
 
 def _style(text: Column, w: Column) -> Column:
@@ -43,6 +43,7 @@ def views(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"), meta.alias("meta")).withColumn("w", words(F.col("text")))
     rows = rows.select("doc_id", "meta", "w", array_to_vector(_style(F.col("text"), F.col("w"))).alias("style"))
     rows = HashingTF(numFeatures=TEXT_FEATURES, binary=True, inputCol="w", outputCol="words").transform(rows)
+    rows = VectorSizeHint(inputCol="style", size=STYLE_FEATURES, handleInvalid="optimistic").transform(rows)
     rows = VectorAssembler(inputCols=["style", "words"], outputCol="text_view").transform(rows)
     return HashingTF(numFeatures=META_FEATURES, binary=True, inputCol="meta", outputCol="meta_view").transform(rows).select("doc_id", "text_view", "meta_view")
 
