@@ -14,7 +14,6 @@ null ids and ties are kept apart by row; extra columns pass through ``drop_conta
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,40 +33,59 @@ SENT_WINDOWS = 2_000_000
 HITS = "doc_id bigint, text_hash bigint, pos int, window bigint, slots array<string>"
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """The template tokens of a text, and the surface tokens they stand for."""
-    out, surface, opens = [], [], True
+def _code(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token)
+
+
+_PLACEHOLDERS = (NUMBER, UNIT, NAME)
+_NUMBER, _UNIT, _NAME = map(_code, _PLACEHOLDERS)
+_MARK, _DIGITS, _UNITS, _CAPITAL, _PLAIN = range(5)
+#: What is known of a token: its kind and the hash of its lower case. Emptied when full.
+_KNOWN: dict[str, tuple[int, int]] = {}
+
+
+def _learn(t: str) -> tuple[int, int]:
+    low = t.lower()
+    kind = _MARK if t in ".!?:" else _DIGITS if t[0].isdigit() else _UNITS if low in UNITS else _CAPITAL if len(t) > 1 and t[0].isupper() and t[1:].islower() else _PLAIN
+    if len(_KNOWN) >= 400_000:
+        _KNOWN.clear()
+    _KNOWN[t] = kind, _code(low)
+    return _KNOWN[t]
+
+
+def template_codes(text: str | None) -> np.ndarray:
+    """The hashes of a text's template tokens. A unit counts as one after a number, a capitalised word as a name within a sentence."""
+    out: list[int] = []
+    opens, number, known = True, False, _KNOWN.get
     for t in _TOKEN.findall(text or ""):
-        if t in ".!?:":
+        kind, code = known(t) or _learn(t)
+        if kind == _MARK:
             opens = True
             continue
-        low = t.lower()
-        if t[0].isdigit():
-            kind = NUMBER
-        elif low in UNITS and out and out[-1] == NUMBER:
-            kind = UNIT
-        elif not opens and len(t) > 1 and t[0].isupper() and t[1:].islower():
-            kind = NAME
-        else:
-            kind = low
-        out.append(kind)
-        surface.append(low)
-        opens = False
-    return out, surface
-
-
-@lru_cache(maxsize=1 << 18)
-def _code(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token)
+        if kind != _PLAIN:
+            if kind == _DIGITS:
+                code = _NUMBER
+            elif kind == _UNITS:
+                code = _UNIT if number else _NAME if not opens and len(t) > 1 and t[0].isupper() and t[1:].islower() else code
+            elif not opens:
+                code = _NAME
+        out.append(code)
+        number, opens = code == _NUMBER, False
+    return np.array(out, np.uint64)
+
+
+def surface(text: str | None) -> list[str]:
+    """The tokens that the template tokens stand for."""
+    return [t.lower() for t in _TOKEN.findall(text or "") if t not in ".!?:"]
 
 
-def windows(tokens: list[str], width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(codes: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the windows that have enough plain words."""
-    n = len(tokens) - width + 1
+    n = len(codes) - width + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.fromiter(map(_code, tokens), np.uint64, len(tokens))
-    plain = np.cumsum(np.fromiter((0, *(t[0] != "<" for t in tokens)), np.int64, len(tokens) + 1))
+    held = (codes == _NUMBER) | (codes == _UNIT) | (codes == _NAME)
+    plain = np.concatenate([np.zeros(1, np.int64), np.cumsum(~held)])
     h = np.zeros(n, np.uint64)
     for k in range(width):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k]
@@ -83,18 +101,21 @@ def _hits(sent: np.ndarray | None, width: int, literal: int):
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "text_hash", "pos", "window", "slots")}
             for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens, surface = template(text)
-                pos, h = windows(tokens, width, literal)
+                codes = template_codes(text)
+                pos, h = windows(codes, width, literal)
                 if sent is not None and len(h):
                     at = np.searchsorted(sent, h)
                     hit = (at < len(sent)) & (sent[np.minimum(at, len(sent) - 1)] == h) if len(sent) else np.zeros(len(h), bool)
                     pos, h = pos[hit], h[hit]
+                if not len(pos):
+                    continue
+                shown, held = surface(text), np.isin(codes, np.array([_NUMBER, _UNIT, _NAME], np.uint64))
                 for p, x in zip(pos.tolist(), h.tolist(), strict=True):
                     out["doc_id"].append(doc_id)
                     out["text_hash"].append(text_hash)
                     out["pos"].append(p)
                     out["window"].append(x)
-                    out["slots"].append([surface[k] if tokens[k][0] == "<" else None for k in range(p, p + width)])
+                    out["slots"].append([shown[k] if held[k] else None for k in range(p, p + width)])
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("window", pa.int64()), ("slots", pa.list_(pa.string()))])
@@ -111,7 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal
     with arrow_rows(spark, 500):
         item_windows = items.mapInArrow(_hits(None, width, literal), HITS)
         # tokens of an item, for its share
-        lengths = F.udf(lambda t: len(template(t)[0]), "int")
+        lengths = F.udf(lambda t: len(template_codes(t)), "int")
         sizes = items.select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), lengths("text").alias("item_tokens"))
         item_windows = written(item_windows.select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots")).join(sizes, ["item_id", "item_hash"]), "items")
         hashes = item_windows.select("window").distinct()
@@ -140,5 +161,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = written(contamination(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")
+    bad = written(contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_hash"]), "left_anti")
