@@ -8,8 +8,8 @@ of whole texts, and only there, so links are counted once and no list of pairs i
 into blocks, each pair of blocks a group of its own; a node with the same members as one of an earlier tree has no work left.
 
 Documents of fewer than five words have no shingles: they are a class with those of the same words and have no links. Null texts count
-as empty. Rows that repeat a doc_id count as one document per different text under that id. Rows with a null doc_id take no part and
-have null results. Extra columns are ignored. An empty table gives no rows.
+as empty. Rows that repeat a doc_id are one document; where their texts differ, that of the smallest hash counts. Rows with a null
+doc_id take no part and have null results. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, written
-from .shingles import gram_codes, mixed, seeds, signature, word_codes, word_list
+from .shingles import gram_codes, mixed, seeds, signature, text_codes
 
 WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 16, 8, 0.9995
 #: Classes of a block; two blocks are held in a task together.
 BLOCK = 256
 
-SIGNED = "doc_id bigint, fp1 bigint, fp2 bigint, nodes array<bigint>"
+SIGNED = "doc_id bigint, text_hash bigint, fp1 bigint, fp2 bigint, nodes array<bigint>"
 
 
 def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -38,7 +38,7 @@ def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int
 
 
 def _shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    codes = word_codes(word_list(text))
+    codes = text_codes(text)[0]
     return np.unique(gram_codes(codes, WORDS)), codes
 
 
@@ -57,7 +57,7 @@ def _signed(depth: int, trees: int):
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text_hash, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 shingles, codes = _shingles(text)
                 if len(shingles):
                     nodes = _nodes(shingles, hashes, depth, trees).tolist()
@@ -67,10 +67,10 @@ def _signed(depth: int, trees: int):
                 a, b = int(mixed(held).sum(dtype=np.uint64)), int(mixed(held ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 # the number of words or shingles and their kind enter, so that short and long documents are never one class
                 b = b * 2 + (nodes is None) & 0xFFFFFFFFFFFFFFFF
-                rows.append((doc_id, a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63), nodes))
+                rows.append((doc_id, text_hash, a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63), nodes))
             yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(schema.names)}, schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("nodes", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("nodes", pa.list_(pa.int64()))])
     return run
 
 
@@ -149,10 +149,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     """Per row of docs(doc_id, text): doc_id, class_id, n_links (other classes linked to its own), group_id (smallest doc_id of what hangs together)."""
     spark = docs.sparkSession
     depth = prefix_depth(threshold, trees, depth, recall)
-    own = docs.select(F.col("doc_id").cast("long"), "text")
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     with arrow_rows(spark, 500):
         signed = written(own.mapInArrow(_signed(depth, trees), SIGNED), "signed")
-    known = signed.where("doc_id is not null")
+    known = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text_hash", "fp1", "fp2", "nodes")).alias("d")).select("doc_id", "d.*")
     classes = written(known.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "nodes")).alias("c")).select("fp1", "fp2", "c.*"), "classes")
     members = classes.where("nodes is not null").select("doc_id", F.posexplode("nodes").alias("tree", "node"))
     # nodes of two classes or more; the checksum tells nodes with the same members
@@ -163,22 +163,21 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     placed = first.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "node"), F.col("blocks")).cast("int"))
     at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     placed = written(placed.select("doc_id", "tree", "node", "block", F.explode(at).alias("at")).select("doc_id", "tree", "node", "block", "at.*"), "placed")
-    # a class's text is that of the row with the smallest text among those of its id and words; equal sets verify alike
-    texts = own.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("fp", F.xxhash64("text"))
-    work = placed.join(texts.dropDuplicates(["doc_id"]).drop("fp"), "doc_id")
+    texts = own.join(placed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "text_hash").alias("text"))
+    work = placed.join(texts, "doc_id")
     pairs = work.groupBy("tree", "node", "i", "j").applyInPandas(_verified(depth, trees, threshold), "doc_id bigint, root bigint, n_links bigint")
     pairs = written(pairs, "links")
     counts = pairs.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
     labels = connected(pairs.select(F.col("doc_id").alias("v"), F.col("root").alias("w")))
     per_class = classes.select("fp1", "fp2", F.col("doc_id").alias("class_id")).join(counts.withColumnRenamed("doc_id", "class_id"), "class_id", "left").join(labels.withColumnRenamed("v", "class_id"), "class_id", "left")
     per_class = per_class.select("fp1", "fp2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "class_id").alias("group_id"))
-    placed_rows = signed.select("doc_id", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("fp1", "fp2")])
-    return placed_rows.join(per_class, ["fp1", "fp2"], "left").select("doc_id", "class_id", "n_links", "group_id")
+    per_doc = known.select("doc_id", "fp1", "fp2").join(per_class, ["fp1", "fp2"]).select("doc_id", "class_id", "n_links", "group_id")
+    return signed.select("doc_id").join(per_doc, "doc_id", "left")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group: that of the smallest doc_id, once; rows without a doc_id stay."""
-    firsts = written(jaccard_join(docs, **options).where("doc_id = group_id").select(F.col("doc_id").alias("first_id")).distinct(), "firsts")
-    ids = docs.where("doc_id is not null")
-    kept = ids.join(firsts, F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
+    firsts = written(jaccard_join(docs, **options).where("doc_id = group_id").select(F.col("doc_id").alias("_first")).distinct(), "firsts")
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64("text"))
+    kept = docs.join(firsts, docs["doc_id"] == firsts["_first"], "left_semi").groupBy("doc_id").agg(one.alias("_kept")).select("_kept.*")
     return kept.unionByName(docs.where("doc_id is null"))

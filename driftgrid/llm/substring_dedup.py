@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, written
-from .shingles import gram_codes, word_codes, word_list
+from .shingles import gram_codes, text_codes, word_list
 
 WIDTH, GRAM = 13, 4
 #: Fragments of a shard, about.
@@ -33,10 +33,10 @@ SHARD = 4000
 FRAGMENTS = "doc_id bigint, text_hash bigint, pos int, anchor bigint, fragment string"
 
 
-def _anchors(words: list[bytes], width: int, gram: int) -> np.ndarray:
-    """The anchor of each window."""
-    grams = gram_codes(word_codes(words), gram).view(np.int64)
-    n = len(words) - width + 1
+def _anchors(codes: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The anchor of each window of words with these hashes."""
+    grams = gram_codes(codes, gram).view(np.int64)
+    n = len(codes) - width + 1
     if n < 1:
         return np.zeros(0, np.int64)
     least = grams[:n].copy()
@@ -50,7 +50,8 @@ def _anchor_rows(width: int, gram: int):
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.unique(_anchors(word_list(text), width, gram))
+                own = _anchors(text_codes(text)[0], width, gram)
+                own = own[np.flatnonzero(np.diff(own, prepend=own[:1] ^ 1))]  # one for each run
                 found.append(own)
                 ids.append(np.full(len(own), doc_id, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["anchor", "doc_id"])
@@ -65,9 +66,9 @@ def _fragment_rows(width: int, gram: int):
         for batch in batches:
             out: dict[str, list] = {n: [] for n in schema.names}
             for doc_id, text_hash, text, anchors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = word_list(text)
-                own = _anchors(words, width, gram)
-                starts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1)) if len(own) else np.zeros(0, np.int64)
+                codes, raw, begin, end = text_codes(text)
+                own = _anchors(codes, width, gram)
+                starts = np.flatnonzero(np.diff(own, prepend=own[:1] ^ 1))
                 starts = starts[np.isin(own[starts], np.array(anchors, np.int64))]
                 changes = np.append(np.flatnonzero(np.diff(own)) + 1, len(own))
                 for s, e in zip(starts.tolist(), changes[np.searchsorted(changes, starts, "right")].tolist(), strict=True):
@@ -77,7 +78,7 @@ def _fragment_rows(width: int, gram: int):
                         out["text_hash"].append(text_hash)
                         out["pos"].append(p)
                         out["anchor"].append(int(own[s]))
-                        out["fragment"].append(b" ".join(words[p : min(p + 2 * width, e) + width - 1]).decode("utf-8", "surrogatepass"))
+                        out["fragment"].append(b" ".join(raw[begin[p] : end[min(p + 2 * width, e) + width - 2]].split()).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("anchor", pa.int64()), ("fragment", pa.string())])
