@@ -150,18 +150,18 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     place = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     e = F.col("e")
     if moved.isEmpty():
-        keyed = docs.withColumn("attempts", F.lit(None).cast("map<string,int>"))
+        keyed = docs.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
     else:
         occurrences = docs.select(*place, F.explode(F.array_distinct(F.transform(entities(F.col("text")), lambda x: F.struct(x["type"].alias("type"), _identity(x).alias("identity"))))).alias("e"))
         # as few rows as values in conflict; sixteen copies of each spread a hot value over as many tasks
         spread = moved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         hit = occurrences.select("doc_id", "text_hash", "e.*", F.pmod("text_hash", F.lit(16)).cast("int").alias("salt")).join(spread, ["type", "identity", "salt"])
-        per_doc = hit.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "type", "identity"), "attempt"))).alias("attempts"))
-        per_doc = written(per_doc.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "attempts"), "pii-docs")
-        keyed = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left").drop("hit_id", "hit_hash")
+        per_doc = hit.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "type", "identity"), "attempt"))).alias("_attempts"))
+        per_doc = written(per_doc.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), "_attempts"), "pii-docs")
+        keyed = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_hash")), "left").drop("_hit_id", "_hit_hash")
 
     def replaced(x: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at("attempts", F.concat_ws("\x1f", x["type"], _identity(x))), F.lit(0))
+        attempt = F.coalesce(F.try_element_at("_attempts", F.concat_ws("\x1f", x["type"], _identity(x))), F.lit(0))
         return F.struct(x["type"].alias("type"), x["value"].alias("value"), surrogate(x, key, attempt).alias("surrogate"), x["lead"].alias("lead"))
 
     text = F.col("text")
@@ -169,7 +169,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     merged = F.array_join(F.flatten(F.zip_with(gaps, "entities", lambda gap, x: F.array(gap, F.coalesce(F.concat(x["lead"], x["surrogate"]), F.lit(""))))), "")
     return settled(
         keyed.withColumn("entities", F.transform(entities(text), replaced))
-        .drop("attempts")
+        .drop("_attempts")
         .withColumn("text", F.when(F.size("entities") > 0, merged).otherwise(text))
         .withColumn("n_entities", F.size("entities").cast("long"))
     )

@@ -21,11 +21,11 @@ class Encoder:
     """Encodes texts word by word.
 
     A single space between two visible characters always opens a new pre-token of a byte-level vocabulary, and a single
-    line end is one, so a text can be cut there, and the ids of the pieces, joined, are the ids of the text. What the library
-    returned for a piece is kept, because most pieces are common words: when ``memo`` pieces are known, those not met again are
-    forgotten by the time as many new ones are. A run of Latin
-    letters is one pre-token and goes to the library's BPE model directly; any other piece goes through its whole
-    pipeline. Texts with other runs of white space are cut only at the single spaces.
+    line end is one, so a text can be cut there, and the ids of the pieces, joined, are the ids of the text. What the
+    library returned for a piece is kept, because most pieces are common words: when ``memo`` pieces are known, those
+    not met again are forgotten by the time as many new ones are. A run of Latin letters is one pre-token and goes to
+    the library's BPE model directly; any other piece goes through its whole pipeline. Texts with other runs of white
+    space are cut only at the single spaces.
     """
 
     def __init__(self, path: str, memo: int = 500_000):
