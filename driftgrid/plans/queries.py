@@ -49,9 +49,6 @@ def per_row(name: str, source: str, keys: list[str], made: dict[str, tuple[Calla
 
 
 # ---- F: formulas ----
-E_, E2 = "0.08181919108895", geo.ECC2
-
-
 def t_sql(lat: str, e: str) -> str:
     return f"(tan(pi() / 4 - ({lat}) / 2) / pow((1 - {e} * sin({lat})) / (1 + {e} * sin({lat})), {e} / 2))"
 
