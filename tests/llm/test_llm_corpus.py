@@ -207,7 +207,7 @@ def test_pipeline(spark, make_docs, odd_texts, tmp_path):
     texts = [*long, long[0], near_copies(1, 40)[0], prose(40, 120), f"{prose(41, 50)} {ITEM}", PRIVATE[0] + " " + prose(42, 40), "too short", *odd_texts]
     d = tmp_path / "sf"
     make_docs(texts).write.parquet(str(d / "documents.parquet"))
-    spark.createDataFrame([(k, 1, 0) for k in range(17)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
     docs = spark.read.parquet(str(d / "documents.parquet"))
     seen = []
