@@ -24,15 +24,15 @@ class Encoder:
     line end is one, so a text can be cut there, and the ids of the pieces, joined, are the ids of the text. What the
     library returned for a piece is kept, because most pieces are common words: when ``memo`` pieces are known, those
     not met again are forgotten by the time as many new ones are. A run of Latin letters is one pre-token and goes to
-    the library's BPE model directly; any other piece goes through its whole pipeline. Texts with other runs of white
-    space are cut only at the single spaces.
+    the library's BPE model directly; any other piece goes through its whole pipeline. Texts with other white space, or
+    runs of it, are cut only at the single spaces. The string of a special token in a text is that token, as in the
+    library's plain call.
     """
 
     def __init__(self, path: str, memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
@@ -77,8 +77,10 @@ class Encoder:
         """The ids of a text, with the end id; null counts as empty."""
         if not text:
             return np.frombuffer(self.end, self.kind)
-        lines = text.split("\n")
-        if len(text.split()) != text.count(" ") + len(lines):  # white space other than single spaces and line ends
+        lines, visible = text.split("\n"), text.split()
+        gaps = text.count(" ") + len(lines) - 1
+        # only spaces and line ends beside the visible characters, and as many of them as gaps between words, so each is single
+        if len(visible) - 1 != gaps or len("".join(visible)) + gaps != len(text):
             first, *rest = _SAFE.split(text)
             out = [self._library(first), *[self._piece(x[1:], True) if " " not in x[1:] else self._library(x) for x in rest]]
         else:

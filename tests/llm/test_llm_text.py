@@ -47,6 +47,13 @@ def test_encoder_is_the_library(text):
 Encoder_ = Encoder(TOKENIZER, memo=50)
 
 
+@pytest.mark.parametrize("text", ["a\n\n\nb\u00a0c\u00a0d", "a \u00a0b", "a\n\u2003b c", "x <|endoftext|> y", "a<|endoftext|>b", "<|endoftext|>", "u\n<|endoftext|>\nv", "u  <|endoftext|> \nv"])
+def test_encoder_is_the_plain_call(text):
+    """Runs of white space offset by Unicode spaces, and special tokens, as the library with its defaults has them."""
+    plain = Tokenizer.from_file(TOKENIZER)
+    assert Encoder_.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids + [0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), max_size=50), st.data())
 def test_bits_round_trip(bits, ids, data):
