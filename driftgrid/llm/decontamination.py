@@ -3,17 +3,21 @@
 A text is taken as tokens (runs of letters, numbers). Numbers, units after numbers, and names (capitalised words within a
 sentence) become typed placeholders, other words lose their case. Windows of ``width`` template tokens of documents and
 benchmark items are hash-joined; windows with fewer than ``literal`` plain words are too general and not used. Hits of a document
-on an item along one diagonal (the same shift) are held together: each slot of the item must take one value throughout, and
-different slots different values, so a re-parameterised question is found and a chance mixture of values is not. A document is
-contaminated by an item when the tokens of its consistent windows number ``long_run`` or ``share`` of the item's.
-
-Items and documents of fewer than ``width`` tokens have no window and never match. Null texts count as empty. Repeated rows,
-null ids and ties are kept apart by row; extra columns pass through ``drop_contaminated``.
+on an item along one diagonal (the same shift) are held together. Numbers and units may take any value at each place. A name
+has the value that most of its places show, its own in a tie, and windows that show another are not counted; where a name has
+no such value, the names are a chance mixture and only windows with the item's own values count, as they always do. A
+document is contaminated by an item when the tokens of its counted windows number ``long_run`` or ``share`` of the item's.
+
+Items without a usable window (short ones, or made mostly of numbers and names) match where their whole sequence of tokens stands,
+without case: anywhere in a document, or, with fewer than ``literal`` tokens, as the whole document. Null texts count as empty; items
+without tokens never match. Repeated rows, null ids and ties are kept apart by row; extra columns pass through
+``drop_contaminated``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +98,74 @@ def windows(codes: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np
     return pos, h[pos].view(np.int64)
 
 
-def _hits(sent: np.ndarray | None, width: int, literal: int):
-    """A mapInArrow function: windows of (doc_id, text_hash, text) rows, only those in ``sent`` (sorted) where it is given."""
+def _spans(text: str | None, n: int) -> np.ndarray:
+    """Hashes of the runs of n tokens of a text, without case."""
+    codes = np.array([(_KNOWN.get(t) or _learn(t))[1] for t in _TOKEN.findall(text or "") if t not in ".!?:"], np.uint64)
+    m = len(codes) - n + 1
+    h = np.full(max(m, 0), n, np.uint64)
+    for k in range(n if m > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : m + k]
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _whole(width: int, literal: int):
+    """A UDF: the number of tokens and the hash of an item without a usable window; null for other items and those without tokens."""
+
+    def run(text):
+        n = len(template_codes(text))
+        if not n or len(windows(template_codes(text), width, literal)[0]):
+            return None
+        return n, int(_spans(text, n)[0])
+
+    return F.udf(run, "n int, window bigint")
+
+
+def _judge(width: int):
+    """A UDF: the counted tokens of a diagonal's hits (item_pos, item_slots, slots), and whether all of them have the item's values."""
+
+    def tokens(places) -> int:
+        return len({p + k for p in places for k in range(width)})
+
+    def run(hits):
+        names: dict[str, dict[int, str]] = {}
+        for h in hits:
+            for k, (a, b) in enumerate(zip(h["item_slots"], h["slots"], strict=True)):
+                if a is not None and a.startswith("@"):
+                    names.setdefault(a, {})[h["item_pos"] + k] = b
+        chosen = {}
+        for a, places in names.items():
+            counts = Counter(places.values())
+            most = max(counts.values())
+            best = [b for b, n in counts.items() if n == most]
+            chosen[a] = a if a in best else best[0] if len(best) == 1 else None
+        verbatim = tokens(h["item_pos"] for h in hits if h["item_slots"] == h["slots"])
+        if None in chosen.values():
+            return verbatim, True
+        counted = tokens(h["item_pos"] for h in hits if all(chosen.get(a, b) == b for a, b in zip(h["item_slots"], h["slots"], strict=True)))
+        return max(counted, verbatim), counted <= verbatim
+
+    return F.udf(run, "matched int, exact boolean")
+
+
+def _hits(sent: np.ndarray | None, width: int, literal: int, wholes: dict[int, np.ndarray] | None = None):
+    """A mapInArrow function: windows of (doc_id, text_hash, text) rows, only those in ``sent`` (sorted) where it is given.
+
+    Names among the slots have a mark before them. Runs of tokens in ``wholes`` (their number: sorted hashes) have null slots.
+    """
 
     def run(batches):
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "text_hash", "pos", "window", "slots")}
             for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 codes = template_codes(text)
+                for n, known in (wholes or {}).items():
+                    if n > len(codes) or (n < literal and n != len(codes)):
+                        continue
+                    runs = _spans(text, n)
+                    at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+                    for p in np.flatnonzero(known[at] == runs).tolist():
+                        for name, x in zip(out, (doc_id, text_hash, p, int(runs[p]), None), strict=True):
+                            out[name].append(x)
                 pos, h = windows(codes, width, literal)
                 if sent is not None and len(h):
                     at = np.searchsorted(sent, h)
@@ -109,7 +173,8 @@ def _hits(sent: np.ndarray | None, width: int, literal: int):
                     pos, h = pos[hit], h[hit]
                 if not len(pos):
                     continue
-                shown, held = surface(text), np.isin(codes, np.array([_NUMBER, _UNIT, _NAME], np.uint64))
+                held = np.isin(codes, np.array([_NUMBER, _UNIT, _NAME], np.uint64))
+                shown = [f"@{t}" if c == _NAME else t for t, c in zip(surface(text), codes.tolist(), strict=True)]
                 for p, x in zip(pos.tolist(), h.tolist(), strict=True):
                     out["doc_id"].append(doc_id)
                     out["text_hash"].append(text_hash)
@@ -138,23 +203,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal
         hashes = item_windows.select("window").distinct()
         few = hashes.count() <= SENT_WINDOWS
         sent = np.sort(np.array([r[0] for r in hashes.collect()], np.int64)) if few else None
+        whole = items.select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), _whole(width, literal)("text").alias("w")).where("w is not null")
+        whole = written(whole.select("item_id", "item_hash", "w.window", F.col("w.n").alias("item_tokens")), "whole-items")
+        wholes: dict[int, list[int]] = {}
+        for r in whole.select("item_tokens", "window").distinct().collect():
+            wholes.setdefault(r["item_tokens"], []).append(r["window"])
         own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-        found = written(own.mapInArrow(_hits(sent, width, literal), HITS), "hits")
+        found = written(own.mapInArrow(_hits(sent, width, literal, {n: np.sort(np.array(v, np.int64)) for n, v in wholes.items()}), HITS), "hits")
+    stands = found.where("slots is null").join(whole, "window")
+    found = found.where("slots is not null")
     joined = found.join(F.broadcast(item_windows) if few else item_windows, "window")
     keys = ["doc_id", "text_hash", "item_id", "item_hash", "shift"]
     hit = F.struct("item_pos", "item_slots", "slots")
     # per diagonal: at most one hit for each window of the item, so a group is bounded by the item's length
     diagonals = joined.withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(*keys).agg(F.collect_set(hit).alias("hits"), F.first("item_tokens").alias("item_tokens"))
-    pairs = F.array_distinct(F.filter(F.flatten(F.transform("hits", lambda h: F.zip_with(h["item_slots"], h["slots"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p["a"].isNotNull()))
-    froms, tos = F.transform("pairs", lambda p: p["a"]), F.transform("pairs", lambda p: p["b"])
-    consistent = (F.size(F.array_distinct(froms)) == F.size("pairs")) & (F.size(F.array_distinct(tos)) == F.size("pairs"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["item_pos"], h["item_pos"] + (width - 1))))))
     judged = (
-        diagonals.withColumn("pairs", pairs)
-        .where(consistent)
-        .select(*keys, covered.alias("matched"), "item_tokens", F.forall("pairs", lambda p: p["a"] == p["b"]).alias("exact"))
+        diagonals.withColumn("judged", _judge(width)("hits"))
+        .select(*keys, "judged.matched", "item_tokens", "judged.exact")
         .where((F.col("matched") >= long_run) | (F.col("matched") >= F.col("item_tokens") * share))
     )
+    judged = judged.unionByName(stands.select("doc_id", "text_hash", "item_id", "item_hash", F.col("pos").alias("shift"), F.col("item_tokens").alias("matched"), "item_tokens", F.lit(True).alias("exact")))
     best = F.max_by(F.struct("shift", "matched", "item_tokens", "exact"), F.struct("matched", "exact", -F.col("shift")))
     return judged.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.*")
 

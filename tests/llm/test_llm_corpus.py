@@ -96,6 +96,23 @@ def test_decontamination(spark, make_docs, odd_texts):
     assert decontamination.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_changed_slots_and_short_items(spark, make_docs):
+    """A changed year or name in a verbatim passage, numbers that part or meet, and items without a usable window."""
+    story = "In 1912 the ship left the harbour with Anna on board and the crew saw the ice that came from the north while Anna slept below and in 1912 nobody heard the bell"
+    apples = "she gave 5 apples and 5 pears to the old man at the gate"
+    squares = "take a square of 3 cm beside a square of 4 cm and find the sum of both"
+    short, numbers = "What is the capital of France?", "12 34 56 and 78 90 11 12 13 times 14 15"
+    items = [story, apples, squares, short, numbers, "yes"]
+    texts = [
+        "x " + story.replace("in 1912", "in 1913") + " y", "x " + story.replace("while Anna", "while Clara") + " y", "so " + apples.replace("5 apples and 5", "7 apples and 9"), "now " + squares.replace("3", "6").replace("4", "6"),
+        "we asked: what is the capital of france and left", f"z {numbers} z", "Yes.", "yes or no", "what is the capital of Spain", "12 34 57 and 78 90 11 12 13 times 14 15",
+    ]
+    docs = make_docs(texts)
+    found = {(r.doc_id, r.item_id): r for r in decontamination.contamination(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert set(found) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5)}
+    assert all(found[k].exact for k in [(4, 3), (5, 4), (6, 5)]) and not found[2, 1].exact
+
+
 def test_decontamination_finds_all_passages(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     flat = lambda t: " ".join(re.findall(r"[^\W\d_]+|\d+", t.lower()))
