@@ -6,10 +6,16 @@ millionths, so a document's score is an exact sum, and whether it reaches ``thre
 
 Null or empty texts have no words and fail. Repeated rows are judged alike. A null doc_id is never trusted. With no trusted
 document all weights are 0 and only the base rules decide. Extra columns of the input are ignored.
+
+``fitted_rules`` also derives a threshold from the trusted documents: a part of them is held out, weights are counted without it, and
+the threshold is the mean ratio that ``KEPT_SHARE`` of the held-out ones that pass the base rules reach. Documents that took no part in the
+counts score lower than those that did, so a threshold from the latter would reject clean text, most on small tables.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +26,10 @@ BUCKETS = 1 << 14
 WINDOW = 8
 #: Mean log-likelihood ratio, in millionths of a nat, that a document must reach.
 THRESHOLD = -80_000
+#: Share of held-out trusted documents that a derived threshold keeps.
+KEPT_SHARE = 0.99
+#: Of the trusted documents one in five is held out, this many at most (about).
+HELD_OUT = 5_000
 
 
 def _grams(w: Column, buckets: int) -> Column:
@@ -29,23 +39,45 @@ def _grams(w: Column, buckets: int) -> Column:
     return F.concat(F.transform(w, code), pairs)
 
 
+def _flags(trusted: DataFrame) -> DataFrame:
+    return trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
+
+
+def _all_weights(docs: DataFrame, flags: DataFrame, buckets: int, columns: list[str]) -> list[list[int]]:
+    """The weights of each of ``columns``, which are 1 for the trusted documents that it counts; all in one pass."""
+    own = docs.select("doc_id", "text").join(flags.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
+    grams = own.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in columns], words(F.col("text")).alias("w")).select(*columns, F.explode(_grams(F.col("w"), buckets)).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), *[F.sum(c).alias(c) for c in columns])
+    held = {r["bucket"]: tuple(r)[1:] for r in counts.collect()}  # at most ``buckets`` rows
+    raw, *sums = (sum(x[k] for x in held.values()) for k in range(len(columns) + 1))
+    none = (0,) * (len(columns) + 1)
+    rows = docs.sparkSession.createDataFrame([(b, *held.get(b, none)) for b in range(buckets)], ", ".join(["bucket int", "raw bigint", *[f"{c} bigint" for c in columns]]))
+    ratio = lambda c, good: F.log((F.col(c) + 1) / (good + buckets)) - F.log((F.col("raw") + 1) / (raw + buckets)) if good else F.lit(0.0)
+    found = rows.select("bucket", *[F.round(ratio(c, good) * 1e6).cast("long").alias(c) for c, good in zip(columns, sums, strict=True)]).orderBy("bucket").collect()
+    return [[r[c] for r in found] for c in columns]
+
+
 def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Millionths of ln(p(bucket | trusted) / p(bucket | raw)), with one added to every count.
 
     docs(doc_id, text); trusted(doc_id). The counts are summed before they are shuffled; the result has ``buckets`` numbers.
     """
-    flags = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
-    own = docs.select("doc_id", "text").join(flags.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = own.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), words(F.col("text")).alias("w")).select("t", F.explode(_grams(F.col("w"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
-    held = {r["bucket"]: (r["raw"], r["good"]) for r in counts.collect()}  # at most ``buckets`` rows
-    raw, good = (sum(x[k] for x in held.values()) for k in (0, 1))
-    if not good:
-        return [0] * buckets
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(b, *held.get(b, (0, 0))) for b in range(buckets)], "bucket int, raw bigint, good bigint")
-    ratio = F.log((F.col("good") + 1) / (good + buckets)) - F.log((F.col("raw") + 1) / (raw + buckets))
-    return [r["weight"] for r in rows.select(F.round(ratio * 1e6).cast("long").alias("weight"), "bucket").orderBy("bucket").collect()]
+    return _all_weights(docs, _flags(trusted).withColumn("good", F.lit(1)), buckets, ["good"])[0]
+
+
+def fitted_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[list[int], int]:
+    """The weights over all trusted documents, and the derived threshold; THRESHOLD where nothing can be held out."""
+    flags = _flags(trusted)
+    parts = 1_000_000
+    share = min(parts // 5, parts * HELD_OUT // max(flags.count(), 1))
+    apart = F.pmod(F.xxhash64("trusted_id", F.lit(23)), F.lit(parts)) < share
+    weights, without = _all_weights(docs, flags.select("trusted_id", F.lit(1).alias("good"), (~apart).cast("int").alias("fit")), buckets, ["good", "fit"])
+    if not any(without):
+        return weights, THRESHOLD
+    held = docs.select("doc_id", "text").join(F.broadcast(flags.where(apart)), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    scored = settled(_judged(held, without, 0, buckets)).where("not base_failed")
+    found = scored.select(F.percentile(F.col("llr_millionths") / F.col("n_grams"), 1 - KEPT_SHARE).alias("t")).first()["t"]
+    return weights, THRESHOLD if found is None else math.floor(found)
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -94,8 +126,11 @@ def _judged(docs: DataFrame, weights: list[int], threshold: int, buckets: int) -
     )
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; texts are not shuffled for it."""
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: int | None = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; texts are not shuffled for it. Without a threshold it is derived."""
     own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc_id"), "text")
-    weights = gram_weights(docs, trusted, buckets)
+    if threshold is None:
+        weights, threshold = fitted_rules(docs, trusted, buckets)
+    else:
+        weights = gram_weights(docs, trusted, buckets)
     return sieve(_judged(own, weights, threshold, buckets), F.col("kept")).select("doc_id.*")

@@ -218,6 +218,19 @@ def test_co_training(spark, make_docs, odd_texts):
     assert cotraining.classify_quality(docs.limit(0), labels).count() == 0
 
 
+def test_pipeline_judges_untrusted_documents(spark, make_docs, tmp_path):
+    """The ratio must reject junk that the base rules pass, and keep clean documents that nobody labelled."""
+    rng = np.random.default_rng(5)
+    junk = [" ".join(f"{w}{k}" for w, k in zip(rng.choice(["buy", "now", "win", "free"], 60), rng.integers(0, 9, 60))) for _ in range(20)]
+    texts = [prose(k, 80) for k in range(240)] + junk
+    d = tmp_path / "sf"
+    make_docs(texts).write.parquet(str(d / "documents.parquet"))
+    rows = [(k, 1, 0) for k in range(200)] + [(k, 0, 0) for k in range(240, 250)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, spark.read.parquet(str(d / "documents.parquet")), str(d)).collect()}
+    assert kept.isdisjoint(range(240, 260)) and len(kept & set(range(200, 240))) >= 38 and len(kept & set(range(200))) >= 196
+
+
 def test_pipeline(spark, make_docs, odd_texts, tmp_path):
     """Stage by stage against plain versions, with planted cases."""
     long = [prose(k, 60) for k in range(12)]
