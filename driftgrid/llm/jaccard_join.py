@@ -1,9 +1,9 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 A document is the set of its five-word shingles. Documents with equal sets are one class (its id is their smallest
-doc_id); classes are joined. Each tree of the forest is the sorted prefix trie of its own part of the signatures. A matched prefix is
-shortened from the full depth until the chance that two classes at the threshold meet in some tree reaches the target recall;
-at that depth, classes under one node are candidates. A pair is verified in the first tree in which it meets, on the shingles
+doc_id); classes are joined. Candidates come from MinHash banding at a fixed depth: a tree is a band of the signature, and its node is the
+hash of the longest prefix at which the chance that two classes at the threshold meet in some tree reaches the target recall. That
+depth follows from the threshold alone, not from the data; there is no trie, and longer prefixes are not matched. A pair is verified in the first tree in which it meets, on the shingles
 of whole texts, and only there, so links are counted once and no list of pairs is made. Nodes of many classes are cut
 into blocks, each pair of blocks a group of its own; a node with the same members as one of an earlier tree has no work left.
 
