@@ -18,26 +18,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset, a new one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session that runs on this machine alone gets a new folder; any other is an error.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="driftgrid-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+#: Folders of the tables that each open scratch() block has written.
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", lasting: bool = False) -> DataFrame:
     """df, written once as a table in the shared folder and read back.
 
-    This cuts the lineage: a lost executor costs the rows in flight, not what came before.
+    This cuts the lineage: a lost executor costs the rows in flight, not what came before. The table goes at the end of the innermost
+    scratch() block, unless it is lasting: then at the end of the one around that, if any.
     """
     path = f"{shared_dir(df.sparkSession)}/driftgrid-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    owners = _SCRATCH[:-1] if lasting else _SCRATCH
+    if owners:
+        owners[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside the block are deleted at its end; what leaves the block must not read them."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _SCRATCH.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows while an action inside the block runs; long texts make large rows."""

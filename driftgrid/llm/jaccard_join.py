@@ -1,14 +1,21 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-A document is the set of its five-word shingles. Documents with equal sets are one class (its id is their smallest
-doc_id); classes are joined. Candidates come from MinHash banding at a fixed depth: a tree is a band of the signature, and its node is the
-hash of the longest prefix at which the chance that two classes at the threshold meet in some tree reaches the target recall. That
-depth follows from the threshold alone, not from the data; there is no trie, and longer prefixes are not matched. A pair is verified in the first tree in which it meets, on the shingles
-of whole texts, and only there, so links are counted once and no list of pairs is made. Nodes of many classes are cut
-into blocks, each pair of blocks a group of its own; a node with the same members as one of an earlier tree has no work left.
+A document is the set of its five-word shingles. Documents with equal sets are one class; its id is that of its first document (by
+doc_id, then the text's hash). Classes are joined. Each class has a label of ``depth`` MinHash values in each of ``trees`` prefix tries.
+The descent starts at the full depth: classes that share a whole label are verified. Then matched prefixes are shortened one value at a
+time; a pair is verified at its longest common prefix, in the first tree that has it, on the shingles of whole texts, and only there, so
+links are counted once and no list of pairs is made. A node without a branch at the next depth has no new pairs and isn't visited.
+
+Shortening ends by size of class (its number of shingles, to a power of two) when the estimated recall reaches the target: a link of
+similarity s that was found at depth d stands for 1 / p(s, d) links, where p is the chance to meet by then, and one unseen link at the
+threshold itself is added, so that nothing found is no evidence. It ends in any case at the depth ``least_depth``, where pairs at
+the threshold meet with the target chance. A target that no depth reaches is an error.
+
+Nodes of many classes, or long ones, are cut into blocks of bounded bytes, each pair of blocks a group of its own; a node with the same
+members as one of an earlier tree has no work left.
 
 Documents of fewer than five words have no shingles: they are a class with those of the same words and have no links. Null texts count
-as empty. Rows that repeat a doc_id are one document; where their texts differ, that of the smallest hash counts. Rows with a null
+as empty. Rows that repeat a doc_id with another text are documents of their own; rows that repeat both are one. Rows with a null
 doc_id take no part and have null results. Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -17,24 +24,54 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import arrow_rows, scratch, written
 from .shingles import gram_codes, mixed, seeds, signature, text_codes
 
-WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 16, 8, 0.9995
-#: Classes of a block; two blocks are held in a task together.
-BLOCK = 256
+WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 25, 8, 0.9999
+#: Classes and shingles of a block; two blocks are held in a task together.
+BLOCK, BLOCK_SHINGLES = 256, 100_000
+#: Similarities of links are counted in so many steps between 0 and 1.
+STEPS = 100
+#: Bits of a text's hash in a document's key.
+KEY_BITS = 60
+
+SIGNED = "doc_id bigint, text_hash bigint, fp1 bigint, fp2 bigint, n int, nodes array<bigint>"
+SETS = "v decimal(38,0), n int, shingles array<bigint>, prefixes array<bigint>"
+LINKS = "v decimal(38,0), root decimal(38,0), n int, n_links bigint, steps array<int>"
+
+
+def meets(similarity, depth: int, trees: int):
+    """The chance that two classes share a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def least_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
+    """The longest prefix at which pairs at the threshold meet with the wanted chance."""
+    for d in range(depth, 0, -1):
+        if meets(threshold, d, trees) >= recall:
+            return d
+    raise ValueError(f"{trees} trees don't reach a recall of {recall} at a similarity of {threshold}; take more trees")
+
+
+def estimated_recall(steps: dict[int, int], threshold: float, depth: int, trees: int) -> float:
+    """Of links counted by similarity (in STEPS), the share found at this depth, with one unseen link at the threshold added."""
+    found = sum(steps.values())
+    stood_for = sum(c / meets(max(k / STEPS, threshold), depth, trees) for k, c in steps.items())
+    return (found + meets(threshold, depth, trees)) / (stood_for + 1)
+
 
-SIGNED = "doc_id bigint, text_hash bigint, fp1 bigint, fp2 bigint, nodes array<bigint>"
+def document_key(doc_id: Column, text_hash: Column) -> Column:
+    """One number for (doc_id, text_hash), in their order."""
+    return (doc_id.cast("decimal(19,0)") * F.lit(1 << KEY_BITS).cast("decimal(19,0)") + F.pmod(text_hash, F.lit(1 << KEY_BITS))).cast("decimal(38,0)")
 
 
-def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the wanted probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def _id_of(key: Column) -> Column:
+    """The doc_id of a key."""
+    room = F.lit(1 << KEY_BITS).cast("decimal(38,0)")
+    return F.call_function("div", key - F.pmod(key, room), room).cast("long")
 
 
 def _shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -42,69 +79,91 @@ def _shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(gram_codes(codes, WORDS)), codes
 
 
-def _nodes(shingles: np.ndarray, hashes, depth: int, trees: int) -> np.ndarray:
-    """For each tree, the node at this depth, as a hash of the prefix and the tree."""
-    sig = signature(shingles, *hashes).astype(np.uint64).reshape(trees, depth)
-    h = np.arange(1, trees + 1, dtype=np.uint64)
+def _prefixes(signatures: list[np.ndarray], depth: int, trees: int, least: int) -> np.ndarray:
+    """Per signature and tree, the nodes at the depths from least to depth: the tree in the first 8 bits, then a hash of the prefix."""
+    sig = np.array(signatures, np.uint64).reshape(len(signatures), depth, trees)
+    tree = np.arange(trees, dtype=np.uint64)
+    h, out = tree + np.uint64(1), np.empty((len(signatures), trees, depth - least + 1), np.uint64)
     for k in range(depth):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, k])
-    return h.view(np.int64)
+        if k + 1 >= least:
+            out[:, :, k + 1 - least] = (tree << np.uint64(56)) | (h >> np.uint64(8))
+    return out.view(np.int64)
 
 
-def _signed(depth: int, trees: int):
-    hashes = seeds(depth * trees)
+def _signed(trees: int, least: int):
+    hashes = seeds(least * trees)
 
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text_hash, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                shingles, codes = _shingles(text)
-                if len(shingles):
-                    nodes = _nodes(shingles, hashes, depth, trees).tolist()
-                    held = shingles
+            texts = batch.column(2).to_pylist()
+            sizes, prints, signatures = [], [], []
+            for text in texts:
+                held, codes = _shingles(text)
+                sizes.append(len(held))
+                if len(held):
+                    signatures.append(signature(held, *hashes))
                 else:
-                    nodes, held = None, gram_codes(codes, 1) + np.arange(1, len(codes) + 1, dtype=np.uint64)
-                a, b = int(mixed(held).sum(dtype=np.uint64)), int(mixed(held ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                # the number of words or shingles and their kind enter, so that short and long documents are never one class
-                b = b * 2 + (nodes is None) & 0xFFFFFFFFFFFFFFFF
-                rows.append((doc_id, text_hash, a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63), nodes))
-            yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(schema.names)}, schema=schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("nodes", pa.list_(pa.int64()))])
+                    held = gram_codes(codes, 1) + np.arange(1, len(codes) + 1, dtype=np.uint64)
+                prints.append((mixed(held).sum(dtype=np.uint64), mixed(held ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+            short = np.array(sizes) == 0
+            fp = np.array(prints, np.uint64).reshape(-1, 2)
+            # the kind enters, so that short and long documents are never one class
+            fp[:, 1] = fp[:, 1] * np.uint64(2) + short
+            at = np.cumsum(np.concatenate([[0], np.where(short, 0, trees)]))
+            found = pa.array(_prefixes(signatures, least, trees, least).ravel(), pa.int64())
+            nodes = pa.ListArray.from_arrays(pa.array(at, pa.int32()), found, mask=pa.array(short))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(fp[:, k].view(np.int64)) for k in (0, 1)], pa.array(sizes, pa.int32()), nodes], names=["doc_id", "text_hash", "fp1", "fp2", "n", "nodes"])
+
+    return run
+
+
+def _sets(depth: int, trees: int, least: int):
+    """(v, text) as v, n, its shingles, and its nodes in all trees at all depths."""
+    hashes = seeds(depth * trees)
+
+    def run(batches):
+        for batch in batches:
+            sets = [_shingles(t)[0] for t in batch.column(1).to_pylist()]
+            prefixes = _prefixes([signature(s, *hashes) for s in sets], depth, trees, least).reshape(len(sets), -1)
+            lists = [pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in (sets, prefixes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), *lists], names=["v", "n", "shingles", "prefixes"])
+
     return run
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all pairwise intersections, through bit rows over the shingles that two sets share."""
+def _overlaps(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """The sizes of all pairwise intersections, through bit rows over the shingles that two sets share, so many at a time."""
     values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1
-    width = int((counts > 1).sum())
-    out = np.zeros((len(sets), len(sets)), np.int64)
+    total = int((counts > 1).sum())
+    out = np.zeros((len(sets), len(sets)), np.int32)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = counts[at] > 1
     row, col = row[shared], column[at[shared]]
-    for start in range(0, width, 1 << 16):
-        part = (col >= start) & (col < start + (1 << 16))
-        bits = np.zeros((len(sets), min(width - start, 1 << 16)), bool)
+    for start in range(0, total, width):
+        part = (col >= start) & (col < start + width)
+        bits = np.zeros((len(sets), min(total - start, width)), bool)
         bits[row[part], col[part] - start] = True
         packed = np.packbits(bits, axis=1)
         packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
         for k in range(len(sets)):
-            out[k] += np.bitwise_count(packed[k] & packed).sum(axis=1, dtype=np.int64)
+            out[k] += np.bitwise_count(packed[k] & packed).sum(axis=1, dtype=np.int32)
     return out
 
 
-def _verified(depth: int, trees: int, threshold: float):
-    """For a group (node, block i, block j): per class its links in the group and the smallest class it hangs together with."""
-    hashes = seeds(depth * trees)
+def _verified(level: int, levels: int, trees: int, threshold: float):
+    """For a group (node, block i, block j): per class its links whose longest prefix is this node, and the smallest class it hangs together with.
+
+    ``level`` counts depths from the least one; of ``levels`` depths there are prefixes.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        tree = int(group["tree"].iloc[0])
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        ids, block = group["doc_id"].to_numpy(), group["block"].to_numpy()
-        sets = [_shingles(t)[0] for t in group["text"]]
-        nodes = np.stack([_nodes(s, hashes, depth, trees) for s in sets])
-        sizes = np.array([len(s) for s in sets])
+        tree, i, j = int(group["node"].iloc[0]) >> 56, int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        ids, block = group["v"].to_list(), group["block"].to_numpy()
+        sets = [np.asarray(s, np.int64) for s in group["shingles"]]
+        prefixes = np.stack([np.asarray(p, np.int64) for p in group["prefixes"]]).reshape(len(ids), trees, levels)
+        sizes = np.array([len(s) for s in sets], np.int64)
         common = _overlaps(sets)
         links = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
         np.fill_diagonal(links, False)
@@ -112,16 +171,28 @@ def _verified(depth: int, trees: int, threshold: float):
             links &= block[:, None] != block[None, :]
         for k in np.flatnonzero(links.any(axis=1)):
             other = np.flatnonzero(links[k])
-            links[k, other] = (nodes[other] == nodes[k]).argmax(axis=1) == tree  # the first tree in which they meet
-        root = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            here = (prefixes[other, :, level] == prefixes[k, :, level]).argmax(axis=1) == tree  # no earlier tree has this prefix of both
+            if level + 1 < levels:
+                here &= ~(prefixes[other, :, level + 1] == prefixes[k, :, level + 1]).any(axis=1)  # and none a longer one
+            links[k, other] = here
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        root = np.empty(len(ids), np.int64)
+        root[order] = np.arange(len(ids))
         while True:  # the smallest rank that each can reach
             near = np.where(links, root[None, :], len(ids)).min(axis=1, initial=len(ids))
             new = np.minimum(root, near)
             if (new == root).all():
                 break
             root = new
-        found = links.any(axis=1)
-        return pd.DataFrame({"doc_id": ids[found], "root": np.sort(ids, kind="stable")[root[found]], "n_links": links.sum(axis=1)[found]})
+        found = np.flatnonzero(links.any(axis=1))
+        steps = []
+        for k in found.tolist():
+            other = links[k]
+            part = common[k, other] / (sizes[k] + sizes[other] - common[k, other])
+            steps.append(np.bincount((part * STEPS + 1e-9).astype(np.int64), minlength=STEPS + 1).tolist())
+        lists = {"v": [ids[k] for k in found], "root": [ids[order[r]] for r in root[found]], "steps": steps}
+        lists = {k: pd.Series(x, dtype=object) for k, x in lists.items()}
+        return pd.DataFrame(lists | {"n": sizes[found], "n_links": links.sum(axis=1)[found]})[["v", "root", "n", "n_links", "steps"]]
 
     return run
 
@@ -129,55 +200,108 @@ def _verified(depth: int, trees: int, threshold: float):
 def connected(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex of the component of every vertex of edges(v, w), by least labels and pointer jumps.
 
-    Each round is written to the shared folder, and ends when no label falls.
+    Each round is written to the shared folder; it ends when no label falls. Both sides of the joins are shuffled for them alone,
+    so that Spark can split the partition of a label that many vertices share.
     """
     both = written(edges.select("v", "w").unionByName(edges.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "edges")
-    labels = both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label"))
-    labels = written(labels, "labels")
+    labels = written(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")), "labels")
     while True:
         named = labels.select(F.col("v").alias("w"), F.col("label").alias("near"))
         least = both.join(named, "w").groupBy("v").agg(F.min("near").alias("near"))
-        lower = labels.join(least, "v").select("v", "label", F.least("label", "near").alias("new"))
+        lower = written(labels.join(least, "v").select("v", "label", F.least("label", "near").alias("new")), "lower")
         jump = lower.select(F.col("v").alias("new"), F.col("new").alias("far"))
         after = written(lower.join(jump, "new", "left").select("v", F.col("label").alias("old"), F.coalesce(F.least("new", "far"), F.col("new")).alias("label")), "labels")
-        if after.where("old <> label").isEmpty():
-            return after.select("v", "label")
         labels = after.select("v", "label")
+        if after.where("old <> label").isEmpty():
+            return labels
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, class_id, n_links (other classes linked to its own), group_id (smallest doc_id of what hangs together)."""
+def _links(sets: DataFrame, threshold: float, trees: int, depth: int, least: int, recall: float, block: int) -> list[DataFrame]:
+    """The links of each depth, from the longest prefixes down; sets is a written table."""
+    levels, out, counted = depth - least + 1, [], {}
+    stratum = F.floor(F.log2("n")).cast("int")
+    open_ = None  # all
+    for level in range(levels - 1, -1, -1):
+        at = lambda k: F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(prefixes[t * {levels} + {k}] AS node, prefixes[t * {levels} + {min(k + 1, levels - 1)}] AS child))")
+        is_open = F.lit(True) if open_ is None else stratum.isin(open_)
+        members = sets.select("v", "n", is_open.alias("open"), F.explode(at(level)).alias("p")).select("v", "n", "open", "p.*")
+        # the checksum tells nodes with the same members
+        nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("bytes"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("check"), F.min("child").alias("low"), F.max("child").alias("high"), F.max("open").alias("open"))
+        nodes = nodes.where("size > 1 and open").select("node", "size", "bytes", "check", "low", "high")
+        if level + 1 < levels:
+            nodes = nodes.where("low < high")
+        shared = members.select("v", "node").join(nodes.drop("low", "high"), "node")
+        first = shared.groupBy("v", "size", "check").agg(F.min("node").alias("node"), F.max("bytes").alias("bytes"))
+        blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / BLOCK_SHINGLES)).cast("int")
+        placed = first.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("v", "node"), F.col("blocks")).cast("int"))
+        tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+        placed = placed.select("v", "node", "block", F.explode(tiles).alias("at")).select("v", "node", "block", "at.*")
+        work = placed.join(sets.select("v", "shingles", "prefixes"), "v")
+        found = written(work.groupBy("node", "i", "j").applyInPandas(_verified(level, levels, trees, threshold), LINKS), f"links-{least + level}")
+        out.append(found.withColumn("depth", F.lit(least + level)))
+        if level:
+            steps = found.select(stratum.alias("stratum"), F.posexplode("steps").alias("step", "c")).where("c > 0").groupBy("stratum", "step").agg(F.sum("c").alias("c"))
+            for r in steps.collect():  # a few numbers for each power of two
+                own = counted.setdefault(r["stratum"], {})
+                own[r["step"]] = own.get(r["step"], 0) + r["c"]
+            # sizes go up to the most shingles of a text, so under 2^31
+            open_ = [s for s in range(31) if estimated_recall(counted.get(s, {}), threshold, least + level, trees) < recall]
+            if not open_:
+                break
+    return out
+
+
+def _joined(docs: DataFrame, threshold: float, trees: int, depth: int, recall: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of docs with the fingerprints of their sets; per class its links and group; links by depth."""
     spark = docs.sparkSession
-    depth = prefix_depth(threshold, trees, depth, recall)
+    if not 1 <= trees <= 127:
+        raise ValueError("1 to 127 trees")
+    least = least_depth(threshold, trees, depth, recall)
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    key = document_key(F.col("doc_id"), F.col("text_hash"))
     with arrow_rows(spark, 500):
-        signed = written(own.mapInArrow(_signed(depth, trees), SIGNED), "signed")
-    known = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text_hash", "fp1", "fp2", "nodes")).alias("d")).select("doc_id", "d.*")
-    classes = written(known.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "nodes")).alias("c")).select("fp1", "fp2", "c.*"), "classes")
-    members = classes.where("nodes is not null").select("doc_id", F.posexplode("nodes").alias("tree", "node"))
-    # nodes of two classes or more; the checksum tells nodes with the same members
-    sums = members.groupBy("tree", "node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("check")).where("size > 1")
-    shared = written(members.join(sums, ["tree", "node"]), "shared")
-    first = shared.groupBy("doc_id", "size", "check").agg(F.min(F.struct("tree", "node")).alias("n")).select("doc_id", "size", "n.*")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = first.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "node"), F.col("blocks")).cast("int"))
-    at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    placed = written(placed.select("doc_id", "tree", "node", "block", F.explode(at).alias("at")).select("doc_id", "tree", "node", "block", "at.*"), "placed")
-    texts = own.join(placed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "text_hash").alias("text"))
-    work = placed.join(texts, "doc_id")
-    pairs = work.groupBy("tree", "node", "i", "j").applyInPandas(_verified(depth, trees, threshold), "doc_id bigint, root bigint, n_links bigint")
-    pairs = written(pairs, "links")
-    counts = pairs.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
-    labels = connected(pairs.select(F.col("doc_id").alias("v"), F.col("root").alias("w")))
-    per_class = classes.select("fp1", "fp2", F.col("doc_id").alias("class_id")).join(counts.withColumnRenamed("doc_id", "class_id"), "class_id", "left").join(labels.withColumnRenamed("v", "class_id"), "class_id", "left")
-    per_class = per_class.select("fp1", "fp2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "class_id").alias("group_id"))
-    per_doc = known.select("doc_id", "fp1", "fp2").join(per_class, ["fp1", "fp2"]).select("doc_id", "class_id", "n_links", "group_id")
-    return signed.select("doc_id").join(per_doc, "doc_id", "left")
-
-
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id, once; rows without a doc_id stay."""
-    firsts = written(jaccard_join(docs, **options).where("doc_id = group_id").select(F.col("doc_id").alias("_first")).distinct(), "firsts")
-    one = F.min_by(F.struct(*docs.columns), F.xxhash64("text"))
-    kept = docs.join(firsts, docs["doc_id"] == firsts["_first"], "left_semi").groupBy("doc_id").agg(one.alias("_kept")).select("_kept.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+        signed = written(own.mapInArrow(_signed(trees, least), SIGNED), "signed", lasting=True)
+        known = signed.where("doc_id is not null").select(key.alias("v"), "fp1", "fp2", "nodes")
+        classes = written(known.groupBy("fp1", "fp2").agg(F.min(F.struct("v", "nodes")).alias("c")).select("fp1", "fp2", "c.*"), "classes")
+        members = classes.where("nodes is not null").select("v", F.explode("nodes").alias("node"))
+        near = members.join(members.groupBy("node").count().where("count > 1").select("node"), "node", "left_semi").select("v").distinct()
+        # texts of classes that meet another at the least depth: they are cut into shingles once
+        texts = own.where("doc_id is not null").select(key.alias("v"), "text").join(written(near, "near").hint("merge"), "v", "left_semi").dropDuplicates(["v"])
+        sets = written(texts.mapInArrow(_sets(depth, trees, least), SETS), "sets")
+    links = _links(sets, threshold, trees, depth, least, recall, block)
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    counts = found.groupBy("v").agg(F.sum("n_links").alias("n_links"))
+    labels = connected(found.select("v", F.col("root").alias("w")))
+    per_class = classes.select("fp1", "fp2", "v").join(counts, "v", "left").join(labels, "v", "left")
+    per_class = per_class.select("fp1", "fp2", "v", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "v").alias("label"))
+    return signed, written(per_class, "per-class", lasting=True), found
+
+
+def links_by_depth(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """depth and links: how many links were found at prefixes of each length."""
+    _, _, found = _joined(docs, threshold, trees, depth, recall, block)
+    return found.groupBy("depth").agg((F.sum("n_links") / 2).cast("long").alias("links"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, class_id, n_links (other classes linked to its own), group_id (smallest doc_id of what hangs together)."""
+    with scratch(docs.sparkSession):
+        signed, per_class, _ = _joined(docs, threshold, trees, depth, recall, block)
+    named = per_class.select("fp1", "fp2", _id_of(F.col("v")).alias("class_id"), "n_links", _id_of(F.col("label")).alias("group_id"))
+    rows = signed.select("doc_id", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
+    return rows.select("doc_id", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("class_id", "n_links", "group_id")])
+
+
+def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """docs with one document of each group: its first, once; rows without a doc_id stay."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        _, per_class, _ = _joined(docs, threshold, trees, depth, recall, block)
+        firsts = written(per_class.where("v = label").select("v"), "firsts", lasting=True)
+    # the row goes in a struct, so that names of its columns don't matter
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), document_key(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("v"), F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]).alias("h"))
+    one = keyed.join(firsts, "v", "left_semi").groupBy("v").agg(F.min_by("row", "h").alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -72,15 +72,16 @@ def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def seeds(n: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers (odd) and summands of n hash functions."""
-    a = mixed(np.arange(start + 1, start + 2 * n + 1, dtype=np.uint64) * _ODD)
-    return a[:n] | np.uint64(1), a[n:]
+    """32-bit multipliers (odd) and summands of n hash functions; the first ones are the same for any n."""
+    a = mixed(np.arange(start + 1, start + n + 1, dtype=np.uint64) * _ODD)
+    return (a >> np.uint64(32)).astype(np.uint32) | np.uint32(1), a.astype(np.uint32)
 
 
 def signature(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """The 32-bit MinHash of a non-empty set for each hash function."""
-    out = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), 4096):
-        block = shingles[start : start + 4096]
+    """The 32-bit MinHash of a non-empty set for each hash function; shingles are mixed 64-bit hashes."""
+    out = np.full(len(mul), np.iinfo(np.uint32).max, np.uint32)
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(low), 1024):
+        block = low[start : start + 1024]
         out = np.minimum(out, (block[None, :] * mul[:, None] + add[:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return out

@@ -3,10 +3,13 @@
 A window is ``width`` consecutive words. Two equal windows have the same anchor (the gram of ``gram`` words in it with the smallest
 hash), so only anchors, about a sixth as many as words, are counted over the corpus, and windows whose anchor is found in one
 document alone are never moved. Around each recurring anchor a document has a fragment: the words of its neighbouring windows
-with that anchor. Equal fragments are merged, which leaves few of a hot passage. Fragments are dealt by anchor into shards of
-bounded size; each confirms, word for word, the windows that start in two documents or more, compiles them into an Aho-Corasick automaton
-with their first document, and streams its fragments through it to locate every occurrence. The places go back to
-the documents, which are read once more.
+with that anchor. Equal fragments are merged, which leaves few of a hot passage.
+
+Windows are then confirmed: they are counted by their words over the merged fragments, summed before the shuffle, and those that start in
+two documents or more stay, with their first document. Confirmed windows are dealt by anchor into shards of at most about ``shard`` windows;
+the windows of an anchor that has more go to several. Each shard is compiled into an Aho-Corasick automaton, through which the
+fragments with its anchors are streamed to locate every occurrence. Where an anchor has more than ``shard`` fragments, they are dealt to several
+tasks, each with the automaton. The places go back to the documents, which are read once more.
 
 Windows are judged on the input. Null texts have no words. Rows with a null doc_id are neither earlier nor later than
 others and lose nothing; of rows that repeat a doc_id none is earlier. Extra columns are ignored.
@@ -23,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import arrow_rows, scratch, written
 from .shingles import gram_codes, text_codes, word_list
 
 WIDTH, GRAM = 13, 4
-#: Fragments of a shard, about.
-SHARD = 4000
+#: Windows or fragments of a shard, about.
+SHARD = 20_000
 
 FRAGMENTS = "doc_id bigint, text_hash bigint, pos int, anchor bigint, fragment string"
 
@@ -85,39 +88,42 @@ def _fragment_rows(width: int, gram: int):
     return run
 
 
+def _window_rows(width: int):
+    """The windows of merged fragments (anchor, fragment, low, high), as words with one space between."""
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in ("anchor", "window", "low", "high")}
+            for anchor, fragment, low, high in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = fragment.split(" ")
+                seen = list(dict.fromkeys(" ".join(words[p : p + width]) for p in range(len(words) - width + 1)))
+                for k, v in zip(out.values(), ([anchor] * len(seen), seen, [low] * len(seen), [high] * len(seen)), strict=True):
+                    k += v
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    schema = pa.schema([("anchor", pa.int64()), ("window", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
+    return run
+
+
 def _located(width: int):
-    """For the merged fragments of a shard: places of recurring windows in each, and their first documents."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        codes: dict[bytes, int] = {}
-        stream, begins = [], []
-        for fragment in group["fragment"]:
-            begins.append(len(stream))
-            stream += [codes.setdefault(w, len(codes) + 1) for w in word_list(fragment)]
-            stream.append(0)  # no word
-        first: dict[tuple, int] = {}
-        last: dict[tuple, int] = {}
-        ends = [*begins[1:], len(stream)]
-        for b, e, low, high in zip(begins, ends, group["low"], group["high"], strict=True):
-            for p in range(b, e - width):
-                window = tuple(stream[p : p + width])
-                first[window] = min(first.get(window, low), low)
-                last[window] = max(last.get(window, high), high)
+    """For a task's confirmed windows (window, first) and merged fragments: places of windows in each, and their first documents."""
+
+    def run(windows: pd.DataFrame, fragments: pd.DataFrame) -> pd.DataFrame:
+        codes: dict[str, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, low in first.items():
-            if low < last[window]:
-                automaton.add_word(window, low)
-        places: list[list[int]] = [[] for _ in begins]
-        firsts: list[list[int]] = [[] for _ in begins]
+        for window, first in zip(windows["window"], windows["first"].tolist(), strict=True):
+            automaton.add_word(tuple([codes.setdefault(w, len(codes) + 1) for w in window.split(" ")]), first)
+        places, firsts = [], []
         if len(automaton):
             automaton.make_automaton()
-            hits = list(automaton.iter(tuple(stream)))
-            at = np.array([end - width + 1 for end, _ in hits], np.int64)
-            owner = np.searchsorted(np.array(begins), at, "right") - 1
-            for k, p, (_, low) in zip(owner.tolist(), at.tolist(), hits, strict=True):
-                places[k].append(p - begins[k])
-                firsts[k].append(low)
-        return pd.DataFrame({"anchor": group["anchor"], "fragment_hash": group["fragment_hash"], "places": places, "firsts": firsts})[[bool(p) for p in places]]
+        known = codes.get
+        for fragment in fragments["fragment"]:
+            # a word of no window is 0, which no window has
+            hits = list(automaton.iter(tuple([known(w, 0) for w in fragment.split(" ")]))) if len(automaton) else []
+            places.append([end - width + 1 for end, _ in hits])
+            firsts.append([first for _, first in hits])
+        lists = {k: pd.Series(v, dtype=object) for k, v in (("places", places), ("firsts", firsts))}
+        return pd.DataFrame({"fragment_hash": fragments["fragment_hash"], "fragment": fragments["fragment"], **lists})[[bool(p) for p in places]]
 
     return run
 
@@ -143,25 +149,45 @@ def _kept_rows(width: int):
     return run
 
 
+def _locate(merged: DataFrame, width: int, shard: int) -> DataFrame:
+    """fragment_hash, fragment, places and firsts; merged(anchor, fragment_hash, fragment, low, high) is a written table."""
+    spark = merged.sparkSession
+    with arrow_rows(spark, 2000):
+        windows = merged.select("anchor", "fragment", "low", "high").mapInArrow(_window_rows(width), "anchor bigint, window string, low bigint, high bigint")
+        confirmed = windows.groupBy("window").agg(F.min("anchor").alias("anchor"), F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
+        confirmed = written(confirmed.select("anchor", "window", "first"), "windows")
+    sizes = confirmed.groupBy("anchor").agg(F.count("*").alias("n_windows")).join(merged.groupBy("anchor").agg(F.count("*").alias("n_fragments")), "anchor")
+    parts = sizes.select("anchor", F.ceil(F.col("n_windows") / shard).cast("int").alias("automata"), F.ceil(F.col("n_fragments") / shard).cast("int").alias("streams"))
+    parts = written(parts, "parts")
+    shards = max(1, math.ceil(confirmed.count() / shard))
+    cold = F.pmod(F.xxhash64("anchor"), F.lit(shards))
+    # an anchor with too much for one task has tasks of its own, one for each of its automata and streams
+    task = F.when((F.col("automata") == 1) & (F.col("streams") == 1), cold).otherwise(F.xxhash64("anchor", "automaton", "stream").bitwiseOR(F.lit(-1 << 63)))
+    all_of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    own = lambda value, name: F.pmod(F.xxhash64(value), F.col(name)).cast("int")
+    left = confirmed.join(parts, "anchor").withColumn("automaton", own("window", "automata")).withColumn("stream", all_of("streams")).select(task.alias("task"), "window", "first")
+    right = merged.join(parts, "anchor").withColumn("stream", own("fragment", "streams")).withColumn("automaton", all_of("automata")).select(task.alias("task"), "fragment_hash", "fragment")
+    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(_located(width), "fragment_hash bigint, fragment string, places array<int>, firsts array<bigint>")
+    return written(found, "located")
+
+
 def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_text (the kept words, one space between)."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     known = own.where("doc_id is not null")
-    with arrow_rows(spark, 500):
-        anchors = known.select("doc_id", "text").mapInArrow(_anchor_rows(width, gram), "anchor bigint, doc_id bigint")
+    with scratch(spark), arrow_rows(spark, 500):
+        anchors = written(known.select("doc_id", "text").mapInArrow(_anchor_rows(width, gram), "anchor bigint, doc_id bigint"), "anchors")
         recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
         per_doc = anchors.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
         fragments = known.join(per_doc, "doc_id").select("doc_id", "text_hash", "text", "anchors").mapInArrow(_fragment_rows(width, gram), FRAGMENTS)
         fragments = written(fragments.withColumn("fragment_hash", F.xxhash64("fragment")), "fragments")
-        merged = fragments.groupBy("anchor", "fragment_hash", "fragment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        shards = max(1, math.ceil(fragments.count() / shard))
-        by_shard = merged.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
-        located = written(by_shard.applyInPandas(_located(width), "anchor bigint, fragment_hash bigint, places array<int>, firsts array<bigint>"), "located")
-        hits = fragments.select("doc_id", "text_hash", "pos", "anchor", "fragment_hash").join(located, ["anchor", "fragment_hash"])
+        merged = written(fragments.groupBy("fragment_hash", "fragment").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "merged")
+        located = _locate(merged, width, shard)
+        hits = fragments.select("doc_id", "text_hash", "pos", "fragment_hash", "fragment").join(located, ["fragment_hash", "fragment"])
         earlier = F.filter(F.zip_with("places", "firsts", lambda p, f: F.when(f < F.col("doc_id"), p + F.col("pos"))), lambda x: x.isNotNull())
         starts = hits.select("doc_id", "text_hash", earlier.alias("starts")).where(F.size("starts") > 0)
         # the starts of one document: no more than it has words
         starts = starts.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("starts")).alias("starts"))
-        starts = written(starts, "starts")
+        starts = written(starts, "starts", lasting=True)
     return own.join(starts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts").mapInArrow(_kept_rows(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
