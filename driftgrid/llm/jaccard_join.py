@@ -2,14 +2,15 @@
 
 A document is the set of its five-word shingles. Documents with equal sets are one class; its id is that of its first document (by
 doc_id, then the text's hash). Classes are joined. Each class has a label of ``depth`` MinHash values in each of ``trees`` prefix tries.
-The descent starts at the full depth: classes that share a whole label are verified. Then matched prefixes are shortened one value at a
-time; a pair is verified at its longest common prefix, in the first tree that has it, on the shingles of whole texts, and only there, so
-links are counted once and no list of pairs is made. A node without a branch at the next depth has no new pairs and isn't visited.
+The descent starts at the full depth: classes that share a whole label are verified. Then matched prefixes are shortened, to the depth at
+which the links found so far say that the target recall is reached; a pair is verified in the first round in which some tree has a common
+prefix of it, in the first such tree, on the shingles of whole texts, and only there, so links are counted once and no list of pairs is made. A
+node whose members were together in the round before has no new pairs and isn't visited.
 
-Shortening ends by size of class (its number of shingles, to a power of two) when the estimated recall reaches the target: a link of
-similarity s that was found at depth d stands for 1 / p(s, d) links, where p is the chance to meet by then, and one unseen link at the
-threshold itself is added, so that nothing found is no evidence. It ends in any case at the depth ``least_depth``, where pairs at
-the threshold meet with the target chance. A target that no depth reaches is an error.
+The estimate is made by size of class (its number of shingles, to a power of two): a link of similarity s that was found at depth d stands for
+1 / p(s, d) links, where p is the chance to meet by then, and one unseen link at the threshold itself is added, so that nothing found is no
+evidence. Sizes whose estimate reaches the target are done, and nodes of such classes alone aren't visited any more. Shortening ends in any case at
+``least_depth``, where pairs at the threshold meet with the target chance. A target that no depth reaches is an error.
 
 Nodes of many classes, or long ones, are cut into blocks of bounded bytes, each pair of blocks a group of its own; a node with the same
 members as one of an earlier tree has no work left.
@@ -32,7 +33,7 @@ from .shingles import gram_codes, mixed, seeds, signature, text_codes
 
 WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 25, 8, 0.9999
 #: Classes and shingles of a block; two blocks are held in a task together.
-BLOCK, BLOCK_SHINGLES = 256, 100_000
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 #: Similarities of links are counted in so many steps between 0 and 1.
 STEPS = 100
 #: Bits of a text's hash in a document's key.
@@ -56,11 +57,19 @@ def least_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
     raise ValueError(f"{trees} trees don't reach a recall of {recall} at a similarity of {threshold}; take more trees")
 
 
-def estimated_recall(steps: dict[int, int], threshold: float, depth: int, trees: int) -> float:
-    """Of links counted by similarity (in STEPS), the share found at this depth, with one unseen link at the threshold added."""
-    found = sum(steps.values())
-    stood_for = sum(c / meets(max(k / STEPS, threshold), depth, trees) for k, c in steps.items())
-    return (found + meets(threshold, depth, trees)) / (stood_for + 1)
+def estimated_recall(steps: dict[int, int], threshold: float, found_at: int, depth: int, trees: int) -> float:
+    """The share of links that is found at a depth, by those found at the depth ``found_at`` or longer ones, counted by similarity (in STEPS).
+
+    One unseen link at the threshold is added.
+    """
+    stood_for = {max(k / STEPS, threshold): c / meets(max(k / STEPS, threshold), found_at, trees) for k, c in steps.items()}
+    found = sum(c * meets(s, depth, trees) for s, c in stood_for.items())
+    return (found + meets(threshold, depth, trees)) / (sum(stood_for.values()) + 1)
+
+
+def next_depth(counted: dict[int, dict[int, int]], strata: list[int], threshold: float, found_at: int, trees: int, least: int, recall: float) -> int:
+    """The longest prefixes that reach the target in all of these strata, by what was found at the depth ``found_at``."""
+    return max([d for d in range(least + 1, found_at) if all(estimated_recall(counted.get(s, {}), threshold, found_at, d, trees) >= recall for s in strata)], default=least)
 
 
 def document_key(doc_id: Column, text_hash: Column) -> Column:
@@ -132,7 +141,7 @@ def _sets(depth: int, trees: int, least: int):
     return run
 
 
-def _overlaps(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray], width: int = 1 << 12) -> np.ndarray:
     """The sizes of all pairwise intersections, through bit rows over the shingles that two sets share, so many at a time."""
     values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1
@@ -152,10 +161,10 @@ def _overlaps(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
     return out
 
 
-def _verified(level: int, levels: int, trees: int, threshold: float):
-    """For a group (node, block i, block j): per class its links whose longest prefix is this node, and the smallest class it hangs together with.
+def _verified(level: int, before: int | None, levels: int, trees: int, threshold: float):
+    """For a group (node, block i, block j): per class its links that meet here first, and the smallest class it hangs together with.
 
-    ``level`` counts depths from the least one; of ``levels`` depths there are prefixes.
+    Levels are depths counted from the least one, of which there are ``levels``; ``before`` is that of the round before.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -165,34 +174,37 @@ def _verified(level: int, levels: int, trees: int, threshold: float):
         prefixes = np.stack([np.asarray(p, np.int64) for p in group["prefixes"]]).reshape(len(ids), trees, levels)
         sizes = np.array([len(s) for s in sets], np.int64)
         common = _overlaps(sets)
-        links = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-        np.fill_diagonal(links, False)
-        if i != j:
-            links &= block[:, None] != block[None, :]
-        for k in np.flatnonzero(links.any(axis=1)):
-            other = np.flatnonzero(links[k])
-            here = (prefixes[other, :, level] == prefixes[k, :, level]).argmax(axis=1) == tree  # no earlier tree has this prefix of both
-            if level + 1 < levels:
-                here &= ~(prefixes[other, :, level + 1] == prefixes[k, :, level + 1]).any(axis=1)  # and none a longer one
-            links[k, other] = here
         order = sorted(range(len(ids)), key=ids.__getitem__)
         root = np.empty(len(ids), np.int64)
         root[order] = np.arange(len(ids))
-        while True:  # the smallest rank that each can reach
-            near = np.where(links, root[None, :], len(ids)).min(axis=1, initial=len(ids))
-            new = np.minimum(root, near)
-            if (new == root).all():
-                break
-            root = new
-        found = np.flatnonzero(links.any(axis=1))
-        steps = []
-        for k in found.tolist():
-            other = links[k]
-            part = common[k, other] / (sizes[k] + sizes[other] - common[k, other])
-            steps.append(np.bincount((part * STEPS + 1e-9).astype(np.int64), minlength=STEPS + 1).tolist())
-        lists = {"v": [ids[k] for k in found], "root": [ids[order[r]] for r in root[found]], "steps": steps}
+        n_links, steps, ends = np.zeros(len(ids), np.int64), [], []
+        for k in range(len(ids)):
+            both = common[k].astype(np.int64)
+            union = sizes[k] + sizes - both
+            linked = both >= threshold * union - 1e-9
+            linked[k] = False
+            if i != j:
+                linked &= block != block[k]
+            other = np.flatnonzero(linked)
+            if len(other):
+                here = (prefixes[other, :, level] == prefixes[k, :, level]).argmax(axis=1) == tree  # no earlier tree has this prefix of both
+                if before is not None:
+                    here &= ~(prefixes[other, :, before] == prefixes[k, :, before]).any(axis=1)  # and none had the one of the round before
+                other = other[here]
+            n_links[k] = len(other)
+            ends.append(other)
+            steps.append(np.bincount((both[other] / union[other] * STEPS + 1e-9).astype(np.int64), minlength=STEPS + 1).tolist() if len(other) else None)
+        found = np.flatnonzero(n_links)
+        changed = True
+        while changed:  # the smallest rank that each can reach
+            changed = False
+            for k in found.tolist():
+                least = min(root[k], root[ends[k]].min())
+                if least < root[k]:
+                    root[k], changed = least, True
+        lists = {"v": [ids[k] for k in found], "root": [ids[order[r]] for r in root[found]], "steps": [steps[k] for k in found]}
         lists = {k: pd.Series(x, dtype=object) for k, x in lists.items()}
-        return pd.DataFrame(lists | {"n": sizes[found], "n_links": links.sum(axis=1)[found]})[["v", "root", "n", "n_links", "steps"]]
+        return pd.DataFrame(lists | {"n": sizes[found], "n_links": n_links[found]})[["v", "root", "n", "n_links", "steps"]]
 
     return run
 
@@ -217,38 +229,41 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _links(sets: DataFrame, threshold: float, trees: int, depth: int, least: int, recall: float, block: int) -> list[DataFrame]:
-    """The links of each depth, from the longest prefixes down; sets is a written table."""
+    """The links of each round, from the longest prefixes down; sets is a written table."""
     levels, out, counted = depth - least + 1, [], {}
     stratum = F.floor(F.log2("n")).cast("int")
-    open_ = None  # all
-    for level in range(levels - 1, -1, -1):
-        at = lambda k: F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(prefixes[t * {levels} + {k}] AS node, prefixes[t * {levels} + {min(k + 1, levels - 1)}] AS child))")
+    at, before, open_ = depth, None, None  # all are open
+    while True:
+        level, last = at - least, levels - 1 if before is None else before - least
+        of = F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(prefixes[t * {levels} + {level}] AS node, prefixes[t * {levels} + {last}] AS child))")
         is_open = F.lit(True) if open_ is None else stratum.isin(open_)
-        members = sets.select("v", "n", is_open.alias("open"), F.explode(at(level)).alias("p")).select("v", "n", "open", "p.*")
+        members = sets.select("v", "n", is_open.alias("open"), F.explode(of).alias("p")).select("v", "n", "open", "p.*")
         # the checksum tells nodes with the same members
         nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("bytes"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("check"), F.min("child").alias("low"), F.max("child").alias("high"), F.max("open").alias("open"))
-        nodes = nodes.where("size > 1 and open").select("node", "size", "bytes", "check", "low", "high")
-        if level + 1 < levels:
-            nodes = nodes.where("low < high")
-        shared = members.select("v", "node").join(nodes.drop("low", "high"), "node")
+        nodes = nodes.where("size > 1 and open" + ("" if before is None else " and low < high")).select("node", "size", "bytes", "check")
+        shared = members.select("v", "node").join(nodes, "node")
         first = shared.groupBy("v", "size", "check").agg(F.min("node").alias("node"), F.max("bytes").alias("bytes"))
         blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / BLOCK_SHINGLES)).cast("int")
         placed = first.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("v", "node"), F.col("blocks")).cast("int"))
         tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
         placed = placed.select("v", "node", "block", F.explode(tiles).alias("at")).select("v", "node", "block", "at.*")
         work = placed.join(sets.select("v", "shingles", "prefixes"), "v")
-        found = written(work.groupBy("node", "i", "j").applyInPandas(_verified(level, levels, trees, threshold), LINKS), f"links-{least + level}")
-        out.append(found.withColumn("depth", F.lit(least + level)))
-        if level:
-            steps = found.select(stratum.alias("stratum"), F.posexplode("steps").alias("step", "c")).where("c > 0").groupBy("stratum", "step").agg(F.sum("c").alias("c"))
-            for r in steps.collect():  # a few numbers for each power of two
-                own = counted.setdefault(r["stratum"], {})
-                own[r["step"]] = own.get(r["step"], 0) + r["c"]
-            # sizes go up to the most shingles of a text, so under 2^31
-            open_ = [s for s in range(31) if estimated_recall(counted.get(s, {}), threshold, least + level, trees) < recall]
-            if not open_:
-                break
-    return out
+        verified = _verified(level, None if before is None else last, levels, trees, threshold)
+        found = written(work.groupBy("node", "i", "j").applyInPandas(verified, LINKS), f"links-{at}")
+        out.append(found.withColumn("depth", F.lit(at)))
+        if at == least:
+            return out
+        steps = found.select(stratum.alias("stratum"), F.posexplode("steps").alias("step", "c")).where("c > 0").groupBy("stratum", "step").agg(F.sum("c").alias("c"))
+        for r in steps.collect():  # a few numbers for each power of two
+            own = counted.setdefault(r["stratum"], {})
+            own[r["step"]] = own.get(r["step"], 0) + r["c"]
+        # a text has fewer than 2^31 shingles
+        open_ = [s for s in range(31) if estimated_recall(counted.get(s, {}), threshold, at, at, trees) < recall]
+        present = [r[0] for r in sets.select(stratum.alias("s")).distinct().collect()]  # a row for each power of two
+        open_ = [s for s in open_ if s in present]
+        if not open_:
+            return out
+        before, at = at, next_depth(counted, open_, threshold, at, trees, least, recall)
 
 
 def _joined(docs: DataFrame, threshold: float, trees: int, depth: int, recall: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
