@@ -86,7 +86,10 @@ def sieve(df: DataFrame, condition: Column) -> DataFrame:
     A plain filter is pushed below the projections that make its columns, which evaluates them twice, and again inside each
     lambda. A column that isn't deterministic keeps it in its place.
     """
-    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+    row = "row_of_the_sieve"
+    while row in df.columns:
+        row += "_"
+    return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)
 
 
 def settled(df: DataFrame) -> DataFrame:
