@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text is taken as tokens (runs of letters, numbers). Numbers, units after numbers, and names (capitalised words within a
-sentence) become typed placeholders, other words lose their case. Windows of ``width`` template tokens of documents and
+sentence; a run of them is one name) become typed placeholders, other words lose their case. Windows of ``width`` template tokens of documents and
 benchmark items are hash-joined; windows with fewer than ``literal`` plain words are too general and not used. Hits of a document
 on an item along one diagonal (the same shift) are held together. Numbers and units may take any value at each place. A name
 has the value that most of its places show, its own in a tie, and windows that show another are not counted; where a name has
@@ -31,7 +31,7 @@ _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:]")
 # Units that follow numbers.
 UNITS = frozenset("mm cm m km g kg mg lb oz l ml s min h hr hours hour minutes minute seconds second days day weeks week months month years year miles mile inches inch feet foot meters meter metres metre kilometers kilometres grams gram kilograms liters litres dollars dollar euros euro cents percent degrees celsius fahrenheit watts volts hz khz mhz ghz kb mb gb tb mph kmh".split())
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
-#: Windows of a benchmark beyond this many are not sent to the tasks; all windows of documents are then joined.
+#: Windows of a benchmark beyond this many are not sent to the tasks; all windows of documents are then joined, with the same result.
 SENT_WINDOWS = 2_000_000
 
 HITS = "doc_id bigint, text_hash bigint, pos int, window bigint, slots array<string>"
@@ -51,36 +51,44 @@ _KNOWN: dict[str, tuple[int, int]] = {}
 def _learn(t: str) -> tuple[int, int]:
     low = t.lower()
     kind = _MARK if t in ".!?:" else _DIGITS if t[0].isdigit() else _UNITS if low in UNITS else _CAPITAL if len(t) > 1 and t[0].isupper() and t[1:].islower() else _PLAIN
-    if len(_KNOWN) >= 400_000:
+    if len(_KNOWN) >= 100_000:
         _KNOWN.clear()
     _KNOWN[t] = kind, _code(low)
     return _KNOWN[t]
 
 
-def template_codes(text: str | None) -> np.ndarray:
-    """The hashes of a text's template tokens. A unit counts as one after a number, a capitalised word as a name within a sentence."""
-    out: list[int] = []
-    opens, number, known = True, False, _KNOWN.get
+def template(text: str | None) -> tuple[np.ndarray, list[str]]:
+    """The hashes of a text's template tokens, and the tokens that they stand for.
+
+    A unit counts as one after a number, a capitalised word as a name within a sentence; names that follow each other are one.
+    """
+    codes: list[int] = []
+    shown: list[str] = []
+    opens, last, known = True, 0, _KNOWN.get
     for t in _TOKEN.findall(text or ""):
         kind, code = known(t) or _learn(t)
         if kind == _MARK:
-            opens = True
+            opens, last = True, 0
             continue
         if kind != _PLAIN:
             if kind == _DIGITS:
                 code = _NUMBER
             elif kind == _UNITS:
-                code = _UNIT if number else _NAME if not opens and len(t) > 1 and t[0].isupper() and t[1:].islower() else code
+                code = _UNIT if last == _NUMBER else _NAME if not opens and len(t) > 1 and t[0].isupper() and t[1:].islower() else code
             elif not opens:
                 code = _NAME
-        out.append(code)
-        number, opens = code == _NUMBER, False
-    return np.array(out, np.uint64)
+        opens = False
+        if code == last == _NAME:
+            shown[-1] += " " + t
+            continue
+        last = code
+        codes.append(code)
+        shown.append(t)
+    return np.array(codes, np.uint64), shown
 
 
-def surface(text: str | None) -> list[str]:
-    """The tokens that the template tokens stand for."""
-    return [t.lower() for t in _TOKEN.findall(text or "") if t not in ".!?:"]
+def template_codes(text: str | None) -> np.ndarray:
+    return template(text)[0]
 
 
 def windows(codes: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +120,7 @@ def _whole(width: int, literal: int):
     """A UDF: the number of tokens and the hash of an item without a usable window; null for other items and those without tokens."""
 
     def run(text):
-        n = len(template_codes(text))
+        n = len([t for t in _TOKEN.findall(text or "") if t not in ".!?:"])
         if not n or len(windows(template_codes(text), width, literal)[0]):
             return None
         return n, int(_spans(text, n)[0])
@@ -157,11 +165,11 @@ def _hits(sent: np.ndarray | None, width: int, literal: int, wholes: dict[int, n
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "text_hash", "pos", "window", "slots")}
             for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes = template_codes(text)
+                codes, tokens = template(text)
                 for n, known in (wholes or {}).items():
-                    if n > len(codes) or (n < literal and n != len(codes)):
-                        continue
                     runs = _spans(text, n)
+                    if not len(runs) or (n < literal and len(runs) > 1):
+                        continue
                     at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
                     for p in np.flatnonzero(known[at] == runs).tolist():
                         for name, x in zip(out, (doc_id, text_hash, p, int(runs[p]), None), strict=True):
@@ -174,7 +182,7 @@ def _hits(sent: np.ndarray | None, width: int, literal: int, wholes: dict[int, n
                 if not len(pos):
                     continue
                 held = np.isin(codes, np.array([_NUMBER, _UNIT, _NAME], np.uint64))
-                shown = [f"@{t}" if c == _NAME else t for t, c in zip(surface(text), codes.tolist(), strict=True)]
+                shown = [f"@{t.lower()}" if c == _NAME else t.lower() for t, c in zip(tokens, codes.tolist(), strict=True)]
                 for p, x in zip(pos.tolist(), h.tolist(), strict=True):
                     out["doc_id"].append(doc_id)
                     out["text_hash"].append(text_hash)
@@ -200,9 +208,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal
         lengths = F.udf(lambda t: len(template_codes(t)), "int")
         sizes = items.select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), lengths("text").alias("item_tokens"))
         item_windows = written(item_windows.select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots")).join(sizes, ["item_id", "item_hash"]), "items")
-        hashes = item_windows.select("window").distinct()
-        few = hashes.count() <= SENT_WINDOWS
-        sent = np.sort(np.array([r[0] for r in hashes.collect()], np.int64)) if few else None
+        few = item_windows.count() <= SENT_WINDOWS  # rows, so that what is broadcast is bounded
+        sent = np.sort(np.array([r[0] for r in item_windows.select("window").distinct().collect()], np.int64)) if few else None
         whole = items.select(F.col("doc_id").alias("item_id"), F.col("text_hash").alias("item_hash"), _whole(width, literal)("text").alias("w")).where("w is not null")
         whole = written(whole.select("item_id", "item_hash", "w.window", F.col("w.n").alias("item_tokens")), "whole-items")
         wholes: dict[int, list[int]] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,9 @@ from .token_blocks import token_table_digest
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of text in a shard.
 SHARD_BYTES = 32 << 20
-#: The secret of the surrogates; a production run passes its own to replace_pii.
-PII_KEY = "driftgrid"
+#: The setting that has the secret of the surrogates; without it, one is drawn for each driver process.
+PII_KEY_CONF = "spark.driftgrid.pii.key"
+_DRAWN_KEY = secrets.token_hex(16)
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +34,17 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates: with the same one, surrogates agree between runs, and whoever has it can make them again."""
+    return spark.conf.get(PII_KEY_CONF, None) or _DRAWN_KEY
+
+
 def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+    return replace_pii(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
