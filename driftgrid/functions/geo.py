@@ -114,6 +114,20 @@ def xy_angle(x: Column, y: Column, south: bool) -> Column:
     return F.atan2(-y, -x) + (F.pi() if south else F.lit(0.0))
 
 
+def ground_angle(slant: Column, ground: Column, platform: Column) -> Column:
+    """the angle at the Earth's centre between the platform and the place."""
+    return F.acos(F.least((platform * platform + ground * ground - slant * slant) / (2 * platform * ground), F.lit(1.0)))
+
+
+def heading(da: Column, ground_1: Column, ground_2: Column, left: Column) -> Column:
+    """F8: heading of a scene at a place, of two points a little south and north of it (for a left look: north and south).
+
+    da is the way along track from the first to the second in m, ground_1 and ground_2 their ground ranges in m.
+    """
+    across = ground_2 - ground_1
+    return F.atan2(da, F.when(left, -across).otherwise(across))
+
+
 def rotate_ra_to_xy(dr: Column, da: Column, xy: Column, heading: Column) -> Column:
     """struct(x, y) of a range, azimuth vector."""
     c, s = F.cos(heading - xy), F.sin(heading - xy)
@@ -137,11 +151,16 @@ def limit(slope: Column, most: float) -> Column:
     return F.greatest(F.least(slope, F.lit(most)), F.lit(-most))
 
 
-def slope_limits(dzdx: Column, dzdy: Column, z: Column) -> Column:
-    """struct(dzdx, dzdy): clamped, and 0 where steep ground is low, or z is null."""
+def slope_limits(dzdx: Column, dzdy: Column, z: Column, most: float = 0.12, low_ground: bool = True) -> Column:
+    """struct(dzdx, dzdy): clamped, and 0 where z is null or out of range or a slope is null, and where steep ground is low.
+
+    The crossing solution clamps at 0.1 and has no rule for low ground.
+    """
     steep = F.sqrt(dzdx * dzdx + dzdy * dzdy)
-    flat = z.isNull() | ((steep > 0.05) & (z < 75)) | ((steep > 0.03) & (z < 50))
-    return F.struct(F.when(flat, 0.0).otherwise(limit(dzdx, 0.12)).alias("dzdx"), F.when(flat, 0.0).otherwise(limit(dzdy, 0.12)).alias("dzdy"))
+    flat = z.isNull() | (z <= -1000) | (z > 10000) | dzdx.isNull() | dzdy.isNull()
+    if low_ground:
+        flat = flat | ((steep > 0.05) & (z < 75)) | ((steep > 0.03) & (z < 50))
+    return F.struct(F.when(flat, 0.0).otherwise(limit(dzdx, most)).alias("dzdx"), F.when(flat, 0.0).otherwise(limit(dzdy, most)).alias("dzdy"))
 
 
 def baseline_poly(b0: Column, b1: Column, b2: Column, x: Column) -> Column:

@@ -23,9 +23,9 @@ def dem_error(bn: Column, slant: Column, theta: Column) -> Column:
     return F.abs(bn) * 15.0 / (slant * F.sin(theta))
 
 
-def calibrate_azimuth(da: Column, pixel: Column, left: Column, slant: Column, theta: Column, c1: Column, dbc: Column, dbh: Column, along: Column) -> Column:
-    """azimuth offset in m without constants, baseline rates and the along-track part."""
-    zero = c1 + slant * F.sin(theta) * dbc - slant * F.cos(theta) * dbh
+def calibrate_azimuth(da: Column, pixel: Column, left: Column, slant: Column, theta: Column, c1: Column, dbc: Column, dbh: Column, along: Column, sv_offset: Column | float = 0.0) -> Column:
+    """azimuth offset in m without constants, baseline rates, the along-track part and, where state vectors are used, their offset."""
+    zero = F.lit(sv_offset) + c1 + slant * F.sin(theta) * dbc - slant * F.cos(theta) * dbh
     return F.when(left, -da).otherwise(da) * pixel - zero - along
 
 
@@ -44,9 +44,17 @@ def range_sigma(sigma: Column, least: Column, pixel: Column) -> Column:
     return F.greatest(least, _capped(sigma)) * pixel
 
 
-def topo_phase(height_phase: Column, flat_phase: Column) -> Column:
-    """F16: phase of the topography without that of the flat earth."""
-    return height_phase - flat_phase
+def topo_phase(slant: Column, height: Column, radius: Column, orbit: Column, flat_orbit: Column, centre: Column, flat_centre: Column, bn: Column, bp: Column, two_k: Column) -> Column:
+    """F16: phase of the topography without that of the flat earth.
+
+    The look angle at the surface (radius + height from the orbit's radius) is taken from centre, that of the flat earth, with the fixed orbit radius, from flat_centre.
+    """
+    angle = lambda r, top: F.acos((slant * slant + top * top - r * r) / (2 * top * slant))
+    theta_d, flat_d = angle(radius + height, orbit) - centre, angle(radius, flat_orbit) - flat_centre
+    square = bn * bn + bp * bp
+    bent = F.sqrt(slant * slant - 2 * slant * (bn * F.sin(theta_d) + bp * F.cos(theta_d)) + square) - slant
+    flat = -bn * F.sin(flat_d) - bp * F.cos(flat_d) + square * 0.5 / slant
+    return (bent - flat) * two_k
 
 
 def phase_error(variance: Column, residual: Column) -> Column:
@@ -65,6 +73,11 @@ def tide_correction(code: Column, tide_rate: Column, psi: Column, days: Column)
     return F.when(code == SHELF, -tide_rate * F.cos(psi) * days / YEAR).otherwise(0.0)
 
 
+def tie_tide(code: Column, vz: Column, tide_difference: Column, days: Column) -> Column:
+    """vertical velocity of a control point with the tide's on floating ice; a tide at or below -1000 is no data."""
+    return vz + F.when((code == SHELF) & (tide_difference > -1000), tide_difference / days * YEAR).otherwise(0.0)
+
+
 def tide_sigma(code: Column, sigma: Column, psi: Column) -> Column:
     """range error with that of the tide on floating ice."""
     return F.when(code == SHELF, F.sqrt(sigma * sigma + F.pow(0.1 * F.cos(psi), 2))).otherwise(sigma)
@@ -79,6 +92,11 @@ def radar_velocity(dr: Column, da: Column, psi: Column, days: Column, dzdr: Colu
     return F.struct(((dr * scale / F.sin(psi) + va * cot * slope_a) / (1 - cot * slope_r)).alias("vr"), va.alias("va"))
 
 
+def azimuth_error(sigma: Column, days: Column, phase_too: Column) -> Column:
+    """error of the velocity along track; times the root of 2 where the phase round has used azimuth offsets of the cell already."""
+    return sigma * YEAR / days * F.when(phase_too, 1.41421).otherwise(1.0)
+
+
 def vertical_velocity(mode: str, vx: Column, vy: Column, dzdx: Column, dzdy: Column, dr: Column, psi: Column, days: Column) -> Column:
     """the vertical layer, by mode: default, horizontal, vertical, los or incidence."""
     scaled = dr * YEAR / days / F.sin(psi)
@@ -130,17 +148,21 @@ def optical_variance(sigma: Column, tie_residual: Column, mean_sigma: Column, fi
     return F.least(general + sigma * sigma + fit_variance, F.lit(MAX_SIGMA**2)) * F.pow(pixel * YEAR / days, 2)
 
 
-def motion_correction(offset: Column, kind: str, vr: Column, va: Column, vz: Column, psi: Column, days: Column, two_k: Column | float = 1.0) -> Column:
-    """a tie's range, azimuth or phase measure without its known motion."""
-    years = days / YEAR
+def motion_correction(offset: Column, kind: str, vr: Column, va: Column, vz: Column, psi: Column, days: Column, two_k: Column | float = 1.0, reversed_time: bool = False) -> Column:
+    """a tie's range, azimuth or phase measure without its known motion; with time reversed the motion has the other sign."""
+    years = days / YEAR * (-1 if reversed_time else 1)
     los = years * (vr * F.sin(psi) - vz * F.cos(psi))
     return offset - {"range": los, "azimuth": va * years, "phase": los * F.lit(two_k)}[kind]
 
 
-def unflatten_phase(phase: Column, bn: Column, bp: Column, theta_d: Column, slant: Column, two_k: Column) -> Column:
-    """phase with the flattening of the virtual baseline put back."""
-    bent = F.sqrt(slant * slant - 2 * slant * (bn * F.sin(theta_d) + bp * F.cos(theta_d)) + bn * bn + bp * bp)
-    return phase + two_k * (bent - slant)
+def unflatten_phase(phase: Column, bn: Column, bp: Column, theta_d: Column, slant: Column, two_k: Column, ramp: Column | float = 0.0) -> Column:
+    """phase with the flattening of the virtual baseline put back, and the ramp along track (azimuth_ramp) where one was taken out."""
+    return phase + two_k * (-bn * F.sin(theta_d) - bp * F.cos(theta_d) + (bn * bn + bp * bp) / (2 * slant)) + F.lit(ramp)
+
+
+def azimuth_ramp(x: Column, omega: Column, looks: Column, lines: Column) -> Column:
+    """the ramp of omega at the normalised place x along an image of so many lines."""
+    return -x * omega * looks * lines
 
 
 def pixel_area(corners: list[Column]) -> Column:
@@ -152,3 +174,45 @@ def pixel_area(corners: list[Column]) -> Column:
 
     a, b, c, d = corners
     return triangle(a, b, c) + triangle(a, c, d)
+
+
+def _vector(p: Column, q: Column | None = None) -> list[Column]:
+    return [p[c] if q is None else p[c] - q[c] for c in "xyz"]
+
+
+def _dot(u: list[Column], v: list[Column]) -> Column:
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+
+def _unit(u: list[Column]) -> list[Column]:
+    n = F.sqrt(_dot(u, u))
+    return [c / n for c in u]
+
+
+def _cross(u: list[Column], v: list[Column]) -> list[Column]:
+    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+
+def plane_areas(corners: list[Column], satellite: Column, motion: Column) -> Column:
+    """struct(ab, ag, shadow) of a facet of four ECEF corners, seen from a satellite at a place with a velocity (structs of x, y, z).
+
+    ag is the area projected onto the plane across the line of sight, ab onto that which holds line of sight and motion; shadow is the lesser of the cosines between
+    the facet's two normals and the direction to the satellite.
+    """
+    points = [_vector(p) for p in corners]
+    middle = [(points[0][k] + points[1][k] + points[2][k] + points[3][k]) * 0.25 for k in range(3)]
+    look = _unit([middle[k] - satellite[c] for k, c in enumerate("xyz")])
+    across = _unit(_cross(_unit(_vector(motion)), look))
+
+    def projected(normal: list[Column]) -> Column:
+        flat = []
+        for p in points:
+            d = _dot([p[k] - middle[k] for k in range(3)], normal)
+            flat.append(F.struct(*[(p[k] - d * normal[k]).alias(c) for k, c in enumerate("xyz")]))
+        return pixel_area(flat)
+
+    def facing(a: int, b: int, c: int) -> Column:
+        normal = _unit(_cross([points[b][k] - points[a][k] for k in range(3)], [points[c][k] - points[a][k] for k in range(3)]))
+        return -_dot(normal, look)
+
+    return F.struct(projected(across).alias("ab"), projected(look).alias("ag"), F.least(facing(0, 1, 2), facing(0, 2, 3)).alias("shadow"))

@@ -65,16 +65,40 @@ def place_covariance(cov: Column, solved: list[int], size: int, scale: list[floa
     return F.array(*[at.get((a, b), F.lit(0.0)) for a in range(size) for b in range(size)])
 
 
-#: Bases by variant, of struct columns theta_d and x, with their places among bn, bp, dbn, dbp, const, quadratic terms.
+#: The terms solved for by variant, of struct columns theta_d and x, and their places in the covariance of bn, dbn, dbp, dbnq, dbpq and the last, which is the constant ("sv" variants: bp).
 RANGE_VARIANTS = {
-    "bnbpdbp": (["-sin", "-xcos", "1"], [0, 3, 4]), "bpdbp": (["-cos", "-xcos"], [1, 3]), "const": (["1"], [4]),
-    "linear": (["-sin", "-xcos", "-xsin", "1"], [0, 3, 2, 4]), "quad": (["-sin", "-xcos", "-xsin", "1", "-xxcos", "-xxsin"], [0, 3, 2, 4, 5, 5]),
-    "sv_const": (["1"], [4]), "sv_quad": (["-sin", "-xcos", "-xsin", "1", "-xxcos", "-xxsin"], [0, 3, 2, 4, 5, 5]),
-}
+    "bnbpdbp": (["bn", "dbp", "const"], [0, 2, 5]),
+    "bpdbp": (["dbp", "const"], [2, 5]),
+    "const": (["const"], [5]),
+    "linear": (["bn", "dbp", "dbn", "const"], [0, 2, 1, 5]),
+    "quad": (["bn", "dbp", "dbn", "const", "dbpq", "dbnq"], [0, 2, 1, 5, 4, 3]),
+    "sv_const": (["bp"], [5]),
+    "sv_quad": (["bn", "dbp", "dbn", "bp", "dbpq", "dbnq"], [0, 2, 1, 5, 4, 3]),
+}
+#: The terms by variant and their places in the covariance of bn, bp, dbn, dbp, dbnq, dbpq; "ramp" and "no_ramp" have their along-track term at the place of dbp.
+PHASE_VARIANTS = {
+    "ramp": (["bn", "bp", "ramp", "dbn"], [0, 1, 3, 2]),
+    "no_ramp": (["bn", "bp", "cos_ramp", "dbn"], [0, 1, 3, 2]),
+    "bp": (["bp"], [1]),
+    "bnbp": (["bn", "bp"], [0, 1]),
+    "bpdbp": (["bp", "dbp"], [1, 3]),
+    "bnbpdbp": (["bn", "bp", "dbp"], [0, 1, 3]),
+    "dbp": (["bn", "bp", "dbp", "dbn"], [0, 1, 3, 2]),
+    "quad": (["bn", "bp", "dbp", "dbn", "dbpq", "dbnq"], [0, 1, 3, 2, 5, 4]),
+}
+
+
+def baseline_terms(theta_d: Column, x: Column, scale: Column | float = 1.0) -> dict[str, Column]:
+    """What each baseline parameter adds to a measure, times scale (two_k for phase), by name."""
+    s, c, k = F.sin(theta_d), F.cos(theta_d), F.lit(scale)
+    return {
+        "bn": -k * s, "bp": -k * c, "dbn": -k * x * s, "dbp": -k * x * c, "dbnq": -k * x * x * s, "dbpq": -k * x * x * c,
+        "const": F.lit(1.0), "ramp": k * x, "cos_ramp": k * x * c,
+    }
 
 
 def range_basis(variant: str, theta_d: Column, x: Column) -> list[Column]:
-    terms = {"-sin": -F.sin(theta_d), "-cos": -F.cos(theta_d), "-xcos": -x * F.cos(theta_d), "-xsin": -x * F.sin(theta_d), "1": F.lit(1.0), "-xxcos": -x * x * F.cos(theta_d), "-xxsin": -x * x * F.sin(theta_d)}
+    terms = baseline_terms(theta_d, x)
     return [terms[n] for n in RANGE_VARIANTS[variant][0]]
 
 
@@ -84,10 +108,13 @@ def azimuth_basis(variant: str, x: Column, slant_sin: Column) -> list[Column]:
 
 
 def phase_basis(variant: str, theta_d: Column, x: Column, two_k: Column) -> list[Column]:
-    """Phase of a baseline linear along track, with a constant; 'no_ramp' leaves the rates out, 'omega_ramp' adds a ramp along track."""
-    base = [-two_k * F.sin(theta_d), -two_k * F.cos(theta_d)]
-    rates = [-two_k * x * F.sin(theta_d), -two_k * x * F.cos(theta_d)]
-    return {"no_ramp": [*base, F.lit(1.0)], "linear": [*base, *rates, F.lit(1.0)], "omega_ramp": [*base, *rates, x, F.lit(1.0)], "quad": [*base, *rates, *[r * x for r in rates], F.lit(1.0)]}[variant]
+    terms = baseline_terms(theta_d, x, two_k)
+    return [terms[n] for n in PHASE_VARIANTS[variant][0]]
+
+
+def placed_covariance(fitted: DataFrame, variants: dict, variant: str, size: int = 6) -> DataFrame:
+    """Fitted with cov, that of the parameters solved for, at its places in that of all."""
+    return fitted.withColumn("cov", place_covariance(F.col("cov"), variants[variant][1], size))
 
 
 def _passes(ties: DataFrame, basis: list[Column], passes: int, min_points: int, keys: list[str]) -> DataFrame:
@@ -101,9 +128,9 @@ def _passes(ties: DataFrame, basis: list[Column], passes: int, min_points: int,
 
 
 def fit_range_params(ties: DataFrame, variant: str = "bnbpdbp", passes: int = 3) -> DataFrame:
-    """Per pair_id from ties(pair_id, theta_d, x, weight, y)."""
+    """Per pair_id from ties(pair_id, theta_d, x, weight, y); two points at least."""
     basis = range_basis(variant, F.col("theta_d"), F.col("x"))
-    return _passes(ties, basis, passes, len(basis), ["pair_id"])
+    return _passes(ties, basis, passes, max(2, len(basis)), ["pair_id"])
 
 
 def fit_azimuth_params(ties: DataFrame, variant: str = "linear", passes: int = 3) -> DataFrame:
@@ -112,6 +139,25 @@ def fit_azimuth_params(ties: DataFrame, variant: str = "linear", passes: int = 3
     return _passes(ties, basis, passes, len(basis), ["pair_id"])
 
 
-def fit_phase_baseline(ties: DataFrame, variant: str = "linear") -> DataFrame:
+def fit_phase_baseline(ties: DataFrame, variant: str = "dbp") -> DataFrame:
     """Per pair_id from ties(pair_id, theta_d, x, two_k, y), all errors alike; four points at least."""
-    return wls_fit(ties, ["pair_id"], F.col("y"), F.lit(1.0), phase_basis(variant, F.col("theta_d"), F.col("x"), F.col("two_k")), 4)
+    basis = phase_basis(variant, F.col("theta_d"), F.col("x"), F.col("two_k"))
+    return wls_fit(ties, ["pair_id"], F.col("y"), F.lit(1.0), basis, max(4, len(basis)))
+
+
+def fit_sv_azimuth_surface(samples: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Per pair a surface of the basis 1, r, a, ra and r squared through samples(key, r, a, offset); 100 points at least."""
+    r, a = F.col("r"), F.col("a")
+    return wls_fit(samples, [key], F.col("offset"), F.lit(1.0), [F.lit(1.0), r, a, r * a, r * r], 100)
+
+
+def sv_sample_grid(pairs: DataFrame, side: int = 50) -> DataFrame:
+    """pairs(n_range, n_azimuth, ...) with r and a at the nodes of a grid of side x side over the image."""
+    at = lambda name: F.explode(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: k * F.col(name) / side)).alias(name[2:3])
+    return pairs.select("*", at("n_range")).select("*", at("n_azimuth"))
+
+
+def surface_at(params: Column, r: Column, a: Column) -> Column:
+    """The surface's value."""
+    p = [F.get(params, F.lit(k)) for k in range(5)]
+    return p[0] + p[1] * r + p[2] * a + p[3] * r * a + p[4] * r * r

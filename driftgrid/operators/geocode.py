@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,36 +86,137 @@ def _radar(points, scene, iterations=35, tolerance=1e-6):
     return t, np.linalg.norm(points - state[:, :3], axis=1), ~moving
 
 
-def _scene(pdf: pd.DataFrame) -> dict:
-    vectors = np.stack([np.stack([np.array([s[c] for c in STATE]) for s in row]) for row in pdf["states"]]) if len(pdf) else np.zeros((0, 5, 6))
-    return {"t0": pdf["t0"].to_numpy(float), "step": pdf["step"].to_numpy(float), "vectors": vectors}
+#: Columns of a scene that the kernels read; its states go along as one flat array of x, y, z, vx, vy, vz.
+SCENE = ("t0", "step", "flat", "start", "prf", "near", "pixel", "n_range", "n_azimuth", "look_left")
+
+
+def flat_scenes(scenes: DataFrame) -> DataFrame:
+    """scenes with flat in place of states (an array of structs)."""
+    return scenes.withColumn("flat", F.flatten(F.transform("states", lambda s: F.array(*[s[c] for c in STATE])))).drop("states")
+
+
+def _scene(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The scene columns of a batch; its rows have as many states."""
+    out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in SCENE if c != "flat"}
+    lists = batch.column("flat")
+    return out | {"vectors": lists.flatten().to_numpy().reshape(len(batch), -1, len(STATE))}
+
+
+def _by_size(batches):
+    """Batches in parts of rows whose orbits have the same number of states."""
+    for batch in batches:
+        sizes = batch.column("flat").value_lengths().to_numpy(zero_copy_only=False)
+        for n in np.unique(sizes):
+            yield batch if (sizes == n).all() else batch.filter(pa.array(sizes == n))
+
+
+def _kernel(rows: DataFrame, keys: list[str], work, out: tuple[str, ...]) -> DataFrame:
+    """rows through work(batch, scene), a dict of the columns ``out``, which are null where not a number."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{c} double" for c in out])
+
+    def run(batches):
+        for batch in _by_size(batches):
+            made = work(batch, _scene(batch))
+            arrays = [pa.array(np.asarray(made[c], float), from_pandas=True) for c in out]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *arrays], names=[*keys, *out])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _image_place(lat, lon, h, scene):
+    """Range and azimuth pixel, slant range, state and whether the place is in or near the image."""
+    p = _ecef(lat, lon, h)
+    t, slant, good = _radar(p, scene)
+    r, a = (slant - scene["near"]) / scene["pixel"], (t - scene["start"]) * scene["prf"]
+    good &= (r > -2000) & (r < scene["n_range"] + 2000) & (a > -2000) & (a < scene["n_azimuth"] + 2000)
+    return r, a, slant, t, good
+
+
+def _points_in_scenes(points: DataFrame, scenes: DataFrame, pad: float, cell: float) -> DataFrame:
+    """Points with the scenes whose padded box holds them, joined through cells of so many degrees."""
+    box = [(F.col(f"{c}_min") - pad, F.col(f"{c}_max") + pad) for c in ("lat", "lon")]
+    bins = [F.explode(F.sequence(F.floor(a / cell).cast("int"), F.floor(b / cell).cast("int"))) for a, b in box]
+    placed = flat_scenes(scenes).withColumn("_la", bins[0]).withColumn("_lo", bins[1])
+    at = points.withColumn("_la", F.floor(F.col("lat") / cell).cast("int")).withColumn("_lo", F.floor(F.col("lon") / cell).cast("int"))
+    return at.join(placed, ["_la", "_lo"]).where(F.col("lat").between(*box[0]) & F.col("lon").between(*box[1])).drop("_la", "_lo")
 
 
 def geocode_points(points: DataFrame, scenes: DataFrame, pad: float = 0.5, cell: float = 1.0) -> DataFrame:
     """points(point_id, lat, lon, h) in the radar coordinates of the scenes whose box, padded, holds them: scene_id, point_id, range, azimuth.
 
-    scenes(scene_id, lat_min, lat_max, lon_min, lon_max, t0, step, states: array of structs, start, prf, near, pixel, n_range, n_azimuth). Boxes are
+    scenes(scene_id, lat_min, lat_max, lon_min, lon_max, t0, step, states: array of structs, start, prf, near, pixel, n_range, n_azimuth, look_left). Boxes are
     joined through cells of one degree, then a vectorised Newton iteration runs on each batch; null where it doesn't converge or the
     place is more than 2000 pixels out.
     """
-    box = [(F.col(f"{c}_min") - pad, F.col(f"{c}_max") + pad) for c in ("lat", "lon")]
-    bins = [F.explode(F.sequence(F.floor(a / cell).cast("int"), F.floor(b / cell).cast("int"))) for a, b in box]
-    placed = scenes.withColumn("_la", bins[0]).withColumn("_lo", bins[1])
-    at = points.withColumn("_la", F.floor(F.col("lat") / cell).cast("int")).withColumn("_lo", F.floor(F.col("lon") / cell).cast("int"))
-    inside = F.col("lat").between(*box[0]) & F.col("lon").between(*box[1])
-    pairs = at.join(placed, ["_la", "_lo"]).where(inside).drop("_la", "_lo")
-    if pairs.schema["n_range"].dataType.simpleString() not in ("int", "bigint"):
-        raise TypeError("n_range must be whole")
 
-    def kernel(batches):
-        for pdf in batches:
-            t, slant, good = _radar(_ecef(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), pdf["h"].to_numpy(float)), _scene(pdf))
-            r, a = (slant - pdf["near"]) / pdf["pixel"], (t - pdf["start"]) * pdf["prf"]
-            good &= ((r > -2000) & (r < pdf["n_range"] + 2000) & (a > -2000) & (a < pdf["n_azimuth"] + 2000)).to_numpy()
-            yield pd.DataFrame({"scene_id": pdf["scene_id"], "point_id": pdf["point_id"], "range": np.where(good, r, np.nan), "azimuth": np.where(good, a, np.nan)})
+    def work(batch, scene):
+        r, a, _, _, good = _image_place(*_numbers(batch, "lat", "lon", "h"), scene)
+        return {"range": np.where(good, r, np.nan), "azimuth": np.where(good, a, np.nan)}
+
+    return _kernel(_points_in_scenes(points, scenes, pad, cell), ["scene_id", "point_id"], work, ("range", "azimuth"))
+
+
+GEOMETRY = ("range", "azimuth", "slant", "orbit", "heading")
 
-    out = pairs.mapInPandas(kernel, "scene_id bigint, point_id bigint, range double, azimuth double")
-    return out.select("scene_id", "point_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("range", "azimuth")])
+
+def radar_geometry(cells: DataFrame, scenes: DataFrame, keys: list[str], step: float = 0.0025) -> DataFrame:
+    """cells(keys, scene_id, lat, lon, h) in the image of their scene: keys, scene_id, range, azimuth, slant, orbit (radius in m), heading.
+
+    heading is that of two more places, step degrees south and north. All are null outside the image by more than 2000 pixels.
+    """
+
+    def work(batch, scene):
+        lat, lon, h = _numbers(batch, "lat", "lon", "h")
+        r, a, slant, t, good = _image_place(lat, lon, h, scene)
+        orbit = np.linalg.norm(_orbit(t, scene["t0"], scene["step"], scene["vectors"])[:, :3], axis=1) if len(batch) else slant
+        left = scene["look_left"].astype(bool)
+        sign = np.where(left, -step, step)
+        ends = []
+        for s in (-sign, sign):
+            _, ea, es, _, ok = _image_place(lat + s, lon, np.zeros(len(lat)), scene)
+            earth = np.linalg.norm(_ecef(lat + s, lon, np.zeros(len(lat))), axis=1)
+            ends.append((ea, earth * np.arccos(np.minimum((orbit**2 + earth**2 - es**2) / (2 * orbit * earth), 1.0)), ok))
+        (a1, g1, ok1), (a2, g2, ok2) = ends
+        speed = np.linalg.norm(_orbit(t, scene["t0"], scene["step"], scene["vectors"])[:, 3:], axis=1) if len(batch) else slant
+        along = (a2 - a1) * speed / scene["prf"] * np.linalg.norm(_ecef(lat, lon, h), axis=1) / orbit
+        across = np.where(left, g1 - g2, g2 - g1)
+        null = lambda x, ok: np.where(ok, x, np.nan)
+        return {"range": null(r, good), "azimuth": null(a, good), "slant": null(slant, good), "orbit": null(orbit, good), "heading": null(np.arctan2(along, across), good & ok1 & ok2)}
+
+    return _kernel(cells.join(flat_scenes(scenes), "scene_id"), [*keys, "scene_id"], work, GEOMETRY)
+
+
+def _on_ground(batch: pa.RecordBatch, scene, h):
+    """Places at height h of a batch's range and azimuth, and whether the iteration has converged."""
+    rng, azimuth = _numbers(batch, "range", "azimuth")
+    t, slant = scene["start"] + azimuth / scene["prf"], scene["near"] + rng * scene["pixel"]
+    state = _orbit(t, scene["t0"], scene["step"], scene["vectors"])
+    s, v = state[:, :3], state[:, 3:]
+    side = np.where(scene["look_left"].astype(bool), -1.0, 1.0)
+    top = np.linalg.norm(s, axis=1)
+    up = s / top[:, None]
+    right = np.cross(v, up)
+    right /= np.linalg.norm(right, axis=1, keepdims=True)
+    earth = 6371000.0 + h
+    theta = np.arccos(np.clip((slant**2 + top**2 - earth**2) / (2 * slant * top), -1, 1))
+    p = s + slant[:, None] * (side[:, None] * np.sin(theta)[:, None] * right - np.cos(theta)[:, None] * up)
+    good = np.zeros(len(h), bool)
+    axes = np.stack([MAJOR + h, MAJOR + h, MINOR + h], axis=1)
+    for _ in range(12):
+        d = p - s
+        f = np.stack([np.einsum("ij,ij->i", d, d) - slant**2, np.einsum("ij,ij->i", d, v), np.einsum("ij,ij->i", p / axes, p / axes) - 1], axis=1)
+        step = np.linalg.solve(np.stack([2 * d, v, 2 * p / axes**2], axis=1), f[:, :, None])[:, :, 0]
+        p = p - step
+        good = np.abs(step).max(axis=1, initial=0) < 1e-4
+        if good.all():
+            break
+    lat = np.degrees(np.arctan2(p[:, 2] * MAJOR**2 / MINOR**2, np.hypot(p[:, 0], p[:, 1])))
+    return np.where(good, lat, np.nan), np.where(good, np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.nan)
 
 
 def locate(scenes: DataFrame, samples: DataFrame) -> DataFrame:
@@ -123,39 +224,45 @@ def locate(scenes: DataFrame, samples: DataFrame) -> DataFrame:
 
     Newton's method on the three equations, over whole batches; null where 12 steps don't converge.
     """
-    rows = samples.join(scenes, "scene_id")
-
-    def kernel(batches):
-        for pdf in batches:
-            scene = _scene(pdf)
-            t = pdf["start"].to_numpy(float) + pdf["azimuth"].to_numpy(float) / pdf["prf"].to_numpy(float)
-            slant = pdf["near"].to_numpy(float) + pdf["range"].to_numpy(float) * pdf["pixel"].to_numpy(float)
-            state = _orbit(t, scene["t0"], scene["step"], scene["vectors"]) if len(pdf) else np.zeros((0, 6))
-            s, v, h = state[:, :3], state[:, 3:], pdf["h"].to_numpy(float)
-            side = np.where(pdf["look_left"].to_numpy(bool), -1.0, 1.0)
-            up = s / np.linalg.norm(s, axis=1, keepdims=True)
-            right = np.cross(v, up)
-            right /= np.linalg.norm(right, axis=1, keepdims=True)
-            earth = np.full(len(pdf), 6371000.0) + h
-            top = np.linalg.norm(s, axis=1)
-            theta = np.arccos(np.clip((slant**2 + top**2 - earth**2) / (2 * slant * top), -1, 1))
-            p = s + slant[:, None] * (side[:, None] * np.sin(theta)[:, None] * right - np.cos(theta)[:, None] * up)
-            good = np.zeros(len(pdf), bool)
-            for _ in range(12):
-                d = p - s
-                axes = np.stack([MAJOR + h, MAJOR + h, MINOR + h], axis=1)
-                f = np.stack([np.einsum("ij,ij->i", d, d) - slant**2, np.einsum("ij,ij->i", d, v), np.einsum("ij,ij->i", p / axes, p / axes) - 1], axis=1)
-                jac = np.stack([2 * d, v, 2 * p / axes**2], axis=1)
-                step = np.linalg.solve(jac, f[:, :, None])[:, :, 0] if len(pdf) else f
-                p = p - step
-                good = np.abs(step).max(axis=1, initial=0) < 1e-4
-                if good.all():
-                    break
-            lat = np.degrees(np.arctan2(p[:, 2] * MAJOR**2 / MINOR**2, np.hypot(p[:, 0], p[:, 1])))
-            yield pd.DataFrame({"scene_id": pdf["scene_id"], "sample_id": pdf["sample_id"], "lat": np.where(good, lat, np.nan), "lon": np.where(good, np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.nan)})
-
-    out = rows.mapInPandas(kernel, "scene_id bigint, sample_id bigint, lat double, lon double")
-    return out.select("scene_id", "sample_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("lat", "lon")])
+
+    def work(batch, scene):
+        return dict(zip(("lat", "lon"), _on_ground(batch, scene, _numbers(batch, "h")[0]), strict=True))
+
+    return _kernel(samples.join(flat_scenes(scenes), "scene_id"), ["scene_id", "sample_id"], work, ("lat", "lon"))
+
+
+def radar_grid(scenes: DataFrame, step: int) -> DataFrame:
+    """Samples of every scene at each step-th range and azimuth pixel: scene_id, sample_id, range, azimuth."""
+    at = lambda n, c: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1, F.lit(step))).alias(c)
+    cells = scenes.select("scene_id", "n_range", at("n_azimuth", "azimuth")).select("*", at("n_range", "range"))
+    return cells.select("scene_id", (F.col("azimuth").cast("long") * F.col("n_range").cast("long") + F.col("range")).alias("sample_id"), F.col("range").cast("double"), F.col("azimuth").cast("double"))
+
+
+def radar_grid_to_ground(scenes: DataFrame, samples: DataFrame, dem: DataFrame, rot: float, std_lat: float, origin: tuple[float, float], step: float, mask: DataFrame | None = None, rounds: int = 4) -> DataFrame:
+    """samples(scene_id, sample_id, range, azimuth) on the surface of dem(i, j, z): lat, lon, height and mask.
+
+    The grid's step and origin are km. A round locates all samples at their height and reads the height of that place from the DEM by a bilinear
+    join; heights settle after a few. Places off the DEM have height 0 and the mask's default 0.
+    """
+    from driftgrid.functions.geo import ll_to_xy
+    from driftgrid.operators.sampling import sample_bilinear, sample_nearest
+
+    keys = ["scene_id", "sample_id"]
+    at = samples.withColumn("h", F.lit(0.0))
+
+    def uv(located: DataFrame) -> DataFrame:
+        p = located.where("lat is not null").withColumn("p", ll_to_xy(F.col("lat"), F.col("lon"), rot, std_lat))
+        return p.select(*keys, ((F.col("p.x") - origin[0]) / step).alias("u"), ((F.col("p.y") - origin[1]) / step).alias("v"))
+
+    for _ in range(rounds):
+        heights = sample_bilinear(uv(locate(scenes, at)), dem, keys, ["z"], policy="zero").withColumnRenamed("z", "h")
+        at = samples.join(heights, keys, "left").withColumn("h", F.coalesce("h", F.lit(0.0)))
+    located = locate(scenes, at)
+    out = at.select(*keys, "range", "azimuth", F.col("h").alias("height")).join(located, keys)
+    if mask is None:
+        return out
+    codes = sample_nearest(uv(located), mask, "code").select(*keys, F.col("code").alias("mask"))
+    return out.join(codes, keys, "left")
 
 
 def scene_footprints(scenes: DataFrame) -> DataFrame:

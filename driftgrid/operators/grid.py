@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,19 @@ def point_in_triangle(triangles: DataFrame, max_edge: float | None = None, max_a
     inside = t.where((w1 >= 0) & (w2 >= 0) & (w3 >= 0))
     plane = lambda v: (w1 * F.col(f"{v}1") + w2 * F.col(f"{v}2") + w3 * F.col(f"{v}3")).alias(v)
     return inside.select("set_id", "tri_id", "i", "j", plane("vx"), plane("vy"))
+
+
+def separation_samples(pairs: DataFrame) -> DataFrame:
+    """About 4 x 4 cells over the common box of each of pairs(a_pair_id, b_pair_id, i_min, i_max, j_min, j_max)."""
+    at = lambda n: F.explode(F.sequence(F.col(f"{n}_min"), F.col(f"{n}_max") - 1, F.greatest(F.floor((F.col(f"{n}_max") - F.col(f"{n}_min")) / 4).cast("int"), F.lit(1)))).alias(n)
+    return pairs.select("*", at("i")).select("*", at("j"))
+
+
+def separated_pairs(samples: DataFrame, least: float = 0.7) -> DataFrame:
+    """(a_pair_id, b_pair_id, alpha) of pairs whose headings at the last sample that has both, by i and j, differ enough.
+
+    samples(a_pair_id, b_pair_id, i, j, a_heading, b_heading); a null heading is outside the image.
+    """
+    last = F.max_by(F.col("a_heading") - F.col("b_heading"), F.struct("i", "j")).alias("alpha")
+    found = samples.where("a_heading is not null and b_heading is not null").groupBy("a_pair_id", "b_pair_id").agg(last)
+    return found.where(F.abs("alpha").between(least, 2 * math.pi - least))

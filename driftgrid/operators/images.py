@@ -62,16 +62,32 @@ def trim_pad(image: DataFrame, pad: int, width: int, looks: int = 1) -> DataFram
 
 
 def rtc_area_sum(cells: DataFrame, rows: int = 3, columns: int = 2, least_db: float = -2.0, most_ratio: float = 0.65) -> DataFrame:
-    """Per cell the facet areas of its neighbours that overlap it in radar coordinates, for bright cells of small area ratio.
+    """cells(i, j, r, a, ab, ag, db) with ab_sum, ag_sum and their ratio.
 
-    cells(i, j, r, a, area, db, ratio): range and azimuth of the cell; the overlap is that of unit boxes in range.
+    ab and ag are the facet areas on the beta and gamma planes, r and a the cell's range and azimuth. A bright cell of small ratio gathers the areas of
+    its neighbours (any of them) times the overlap of unit boxes in range; boxes that don't touch in range and azimuth don't overlap. A dark cell, or one of a
+    large ratio, keeps its own areas.
     """
     step = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
-    give = cells.where((F.col("db") >= least_db) & (F.col("ratio") <= most_ratio)).select(F.col("i").alias("si"), F.col("j").alias("sj"), F.col("r").alias("sr"), F.col("area").alias("sarea"))
-    give = give.withColumn("di", step(rows)).withColumn("dj", step(columns)).where("di <> 0 or dj <> 0").select((F.col("si") + F.col("di")).alias("i"), (F.col("sj") + F.col("dj")).alias("j"), "sr", "sarea")
-    overlap = F.greatest(1 - F.abs(F.col("r") - F.col("sr")), F.lit(0.0))
-    more = cells.select("i", "j", "r").join(give, ["i", "j"]).groupBy("i", "j").agg(F.sum(F.col("sarea") * overlap).alias("more"))
-    return cells.join(more, ["i", "j"], "left").withColumn("area_sum", F.col("area") + F.coalesce("more", F.lit(0.0))).drop("more")
+    gathers = (F.col("db") >= least_db) & (F.col("ab") / F.col("ag") <= most_ratio)
+    give = cells.select("i", "j", F.col("r").alias("sr"), F.col("a").alias("sa"), F.col("ab").alias("sab"), F.col("ag").alias("sag"))
+    give = give.withColumn("di", step(rows)).withColumn("dj", step(columns)).where("di <> 0 or dj <> 0").select((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), "sr", "sa", "sab", "sag")
+    overlap = F.when(F.abs(F.col("a") - F.col("sa")) <= 1, F.greatest(1 - F.abs(F.col("r") - F.col("sr")), F.lit(0.0))).otherwise(0.0)
+    more = cells.where(gathers).select("i", "j", "r", "a").join(give, ["i", "j"]).groupBy("i", "j").agg(F.sum(F.col("sab") * overlap).alias("more_b"), F.sum(F.col("sag") * overlap).alias("more_g"))
+    summed = cells.join(more, ["i", "j"], "left")
+    summed = summed.withColumn("ab_sum", F.col("ab") + F.coalesce("more_b", F.lit(0.0))).withColumn("ag_sum", F.col("ag") + F.coalesce("more_g", F.lit(0.0)))
+    return summed.withColumn("ratio", F.col("ab_sum") / F.col("ag_sum")).drop("more_b", "more_g")
+
+
+def orbit_coverage(scenes: DataFrame, slack: float = 45.0) -> DataFrame:
+    """Of scenes(scene_id, start, n_azimuth, azimuth_looks, prf, states) those whose state vectors miss the acquisition by more than slack s, with the gaps.
+
+    start is in seconds of the day, states an array of structs with t.
+    """
+    end = F.col("start") + F.col("n_azimuth") * F.col("azimuth_looks") / F.col("prf")
+    times = F.transform("states", lambda s: s["t"])
+    gaps = scenes.select("scene_id", (F.array_min(times) - F.col("start")).alias("late"), (end - F.array_max(times)).alias("early"))
+    return gaps.where((F.col("late") > slack) | (F.col("early") > slack))
 
 
 def images_on(images: DataFrame, first: str, last: str) -> DataFrame:

@@ -141,3 +141,48 @@ def select_tie_cells(mosaic: DataFrame, threshold: float) -> DataFrame:
 def ties_in_bbox(ties: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
     """ties(x, y) inside x1, x2, y1, y2; all without a box."""
     return ties if box is None else ties.where(F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3]))
+
+
+def all_pairs(ascending: DataFrame, descending: DataFrame) -> DataFrame:
+    """Ascending pairs, then descending ones; repeated rows stay."""
+    return ascending.unionByName(descending)
+
+
+def observations(**families: DataFrame) -> DataFrame:
+    """The observations of several solutions, each with the name of its family."""
+    return reduce(DataFrame.unionByName, [df.withColumn("family", F.lit(name)) for name, df in families.items()])
+
+
+def extra_ties(lines: DataFrame, box: tuple[float, float, float, float] | None = None, code: str | None = None, tide: float = 0.0) -> DataFrame:
+    """Extra control points lines(seq, f, x, y, height, ...) as ties(lat, lon, z, vx, vy, vz, weight).
+
+    f is the line's numbers: six (weight 1) or seven, or two, which stand for no motion at the DEM's height. Others, and the file's first line, are
+    left out. On floating ice (``code`` names the mask's column) tide is added to vz. Points outside the box in x, y are left out.
+    """
+    n, get = F.size("f"), lambda k: F.get("f", F.lit(k))
+    rows = lines.where((F.col("seq") > 0) & ((n >= 6) | (n == 2)))
+    floating = (F.col(code) == 1) if code else F.lit(False)
+    still = n == 2
+    ties = rows.select(
+        get(0).alias("lat"), get(1).alias("lon"), F.when(still, F.col("height")).otherwise(get(2)).alias("z"), *[F.when(still, 0.0).otherwise(get(k)).alias(c) for k, c in ((3, "vx"), (4, "vy"))],
+        F.when(still, 0.0).otherwise(get(5) + F.when(floating, tide).otherwise(0.0)).alias("vz"), F.coalesce(get(6), F.lit(1.0)).alias("weight"), "x", "y",
+    )
+    return ties_in_bbox(ties, box).drop("x", "y")
+
+
+def all_ties(mosaic_ties: DataFrame, extra: DataFrame) -> DataFrame:
+    """The mosaic's control points and extra ones; columns that either lacks are null."""
+    return mosaic_ties.unionByName(extra, allowMissingColumns=True)
+
+
+def date_range(pairs: DataFrame) -> DataFrame:
+    """The first day of pairs(jd1, n_days) and the last, as jd1 and jd2."""
+    return pairs.agg(F.min("jd1").alias("jd1"), F.max(F.col("jd1") + F.col("n_days")).alias("jd2"))
+
+
+def infer_hemisphere(scenes: DataFrame, order: str = "input_seq") -> DataFrame:
+    """Hemisphere, rotation and standard latitude by the sign of the first scene's (or tie's) latitude; without any, has_scenes is false and they are null."""
+    first = scenes.agg(F.min_by("lat", order).alias("lat"))
+    south = F.col("lat") < 0
+    pick = lambda a, b: F.when(south, a).when(F.col("lat").isNotNull(), b)
+    return first.select(pick("south", "north").alias("hemisphere"), pick(0, 45).alias("rot"), pick(71, 70).alias("std_lat"), F.col("lat").isNotNull().alias("has_scenes"))

@@ -84,3 +84,16 @@ def dem_slope(cells: DataFrame, dx: float, dy: float, keys: list[str] | None = N
         return (at(1) - F.col("z")) / step if forward else (at(1) - at(-1)) / (2 * step)
 
     return cells.withColumn("dzdx", slope("j", across, dx)).withColumn("dzdy", slope("i", along, dy))
+
+
+def dem_slope_at(points: DataFrame, dem: DataFrame, keys: list[str], dx: float, dy: float, least: float = 90.0) -> DataFrame:
+    """points(keys, u, v) in cells of a DEM(i, j, z) with nodes dx and dy m apart: dzdx, dzdy by central differences over a cell, or over ``least`` m.
+
+    Heights half a step to each side are bilinear; a slope is null where one is missing.
+    """
+    du, dv = max(dx, least) / dx, max(dy, least) / dy
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), (F.col("u") + a * du / 2).alias("u"), (F.col("v") + b * dv / 2).alias("v")) for n, a, b in ((0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1))])
+    ends = points.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
+    z = sample_bilinear(ends, dem, [*keys, "side"], ["z"])
+    at = lambda n: F.max(F.when(F.col("side") == n, F.col("z")))
+    return z.groupBy(*keys).agg(((at(0) - at(1)) / (dx * du)).alias("dzdx"), ((at(2) - at(3)) / (dy * dv)).alias("dzdy"))

@@ -24,6 +24,17 @@ SQL = {
         FROM {supplier} s JOIN {part} p ON CAST(floor(p.p_partkey / 20) AS INT) BETWEEN s.s_suppkey - 3 AND s.s_suppkey + 5
         WHERE p.p_partkey % 20 >= (s.s_suppkey * 5) % 9 AND p.p_partkey % 20 < (s.s_suppkey * 5) % 9 + 11
         AND (p.p_partkey * 13 + s.s_suppkey * 5) % 11 <> 0""",
+    "radar_fx": """SELECT s.s_suppkey AS pair_id, CAST(floor(p.p_partkey / 20) AS INT) AS i, CAST(p.p_partkey % 20 AS INT) AS j,
+        CAST((p.p_size - 25) * 0.4 + s.s_suppkey % 10 * 0.1 AS DOUBLE) AS dr, CAST((p.p_partkey % 17) * 0.3 - s.s_suppkey % 7 * 0.2 AS DOUBLE) AS da,
+        CAST(0.05 + (p.p_partkey * 7 + s.s_suppkey * 3) % 5 * 0.01 AS DOUBLE) AS sr, CAST(0.1 + (p.p_partkey * 3 + s.s_suppkey) % 4 * 0.02 AS DOUBLE) AS sa,
+        CAST(0.5 + p.p_partkey % 9 * 0.01 AS DOUBLE) AS psi, CAST(CASE WHEN s.s_suppkey % 2 = 0 THEN 0.3 ELSE 2.4 END + p.p_partkey % 7 * 0.01 AS DOUBLE) AS heading,
+        CAST(p.p_partkey % 11 * 0.02 AS DOUBLE) AS xy, CAST(p.p_retailprice AS DOUBLE) AS z, CAST((p.p_partkey * 7 % 13 - 6) * 0.03 AS DOUBLE) AS dzdx, CAST((p.p_partkey * 5 % 11 - 5) * 0.01 AS DOUBLE) AS dzdy,
+        CASE WHEN p.p_size < 4 THEN 5 WHEN p.p_size < 8 THEN 1 WHEN p.p_size < 10 THEN 2 ELSE 0 END AS code, CAST(6 * (1 + s.s_suppkey % 4) AS DOUBLE) AS n_days,
+        CAST(0.5 + 0.1 * (s.s_suppkey % 5) AS DOUBLE) AS weight, CAST(s.s_suppkey % 9 - 4 AS DOUBLE) AS dt, CAST(0.3 AS DOUBLE) AS tide_rate, CAST(0.1 AS DOUBLE) AS submergence,
+        CAST(s.s_suppkey - 3 AS INT) AS i_min, CAST(s.s_suppkey + 6 AS INT) AS i_max, CAST((s.s_suppkey * 5) % 9 AS INT) AS j_min, CAST((s.s_suppkey * 5) % 9 + 11 AS INT) AS j_max
+        FROM {supplier} s JOIN {part} p ON CAST(floor(p.p_partkey / 20) AS INT) BETWEEN s.s_suppkey - 3 AND s.s_suppkey + 5
+        WHERE p.p_partkey % 20 >= (s.s_suppkey * 5) % 9 AND p.p_partkey % 20 < (s.s_suppkey * 5) % 9 + 11
+        AND (p.p_partkey * 13 + s.s_suppkey * 5) % 11 <> 0""",
     "matches_fx": """SELECT s_suppkey AS match_id, CAST((s_suppkey * 5) % 9 * 100.0 + 30.0 AS DOUBLE) AS x0, CAST((s_suppkey - 3) * 100.0 + 20.0 AS DOUBLE) AS y0,
         CAST(25.0 AS DOUBLE) AS dx, CAST(25.0 AS DOUBLE) AS dy, 8 AS nx, 8 AS ny, 10 AS step_x, 10 AS step_y,
         CAST(2458849.5 + (s_suppkey * 7) % 180 AS DOUBLE) AS jd_early, CAST(2458849.5 + (s_suppkey * 7) % 180 + 6 * (1 + s_suppkey % 4) AS DOUBLE) AS jd_late,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from driftgrid.functions import dates, geo, image, velocity
 from driftgrid.operators import fit, geocode, grid, images, mosaic, sampling
 from driftgrid.plans.fixtures import fixture, with_fixtures
+from driftgrid.plans import velocity as plans
 from driftgrid.plans.velocity import optical_mosaic, speckle_observations
 from driftgrid.sources import sinks
 
@@ -81,6 +83,9 @@ per_row("F9_rotations", "samples_fx", S, {"x": (lambda: ROT()["x"], "dr * cos(he
 FLAT = "(sqrt(dzdr * dzdr + dzda * dzda) > 0.05 AND z / 100 < 75) OR (sqrt(dzdr * dzdr + dzda * dzda) > 0.03 AND z / 100 < 50)"
 LIM = lambda: geo.slope_limits(C("dzdr"), C("dzda"), C("z") / 100)
 per_row("F10_slope_limits", "samples_fx", S, {"dzdx": (lambda: LIM()["dzdx"], f"CASE WHEN {FLAT} THEN 0 ELSE greatest(least(dzdr, 0.12), -0.12) END"), "dzdy": (lambda: LIM()["dzdy"], f"CASE WHEN {FLAT} THEN 0 ELSE greatest(least(dzda, 0.12), -0.12) END")})
+CROSS_LIM = lambda: geo.slope_limits(C("dzdr") * 2, C("dzda") * 2, F.when(C("code") == 5, -2000.0).otherwise(C("z")), 0.1, False)
+per_row("F10_crossing_slopes", "samples_fx", S, {"dzdx": (lambda: CROSS_LIM()["dzdx"], "CASE WHEN code = 5 OR z > 10000 THEN 0 ELSE greatest(least(dzdr * 2, 0.1), -0.1) END"), "dzdy": (lambda: CROSS_LIM()["dzdy"], "CASE WHEN code = 5 OR z > 10000 THEN 0 ELSE greatest(least(dzda * 2, 0.1), -0.1) END")})
+per_row("F8_heading", "samples_fx", S, {"right": (lambda: geo.heading(C("da"), C("dr"), C("dr") * 3 + 1, F.lit(False)), "atan2(da, dr * 2 + 1)"), "left": (lambda: geo.heading(C("da"), C("dr"), C("dr") * 3 + 1, F.lit(True)), "atan2(da, -dr * 2 - 1)"), "angle": (lambda: geo.ground_angle(C("slant"), F.lit(6371000.0) + C("z"), F.lit(7071000.0)), "acos((7071000.0 * 7071000.0 + pow(6371000.0 + z, 2) - slant * slant) / (2 * 7071000.0 * (6371000.0 + z)))")})
 per_row("F11_baseline", "samples_fx", S, {"b": (lambda: geo.baseline_poly(C("bn"), C("bp"), C("sr"), C("x")), "bn + bp * x + sr * x * x"), "norm": (lambda: geo.norm_azimuth(C("slant"), F.lit(900000.0)), "(slant - 450000.0) / 900000.0")})
 COV = lambda: F.array(C("sr"), F.lit(0.1), F.lit(0.1), C("theta"))
 per_row("F12_quad_form", "samples_fx", S, {"q": (lambda: geo.quad_form(COV(), F.array(C("dr"), C("da"))), "dr * dr * sr + 2 * CAST(0.1 AS DOUBLE) * dr * da + da * da * theta")})
@@ -88,9 +93,16 @@ BENT = "sqrt(slant * slant - 2 * slant * (bn * sin(theta_d) + bp * cos(theta_d))
 per_row("F13_range_offset", "samples_fx", S, {"dr": (lambda: velocity.calibrate_range(C("dr"), F.lit(2.3), C("slant"), C("theta_d"), C("bn"), C("bp"), F.lit(0.75)), f"dr * CAST(2.3 AS DOUBLE) - ({BENT} - slant + 0.75)"), "dem": (lambda: velocity.dem_error(C("bn"), C("slant"), C("theta")), "abs(bn) * 15 / (slant * sin(theta))")}, 5)
 per_row("F14_azimuth_offset", "samples_fx", S, {"da": (lambda: velocity.calibrate_azimuth(C("da"), F.lit(14.1), C("code") == 1, C("slant"), C("theta"), F.lit(0.5), F.lit(1e-6), F.lit(2e-6), C("x") * 0.1), "CASE WHEN code = 1 THEN -da ELSE da END * CAST(14.1 AS DOUBLE) - (0.5 + slant * sin(theta) * 1e-6 - slant * cos(theta) * 2e-6) - x * CAST(0.1 AS DOUBLE)")})
 CAP = "CASE WHEN {0} > 0.2 OR {0} < 0 THEN 0.2 ELSE {0} END"
+per_row("F14_azimuth_with_states", "samples_fx", S, {"da": (lambda: velocity.calibrate_azimuth(C("da"), F.lit(14.1), C("code") == 1, C("slant"), C("theta"), F.lit(0.5), F.lit(1e-6), F.lit(2e-6), C("x") * 0.1, C("bn") * 0.01), "CASE WHEN code = 1 THEN -da ELSE da END * CAST(14.1 AS DOUBLE) - (bn * 0.01 + 0.5 + slant * sin(theta) * 1e-6 - slant * cos(theta) * 2e-6) - x * CAST(0.1 AS DOUBLE)")})
 per_row("F15_offset_sigma", "samples_fx", S, {"sa": (lambda: velocity.azimuth_sigma(C("sa"), C("theta_d"), F.lit(14.0)), f"sqrt(pow({CAP.format('sa')}, 2) + pow(greatest(theta_d, 0.001), 2)) * 14"), "sr": (lambda: velocity.range_sigma(C("sr") * 3, C("theta_d"), F.lit(2.0)), f"greatest(theta_d, {CAP.format('(sr * 3)')}) * 2")})
-per_row("F16_phase", "samples_fx", S, {"phase": (lambda: velocity.topo_phase(C("dr") * C("bn"), C("da")), "dr * bn - da"), "fit": (lambda: velocity.phase_error(C("sr"), C("theta") * 10), "sqrt(sr + pow(least(pi(), theta * 10), 2))"), "dem": (lambda: velocity.phase_error_dem(C("bn"), C("slant"), C("theta"), F.lit(220.0)), "sqrt(pow(pi() / 4, 2) + pow(abs(bn) * 30 / (slant * sin(theta)) * 220, 2))")})
-per_row("F17_tides", "samples_fx", S, {"correction": (lambda: velocity.tide_correction(C("code"), C("da"), C("psi"), C("n_days")), "CASE WHEN code = 1 THEN -da * cos(psi) * n_days / 365.25 ELSE 0 END"), "sigma": (lambda: velocity.tide_sigma(C("code"), C("sr"), C("psi")), "CASE WHEN code = 1 THEN sqrt(sr * sr + pow(0.1 * cos(psi), 2)) ELSE sr END")})
+ANGLE_SQL = "acos((slant * slant + {o} * {o} - pow({r}, 2)) / (2 * {o} * slant))"
+THETA_D = "(" + ANGLE_SQL.format(o="7071000.0", r="(6371000.0 + z)") + " - CAST(0.6 AS DOUBLE))"
+FLAT_D = "(" + ANGLE_SQL.format(o="7070900.0", r="6371000.0") + " - CAST(0.61 AS DOUBLE))"
+TOPO_SQL = f"220 * (sqrt(slant * slant - 2 * slant * (bn * sin({THETA_D}) + bp * cos({THETA_D})) + bn * bn + bp * bp) - slant + bn * sin({FLAT_D}) + bp * cos({FLAT_D}) - (bn * bn + bp * bp) * 0.5 / slant)"
+TOPO = lambda: velocity.topo_phase(C("slant"), C("z"), F.lit(6371000.0), F.lit(7071000.0), F.lit(7070900.0), F.lit(0.6), F.lit(0.61), C("bn"), C("bp"), F.lit(220.0))
+per_row("F16_phase", "samples_fx", S, {"phase": (TOPO, TOPO_SQL), "fit": (lambda: velocity.phase_error(C("sr"), C("theta") * 10), "sqrt(sr + pow(least(pi(), theta * 10), 2))"), "dem": (lambda: velocity.phase_error_dem(C("bn"), C("slant"), C("theta"), F.lit(220.0)), "sqrt(pow(pi() / 4, 2) + pow(abs(bn) * 30 / (slant * sin(theta)) * 220, 2))")}, 3)
+per_row("F17_tides", "samples_fx", S, {"correction": (lambda: velocity.tide_correction(C("code"), C("da"), C("psi"), C("n_days")), "CASE WHEN code = 1 THEN -da * cos(psi) * n_days / 365.25 ELSE 0 END"), "sigma": (lambda: velocity.tide_sigma(C("code"), C("sr"), C("psi")), "CASE WHEN code = 1 THEN sqrt(sr * sr + pow(0.1 * cos(psi), 2)) ELSE sr END"), "tie_vz": (lambda: velocity.tie_tide(C("code"), C("dzdr"), F.when(C("theta") > 0.5, C("da")).otherwise(-2e9), C("n_days")), "dzdr + CASE WHEN code = 1 AND theta > 0.5 THEN da / n_days * 365.25 ELSE 0 END")})
+per_row("F18_azimuth_error", "samples_fx", S, {"ea": (lambda: velocity.azimuth_error(C("sr"), C("n_days"), C("code") == 1), "sr * 365.25 / n_days * CASE WHEN code = 1 THEN 1.41421 ELSE 1 END")})
 VEL = lambda: velocity.radar_velocity(C("dr"), C("da"), C("psi"), C("n_days"), C("dzdr") / 4, C("dzda") / 4, C("code"))
 GROUND = "(CASE WHEN code <> 1 THEN 0.25 ELSE 0 END)"
 MODES = lambda: {m: velocity.vertical_velocity(m, C("dr"), C("da"), C("dzdr"), C("dzda"), C("dr"), C("psi"), C("n_days")) for m in ("default", "horizontal", "vertical", "los", "incidence")}
@@ -142,9 +154,14 @@ per_row("F24_decibels", "samples_fx", S, {"db": (lambda: SIG(), DB), "correction
 per_row("F25_byte_scale", "samples_fx", S, {"b": (lambda: image.byte_scale(C("sr"), 0.02, 0.08, 0.5), "CASE WHEN sr = 0 THEN 0 ELSE greatest(least(CAST(trunc(pow(greatest(least((sr - CAST(0.02 AS DOUBLE)) / (CAST(0.08 AS DOUBLE) - CAST(0.02 AS DOUBLE)), 1), 0), 0.5) * 255) AS INT), 255), 1) END")})
 LOS = "n_days / 365.25 * (dr * sin(psi) - dzdr * cos(psi))"
 per_row("F26_motion_correction", "samples_fx", S, {"range": (lambda: velocity.motion_correction(C("theta"), "range", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days")), f"theta - {LOS}"), "azimuth": (lambda: velocity.motion_correction(C("theta"), "azimuth", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days")), "theta - da * n_days / 365.25"), "phase": (lambda: velocity.motion_correction(C("theta"), "phase", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days"), 220.0), f"theta - 220 * {LOS}")})
-per_row("F27_unflatten", "samples_fx", S, {"phase": (lambda: velocity.unflatten_phase(C("dr"), C("bn"), C("bp"), C("theta_d"), C("slant"), F.lit(0.5)), f"dr + 0.5 * ({BENT} - slant)")}, 4)
+per_row("F26_reversed_time", "samples_fx", S, {"range": (lambda: velocity.motion_correction(C("theta"), "range", C("dr"), C("da"), C("dzdr"), C("psi"), C("n_days"), reversed_time=True), f"theta + {LOS}")})
+per_row("F27_unflatten", "samples_fx", S, {"phase": (lambda: velocity.unflatten_phase(C("dr"), C("bn"), C("bp"), C("theta_d"), C("slant"), F.lit(0.5), velocity.azimuth_ramp(C("x"), C("sr"), F.lit(4.0), F.lit(1000.0))), "dr + 0.5 * (-bn * sin(theta_d) - bp * cos(theta_d) + (bn * bn + bp * bp) / (2 * slant)) - x * sr * 4000")}, 4)
 CORNER = lambda: [F.struct((C("theta") * a).alias("x"), (C("psi") * b).alias("y"), (C("dr") * a * b).alias("z")) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
 per_row("F28_pixel_area", "samples_fx", S, {"area": (lambda: velocity.pixel_area(CORNER()), "0.5 * sqrt(pow(dr * psi, 2) * 0 + pow(theta * dr, 2) + pow(theta * psi, 2)) + 0.5 * sqrt(pow(psi * dr, 2) + pow(theta * psi, 2))")}, 5)
+# a rectangle 2p by 2q on the ground, seen from (0, -h tan(psi), h) by a satellite that moves along x: gamma sees q cos(psi), beta sees q sin(psi)
+FACET = lambda: [F.struct((a * C("theta")).alias("x"), (b * C("psi")).alias("y"), F.lit(0.0).alias("z")) for a, b in ((-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0))]
+PLANES = lambda: velocity.plane_areas(FACET(), F.struct(F.lit(0.0).alias("x"), (-1000.0 * F.tan("psi")).alias("y"), F.lit(1000.0).alias("z")), F.struct(F.lit(7500.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
+per_row("F28_plane_areas", "samples_fx", S, {"ab": (lambda: PLANES()["ab"], "4 * theta * psi * sin(psi)"), "ag": (lambda: PLANES()["ag"], "4 * theta * psi * cos(psi)"), "shadow": (lambda: PLANES()["shadow"], "cos(psi)")}, 5)
 TIME = lambda: dates.multilook_start(C("slant") / 10, C("dr") * 100, F.lit(500.0), F.lit(9.0))
 SEC = "(slant / 10 + dr * 100 + CAST(0.5 AS DOUBLE) * 8 / 500)"
 per_row("F29_times", "samples_fx", S, {"day_shift": (lambda: TIME()["day_shift"], f"CAST(floor({SEC} / 86400) AS INT)"), "second": (lambda: TIME()["second"], f"{SEC} - floor({SEC} / 86400) * 86400")}, 4)
@@ -269,8 +286,8 @@ on("P5_clip_to_reference", ("obs_fx",), f", r AS ({REF}) SELECT pair_id, o.i, o.
 per_row("P13_trim_pad", "cells_fx", ["i", "j"], {"value": (lambda: C("z"), "CASE WHEN j < 3 OR j >= 17 THEN 0 ELSE z END")})
 QUERIES["P13_trim_pad"] = lambda s, d: images.trim_pad(fixture(s, d, "cells_fx").select("i", "j", C("j").alias("r"), C("z").alias("value")), 3, 20).select("i", "j", r6(C("value"), "value"))
 on("P14_ties_in_bbox", ("points_fx",), "SELECT point_id FROM points_fx WHERE lon BETWEEN 20 AND 80 AND lat BETWEEN 65 AND 75")(lambda p: mosaic.ties_in_bbox(p.select("point_id", C("lon").alias("x"), C("lat").alias("y")), (20.0, 80.0, 65.0, 75.0)).select("point_id"))
-on("U1_all_pairs", ("pairs_fx",), "SELECT pair_id, pass_type FROM pairs_fx")(lambda p: p.where("pass_type = 0").unionByName(p.where("pass_type = 1")).select("pair_id", "pass_type"))
-on("U2_families", ("obs_fx",), "SELECT pair_id, i, j, 'optical' AS family FROM obs_fx WHERE vx > 0 UNION ALL SELECT pair_id, i, j, 'speckle' FROM obs_fx WHERE vy > 0")(lambda o: o.where("vx > 0").select("pair_id", "i", "j", F.lit("optical").alias("family")).unionByName(o.where("vy > 0").select("pair_id", "i", "j", F.lit("speckle").alias("family"))))
+on("U1_all_pairs", ("pairs_fx",), "SELECT pair_id, pass_type FROM pairs_fx")(lambda p: mosaic.all_pairs(p.where("pass_type = 0"), p.where("pass_type = 1")).select("pair_id", "pass_type"))
+on("U2_families", ("obs_fx",), "SELECT pair_id, i, j, 'optical' AS family FROM obs_fx WHERE vx > 0 UNION ALL SELECT pair_id, i, j, 'speckle' FROM obs_fx WHERE vy > 0")(lambda o: mosaic.observations(optical=o.where("vx > 0").select("pair_id", "i", "j"), speckle=o.where("vy > 0").select("pair_id", "i", "j")))
 on("U4_footprint_intersection", ("pairs_fx",), f"SELECT a.pair_id, {INNER} FROM pairs_fx a JOIN pairs_fx b ON b.pair_id = a.pair_id + 1 WHERE greatest(a.i_min, b.i_min) < least(a.i_max, b.i_max) AND greatest(a.j_min, b.j_min) < least(a.j_max, b.j_max)")(
     lambda p: p.select(*[C(n).alias(f"a_{n}") for n in p.columns]).join(p.select(*[C(n).alias(f"b_{n}") for n in p.columns]), C("b_pair_id") == C("a_pair_id") + 1).where(grid.boxes_intersect("a_", "b_")).select(C("a_pair_id").alias("pair_id"), *grid.intersection("a_", "b_"))
 )
@@ -298,7 +315,7 @@ on("A7_seed_from_reference", ("obs_fx", "cells_fx"), ", u AS (SELECT i, j, z / 1
 on("A8_auto_bounds", ("points_fx",), ", b AS (SELECT CAST(trunc(min(lon) - 3) AS INT) AS x0, CAST(trunc(max(lon) + 3) AS INT) AS x1, CAST(trunc(min(lat) - 3) AS INT) AS y0, CAST(trunc(max(lat) + 3) AS INT) AS y1 FROM points_fx) SELECT x0 AS origin_x, y0 AS origin_y, CAST(trunc((x1 - x0) / 0.5 + 0.5) AS INT) AS nx, CAST(trunc((y1 - y0) / 0.25 + 0.5) AS INT) AS ny FROM b")(
     lambda p: grid.auto_bounds(p.select(C("lon").alias("x"), C("lat").alias("y")), 0.5, 0.25)
 )
-on("A9_date_range", ("pairs_fx",), "SELECT min(jd1) AS jd1, max(jd1 + n_days) AS jd2 FROM pairs_fx")(lambda p: p.agg(F.min("jd1").alias("jd1"), F.max(C("jd1") + C("n_days")).alias("jd2")))
+on("A9_date_range", ("pairs_fx",), "SELECT min(jd1) AS jd1, max(jd1 + n_days) AS jd2 FROM pairs_fx")(mosaic.date_range)
 on("A10_coarse_registration", ("ties_fx",), "SELECT pair_id, round(avg(y * 4), 8) AS range_offset, round(avg(x * 2), 8) AS azimuth_offset FROM ties_fx WHERE 100 + theta_d * 3000 + y BETWEEN 0 AND 199 AND 50 + x BETWEEN 0 AND 99 GROUP BY 1")(
     lambda t: geocode.coarse_registration(t.select("pair_id", (100 + C("theta_d") * 3000).alias("r1"), F.lit(50.0).alias("a1"), (100 + C("theta_d") * 3000 + C("y")).alias("r2"), (50 + C("x")).alias("a2"), F.lit(200).alias("n_range"), F.lit(100).alias("n_azimuth")), 4, 2).select("pair_id", r6(C("range_offset"), "range_offset", 8), r6(C("azimuth_offset"), "azimuth_offset", 8))
 )
@@ -312,23 +329,79 @@ on("X1_wls_line", ("ties_fx",), "SELECT pair_id, count(*) AS n, round(regr_inter
 on("A13_fit_azimuth_linear", ("ties_fx",), "SELECT pair_id, round(regr_intercept(y, x), 6) AS c1, round(regr_slope(y, x), 6) AS rate FROM ties_fx GROUP BY 1 HAVING count(*) >= 2 AND var_pop(x) > 1e-9")(
     lambda t: fit.fit_azimuth_params(t.withColumn("slant_sin", F.lit(1.0)).withColumn("weight", F.lit(1.0)), "linear", passes=1).select("pair_id", r6(F.get("params", F.lit(0)) * 8e5, "c1"), r6(F.get("params", F.lit(1)) * 8e5, "rate"))
 )
+TERMS = {"bn": "-sin(theta_d)", "bp": "-cos(theta_d)", "dbn": "-x * sin(theta_d)", "dbp": "-x * cos(theta_d)", "dbnq": "-x * x * sin(theta_d)", "dbpq": "-x * x * cos(theta_d)", "const": "1.0"}
+PLANTED = {"bn": 12.5, "bp": -4.0, "dbn": -2.0, "dbp": 3.0, "dbnq": 7.5, "dbpq": 1.5, "const": 0.75, "ramp": 2.25}
+# variant: terms in the order of the solution
+RANGE_SOLUTIONS = {"bnbpdbp": "bn dbp const", "bpdbp": "dbp const", "const": "const", "linear": "bn dbp dbn const", "quad": "bn dbp dbn const dbpq dbnq", "sv_const": "bp", "sv_quad": "bn dbp dbn bp dbpq dbnq"}
+PHASE_SOLUTIONS = {"ramp": "bn bp ramp dbn", "no_ramp": "bn bp ramp dbn", "bp": "bp", "bnbp": "bn bp", "bpdbp": "bp dbp", "bnbpdbp": "bn bp dbp", "dbp": "bn bp dbp dbn", "quad": "bn bp dbp dbn dbpq dbnq"}
+
+
+def _planted(names: str, scale: float, ramp: str) -> str:
+    """The measure that the planted coefficients make, in SQL."""
+    terms = {n: t if n == "const" else f"{scale} * ({t})" for n, t in TERMS.items()} | {"ramp": f"{scale} * {ramp}"}
+    return " + ".join(f"({PLANTED[n]}) * ({terms[n]})" for n in names.split())
+
+
+for variant, names in RANGE_SOLUTIONS.items():
+    def _run(spark, sf_dir, variant=variant, names=names):
+        ties = fixture(spark, sf_dir, "ties_fx").withColumn("y", F.expr(_planted(names, 1.0, "x")).cast("double"))
+        found = fit.fit_range_params(ties, variant, passes=1).where("n >= 20")
+        return found.select("pair_id", "n", *[r6(F.get("params", F.lit(k)), f"p{k}", 4) for k in range(len(names.split()))])
+
+    values = ", ".join(f"CAST({PLANTED[n]} AS DOUBLE) AS p{k}" for k, n in enumerate(names.split()))
+    query(f"A12_fit_range_{variant}" if variant != "const" else "A12_fit_range_const_planted", f"SELECT pair_id, count(*) AS n, {values} FROM ties_fx GROUP BY pair_id HAVING count(*) >= 20", ("ties_fx",))(_run)
+for variant, names in PHASE_SOLUTIONS.items():
+    def _run(spark, sf_dir, variant=variant, names=names):
+        ramp = "x * cos(theta_d)" if variant == "no_ramp" else "x"
+        ties = fixture(spark, sf_dir, "ties_fx").withColumn("y", F.expr(_planted(names, 220.0, ramp)).cast("double")).withColumn("two_k", F.lit(220.0))
+        found = fit.fit_phase_baseline(ties, variant).where("n >= 20")
+        return found.select("pair_id", "n", *[r6(F.get("params", F.lit(k)), f"p{k}", 4) for k in range(len(names.split()))])
+
+    values = ", ".join(f"CAST({PLANTED[n]} AS DOUBLE) AS p{k}" for k, n in enumerate(names.split()))
+    query(f"A14_fit_phase_{variant}", f"SELECT pair_id, count(*) AS n, {values} FROM ties_fx GROUP BY pair_id HAVING count(*) >= 20", ("ties_fx",))(_run)
 on("A12_fit_range_params", ("ties_fx",), None)(lambda t: fit.fit_range_params(t, "linear").select("pair_id", "n", "params", "cov", "sigma_res"))
-on("A14_fit_phase_baseline", ("ties_fx",), None)(lambda t: fit.fit_phase_baseline(t.withColumn("two_k", F.lit(1.0)), "linear").select("pair_id", "n", "params"))
+on("A14_fit_phase_baseline", ("ties_fx",), None)(lambda t: fit.fit_phase_baseline(t.withColumn("two_k", F.lit(1.0)), "dbp").select("pair_id", "n", "params"))
 on("A15_reweight_sigma", ("ties_fx",), ", s AS (SELECT pair_id, sqrt(greatest(avg(y * y) - avg(y) * avg(y), 0)) AS sp, sum(weight) AS sw, count(*) AS n FROM ties_fx GROUP BY 1) SELECT pair_id, round(greatest(sp * weight * n / sw, 0.1 * sp, 1e-12), 5) AS sigma FROM ties_fx JOIN s USING (pair_id)")(
     lambda t: fit.reweight(t.withColumn("e", C("y")), ["pair_id"]).select("pair_id", r6(C("sigma"), "sigma", 5))
 )
 query("A16_place_covariance", "SELECT s_suppkey, CASE WHEN a = 3 AND b = 3 THEN s_suppkey * 4.0 WHEN a = 5 AND b = 5 THEN 9.0 WHEN (a = 3 AND b = 5) OR (a = 5 AND b = 3) THEN 3.0 ELSE 0.0 END AS c, CAST(a * 6 + b AS INT) AS place FROM supplier, range(0, 6) x(a), range(0, 6) y(b)")(
     lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.posexplode(fit.place_covariance(F.array(C("s_suppkey").cast("double"), F.lit(0.5), F.lit(0.5), F.lit(1.0)), [3, 5], 6, [2.0, 3.0])).alias("place", "c"))
 )
+# two parameters, dbp and the constant, at places 2 and 5: the inverse of their 2 x 2 normal matrix
+NORMAL = "SELECT pair_id, sum(pow(x * cos(theta_d), 2) / weight / weight) AS p, sum(-x * cos(theta_d) / weight / weight) AS q, sum(1 / weight / weight) AS r, count(*) AS n FROM ties_fx GROUP BY 1"
+on("A16_range_covariance", ("ties_fx",), f", m AS ({NORMAL}) SELECT pair_id, CAST(place AS INT) AS place, round(CAST(CASE place WHEN 14 THEN r WHEN 35 THEN p WHEN 17 THEN -q WHEN 32 THEN -q ELSE 0 END / (p * r - q * q) AS DOUBLE), 5) AS c FROM m, range(0, 36) k(place) WHERE n >= 20")(
+    lambda t: fit.placed_covariance(fit.fit_range_params(t, "bpdbp", passes=1), fit.RANGE_VARIANTS, "bpdbp").where("n >= 20").select("pair_id", F.posexplode("cov").alias("place", "v")).select("pair_id", "place", r6(C("v"), "c", 5))
+)
 on("A19_image_average", ("acquisitions_fx",), "SELECT i, j, round(sum(value * 2 * n_days) / sum(2), 8) AS gain, round(sum(value * n_days) / sum(n_days), 8) AS mean FROM acquisitions_fx GROUP BY 1, 2")(
     lambda a: images.image_mosaic_average(a.withColumn("f", F.lit(2.0)).withColumn("weight", C("n_days"))).select("i", "j", r6(C("value"), "gain", 8)).join(images.image_mosaic_average(a.withColumn("weight", C("n_days")), as_gain=False).select("i", "j", r6(C("value"), "mean", 8)), ["i", "j"])
 )
-on("A20_rtc_area_sum", ("cells_fx",), ", c AS (SELECT i, j, CAST(j AS DOUBLE) + (z - 1000) / 400 AS r, z / 100 AS area, z / 1000 - 3.2 AS db, CAST(i % 10 AS DOUBLE) / 10 AS ratio FROM cells_fx) SELECT a.i, a.j, round(any_value(a.area) + coalesce(sum(b.area * greatest(1 - abs(a.r - b.r), 0)), 0), 6) AS area_sum FROM c a LEFT JOIN c b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 2 AND (a.i <> b.i OR a.j <> b.j) AND b.db >= -2 AND b.ratio <= CAST(0.65 AS DOUBLE) GROUP BY 1, 2")(
-    lambda c: images.rtc_area_sum(c.select("i", "j", (C("j").cast("double") + (C("z") - 1000) / 400).alias("r"), F.lit(0).alias("a"), (C("z") / 100).alias("area"), (C("z") / 1000 - 3.2).alias("db"), ((C("i") % 10).cast("double") / 10).alias("ratio"))).select("i", "j", r6(C("area_sum"), "area_sum"))
+RTC = "SELECT i, j, CAST(j AS DOUBLE) + (z - 1000) / 400 AS r, CAST(i AS DOUBLE) / 2 + j % 3 AS a, z / 100 AS ab, z / 100 + 2 + i % 10 * 4 AS ag, z / 1000 - 3.2 AS db FROM cells_fx"
+# the cell that gathers is tested, every neighbour gives; boxes of side 1 must touch in azimuth, and share 1 - |dr| in range
+on("A20_rtc_area_sum", ("cells_fx",), f""", c AS ({RTC}), g AS (SELECT a.i, a.j, sum(CASE WHEN abs(a.a - b.a) <= 1 THEN greatest(1 - abs(a.r - b.r), 0) ELSE 0 END * b.ab) AS mb, sum(CASE WHEN abs(a.a - b.a) <= 1 THEN greatest(1 - abs(a.r - b.r), 0) ELSE 0 END * b.ag) AS mg
+ FROM c a JOIN c b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 2 AND (a.i <> b.i OR a.j <> b.j) WHERE NOT (a.db < -2 OR a.ab / a.ag > 0.65) GROUP BY 1, 2)
+ SELECT c.i, c.j, round(ab + coalesce(mb, 0), 6) AS ab_sum, round(ag + coalesce(mg, 0), 6) AS ag_sum, round((ab + coalesce(mb, 0)) / (ag + coalesce(mg, 0)), 6) AS ratio FROM c LEFT JOIN g ON g.i = c.i AND g.j = c.j""")(
+    lambda c: images.rtc_area_sum(c.select("i", "j", (C("j").cast("double") + (C("z") - 1000) / 400).alias("r"), (C("i").cast("double") / 2 + C("j") % 3).alias("a"), (C("z") / 100).alias("ab"), (C("z") / 100 + 2 + C("i") % 10 * 4).alias("ag"), (C("z") / 1000 - 3.2).alias("db"))).select("i", "j", r6(C("ab_sum"), "ab_sum"), r6(C("ag_sum"), "ag_sum"), r6(C("ratio"), "ratio"))
 )
 on("A21_run_summary", ("pairs_fx", "obs_fx"), "SELECT pass_type, count(*) AS given, count(u.pair_id) AS used, count(*) - count(u.pair_id) AS dropped FROM pairs_fx p LEFT JOIN (SELECT DISTINCT pair_id FROM obs_fx WHERE vx > 104) u ON u.pair_id = p.pair_id GROUP BY 1")(lambda p, o: mosaic.run_summary(p, o.where("vx > 104")))
 on("A22_hemisphere", ("points_fx",), "SELECT CASE WHEN min_by(lat, point_id) < 0 THEN 'south' ELSE 'north' END AS hemisphere, CASE WHEN min_by(lat, point_id) < 0 THEN 0 ELSE 45 END AS rot, CASE WHEN min_by(lat, point_id) < 0 THEN 71 ELSE 70 END AS std_lat FROM points_fx")(
-    lambda p: p.agg(F.min_by("lat", "point_id").alias("l")).select(F.when(C("l") < 0, "south").otherwise("north").alias("hemisphere"), F.when(C("l") < 0, 0).otherwise(45).alias("rot"), F.when(C("l") < 0, 71).otherwise(70).alias("std_lat"))
+    lambda p: mosaic.infer_hemisphere(p, "point_id").select("hemisphere", "rot", "std_lat")
+)
+TIE_LINE = """SELECT point_id AS seq, lon AS x, lat AS y, h AS height, CASE WHEN point_id % 3 = 0 THEN 1 ELSE 0 END AS code, point_id % 4 AS form, lat, lon FROM points_fx"""
+on("U3_all_ties", ("points_fx",), f""", t AS ({TIE_LINE}) SELECT round(lat, 6) AS lat, round(CASE WHEN form = 2 THEN height ELSE 5 END, 6) AS z, round(CASE WHEN form = 2 THEN 0 ELSE 8 + CASE WHEN code = 1 THEN 0.5 ELSE 0 END END, 6) AS vz, round(CASE WHEN form = 1 THEN 0.25 ELSE 1 END, 6) AS weight FROM t WHERE seq > 0 AND form <> 3 AND lon BETWEEN 20 AND 300
+ UNION ALL SELECT round(lat, 6), round(h, 6), 0, NULL FROM points_fx WHERE lat > 80""")(
+    lambda p: mosaic.all_ties(
+        p.where("lat > 80").select("lat", C("h").alias("z"), F.lit(0.0).alias("vz")),
+        mosaic.extra_ties(p.select(C("point_id").alias("seq"), C("lon").alias("x"), C("lat").alias("y"), C("h").alias("height"), F.when(C("point_id") % 3 == 0, 1).otherwise(0).alias("code"), F.when(C("point_id") % 4 == 2, F.array("lat", "lon")).when(C("point_id") % 4 == 3, F.array("lat", "lon", F.lit(1.0))).when(C("point_id") % 4 == 1, F.array("lat", "lon", *map(F.lit, (5.0, 6.0, 7.0, 8.0, 0.25)))).otherwise(F.array("lat", "lon", *map(F.lit, (5.0, 6.0, 7.0, 8.0)))).alias("f")), (20.0, 300.0, -90.0, 90.0), "code", 0.5),
+    ).select(r6(C("lat"), "lat"), r6(C("z"), "z"), r6(C("vz"), "vz"), r6(C("weight"), "weight"))
+)
+query("P11_orbit_coverage", "SELECT s_suppkey AS scene_id, round(CAST(s_suppkey % 120 - 50 AS DOUBLE), 6) AS late, round(CAST(50 + 8 + s_suppkey % 90 AS DOUBLE) - 110, 6) AS early FROM supplier WHERE s_suppkey % 120 - 50 > 45 OR 58 + s_suppkey % 90 - 110 > 45")(
+    lambda s, d: images.orbit_coverage(_scenes(s, d).withColumn("n_azimuth", 1000 + C("scene_id") % 90 * 125).withColumn("azimuth_looks", F.lit(4)).withColumn("states", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct(F.when(k == 0, (C("scene_id") % 120).cast("double")).otherwise(110.0).alias("t"))))).select("scene_id", r6(C("late"), "late"), r6(C("early"), "early"))
+)
+HEADINGS = "i AS i, j AS j, CASE WHEN (i + j) % 7 <> 3 THEN CAST(0.3 + a_pair_id % 5 * 0.3 + i * 0.001 AS DOUBLE) END AS a_heading, CASE WHEN (i * j) % 5 <> 2 THEN CAST(1.4 + j * 0.001 AS DOUBLE) END AS b_heading"
+on("P7_separated_pairs", ("pairs_fx",), f""", c AS ({CROSS}), g AS (SELECT c.*, a.i, b.j FROM c, range(-10, 2000) a(i), range(0, 40) b(j) WHERE i >= i_min AND i < i_max AND j >= j_min AND j < j_max AND (i - i_min) % greatest((i_max - i_min) // 4, 1) = 0 AND (j - j_min) % greatest((j_max - j_min) // 4, 1) = 0),
+ h AS (SELECT a_pair_id, b_pair_id, {HEADINGS} FROM g), l AS (SELECT *, row_number() OVER (PARTITION BY a_pair_id, b_pair_id ORDER BY i DESC, j DESC) AS k FROM h WHERE a_heading IS NOT NULL AND b_heading IS NOT NULL)
+ SELECT a_pair_id, b_pair_id, round(a_heading - b_heading, 6) AS alpha FROM l WHERE k = 1 AND abs(a_heading - b_heading) BETWEEN 0.7 AND 2 * pi() - 0.7""")(
+    lambda p: grid.separated_pairs(grid.separation_samples(grid.crossing_pairs(p)).select("a_pair_id", "b_pair_id", "i", "j", F.when((C("i") + C("j")) % 7 != 3, 0.3 + C("a_pair_id") % 5 * 0.3 + C("i") * 0.001).alias("a_heading"), F.when((C("i") * C("j")) % 5 != 2, 1.4 + C("j") * 0.001).alias("b_heading"))).select("a_pair_id", "b_pair_id", r6(C("alpha"), "alpha"))
 )
 ALONG = ", s1 AS (SELECT i, j, CASE WHEN count(*) FILTER (WHERE v > 1e-6) OVER w = 3 THEN avg(v) OVER w ELSE 0 END AS v FROM (SELECT i, j, CASE WHEN code = 5 THEN 0 ELSE z END AS v FROM cells_fx) WINDOW w AS (PARTITION BY i ORDER BY j RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING))"
 on("W3_smooth", ("cells_fx",), ALONG + " SELECT i, j, round(CASE WHEN count(*) FILTER (WHERE v > 1e-6) OVER w = 3 THEN avg(v) OVER w ELSE 0 END, 6) AS value FROM s1 WINDOW w AS (PARTITION BY j ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)")(
@@ -402,12 +475,25 @@ def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.sv_baseline_profile(df)
 
 
-@query("A17_sv_azimuth_surface")
+A17_TERMS = "0.5 + 0.01 * r - 0.02 * a + 0.0001 * r * a + 0.0002 * r * r"
+
+
+@query("A17_sv_azimuth_surface", "SELECT s_suppkey AS pair_id, CAST(2500 AS BIGINT) AS n, CAST(0.5 AS DOUBLE) AS p0, CAST(0.01 AS DOUBLE) AS p1, CAST(-0.02 AS DOUBLE) AS p2, CAST(0.0001 AS DOUBLE) AS p3, CAST(0.0002 AS DOUBLE) AS p4, round(CAST(0.5 + 0.01 * 10 - 0.02 * 20 + 0.0001 * 200 + 0.0002 * 100 AS DOUBLE), 5) AS at FROM supplier")
 def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A surface through samples of every pair: basis 1, r, a, ra, r squared; 100 points at least."""
-    df = fixture(spark, sf_dir, "samples_fx").withColumn("pair_id", C("l_linenumber"))
-    r, a = C("theta"), C("x")
-    return fit.wls_fit(df, ["pair_id"], C("da") + r * 2, F.lit(1.0), [F.lit(1.0), r, a, r * a, r * r], 100).select("pair_id", "n", "params")
+    """50 x 50 samples of each pair with a known surface."""
+    pairs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(C("s_suppkey").alias("pair_id"), (100 + C("s_suppkey") % 50).alias("n_range"), (200 + C("s_suppkey") % 70).alias("n_azimuth"))
+    found = fit.fit_sv_azimuth_surface(fit.sv_sample_grid(pairs).withColumn("offset", F.expr(A17_TERMS).cast("double")))
+    return found.select("pair_id", "n", *[r6(F.get("params", F.lit(k)), f"p{k}", 5) for k in range(5)], r6(fit.surface_at(C("params"), F.lit(10.0), F.lit(20.0)), "at", 5))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a session on this machine alone may have a new folder in its place."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="driftgrid-")
 
 
 ARRIVALS = "SELECT CAST(user_id % 15 AS INT) AS i, CAST(event_id % 10 AS INT) AS j, value AS vx, 1.0 + event_id % 3 AS sx FROM events"
@@ -419,7 +505,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgrid.streaming import incremental
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftgrid-")
+    folder = shared_folder(spark)
     at = f"{folder}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
     sigma = (1.0 + C("event_id") % 3).cast("double")
@@ -434,4 +520,69 @@ def _speckle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speckle_observations(df).select(*S, r6(C("vr"), "vr", 4), r6(C("er"), "er", 4))
 
 
-query("optical_mosaic")(lambda s, d: optical_mosaic(fixture(s, d, "matches_fx"), fixture(s, d, "optical_cells_fx"), 2458849.5, 2459029.5))
+ORIGIN = (-1200000.0, -1500000.0)
+START, END = 2458849.5, 2459029.5
+OPTICAL_WEIGHT = re.sub(r"(?<![\d.])90(?![\d.])", "180", DW.replace("2449900.5", str(START)).replace("2449990.5", str(END)))
+E2, E4, E6 = geo.ECC2, geo.ECC2**2, geo.ECC2**3
+OPTICAL_SQL = f""", m AS (SELECT *, {OPTICAL_WEIGHT} AS weight FROM (SELECT *, jd_early AS a, jd_late AS b FROM matches_fx)),
+ bx AS (SELECT *, CAST(greatest(ceil(y0 / 100), 0) AS INT) AS i_min, CAST(floor((y0 + 1500) / 100) + 1 AS INT) AS i_max, CAST(greatest(ceil(x0 / 100), 0) AS INT) AS j_min, CAST(floor((x0 + 1500) / 100) + 1 AS INT) AS j_max FROM m WHERE weight > 0.05 AND weight >= 0.5),
+ ci AS (SELECT *, unnest(range(i_min, i_max)) AS i FROM bx), cj AS (SELECT *, unnest(range(j_min, j_max)) AS j FROM ci),
+ pt AS (SELECT *, (j * 100 - x0) / 250 AS u, (i * 100 - y0) / 250 AS v FROM cj WHERE (i, j) NOT IN (SELECT (i, j) FROM cells_fx WHERE code = 5)),
+ co AS (SELECT match_id, i, j, CAST(floor(v) AS INT) + di AS ni, CAST(floor(u) AS INT) + dj AS nj, (CASE WHEN dj = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN di = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w FROM pt, range(0, 2) a(di), range(0, 2) b(dj)),
+ of AS (SELECT co.match_id, co.i, co.j, sum(w * o.dx) AS ox, sum(w * o.dy) AS oy, sum(w * o.sx) AS px, sum(w * o.sy) AS py FROM co LEFT JOIN optical_cells_fx o ON o.match_id = co.match_id AND o.i = ni AND o.j = nj WHERE w > 0 GROUP BY 1, 2, 3 HAVING count(o.dx) = count(*)),
+ g AS (SELECT of.*, bx.* EXCLUDE (match_id), of.j * 100 - (x0 + 1000) AS ux, of.i * 100 - (y0 + 1000) AS uy, sqrt(pow(({ORIGIN[0]} + of.j * 100) / 1000, 2) + pow(({ORIGIN[1]} + of.i * 100) / 1000, 2)) AS rho FROM of JOIN bx ON bx.match_id = of.match_id),
+ h AS (SELECT *, pi() / 2 - 2 * atan(rho * {t_sql("radians(70.0)", ECC)} / ({geo.RADIUS_KM} * {CM70})) AS chi FROM g),
+ l AS (SELECT *, chi + {E2 / 2 + 5 * E4 / 24 + E6 / 12} * sin(2 * chi) + {7 * E4 / 48 + 29 * E6 / 240} * sin(4 * chi) + {7 * E6 / 120} * sin(6 * chi) AS la FROM h),
+ k AS (SELECT *, cos(la) / sqrt(1 - {geo.SCALE_ECC2} * sin(la) * sin(la)) / (1.9332279 * {t_sql("la", repr(geo.SCALE_ECC2**0.5))}) AS scale, jd_late - jd_early AS days FROM l),
+ ob AS (SELECT match_id AS pair_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, i_min, i_max, j_min, j_max, weight, (ox - px0 - px1 * ux - px2 * uy) * 25 * 365.25 / days * scale AS vx, (oy - py0 - py1 * ux - py2 * uy) * 25 * 365.25 / days * scale AS vy,
+  sqrt(least(greatest(pow(sigma_x_res / 25, 2) - pow(mean_sigma_x, 2), 0) + CAST(0.0025 AS DOUBLE) + px * px + (0.0001 * (1 + match_id % 3) + 2e-9 * ux + 1e-11 * ux * ux + 2e-11 * uy * uy), CAST(0.04 AS DOUBLE)) * pow(25 * 365.25 / days, 2)) AS sx,
+  sqrt(least(greatest(pow(sigma_y_res / 25, 2) - pow(mean_sigma_y, 2), 0) + CAST(0.0025 AS DOUBLE) + py * py + (0.0002 - 2e-9 * uy + 1e-11 * ux * ux), CAST(0.04 AS DOUBLE)) * pow(25 * 365.25 / days, 2)) AS sy,
+  0.5 * (jd_early + jd_late) - 0.5 * ({START} + {END}) AS dt, 0 AS vz FROM k)"""
+OB_FEATHER = FEATHER.replace("obs_fx", "ob")
+FINISHED = f", fin AS (SELECT i, j, {MEANS} FROM fe GROUP BY i, j)"
+FOUR = ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in ("vx", "vy", "ex", "ey"))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with the covariances of their planes."""
+    m = fixture(spark, sf_dir, "matches_fx")
+    cov = lambda c: F.array(*[v.cast("double") for v in c])
+    n = F.lit
+    return m.withColumns({
+        "cx": cov([0.0001 * (1 + C("match_id") % 3), n(1e-9), n(0.0), n(1e-9), n(1e-11), n(0.0), n(0.0), n(0.0), n(2e-11)]),
+        "cy": cov([n(0.0002), n(0.0), n(-1e-9), n(0.0), n(1e-11), n(0.0), n(-1e-9), n(0.0), n(0.0)]),
+    })
+
+
+@query("optical_mosaic", OPTICAL_SQL + OB_FEATHER + FINISHED + f" SELECT i, j, {FOUR}, n FROM (SELECT i, j, n, " + ", ".join(f"CASE WHEN abs(dt) <= ({END} - {START} + 1) / 2 + 0.49 THEN {c} END AS {c}" for c in ("vx", "vy", "ex", "ey")) + " FROM fin)", ("matches_fx", "optical_cells_fx", "cells_fx"))
+def _optical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optical round with dates, mask, planes and their errors, scale by latitude, feathering and weights."""
+    found = optical_mosaic(_matches(spark, sf_dir), fixture(spark, sf_dir, "optical_cells_fx"), START, END, mask=fixture(spark, sf_dir, "cells_fx"), origin=ORIGIN)
+    return found.select("i", "j", *[r6(C(c), c, 4) for c in ("vx", "vy", "ex", "ey")], "n")
+
+
+RADAR_SQL = """, r0 AS (SELECT *, dr + CASE WHEN code = 1 THEN tide_rate * cos(psi) * n_days / 365.25 ELSE 0 END + submergence * cos(psi) * n_days / 365.25 AS d, CASE WHEN code = 1 THEN sqrt(sr * sr + pow(0.1 * cos(psi), 2)) ELSE sr END AS s FROM radar_fx WHERE code NOT IN (5, 2) AND abs(dr) < 13e4 AND abs(da) < 10e4 AND z > -1000 AND z <= 10000)"""
+SPECKLE_SQL = RADAR_SQL + """, g0 AS (SELECT *, CASE WHEN z < 75 AND sqrt(dzdx * dzdx + dzdy * dzdy) > 0.05 OR z < 50 AND sqrt(dzdx * dzdx + dzdy * dzdy) > 0.03 THEN 0 ELSE greatest(least(dzdx, 0.12), -0.12) END AS gx, CASE WHEN z < 75 AND sqrt(dzdx * dzdx + dzdy * dzdy) > 0.05 OR z < 50 AND sqrt(dzdx * dzdx + dzdy * dzdy) > 0.03 THEN 0 ELSE greatest(least(dzdy, 0.12), -0.12) END AS gy, cos(heading - xy) AS c, sin(heading - xy) AS n FROM r0),
+ v0 AS (SELECT *, da * 365.25 / n_days AS va, (d * 365.25 / n_days / sin(psi) + CASE WHEN code = 1 THEN 0 ELSE da * 365.25 / n_days / tan(psi) * (gx * n + gy * c) END) / (1 - CASE WHEN code = 1 THEN 0 ELSE (gx * c - gy * n) / tan(psi) END) AS vr, s * 365.25 / n_days / sin(psi) AS er, sa * 365.25 / n_days AS ea FROM g0),
+ ob AS (SELECT pair_id, i, j, i_min, i_max, j_min, j_max, weight, dt, vr * c + va * n AS vx, va * c - vr * n AS vy, sqrt(er * er * c * c + ea * ea * n * n) AS sx, sqrt(er * er * n * n + ea * ea * c * c) AS sy, (vr * c + va * n) * gx + (va * c - vr * n) * gy AS vz FROM v0)"""
+SIX = ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in LAYERS)
+on("speckle_mosaic", ("radar_fx",), SPECKLE_SQL + OB_FEATHER + FINISHED + f" SELECT i, j, {SIX}, n FROM fin")(lambda r: plans.speckle_mosaic(r).select("i", "j", *[r6(C(c), c, 4) for c in LAYERS], "n"))
+CROSSED_SQL = RADAR_SQL + f""", pq AS (SELECT *, d * 365.25 / n_days / sin(psi) AS p, s * 365.25 / n_days / sin(psi) AS e, greatest(least(dzdx, 0.1), -0.1) AS gx, greatest(least(dzdy, 0.1), -0.1) AS gy FROM r0), cr AS ({CROSS}),
+ mt AS (SELECT cr.*, a.i, a.j, a.heading - b.heading AS al, a.xy - a.heading AS be, a.gx, a.gy, a.p AS pa, b.p AS pb, a.e AS ea, b.e AS eb, 0.5 * (a.dt + b.dt) AS dt, a.gx / tan(a.psi) AS b00, a.gy / tan(a.psi) AS b01, a.gx / tan(b.psi) AS b10, a.gy / tan(b.psi) AS b11 FROM cr JOIN pq a ON a.pair_id = a_pair_id JOIN pq b ON b.pair_id = b_pair_id AND b.i = a.i AND b.j = a.j WHERE a.i >= cr.i_min AND a.i < cr.i_max AND a.j >= cr.j_min AND a.j < cr.j_max),
+ aa AS (SELECT *, (cos(be) - cos(al) * cos(al + be)) / pow(sin(al), 2) AS a00, (cos(al + be) - cos(al) * cos(be)) / pow(sin(al), 2) AS a01, (sin(be) - sin(al + be) * cos(al)) / pow(sin(al), 2) AS a10, (sin(al + be) - sin(be) * cos(al)) / pow(sin(al), 2) AS a11 FROM mt WHERE abs(al) >= 0.8 AND abs(al) <= 2 * pi() - 0.8),
+ cc AS (SELECT *, 1 - (a00 * b00 + a01 * b10) AS c00, -(a00 * b01 + a01 * b11) AS c01, -(a10 * b00 + a11 * b10) AS c10, 1 - (a10 * b01 + a11 * b11) AS c11 FROM aa), dd AS (SELECT *, c00 * c11 - c01 * c10 AS det FROM cc),
+ ee AS (SELECT *, (c11 * a00 - c01 * a10) / det AS d00, (c11 * a01 - c01 * a11) / det AS d01, (c00 * a10 - c10 * a00) / det AS d10, (c00 * a11 - c10 * a01) / det AS d11 FROM dd WHERE det >= 0.25),
+ ob AS (SELECT a_pair_id * 1000000 + b_pair_id AS pair_id, i, j, i_min, i_max, j_min, j_max, weight, dt, d00 * pa + d01 * pb AS vx, d10 * pa + d11 * pb AS vy, sqrt(pow(d00 * ea, 2) + pow(d01 * eb, 2)) AS sx, sqrt(pow(d10 * ea, 2) + pow(d11 * eb, 2)) AS sy, (d00 * pa + d01 * pb) * gx + (d10 * pa + d11 * pb) * gy AS vz FROM ee)"""
+on("crossing_mosaic", ("radar_fx", "pairs_fx"), CROSSED_SQL + OB_FEATHER + FINISHED + f" SELECT i, j, {SIX}, n FROM fin")(lambda r, p: plans.crossing_mosaic(r, p).select("i", "j", *[r6(C(c), c, 4) for c in LAYERS], "n"))
+
+
+FOLD_SUMS = "sum(vx * f * weight / sx / sx) AS vxs, sum(f * weight / sx / sx) AS xs, sum(f * f * weight * weight / sx / sx) AS xe, sum(vy * f * weight / sy / sy) AS vys, sum(f * weight / sy / sy) AS ys, sum(f * f * weight * weight / sy / sy) AS ye"
+FOLD_SQL = CROSSED_SQL + OB_FEATHER + f", one AS MATERIALIZED (SELECT i, j, {FOLD_SUMS} FROM fe GROUP BY i, j)"
+SECOND_SQL = SPECKLE_SQL.replace(RADAR_SQL, "").replace("ob AS (", "ob2 AS (") + OB_FEATHER.replace(" ob ", " ob2 ").replace("e AS (", "e2 AS (").replace("fe2 AS (", "fe2 AS (").replace("FROM e WHERE e.pair_id", "FROM e2 e WHERE e.pair_id").replace(", fe AS", ", fe2 AS") + f", two AS (SELECT i, j, {FOLD_SUMS} FROM fe2 GROUP BY i, j)"
+THIRD_SQL = """, ed AS (SELECT x.i, x.j FROM one x JOIN one y ON abs(x.i - y.i) <= 1 AND abs(x.j - y.j) <= 1 GROUP BY x.i, x.j HAVING count(*) < (least(x.i + 1, 99) - greatest(x.i - 1, 0) + 1) * (least(x.j + 1, 19) - greatest(x.j - 1, 0) + 1)),
+ rf AS (SELECT one.*, coalesce((SELECT min(least(greatest(sqrt(pow(one.i - ed.i, 2) + pow(one.j - ed.j, 2)), 0.5) / 2, 1)) FROM ed WHERE abs(ed.i - one.i) <= 2 AND abs(ed.j - one.j) <= 2), 1) AS f FROM one),
+ un AS (SELECT i, j, vxs * f AS vxs, xs * f AS xs, xe * f * f AS xe, vys * f AS vys, ys * f AS ys, ye * f * f AS ye FROM rf UNION ALL SELECT * FROM two)
+ SELECT i, j, round(CAST(sum(vxs) / sum(xs) AS DOUBLE), 4) AS vx, round(CAST(sum(vys) / sum(ys) AS DOUBLE), 4) AS vy, round(CAST(sum(xe) / pow(sum(xs), 2) AS DOUBLE), 4) AS ex, round(CAST(sum(ye) / pow(sum(ys), 2) AS DOUBLE), 4) AS ey FROM un GROUP BY 1, 2"""
+on("velocity_mosaic", ("radar_fx", "pairs_fx"), FOLD_SQL + SECOND_SQL + THIRD_SQL)(
+    lambda r, p: plans.velocity_mosaic([plans.crossing_sums(r, p), plans.speckle_sums(r)], 2, (0, 100, 0, 20)).select("i", "j", *[r6(C(c), c, 4) for c in ("vx", "vy", "ex", "ey")])
+)
