@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,8 +178,17 @@ def pixel_area(corners: list[Column]) -> Column:
     return triangle(a, b, c) + triangle(a, c, d)
 
 
-def _vector(p: Column, q: Column | None = None) -> list[Column]:
-    return [p[c] if q is None else p[c] - q[c] for c in "xyz"]
+def _held(vector: list[Column], body: Callable[[list[Column]], Column]) -> Column:
+    """The body of a vector that is computed once, however often the body takes it."""
+    return F.get(F.transform(F.array(F.array(*vector)), lambda v: body([v[k] for k in range(len(vector))])), F.lit(0))
+
+
+def _vector(p: Column) -> list[Column]:
+    return [p[c] for c in "xyz"]
+
+
+def _minus(u: list[Column], v: list[Column]) -> list[Column]:
+    return [a - b for a, b in zip(u, v, strict=True)]
 
 
 def _dot(u: list[Column], v: list[Column]) -> Column:
@@ -201,18 +212,19 @@ def plane_areas(corners: list[Column], satellite: Column, motion: Column) -> Col
     """
     points = [_vector(p) for p in corners]
     middle = [(points[0][k] + points[1][k] + points[2][k] + points[3][k]) * 0.25 for k in range(3)]
-    look = _unit([middle[k] - satellite[c] for k, c in enumerate("xyz")])
-    across = _unit(_cross(_unit(_vector(motion)), look))
 
-    def projected(normal: list[Column]) -> Column:
+    def projected(middle: list[Column], normal: list[Column]) -> Column:
         flat = []
         for p in points:
-            d = _dot([p[k] - middle[k] for k in range(3)], normal)
-            flat.append(F.struct(*[(p[k] - d * normal[k]).alias(c) for k, c in enumerate("xyz")]))
-        return pixel_area(flat)
+            d = _dot(_minus(p, middle), normal)
+            flat += [p[k] - d * normal[k] for k in range(3)]
+        return _held(flat, lambda f: pixel_area([F.struct(*[f[3 * n + k].alias(c) for k, c in enumerate("xyz")]) for n in range(4)]))
+
+    def facing(look: list[Column], a: int, b: int, c: int) -> Column:
+        return _held(_cross(_minus(points[b], points[a]), _minus(points[c], points[a])), lambda n: -_dot(n, look) / F.sqrt(_dot(n, n)))
 
-    def facing(a: int, b: int, c: int) -> Column:
-        normal = _unit(_cross([points[b][k] - points[a][k] for k in range(3)], [points[c][k] - points[a][k] for k in range(3)]))
-        return -_dot(normal, look)
+    def seen(middle: list[Column], look: list[Column]) -> Column:
+        ab = _held(_cross(_unit(_vector(motion)), look), lambda side: _held(_unit(side), lambda across: projected(middle, across)))
+        return F.struct(ab.alias("ab"), projected(middle, look).alias("ag"), F.least(facing(look, 0, 1, 2), facing(look, 0, 2, 3)).alias("shadow"))
 
-    return F.struct(projected(across).alias("ab"), projected(look).alias("ag"), F.least(facing(0, 1, 2), facing(0, 2, 3)).alias("shadow"))
+    return _held(middle, lambda m: _held(_minus(m, _vector(satellite)), lambda line: _held(_unit(line), lambda look: seen(m, look))))

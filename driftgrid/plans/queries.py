@@ -36,6 +36,12 @@ def r6(c: Column, name: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(name)
 
 
+def scaled_round(name: str, digits: int) -> Column:
+    """Round a double as the SQL does: the scaled number to the nearest whole one. Spark's own rounds the decimal digits, which differs near ties."""
+    scale = 10.0**digits
+    return (F.round(F.col(name) * scale) / scale).alias(name)
+
+
 def rounded(columns: dict[str, str], digits: int = 6) -> str:
     return ", ".join(f"round({v}, {digits}) AS {k}" for k, v in columns.items())
 
@@ -45,7 +51,8 @@ def per_row(name: str, source: str, keys: list[str], made: dict[str, tuple[Calla
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = fixture(spark, sf_dir, source)
-        return (df.where(where) if where else df).select(*keys, *[r6(c(), k, digits) for k, (c, _) in made.items()])
+        df = (df.where(where) if where else df).select(*keys, *[c().alias(k) for k, (c, _) in made.items()])
+        return df.select(*keys, *[scaled_round(k, digits) if t == "double" else F.col(k) for k, t in df.dtypes if k in made])
 
     query(name, f"SELECT {', '.join(keys)}, {rounded({k: s for k, (_, s) in made.items()}, digits)} FROM {source}" + (f" WHERE {where}" if where else ""), (source,))(run)
 

@@ -140,7 +140,7 @@ def crossing_solutions(samples: DataFrame, pairs: DataFrame, days: float = 12.0,
     samples as for the speckle round (range only); pairs as for crossing_pairs. The two samples of a cell meet through equi-joins on pair and cell.
     """
     rows = _corrected(samples).withColumn("p", F.col("dr") * YEAR / F.col("n_days") / F.sin("psi")).withColumn("e", F.col("sr") * YEAR / F.col("n_days") / F.sin("psi"))
-    both = crossing_pairs(pairs, days, any_pass).select("a_pair_id", "b_pair_id", F.col("weight").alias("pair_weight"), *BOX)
+    both = crossing_pairs(pairs, days, any_pass=any_pass).select("a_pair_id", "b_pair_id", F.col("weight").alias("pair_weight"), *BOX)
     side = lambda s, *more: rows.select(F.col("pair_id").alias(f"{s}_pair_id"), "i", "j", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("p", "e", "psi", "heading", *(["dt"] if "dt" in samples.columns else []))])
     met = side("a", "xy", "z", "dzdx", "dzdy").join(both, "a_pair_id").join(side("b"), ["b_pair_id", "i", "j"])
     met = met.where("i >= i_min and i < i_max and j >= j_min and j < j_max")
