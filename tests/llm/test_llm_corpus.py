@@ -67,9 +67,11 @@ def test_jaccard_join_blocks_and_odd_rows(make_docs, odd_texts):
     assert sorted(str(r.doc_id) for r in jaccard_join.keep_one_of_each(odd).collect()) == ["4", "None"]
 
 
-def test_prefix_depth_reaches_recall():
-    d = jaccard_join.prefix_depth(0.8, 16, 8, 0.9995)
+def test_least_depth_reaches_recall():
+    d = jaccard_join.least_depth(0.8, 16, 8, 0.9995)
     assert 1 - (1 - 0.8**d) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** 16
+    with pytest.raises(ValueError):
+        jaccard_join.least_depth(0.3, 16, 8, 0.9995)
 
 
 def test_components_of_a_chain(spark):
