@@ -23,7 +23,7 @@ def _lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     if isinstance(path, DataFrame):
         raw = path.select("file", F.col("seq").cast("decimal(38,0)").alias("seq"), "value")
     else:
-        start = F.col("_metadata.file_block_start").cast("decimal(19,0)") * F.lit(1 << 63).cast("decimal(19,0)")
+        start = F.col("_metadata.file_block_start").cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)")
         raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (start + F.monotonically_increasing_id()).cast("decimal(38,0)").alias("seq"), "value")
     rows = raw.select("file", "seq", F.trim(F.regexp_replace("value", ";.*$", "")).alias("line"))
     ends = rows.where(F.col("line").startswith("&")).groupBy("file").agg(F.min("seq").alias("end"))
