@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_documents
 from .common import table
 from .cotraining import classify_quality
 from .decontamination import contamination
 from .jaccard_join import jaccard_join
 from .licenses import scan_licences
+from .merkle import manifest, manifest_sql, verified
 from .oracles import JACCARD_SQL, SUBSTRING_SQL, quality_sql
 from .packing import pack_documents
 from .pii import replace_pii
@@ -20,8 +22,10 @@ from .quality_rules import BUCKETS, THRESHOLD, quality_rules
 from .sharding import SHARDING_SQL, shard_documents
 from .substring_dedup import remove_repeated
 from .token_blocks import token_table_digest
+from .vector_dedup import VECTOR_SQL, link_vectors
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in a shard.
 SHARD_BYTES = 32 << 20
 #: The setting that has the secret of the surrogates; without it, one is drawn for each driver process.
@@ -82,9 +86,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified(manifest(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_pii_surrogates, op3_best_fit_packing, op4_licence_scan, op5_extendible_sharding, op6_quality_rules,
-    op7_template_decontamination, op8_token_blocks, op9_substring_dedup, op10_jaccard_join,
+    op7_template_decontamination, op8_token_blocks, op9_substring_dedup, op10_jaccard_join, op11_token_alignment, op12_merkle_manifest,
+    op13_vector_dedup,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +109,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": quality_sql(BUCKETS, THRESHOLD),
     "op9_substring_dedup": SUBSTRING_SQL,
     "op10_jaccard_join": JACCARD_SQL,
+    "op12_merkle_manifest": manifest_sql(),
+    "op13_vector_dedup": VECTOR_SQL,
 }
