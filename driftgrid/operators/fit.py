@@ -45,6 +45,62 @@ def wls_fit(df: DataFrame, keys: list[str], y: Column, sigma: Column, basis: lis
     return fitted.withColumn("sigma_res", F.sqrt(F.col("chi2") / F.greatest(F.col("n") - k, F.lit(1))))
 
 
+#: Pairs of which one task holds matrices before it hands them on.
+HELD = 4096
+
+
+def qr_fit(df: DataFrame, keys: list[str], y: Column, sigma: Column, basis: list[Column], min_points: int | None = None, e: Column | None = None) -> DataFrame:
+    """X1 without normal equations: per key params, cov (flat k x k, of unit-weight errors), chi2, n, sigma_res and the spread of e (null without e).
+
+    Each task keeps for a key the triangle of a QR decomposition of its rows [basis | y] / sigma, a matrix of (k + 1) x (k + 1); triangles of one key
+    are stacked and decomposed again, so that rows are never shuffled and the condition number isn't squared. Singular values below 1e-12 of the
+    largest are left out: a singular system has its solution of least norm. Rows with a null in y, sigma or a basis are left out.
+    """
+    k = len(basis)
+    side = k + 1
+    cols = [(b / sigma).cast("double").alias(f"_b{n}") for n, b in enumerate(basis)]
+    rows = df.select(*keys, *cols, (y / sigma).cast("double").alias("_y"), F.coalesce(e, F.lit(0.0)).cast("double").alias("_e") if e is not None else F.lit(0.0).alias("_e")).dropna(subset=[*[f"_b{n}" for n in range(k)], "_y"])
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
+
+    def triangles(batches):
+        held: dict = {}
+
+        def out():
+            made = [(*key, r.ravel(), *sums) for key, (r, sums) in held.items()]
+            return pd.DataFrame(made, columns=[*keys, "r", "n", "e", "ee"])
+
+        for pdf in batches:
+            values = pdf[[*[f"_b{n}" for n in range(k)], "_y"]].to_numpy(float)
+            rest = pdf["_e"].to_numpy(float)
+            for key, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                before, sums = held.get(key, (np.zeros((0, side)), np.zeros(3)))
+                r = np.linalg.qr(np.concatenate([before, values[at]]), mode="r")
+                held[key] = r, sums + [len(at), rest[at].sum(), (rest[at] ** 2).sum()]
+            if len(held) > HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    def solve(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        n = parts["n"].sum()
+        r = np.linalg.qr(np.concatenate([x.reshape(-1, side) for x in parts["r"]]), mode="r")
+        r = np.concatenate([r, np.zeros((max(0, side - len(r)), side))])
+        u, s, vt = np.linalg.svd(r[:k, :k])
+        inv = np.where(s > 1e-12 * max(s[0], 1e-300), 1 / np.where(s > 0, s, 1), 0)
+        p = vt.T @ (inv * (u.T @ r[:k, k]))
+        left = float(((r[:k, k] - r[:k, :k] @ p) ** 2).sum() + (r[k:, k] ** 2).sum())
+        mean = parts["e"].sum() / n
+        spread = np.sqrt(max(parts["ee"].sum() / n - mean * mean, 0.0))
+        return pd.DataFrame([(*key, p, ((vt.T * inv**2) @ vt).ravel(), left, int(n), spread)], columns=[*keys, "params", "cov", "chi2", "n", "spread"])
+
+    found = rows.mapInPandas(triangles, f"{kinds}, r array<double>, n double, e double, ee double")
+    fitted = found.groupBy(*keys).applyInPandas(solve, f"{kinds}, params array<double>, cov array<double>, chi2 double, n bigint, spread double")
+    fitted = fitted.where(F.col("n") >= (min_points or k))
+    return fitted.withColumn("sigma_res", F.sqrt(F.col("chi2") / F.greatest(F.col("n") - k, F.lit(1))))
+
+
 def residuals(df: DataFrame, fitted: DataFrame, keys: list[str], y: Column, basis: list[Column]) -> DataFrame:
     """df with e, the residual of y; rows of keys without a fit are dropped."""
     model = sum((F.get("params", F.lit(n)) * b for n, b in enumerate(basis)), F.lit(0.0))
@@ -102,6 +158,10 @@ def range_basis(variant: str, theta_d: Column, x: Column) -> list[Column]:
     return [terms[n] for n in RANGE_VARIANTS[variant][0]]
 
 
+#: Fixed value: the constant that makes the constant of azimuth offsets as large as the rates' terms.
+AZIMUTH_SCALE = 8e5
+
+
 def azimuth_basis(variant: str, x: Column, slant_sin: Column) -> list[Column]:
     """Constants and along-track rates, scaled near one another."""
     return {"const": [F.lit(8e5)], "linear": [F.lit(8e5), x * 8e5], "baseline_const": [F.lit(8e5), slant_sin], "baseline_linear": [F.lit(8e5), slant_sin, x * 8e5]}[variant]

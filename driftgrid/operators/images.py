@@ -61,22 +61,25 @@ def trim_pad(image: DataFrame, pad: int, width: int, looks: int = 1) -> DataFram
     return image.withColumn("value", F.when((F.col("r") < pad) | (F.col("r") >= width - pad), 0.0).otherwise(F.col("value")))
 
 
-def rtc_area_sum(cells: DataFrame, rows: int = 3, columns: int = 2, least_db: float = -2.0, most_ratio: float = 0.65) -> DataFrame:
-    """cells(i, j, r, a, ab, ag, db) with ab_sum, ag_sum and their ratio.
+def rtc_area_sum(cells: DataFrame, columns: int = 3, rows: int = 2, least_db: float = -2.0, most_ratio: float = 0.65) -> DataFrame:
+    """cells(i, j, r, a, ab, ag, db, shadow = 1) with ab_sum, ag_sum and their ratio.
 
     ab and ag are the facet areas on the beta and gamma planes, r and a the cell's range and azimuth. A bright cell of small ratio gathers the areas of
-    its neighbours (any of them) times the overlap of unit boxes in range; boxes that don't touch in range and azimuth don't overlap. A dark cell, or one of a
-    large ratio, keeps its own areas.
+    its neighbours, so many columns (j, along x) and rows (i, along y) away, times the overlap of unit boxes in range; boxes that don't touch in range
+    and azimuth don't overlap. A dark cell, or one of a large ratio, keeps its own areas. A cell in shadow (below 0) gathers nothing and has the ratio -1.
     """
-    step = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
-    gathers = (F.col("db") >= least_db) & (F.col("ab") / F.col("ag") <= most_ratio)
-    give = cells.select("i", "j", F.col("r").alias("sr"), F.col("a").alias("sa"), F.col("ab").alias("sab"), F.col("ag").alias("sag"))
-    give = give.withColumn("di", step(rows)).withColumn("dj", step(columns)).where("di <> 0 or dj <> 0").select((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), "sr", "sa", "sab", "sag")
-    overlap = F.when(F.abs(F.col("a") - F.col("sa")) <= 1, F.greatest(1 - F.abs(F.col("r") - F.col("sr")), F.lit(0.0))).otherwise(0.0)
-    more = cells.where(gathers).select("i", "j", "r", "a").join(give, ["i", "j"]).groupBy("i", "j").agg(F.sum(F.col("sab") * overlap).alias("more_b"), F.sum(F.col("sag") * overlap).alias("more_g"))
+    away = [(di, dj) for di in range(-rows, rows + 1) for dj in range(-columns, columns + 1) if (di, dj) != (0, 0)]
+    lit = F.coalesce(F.col("shadow") >= -0.001, F.lit(True)) if "shadow" in cells.columns else F.lit(True)
+    gathers = lit & (F.col("db") >= least_db) & (F.col("ab") / F.col("ag") <= most_ratio)
+    # only cells that gather look around: few, beside all
+    around = F.explode(F.array(*[F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in away]))
+    asked = cells.where(gathers).select(F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("r").alias("cr"), F.col("a").alias("ca"), around.alias("at")).select("ci", "cj", "cr", "ca", "at.*")
+    overlap = F.when(F.abs(F.col("ca") - F.col("a")) <= 1, F.greatest(1 - F.abs(F.col("cr") - F.col("r")), F.lit(0.0))).otherwise(0.0)
+    met = asked.join(cells.select("i", "j", "r", "a", "ab", "ag"), ["i", "j"])
+    more = met.groupBy(F.col("ci").alias("i"), F.col("cj").alias("j")).agg(F.sum(F.col("ab") * overlap).alias("more_b"), F.sum(F.col("ag") * overlap).alias("more_g"))
     summed = cells.join(more, ["i", "j"], "left")
     summed = summed.withColumn("ab_sum", F.col("ab") + F.coalesce("more_b", F.lit(0.0))).withColumn("ag_sum", F.col("ag") + F.coalesce("more_g", F.lit(0.0)))
-    return summed.withColumn("ratio", F.col("ab_sum") / F.col("ag_sum")).drop("more_b", "more_g")
+    return summed.withColumn("ratio", F.when(lit, F.col("ab_sum") / F.col("ag_sum")).otherwise(-1.0)).drop("more_b", "more_g")
 
 
 def orbit_coverage(scenes: DataFrame, slack: float = 45.0) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgrid.functions import dates, geo, image, velocity
-from driftgrid.operators import fit, geocode, grid, images, mosaic, sampling
+from driftgrid.operators import calibrate, fit, geocode, grid, images, mosaic, sampling
 from driftgrid.plans.fixtures import fixture, with_fixtures
 from driftgrid.plans import velocity as plans
 from driftgrid.plans.velocity import optical_mosaic, speckle_observations
-from driftgrid.sources import sinks
+from driftgrid.sources import sinks, text
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -366,6 +366,70 @@ for variant, names in PHASE_SOLUTIONS.items():
 
     values = ", ".join(f"CAST({PLANTED[n]} AS DOUBLE) AS p{k}" for k, n in enumerate(names.split()))
     query(f"A14_fit_phase_{variant}", f"SELECT pair_id, count(*) AS n, {values} FROM ties_fx GROUP BY pair_id HAVING count(*) >= 20", ("ties_fx",))(_run)
+# the iterated fits, from ties of a baseline of 200 m at 850 km: the curvature is 2.4 cm, so a fit of the linear terms alone misses these values
+CURVED = {"bn": 200.0, "bp": 45.0, "dbn": -3.0, "dbp": 2.5, "dbnq": 0.0, "dbpq": 0.0, "const": 0.75}
+STEEP = {"bn": 9.0, "bp": -6.0, "dbn": 3.0, "dbp": 2.0, "dbnq": 1.0, "dbpq": -2.0, "const": 0.5, "ramp": 0.4}
+
+
+def _way(bn: str, bp: str, x: str = "theta_d") -> str:
+    """The way difference of a baseline, without the constant, in SQL."""
+    return f"sqrt(slant * slant - 2 * slant * (({bn}) * sin({x}) + ({bp}) * cos({x})) + ({bn}) * ({bn}) + ({bp}) * ({bp})) - slant"
+
+
+def _curved(spark: SparkSession, sf_dir: str, truth: dict[str, float], sv: bool, two_k: float | None = None, ramp: str | None = None) -> DataFrame:
+    ties = fixture(spark, sf_dir, "ties_fx").withColumn("slant", 850000.0 + 40000.0 * C("x")).withColumns({"bn_s": 150.0 + 20.0 * C("x"), "bp_s": 60.0 - 5.0 * C("x")})
+    along = lambda n: f"{truth[n]} + ({truth['d' + n]}) * x + ({truth['d' + n + 'q']}) * x * x"
+    bn, bp = (f"{along(n)} + {n}_s" if sv else along(n) for n in ("bn", "bp"))
+    y = f"{_way(bn, bp)} + {truth['const']}" if two_k is None else f"{two_k} * ({_way(bn, bp)})" + (f" + {two_k} * {truth['ramp']} * {ramp}" if ramp else "")
+    return ties.withColumn("y", F.expr(y).cast("double")).withColumn("two_k", F.lit(two_k or 1.0))
+
+
+for variant, names in RANGE_SOLUTIONS.items():
+    def _run(spark, sf_dir, variant=variant, names=names):
+        sv = variant.startswith("sv_")
+        base = dict.fromkeys(CURVED, 0.0) if sv else dict(CURVED)
+        truth = {n: v + (STEEP[n] if n in names.split() else 0.0) for n, v in base.items()}
+        ties = _curved(spark, sf_dir, truth, sv)
+        known = ties.select("pair_id").distinct().select("pair_id", *[F.lit(v).alias(n) for n, v in base.items()])
+        found = calibrate.range_params(ties, variant, known).where("n >= 20")
+        return found.select("pair_id", "n", *[(F.round(C(n), 3) + 0.0).alias(n) for n in CURVED])
+
+    base = dict.fromkeys(CURVED, 0.0) if variant.startswith("sv_") else CURVED
+    values = ", ".join(f"CAST({v + (STEEP[n] if n in names.split() else 0.0)} AS DOUBLE) AS {n}" for n, v in base.items())
+    query(f"A12_curved_{variant}", f"SELECT pair_id, count(*) AS n, {values} FROM ties_fx GROUP BY pair_id HAVING count(*) >= 20", ("ties_fx",))(_run)
+for variant, names in PHASE_SOLUTIONS.items():
+    def _run(spark, sf_dir, variant=variant, names=names):
+        base = {n: v for n, v in CURVED.items() if n != "const"} | {"ramp": 0.0}
+        truth = {n: v + (STEEP[n] if n in names.split() else 0.0) for n, v in base.items()}
+        ramp = {"no_ramp": "x * cos(theta_d)", "ramp": "x"}.get(variant)
+        ties = _curved(spark, sf_dir, truth | {"const": 0.0}, False, 220.0, ramp)
+        known = ties.select("pair_id").distinct().select("pair_id", *[F.lit(v).alias(n) for n, v in base.items()])
+        found = calibrate.phase_baseline(ties, variant, known).where("n >= 20")
+        return found.select("pair_id", "n", *[(F.round(C(n), 3) + 0.0).alias(n) for n in base])
+
+    base = {n: v for n, v in CURVED.items() if n != "const"} | {"ramp": 0.0}
+    values = ", ".join(f"CAST({v + (STEEP[n] if n in names.split() else 0.0)} AS DOUBLE) AS {n}" for n, v in base.items())
+    query(f"A14_curved_{variant}", f"SELECT pair_id, count(*) AS n, {values} FROM ties_fx GROUP BY pair_id HAVING count(*) >= 20", ("ties_fx",))(_run)
+for variant, names in {"const": "c1", "linear": "c1 doffdx", "baseline_const": "c1 dbc", "baseline_linear": "c1 dbc doffdx"}.items():
+    RATES = {"c1": 0.0, "dbc": 2e-5, "dbh": -1e-5, "doffdx": 0.0}
+    GONE = {"c1": 3.0, "dbc": 3e-5, "doffdx": 0.4}
+
+    def _run(spark, sf_dir, variant=variant, names=names, truth={n: v + (GONE[n] if n in names.split() else 0.0) for n, v in RATES.items()}):
+        ties = fixture(spark, sf_dir, "ties_fx").withColumns({"slant": 850000.0 + 40000.0 * C("x"), "theta": 0.6 + C("theta_d"), "sv_offset": 0.1 * C("x")})
+        y = f"{truth['c1']} + slant * sin(theta) * {truth['dbc']} - slant * cos(theta) * ({truth['dbh']}) + {truth['doffdx']} * x + sv_offset"
+        ties = ties.withColumn("y", F.expr(y).cast("double"))
+        known = ties.select("pair_id").distinct().select("pair_id", F.lit(2e-5).alias("dbc"), F.lit(-1e-5).alias("dbh"))
+        found = calibrate.azimuth_params(ties, variant, known).where("n >= 20")
+        return found.select("pair_id", "n", *[(F.round(C(n) * k, 3) + 0.0).alias(n) for n, k in (("c1", 1), ("dbc", 1e6), ("dbh", 1e6), ("doffdx", 1))])
+
+    values = ", ".join(f"CAST(round({(RATES[n] + (GONE[n] if n in names.split() else 0.0)) * k}, 3) AS DOUBLE) AS {n}" for n, k in (("c1", 1), ("dbc", 1e6), ("dbh", 1e6), ("doffdx", 1)))
+    query(f"A13_known_rates_{variant}", f"SELECT pair_id, count(*) AS n, {values} FROM ties_fx GROUP BY pair_id HAVING count(*) >= 20", ("ties_fx",))(_run)
+# the weighted mean and the spread of what the known terms leave, with the errors shared out by weight
+on("A12_const_spread", ("ties_fx",), """, w AS (SELECT pair_id, y, greatest(weight / avg(weight) OVER (PARTITION BY pair_id), 0.1) AS s FROM ties_fx),
+ m AS (SELECT pair_id, count(*) AS n, sum(y / s / s) / sum(1 / s / s) AS const, stddev_pop(y) AS spread, 1 / sum(1 / s / s) AS unit FROM w GROUP BY 1)
+ SELECT pair_id, n, round(const, 6) AS const, round(spread, 6) AS sigma_res, round(unit * spread * spread, 6) AS variance FROM m WHERE n >= 2""")(
+    lambda t: calibrate.range_params(t.withColumn("slant", F.lit(8.5e5)), "const").select("pair_id", "n", r6(C("const"), "const"), r6(C("sigma_res"), "sigma_res"), r6(F.get("cov", F.lit(35)), "variance"))
+)
 on("A12_fit_range_params", ("ties_fx",), None)(lambda t: fit.fit_range_params(t, "linear").select("pair_id", "n", "params", "cov", "sigma_res"))
 on("A14_fit_phase_baseline", ("ties_fx",), None)(lambda t: fit.fit_phase_baseline(t.withColumn("two_k", F.lit(1.0)), "dbp").select("pair_id", "n", "params"))
 on("A15_reweight_sigma", ("ties_fx",), ", s AS (SELECT pair_id, sqrt(greatest(avg(y * y) - avg(y) * avg(y), 0)) AS sp, sum(weight) AS sw, count(*) AS n FROM ties_fx GROUP BY 1) SELECT pair_id, round(greatest(sp * weight * n / sw, 0.1 * sp, 1e-12), 5) AS sigma FROM ties_fx JOIN s USING (pair_id)")(
@@ -382,12 +446,12 @@ on("A16_range_covariance", ("ties_fx",), f", m AS ({NORMAL}) SELECT pair_id, CAS
 on("A19_image_average", ("acquisitions_fx",), "SELECT i, j, round(sum(value * 2 * n_days) / sum(2), 8) AS gain, round(sum(value * n_days) / sum(n_days), 8) AS mean FROM acquisitions_fx GROUP BY 1, 2")(
     lambda a: images.image_mosaic_average(a.withColumn("f", F.lit(2.0)).withColumn("weight", C("n_days"))).select("i", "j", r6(C("value"), "gain", 8)).join(images.image_mosaic_average(a.withColumn("weight", C("n_days")), as_gain=False).select("i", "j", r6(C("value"), "mean", 8)), ["i", "j"])
 )
-RTC = "SELECT i, j, CAST(j AS DOUBLE) + (z - 1000) / 400 AS r, CAST(i AS DOUBLE) / 2 + j % 3 AS a, z / 100 AS ab, z / 100 + 2 + i % 10 * 4 AS ag, z / 1000 - 3.2 AS db FROM cells_fx"
-# the cell that gathers is tested, every neighbour gives; boxes of side 1 must touch in azimuth, and share 1 - |dr| in range
+RTC = "SELECT i, j, CAST(j AS DOUBLE) + (z - 1000) / 400 AS r, CAST(i AS DOUBLE) / 2 + j % 3 AS a, z / 100 AS ab, z / 100 + 2 + i % 10 * 4 AS ag, z / 1000 - 3.2 AS db, CASE WHEN (i * 7 + j) % 13 = 0 THEN -0.5 ELSE 0.5 END AS shadow FROM cells_fx"
+# the cell that gathers is tested, every neighbour up to 3 columns and 2 rows away gives; boxes of side 1 must touch in azimuth, and share 1 - |dr| in range
 on("A20_rtc_area_sum", ("cells_fx",), f""", c AS ({RTC}), g AS (SELECT a.i, a.j, sum(CASE WHEN abs(a.a - b.a) <= 1 THEN greatest(1 - abs(a.r - b.r), 0) ELSE 0 END * b.ab) AS mb, sum(CASE WHEN abs(a.a - b.a) <= 1 THEN greatest(1 - abs(a.r - b.r), 0) ELSE 0 END * b.ag) AS mg
- FROM c a JOIN c b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 2 AND (a.i <> b.i OR a.j <> b.j) WHERE NOT (a.db < -2 OR a.ab / a.ag > 0.65) GROUP BY 1, 2)
- SELECT c.i, c.j, round(ab + coalesce(mb, 0), 6) AS ab_sum, round(ag + coalesce(mg, 0), 6) AS ag_sum, round((ab + coalesce(mb, 0)) / (ag + coalesce(mg, 0)), 6) AS ratio FROM c LEFT JOIN g ON g.i = c.i AND g.j = c.j""")(
-    lambda c: images.rtc_area_sum(c.select("i", "j", (C("j").cast("double") + (C("z") - 1000) / 400).alias("r"), (C("i").cast("double") / 2 + C("j") % 3).alias("a"), (C("z") / 100).alias("ab"), (C("z") / 100 + 2 + C("i") % 10 * 4).alias("ag"), (C("z") / 1000 - 3.2).alias("db"))).select("i", "j", r6(C("ab_sum"), "ab_sum"), r6(C("ag_sum"), "ag_sum"), r6(C("ratio"), "ratio"))
+ FROM c a JOIN c b ON abs(a.j - b.j) <= 3 AND abs(a.i - b.i) <= 2 AND (a.i <> b.i OR a.j <> b.j) WHERE NOT (a.shadow < -0.001 OR a.db < -2 OR a.ab / a.ag > 0.65) GROUP BY 1, 2)
+ SELECT c.i, c.j, round(ab + coalesce(mb, 0), 6) AS ab_sum, round(ag + coalesce(mg, 0), 6) AS ag_sum, round(CASE WHEN shadow < -0.001 THEN -1 ELSE (ab + coalesce(mb, 0)) / (ag + coalesce(mg, 0)) END, 6) AS ratio FROM c LEFT JOIN g ON g.i = c.i AND g.j = c.j""")(
+    lambda c: images.rtc_area_sum(c.select("i", "j", (C("j").cast("double") + (C("z") - 1000) / 400).alias("r"), (C("i").cast("double") / 2 + C("j") % 3).alias("a"), (C("z") / 100).alias("ab"), (C("z") / 100 + 2 + C("i") % 10 * 4).alias("ag"), (C("z") / 1000 - 3.2).alias("db"), F.when((C("i") * 7 + C("j")) % 13 == 0, -0.5).otherwise(0.5).alias("shadow"))).select("i", "j", r6(C("ab_sum"), "ab_sum"), r6(C("ag_sum"), "ag_sum"), r6(C("ratio"), "ratio"))
 )
 on("A21_run_summary", ("pairs_fx", "obs_fx"), "SELECT pass_type, count(*) AS given, count(u.pair_id) AS used, count(*) - count(u.pair_id) AS dropped FROM pairs_fx p LEFT JOIN (SELECT DISTINCT pair_id FROM obs_fx WHERE vx > 104) u ON u.pair_id = p.pair_id GROUP BY 1")(lambda p, o: mosaic.run_summary(p, o.where("vx > 104")))
 on("A22_hemisphere", ("points_fx",), "SELECT CASE WHEN min_by(lat, point_id) < 0 THEN 'south' ELSE 'north' END AS hemisphere, CASE WHEN min_by(lat, point_id) < 0 THEN 0 ELSE 45 END AS rot, CASE WHEN min_by(lat, point_id) < 0 THEN 71 ELSE 70 END AS std_lat FROM points_fx")(
@@ -432,7 +496,14 @@ on("K1_velocity_layers", ("obs_fx",), f", fe AS (SELECT *, 1 AS f FROM obs_fx),
 on("K2_mosaic_meta", ("pairs_fx", "obs_fx"), "SELECT pair_id, jd1 + n_days / 2 AS central_jd, DATE '1970-01-01' + CAST(floor(jd1 + 0.5) - 2440588 AS INT) AS date1, DATE '1970-01-01' + CAST(floor(jd1 + n_days + 0.5) - 2440588 AS INT) AS date2, n_days, CAST(i_min + i_max AS DOUBLE) / 2 AS i_mid, CAST(j_min + j_max AS DOUBLE) / 2 AS j_mid FROM pairs_fx WHERE pair_id IN (SELECT pair_id FROM obs_fx)")(sinks.mosaic_meta)
 on("K3_tie_lines", ("points_fx",), "SELECT printf('%.6f %.6f %.2f %.3f %.3f %.3f', lat, lon, h * CAST(0.71317 AS DOUBLE), lat / 7, lon / 7, h * 0) AS value FROM points_fx WHERE h > 0")(lambda p: sinks.tie_lines(p.where("h > 0").select("lat", "lon", (C("h") * 0.71317).alias("z"), (C("lat") / 7).alias("vx"), (C("lon") / 7).alias("vy"), (C("h") * 0).alias("vz"))))
 on("K4_image_layers", ("samples_fx",), f"SELECT l_orderkey, l_linenumber, {DB} AS sigma0, greatest(round({DB} + theta, 2), -30.0) AS gamma0 FROM samples_fx")(lambda s: sinks.image_layers(s.select(*S, (C("sr") * 0.01 - 0.0005).alias("value"), C("theta").alias("gamma_correction"))).select(*S, "sigma0", "gamma0"))
-on("K5_fit_lines", ("ties_fx",), None)(lambda t: sinks.fit_lines(fit.fit_range_params(t, "bnbpdbp")))
+# the file as written, and read again
+on("K5_fit_lines", ("ties_fx",), """, w AS (SELECT pair_id, y, greatest(weight / avg(weight) OVER (PARTITION BY pair_id), 0.1) AS s FROM ties_fx),
+ m AS (SELECT pair_id, count(*) AS n, sum(y / s / s) / sum(1 / s / s) AS const, stddev_pop(y) AS spread, 1 / sum(1 / s / s) AS unit FROM w GROUP BY 1)
+ SELECT CAST(pair_id AS VARCHAR) AS pair_id, '; Ntiepoints/Ngiven used= ' || n || '/' || n AS head, 12 AS lines, round(const, 6) AS const, round(spread, 6) AS sigma_res, round(unit * spread * spread, 6) AS variance FROM m WHERE n >= 2""")(
+    lambda t: (lambda files: text.read_fit_params(t.sparkSession, files, "range").join(files.select(F.regexp_extract("file", "[^/]+$", 0).alias("pair_id"), "text"), "pair_id"))(
+        sinks.fit_lines(calibrate.range_params(t.withColumn("slant", F.lit(8.5e5)), "const")).select(F.concat(F.lit("/fits/"), C("pair_id").cast("string")).alias("file"), C("value").alias("text"))
+    ).select("pair_id", F.get(F.split("text", "\n"), F.lit(0)).alias("head"), F.size(F.split("text", "\n")).alias("lines"), r6(F.get("params", F.lit(4)), "const"), r6(C("sigma_res"), "sigma_res"), r6(F.get("cov", F.lit(35)), "variance"))
+)
 on("K6_geocoded_points", ("samples_fx",), "SELECT l_orderkey, l_linenumber, round(CASE WHEN code = 5 THEN -9999 ELSE theta * 4 + 1.5 END, 6) AS range, round(CASE WHEN code = 5 THEN -9999 ELSE psi * 2 + 0.5 END, 6) AS azimuth FROM samples_fx")(
     lambda s: sinks.geocoded_points(s.select(*S, F.when(C("code") != 5, C("theta")).alias("range"), C("psi").alias("azimuth")), 4, 2).select(*S, r6(C("range"), "range"), r6(C("azimuth"), "azimuth"))
 )

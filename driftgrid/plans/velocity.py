@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftgrid.functions import geo, image, velocity
 from driftgrid.functions.dates import date_weight
 from driftgrid.functions.velocity import YEAR, optical_variance, optical_velocity
-from driftgrid.operators import fit, geocode, images
+from driftgrid.operators import calibrate, geocode, images
 from driftgrid.operators.grid import cells_for_pairs, crossing_pairs
 from driftgrid.operators.mosaic import clip_to_reference, feather, finish, mask_policy, merge_rounds, mosaic_sums, valid_sample, within_max_dt
 from driftgrid.operators.sampling import attach_layers, sample_bilinear, sample_ties
@@ -211,22 +211,31 @@ def image_mosaic(samples: DataFrame, how: str = "average", date: str | None = No
     return made.select("i", "j", "value", image.to_db(F.col("value")).alias("sigma0"))
 
 
-def calibration_fit(ties: DataFrame, pairs: DataFrame, scenes: DataFrame, offsets: DataFrame, variant: str = "linear", south: bool = False) -> DataFrame:
-    """Range parameters of all pairs at once from ties(pair_id, tie_id, lat, lon, z, vx, vy, vz, weight, code, x, y).
+def calibration_ties(ties: DataFrame, pairs: DataFrame, scenes: DataFrame, offsets: DataFrame, south: bool = False) -> DataFrame:
+    """ties(pair_id, tie_id, lat, lon, z, vx, vy, vz, weight, code, x, y) as measures of the fits: pair_id, tie_id, theta_d, theta, x, slant, weight, y.
 
     pairs has pair_id, scene_id, n_days, the offset grid, range_pixel, theta_c and tide_difference. Ties off the image or without offsets take no part.
     """
     keys = ["pair_id", "tie_id"]
     at = ties.join(pairs.select("pair_id", "scene_id"), "pair_id").select(*keys, "scene_id", "lat", "lon", F.col("z").alias("h"))
     place = geocode.radar_geometry(at, scenes, keys).where("range is not null and heading is not null").drop("scene_id")
-    found = sample_ties(place.select(*keys, F.col("range").alias("r"), F.col("azimuth").alias("a")), pairs.select("pair_id", "r0", "a0", "delta_r", "delta_a"), offsets, ["dr"]).dropna()
-    rows = ties.join(place, keys).join(found, keys).join(pairs, "pair_id").join(scenes.select("scene_id", "n_azimuth"), "scene_id")
+    found = sample_ties(place.select(*keys, F.col("range").alias("r"), F.col("azimuth").alias("a")), pairs.select("pair_id", "r0", "a0", "delta_r", "delta_a"), offsets, ["dr"]).dropna().select(*keys, "dr")
+    own = pairs.select("pair_id", "scene_id", "n_days", "range_pixel", "theta_c", "tide_difference")
+    rows = ties.join(place, keys).join(found, keys).join(own, "pair_id").join(scenes.select("scene_id", "n_azimuth"), "scene_id")
     look = geo.look_geometry(F.col("slant"), geo.earth_radius(F.radians("lat")) * 1000 + F.col("z"), F.col("orbit"))
     rows = rows.withColumn("look", look).withColumn("vz", velocity.tie_tide(F.col("code"), F.col("vz"), F.col("tide_difference"), F.col("n_days")))
     rows = rows.withColumn("ra", geo.rotate_xy_to_ra(F.col("vx"), F.col("vy"), geo.xy_angle(F.col("x"), F.col("y"), south), F.col("heading")))
     y = velocity.motion_correction(F.col("dr") * F.col("range_pixel"), "range", F.col("ra.r"), F.col("ra.a"), F.col("vz"), F.col("look.psi"), F.col("n_days"))
-    measured = rows.select("pair_id", (F.col("look.theta") - F.col("theta_c")).alias("theta_d"), geo.norm_azimuth(F.col("azimuth"), F.col("n_azimuth")).alias("x"), "weight", y.alias("y"))
-    return fit.placed_covariance(fit.fit_range_params(measured, variant), fit.RANGE_VARIANTS, variant)
+    return rows.select(*keys, (F.col("look.theta") - F.col("theta_c")).alias("theta_d"), F.col("look.theta").alias("theta"), geo.norm_azimuth(F.col("azimuth"), F.col("n_azimuth")).alias("x"), "slant", "weight", y.alias("y"))
+
+
+def calibration_fit(ties: DataFrame, pairs: DataFrame, scenes: DataFrame, offsets: DataFrame, variant: str = "linear", south: bool = False, passes: int = 3) -> DataFrame:
+    """Range parameters of all pairs at once from calibration_ties, each fit starting from the baseline that pairs have (bn .. dbpq, const), which also
+    holds for what isn't solved for; then K5 with n_given. The geocoded ties are written as a checkpoint, because each pass reads them."""
+    measured = calibration_ties(ties, pairs, scenes, offsets, south).checkpoint()
+    known = pairs.select("pair_id", *[c for c in (*calibrate.BASELINE, "const") if c in pairs.columns])
+    given = ties.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_given"))
+    return calibrate.range_params(measured, variant, known, passes).join(given, "pair_id")
 
 
 def speckle_observations(samples: DataFrame) -> DataFrame:

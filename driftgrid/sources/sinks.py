@@ -86,10 +86,32 @@ def image_layers(image: DataFrame, layers: tuple[str, ...] = ("sigma0", "gamma0"
     return image.select(*[c for c in image.columns if c not in layers], *[made[n].alias(n) for n in layers])
 
 
-def fit_lines(fits: DataFrame) -> DataFrame:
-    """K5: fits(pair_id, params, cov, n, sigma_res) as the lines of a parameter file."""
-    numbers = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.9g", x)), " ")
-    return fits.select("pair_id", F.concat_ws("\n", F.concat(F.lit("; points used "), F.col("n")), F.concat(F.lit("; sigma*sqrt(X2/n) = "), F.format_string("%.9g", "sigma_res")), F.concat(F.lit("; C_1 = "), numbers(F.col("cov"))), numbers(F.col("params"))).alias("value"))
+#: K5: the order of the parameters in their line, and what the rows of the covariance are, by kind.
+FIT_LAYOUTS = {
+    "range": (("bn", "bp", "dbn", "dbp", "const", "dbnq", "dbpq"), "Bn, dBn, dBp, dBnQ, dBpQ, const"),
+    "azimuth": (("c1", "dbc", "dbh", "doffdx"), "c1, dbc, dbh, doffdx"),
+    "baseline": (("bn", "bp", "dbn", "dbp", "dbnq", "dbpq"), "Bn, Bp, dBn, dBp, dBnQ, dBpQ"),
+}
+
+
+def fit_lines(fits: DataFrame, kind: str = "range") -> DataFrame:
+    """K5: fits(pair_id, the parameters by name, cov (flat), n, sigma_res) as the text of a parameter file, which S13 reads.
+
+    The counts of ties (n_given, if there, beside n), the spread of the residuals, a line for each row of the covariance, and all parameters in
+    their places, whether solved for or known.
+    """
+    names, rows = FIT_LAYOUTS[kind]
+    size = 4 if kind == "azimuth" else 6
+    number = lambda c: F.format_string("%.12g", c)
+    given = F.col("n_given") if "n_given" in fits.columns else F.col("n")
+    covariance = [F.concat(F.lit(f";* C_{a + 1}  "), F.array_join(F.transform(F.slice("cov", a * size + 1, size), number), " ")) for a in range(size)]
+    lines = [
+        F.concat(F.lit("; Ntiepoints/Ngiven used= "), F.col("n"), F.lit("/"), given),
+        F.concat(F.lit(";* sigma*sqrt(X2/n)= "), number(F.col("sigma_res"))),
+        F.lit(f"; Covariance Matrix {rows}"), *covariance,
+        F.lit("; " + " ".join(names)), F.concat_ws(" ", *[number(F.col(n)) for n in names]), F.lit("&"),
+    ]
+    return fits.select("pair_id", F.concat_ws("\n", *lines).alias("value"))
 
 
 def geocoded_points(df: DataFrame, looks_r: int, looks_a: int) -> DataFrame:

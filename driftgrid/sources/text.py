@@ -188,8 +188,8 @@ def read_fit_params(spark: SparkSession, path: str | DataFrame, kind: str, mode:
     """Per pair (the file's name up to its mode suffix) the parameters (last plain line), flat covariance rows C_n and residual sigma; the mode's file if there, else the base file with mode 'none'."""
     suffixes = FIT_SUFFIXES[kind][mode]
     own = F.regexp_extract("file", r"(\.deltabp|\.quad|\.const|\.svlinear)$", 1)
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith(";"))
-    cov = F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"C_\d+")), lambda x: _numbers(F.regexp_extract(x, r"C_\d+[^=]*=?(.*)$", 1))))
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith(";") & (F.trim(x) != "&"))
+    cov = F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"C_\d+")), lambda x: _numbers(F.regexp_extract(x, r"C_\d+\s*=?(.*)$", 1))))
     sigma = F.regexp_extract("text", r"sigma\*sqrt\(X2/n\)\s*=\s*([-+.\deE]+)", 1)
     rows = _whole(spark, path).select(F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"(\.deltabp|\.quad|\.const|\.svlinear)$", "").alias("pair_id"), own.alias("suffix"), _numbers(F.element_at(lines, -1)).alias("params"), F.when(F.size(cov) > 0, cov).alias("cov"), F.nullif(sigma, F.lit("")).cast("double").alias("sigma_res"))
     rank = F.array_position(F.array(*map(F.lit, suffixes)), F.col("suffix"))

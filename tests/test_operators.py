@@ -241,3 +241,27 @@ def test_stream_equals_batch_and_repeats_nothing(spark, sf_dir, tmp_path):
     got = {(r.i, r.j): (r.vx, r.n) for r in incremental.current(spark, state).collect()}
     want = {(r.i, r.j): (r.vx, r.n) for r in mosaic.finish(mosaic.mosaic_sums(rows)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_rtc_gathers_along_x_and_stops_at_shadow(spark):
+    rows = [(10, 10, 5.0, 5.0, 1.0, 4.0, 0.0, 0.5), (10, 13, 5.0, 5.0, 100.0, 1.0, -9.0, 0.5), (13, 10, 5.0, 5.0, 10000.0, 1.0, -9.0, 0.5), (30, 30, 5.0, 5.0, 1.0, 4.0, 0.0, -0.5), (30, 31, 5.0, 5.0, 7.0, 1.0, -9.0, 0.5)]
+    got = {(r.i, r.j): r for r in images.rtc_area_sum(spark.createDataFrame(rows, "i int, j int, r double, a double, ab double, ag double, db double, shadow double")).collect()}
+    assert got[10, 10].ab_sum == 101.0 and got[10, 10].ratio == 101.0 / 5.0
+    assert got[30, 30].ratio == -1.0 and got[30, 30].ab_sum == 1.0 and got[13, 10].ab_sum == 10000.0
+
+
+def test_calibration_plan_end_to_end(spark, sf_dir):
+    from driftgrid.operators import geocode
+    from driftgrid.plans import velocity as plans
+
+    scenes = _scenes(spark, sf_dir).where("scene_id = 1")
+    samples = geocode.radar_grid(scenes, 400).withColumn("h", F.lit(0.0))
+    ties = geocode.locate(scenes, samples).select(F.lit(7).alias("pair_id"), F.col("sample_id").alias("tie_id"), "lat", "lon", *[F.lit(v).alias(n) for n, v in (("z", 0.0), ("vx", 0.0), ("vy", 0.0), ("vz", 0.0), ("weight", 1.0), ("x", 1.0), ("y", 2.0))], F.lit(0).alias("code"))
+    pairs = spark.createDataFrame([(7, 1, 12.0, 0.0, 0.0, 100.0, 100.0, 2.5, 0.4, 0.0, 9.0, 120.0, 45.0)], "pair_id int, scene_id long, n_days double, r0 double, a0 double, delta_r double, delta_a double, range_pixel double, theta_c double, tide_difference double, weight double, bn double, bp double")
+    offsets = spark.range(0, 90 * 90).select(F.lit(7).alias("pair_id"), (F.col("id") % 90).cast("int").alias("i"), (F.col("id") / 90).cast("int").alias("j"), F.lit(5.0).alias("dr"))
+    ready = plans.calibration_ties(ties, pairs, scenes, offsets)
+    rows = ready.collect()
+    assert len(rows) > 20 and all(r.y == pytest.approx(12.5) for r in rows)
+    got = plans.calibration_fit(ties, pairs, scenes, offsets, "const").first()
+    way = [(r.slant**2 - 2 * r.slant * (120 * math.sin(r.theta_d) + 45 * math.cos(r.theta_d)) + 120**2 + 45**2) ** 0.5 - r.slant for r in rows]
+    assert got.const == pytest.approx(12.5 - sum(way) / len(way), abs=1e-4) and got.bn == 120.0 and got.n == len(rows) and got.n_given >= got.n
