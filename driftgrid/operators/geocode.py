@@ -215,7 +215,7 @@ def _on_ground(batch: pa.RecordBatch, scene, h):
         good = np.abs(step).max(axis=1, initial=0) < 1e-4
         if good.all():
             break
-    lat = np.degrees(np.arctan2(p[:, 2] * MAJOR**2 / MINOR**2, np.hypot(p[:, 0], p[:, 1])))
+    lat = np.degrees(np.arctan2(p[:, 2] * axes[:, 0] ** 2 / axes[:, 2] ** 2, np.hypot(p[:, 0], p[:, 1])))
     return np.where(good, lat, np.nan), np.where(good, np.degrees(np.arctan2(p[:, 1], p[:, 0])), np.nan)
 
 

@@ -32,24 +32,36 @@ def overlaps_grid(pairs: DataFrame, rows: int, columns: int, pad: int = 0) -> Da
     return boxed.where("i_min < i_max and j_min < j_max")
 
 
-def crossing_pairs(pairs: DataFrame, max_days: float = 12.0, min_weight: float = 0.05, pad: int = 0, any_pass: bool = False) -> DataFrame:
-    """Unordered pairs a < b of opposite passes, near in time, whose boxes meet; with the inner box and the joint weight.
+def crossing_candidates(pairs: DataFrame, max_days: float, min_weight: float, tile: int) -> DataFrame:
+    """Pairs met through an index of grid tiles and time buckets: a_*, b_* and the tile, once for each tile and bucket that both are in.
 
-    Days are cut into buckets as long as max_days, and one side visits the buckets beside its own: an equi-join, not a nested loop.
+    A pair is in the index once for each tile of its box. Buckets are as long as max_days; one side also looks into the buckets beside its own.
     """
     usable = pairs.where((F.col("cross_flag") == 1) & (F.col("weight") >= min_weight))
     bucket = F.floor(F.col("jd1") / max_days)
     names = ["pair_id", "pass_type", "jd1", "weight", "i_min", "i_max", "j_min", "j_max"]
-    a = usable.select(*[F.col(n).alias(f"a_{n}") for n in names], bucket.alias("bucket"))
-    b = usable.select(*[F.col(n).alias(f"b_{n}") for n in names], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    near = (F.col("a_pair_id") < F.col("b_pair_id")) & (F.abs(F.col("a_jd1") - F.col("b_jd1")) <= max_days) & boxes_intersect("a_", "b_")
+    tiles = lambda c: F.sequence(F.floor(F.col(f"{c}_min") / tile), F.floor((F.col(f"{c}_max") - 1) / tile))
+    placed = usable.where("i_min < i_max and j_min < j_max").withColumn("ti", F.explode(tiles("i"))).withColumn("tj", F.explode(tiles("j")))
+    a = placed.select(*[F.col(n).alias(f"a_{n}") for n in names], "ti", "tj", bucket.alias("bucket"))
+    b = placed.select(*[F.col(n).alias(f"b_{n}") for n in names], "ti", "tj", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    return a.join(b, ["ti", "tj", "bucket"]).where(F.col("a_pair_id") < F.col("b_pair_id"))
+
+
+def crossing_pairs(pairs: DataFrame, max_days: float = 12.0, min_weight: float = 0.05, pad: int = 0, any_pass: bool = False, tile: int = 64) -> DataFrame:
+    """Unordered pairs a < b of opposite passes, near in time, whose boxes meet; with the inner box and the joint weight.
+
+    Candidates share a tile of the grid and a span of time, so a long max_days (548 for phase) doesn't make all pairs meet. Two boxes that share more
+    tiles are taken in the tile of the first cell that they share.
+    """
+    met = crossing_candidates(pairs, max_days, min_weight, tile)
+    near = (F.abs(F.col("a_jd1") - F.col("b_jd1")) <= max_days) & boxes_intersect("a_", "b_")
+    owner = (F.floor(F.greatest("a_i_min", "b_i_min") / tile) == F.col("ti")) & (F.floor(F.greatest("a_j_min", "b_j_min") / tile) == F.col("tj"))
     if not any_pass:
         near &= F.col("a_pass_type") != F.col("b_pass_type")
-    joined = a.join(b, "bucket").where(near)
     box = intersection("a_", "b_")
     if pad:
         box = [(c - pad if k % 2 == 0 else c + pad).alias(n) for k, (c, n) in enumerate(zip(box, ("i_min", "i_max", "j_min", "j_max"), strict=True))]
-    return joined.select("a_pair_id", "b_pair_id", F.sqrt(F.col("a_weight") * F.col("b_weight")).alias("weight"), *box)
+    return met.where(near & owner).select("a_pair_id", "b_pair_id", F.sqrt(F.col("a_weight") * F.col("b_weight")).alias("weight"), *box)
 
 
 def auto_bounds(points: DataFrame, dx: float, dy: float, margin: float = 3.0) -> DataFrame:

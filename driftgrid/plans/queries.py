@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgrid.functions import dates, geo, image, velocity
-from driftgrid.operators import calibrate, fit, geocode, grid, images, mosaic, sampling
+from driftgrid.operators import calibrate, fit, geocode, grid, images, mosaic, sampling, terrain
 from driftgrid.plans.fixtures import fixture, with_fixtures
 from driftgrid.plans import velocity as plans
 from driftgrid.plans.velocity import optical_mosaic, speckle_observations
-from driftgrid.sources import sinks, text
+from driftgrid.sources import byte_ranges, sinks, text
+from driftgrid.stages import shared_folder
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -209,6 +211,7 @@ on("P2_overlaps_grid", ("pairs_fx",), f"SELECT pair_id, CAST(greatest(i_min - 2,
 INNER = ", ".join(f"{'greatest' if n.endswith('min') else 'least'}(a.{n}, b.{n}) AS {n}" for n in ("i_min", "i_max", "j_min", "j_max"))
 CROSS = f"SELECT a.pair_id AS a_pair_id, b.pair_id AS b_pair_id, sqrt(a.weight * b.weight) AS weight, {INNER} FROM pairs_fx a JOIN pairs_fx b ON a.pair_id < b.pair_id AND abs(a.jd1 - b.jd1) <= 12 AND a.cross_flag = 1 AND b.cross_flag = 1 AND a.pass_type <> b.pass_type AND greatest(a.i_min, b.i_min) < least(a.i_max, b.i_max) AND greatest(a.j_min, b.j_min) < least(a.j_max, b.j_max)"
 on("J2_crossing_pairs", ("pairs_fx",), CROSS)(grid.crossing_pairs)
+on("J2_crossing_pairs_phase", ("pairs_fx",), CROSS.replace("<= 12", "<= 548"))(lambda p: grid.crossing_pairs(p, 548.0, tile=16))
 on("P6_crossing_any_pass", ("pairs_fx",), CROSS.replace(" AND a.pass_type <> b.pass_type", "").replace("<= 12", "<= 548"))(lambda p: grid.crossing_pairs(p, 548.0, any_pass=True))
 AT = "SELECT point_id, CAST(point_id * 13 % 1900 AS DOUBLE) / 100 AS u, CAST(point_id * 7 % 5200 AS DOUBLE) / 100 AS v FROM points_fx"
 HOLED = "(SELECT * FROM cells_fx WHERE code <> 5)"
@@ -564,14 +567,59 @@ def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "n", *[r6(F.get("params", F.lit(k)), f"p{k}", 5) for k in range(5)], r6(fit.surface_at(C("params"), F.lit(10.0), F.lit(20.0)), "at", 5))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a session on this machine alone may have a new folder in its place."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="driftgrid-")
+# ---- planes in files ----
+def _plane_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Grids of 64 x 16 parts each, as a file per band, written by the tasks; a row for each grid."""
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        for band in ("da", "dr"):
+            plane = np.full((64, 16), -2e9, ">f4")
+            plane[rows["i"], rows["j"]] = rows[band]
+            system, name = byte_ranges.file_system(folder)
+            system.create_dir(name)
+            with system.open_output_stream(f"{name}/g{key[0]}.{band}") as f:
+                f.write(plane.tobytes())
+        return pd.DataFrame({"id": [f"g{key[0]}"], "cells": [len(rows)]})
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 7 <> 0")
+    cells = part.select(F.expr("p_partkey div 1024").alias("g"), F.expr("cast(p_partkey % 1024 div 16 as int)").alias("i"), (C("p_partkey") % 16).cast("int").alias("j"), C("p_size").cast("double").alias("da"), C("p_retailprice").cast("double").alias("dr"))
+    return cells.groupBy("g").applyInPandas(write, "id string, cells long")
+
+
+@query("S9_plane_byte_ranges", """SELECT 'g' || p_partkey // 1024 AS id, CAST(p_partkey % 1024 // 16 AS INT) AS i, CAST(p_partkey % 16 AS INT) AS j, CAST(p_size AS DOUBLE) AS da, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS dr
+ FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 1024 // 16 >= 3 AND p_partkey % 1024 // 16 < 50 AND p_partkey % 16 >= 2 AND p_partkey % 16 < 11""")
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes written to the shared folder, and a box of them read in splits of ten rows."""
+    folder = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}".removeprefix("file:")
+    folder = "/" + folder.lstrip("/") if folder.startswith("/") else folder
+    _plane_files(spark, sf_dir, folder).count()
+    return byte_ranges.read_plane_files(spark, byte_ranges.grid_files(folder, 16, ("da", "dr")), ("da", "dr"), box={"i_min": 3, "i_max": 50, "j_min": 2, "j_max": 11}, split=2 * 16 * 4 * 10)
+
+
+# ---- J11 on terrain ----
+def _terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A radar grid of every scene on a sloping DEM of 20 km; its nodes are those around the samples' places at height 0."""
+    scenes = _scenes(spark, sf_dir)
+    samples = geocode.radar_grid(scenes, 1000)
+    p = geo.ll_to_xy(C("lat"), C("lon"), 45.0, 70.0)
+    flat = geocode.locate(scenes, samples.withColumn("h", F.lit(0.0))).where("lat is not null").withColumn("p", p)
+    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    nodes = flat.select(F.floor(C("p.x") / 20).cast("int").alias("j"), F.floor(C("p.y") / 20).cast("int").alias("i")).distinct()
+    dem = nodes.withColumn("di", around).withColumn("dj", around).select((C("i") + C("di")).alias("i"), (C("j") + C("dj")).alias("j")).distinct().select("i", "j", (1500 + 4.0 * C("i") - 3.0 * C("j")).alias("z"))
+    return terrain.radar_grid_on_terrain(scenes, samples, dem, 45.0, 70.0, (0.0, 0.0), 20.0)
+
+
+@query("J11_terrain", """SELECT s_suppkey AS scene_id, CAST(a AS DOUBLE) AS azimuth, CAST(r AS DOUBLE) AS range, true AS on_dem, true AS on_sphere, true AS quick, false AS layover
+ FROM supplier, range(0, 5000, 1000) x(a), range(0, 6000, 1000) y(r)""")
+def _on_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every sample lies on the DEM's plane (within 0.2 m) and, put back through J8, in its own pixel."""
+    found = _terrain(spark, sf_dir).withColumn("p", geo.ll_to_xy(C("lat"), C("lon"), 45.0, 70.0))
+    plane = 1500 + 4.0 * C("p.y") / 20 - 3.0 * C("p.x") / 20
+    back = geocode.radar_geometry(found.select("scene_id", "sample_id", "lat", "lon", C("height").alias("h")), _scenes(spark, sf_dir), ["sample_id"])
+    back = back.select("scene_id", "sample_id", C("range").alias("r2"), C("azimuth").alias("a2"))
+    both = found.join(back, ["scene_id", "sample_id"], "left")
+    near = (F.abs(C("r2") - C("range")) < 0.05) & (F.abs(C("a2") - C("azimuth")) < 0.05)
+    return both.select("scene_id", "azimuth", "range", F.coalesce(F.abs(C("height") - plane) < 0.2, F.lit(False)).alias("on_dem"), F.coalesce(near, F.lit(False)).alias("on_sphere"), (C("round") <= 12).alias("quick"), "layover")
 
 
 ARRIVALS = "SELECT CAST(user_id % 15 AS INT) AS i, CAST(event_id % 10 AS INT) AS j, value AS vx, 1.0 + event_id % 3 AS sx FROM events"
