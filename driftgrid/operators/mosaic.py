@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import feather
+
 SUMS = ["vx_sum", "vy_sum", "x_scale", "y_scale", "x_error", "y_error", "dt_sum", "dt_scale", "vz_sum", "n"]
 
 
@@ -22,17 +24,6 @@ def edge_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     return counted.where(F.col("_all") < span("i") * span("j")).drop("_row", "_all")
 
 
-def feather(cells: DataFrame, keys: list[str], fl: int) -> DataFrame:
-    """Cells with f: the least of min(max(distance, 0.5) / fl, 1) over edge cells within fl rows and columns; 1 for fl 0 and far from edges."""
-    if fl == 0:
-        return cells.withColumn("f", F.lit(1.0))
-    reach = F.sequence(F.lit(-fl), F.lit(fl))
-    near = edge_cells(cells, keys).select(*keys, "i", "j").withColumn("di", F.explode(reach)).withColumn("dj", F.explode(reach))
-    share = F.least(F.greatest(F.sqrt(F.col("di") * F.col("di") + F.col("dj") * F.col("dj")), F.lit(0.5)) / fl, F.lit(1.0))
-    least = near.select(*keys, (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), share.alias("f")).groupBy(*keys, "i", "j").agg(F.min("f").alias("f"))
-    return cells.join(least, [*keys, "i", "j"], "left").withColumn("f", F.coalesce("f", F.lit(1.0)))
-
-
 def mosaic_sums(obs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The sums of obs(i, j, vx, vy, sx, sy, f, weight) per cell; dt and vz count where obs has them. Sigmas are of the velocities."""
     col = lambda c, d=0.0: F.col(c) if c in obs.columns else F.lit(d)

@@ -9,6 +9,7 @@ from driftgrid.functions import geo, image, velocity
 from driftgrid.functions.dates import date_weight
 from driftgrid.functions.velocity import YEAR, optical_variance, optical_velocity
 from driftgrid.operators import calibrate, geocode, images
+from driftgrid.operators.blocks import sample_feathered
 from driftgrid.operators.grid import cells_for_pairs, crossing_pairs
 from driftgrid.operators.mosaic import clip_to_reference, feather, finish, mask_policy, merge_rounds, mosaic_sums, valid_sample, within_max_dt
 from driftgrid.operators.sampling import attach_layers, sample_bilinear, sample_ties
@@ -24,16 +25,13 @@ def optical_observations(matches: DataFrame, cells: DataFrame, jd1: float, jd2:
     its date before any of its cells is read.
     """
     m = matches.withColumn("weight", date_weight(F.col("jd_early"), F.col("jd_late"), F.lit(jd1), F.lit(jd2))).where("weight > 0.05 and weight >= 0.5")
-    node = lambda a, b: (F.col(a) - F.col(b)) / (F.col(f"d{a}") * F.col(f"step_{a}"))
     bound = lambda o, d, n, s: (F.ceil(F.col(o) / cell).cast("int"), (F.floor((F.col(o) + (F.col(n) - 2) * F.col(d) * F.col(s)) / cell) + 1).cast("int"))
     (j0, j1), (i0, i1) = bound("x0", "dx", "nx", "step_x"), bound("y0", "dy", "ny", "step_y")
     m = m.withColumns({"i_min": F.greatest(i0, F.lit(0)), "i_max": i1, "j_min": F.greatest(j0, F.lit(0)), "j_max": j1})
-    at = cells_for_pairs(m.select("match_id", *BOX, "x0", "y0", "dx", "dy", "step_x", "step_y"))
-    if mask is not None:
-        at = at.join(mask.where("code = 5").select("i", "j"), ["i", "j"], "left_anti")
-    at = at.withColumn("x", F.col("j") * cell).withColumn("y", F.col("i") * cell)
-    points = at.select("match_id", F.col("i").alias("pi"), F.col("j").alias("pj"), node("x", "x0").alias("u"), node("y", "y0").alias("v"))
-    offsets = sample_bilinear(points, cells, ["match_id", "pi", "pj"], ["dx", "dy", "sx", "sy"], ["match_id"]).dropna().select("match_id", F.col("pi").alias("i"), F.col("pj").alias("j"), F.col("dx").alias("ox"), F.col("dy").alias("oy"), F.col("sx").alias("px"), F.col("sy").alias("py"))
+    to_node = {f"{n}0": -F.col(f"{a}0") / (F.col(f"d{a}") * F.col(f"step_{a}")) for n, a in (("u", "x"), ("v", "y"))} | {f"d{n}": cell / (F.col(f"d{a}") * F.col(f"step_{a}")) for n, a in (("u", "x"), ("v", "y"))}
+    boxes = m.select("match_id", *BOX, *[c.alias(n) for n, c in to_node.items()])
+    gone = None if mask is None else mask.where("code = 5")
+    offsets = sample_feathered(boxes, cells, ["match_id"], ["dx", "dy", "sx", "sy"], fl, gone).withColumnsRenamed({"dx": "ox", "dy": "oy", "sx": "px", "sy": "py"})
     rows = offsets.join(m, "match_id")
     middle = lambda a: F.col(f"{a}0") + 0.5 * F.col(f"n{a}") * F.col(f"step_{a}") * F.col(f"d{a}")
     ux, uy = F.col("j") * cell - middle("x"), F.col("i") * cell - middle("y")
@@ -47,8 +45,7 @@ def optical_observations(matches: DataFrame, cells: DataFrame, jd1: float, jd2:
         out[f"v{a}"] = optical_velocity(F.col(f"o{a}"), plane, F.col(f"d{a}"), days, F.col("scale"))
         out[f"s{a}"] = F.sqrt(optical_variance(F.col(f"p{a}"), F.col(f"sigma_{a}_res"), F.col(f"mean_sigma_{a}"), fit_variance, F.col(f"d{a}"), days))
     dt = 0.5 * (F.col("jd_early") + F.col("jd_late")) - 0.5 * (jd1 + jd2)
-    obs = rows.select("match_id", "i", "j", *BOX, "weight", dt.alias("dt"), *[c.alias(n) for n, c in out.items()])
-    return feather(obs, ["match_id"], fl)
+    return rows.select("match_id", "i", "j", *BOX, "weight", dt.alias("dt"), *[c.alias(n) for n, c in out.items()], "f")
 
 
 def optical_mosaic(matches: DataFrame, cells: DataFrame, jd1: float, jd2: float, **options) -> DataFrame:
