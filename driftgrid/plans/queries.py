@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions import dates, geo, image, velocity
@@ -16,7 +16,7 @@ from driftgrid.operators import calibrate, fit, geocode, grid, images, mosaic, s
 from driftgrid.plans.fixtures import fixture, with_fixtures
 from driftgrid.plans import velocity as plans
 from driftgrid.plans.velocity import optical_mosaic, speckle_observations
-from driftgrid.sources import byte_ranges, sinks, text
+from driftgrid.sources import byte_ranges, scenes, sinks, text
 from driftgrid.stages import shared_folder
 
 QUERIES = {}
@@ -512,17 +512,51 @@ on("K6_geocoded_points", ("samples_fx",), "SELECT l_orderkey, l_linenumber, roun
 )
 on("P9_within_max_dt", ("obs_fx",), f", fe AS (SELECT *, 1 AS f FROM obs_fx), m AS (SELECT i, j, {MEANS} FROM fe GROUP BY i, j) SELECT i, j, round(CASE WHEN abs(dt) <= 1.49 THEN vx END, 6) AS vx, round(CASE WHEN abs(dt) <= 1.49 THEN ey END, 6) AS ey FROM m")(lambda o: mosaic.within_max_dt(mosaic.finish(mosaic.mosaic_sums(o)), 10.0, 11.0).select("i", "j", r6(C("vx"), "vx"), r6(C("ey"), "ey")))
 on("P10_select_tie_cells", ("obs_fx",), f", fe AS (SELECT *, 1 AS f FROM obs_fx), m AS (SELECT i, j, {MEANS} FROM fe GROUP BY i, j) SELECT i, j FROM m WHERE sqrt(vx * vx + vy * vy) < 40 AND sqrt(ex) BETWEEN 1e-12 AND 119.99 AND sqrt(ey) BETWEEN 1e-12 AND 119.99 AND abs(vz) < 1.6")(lambda o: mosaic.select_tie_cells(mosaic.finish(mosaic.mosaic_sums(o)), 40.0).select("i", "j"))
-query("S6_json_properties", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k int")["k"].alias("k")))
-
-
-def _pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from driftgrid.sources.text import pair_list_defaults
-
-    line = F.concat_ws(" ", F.concat(F.lit("phase"), C("s_suppkey")), F.lit("geo"), F.lit("base"), (C("s_suppkey") % 30).cast("string"), F.when(C("s_suppkey") % 2 == 0, F.lit("0.5")), F.when(C("s_suppkey") % 4 == 0, F.lit("a b none d 0")))
-    return pair_list_defaults(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", line.alias("line")))
-
-
-query("S1_pair_list", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 10 WHEN s_suppkey % 2 = 0 THEN 5 ELSE 4 END AS n_fields, 'phase' || s_suppkey AS phase_path, CAST(s_suppkey % 30 AS DOUBLE) AS n_days, CASE WHEN s_suppkey % 2 = 0 THEN CAST(0.5 AS DOUBLE) ELSE 1 END AS weight, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1 END AS cross_flag FROM supplier")(_pair_lines)
+def _pair_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair lists as files of lines, one for each nation: grid, number of files, then pairs of 5, 6 or 10 fields, with comments and an end."""
+    s = C("s_suppkey")
+    fields = F.concat_ws(" ", F.concat(F.lit("phase"), s), F.lit("geo"), F.lit("base"), (s % 30).cast("string"), F.when(s % 2 == 0, F.lit("0.5")), F.when(s % 4 == 0, F.lit("a b none d 0")), F.when(s % 3 == 0, F.lit("; checked")))
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("list"), C("s_nationkey")).alias("file"), (s + 10).alias("seq"), fields.alias("value"))
+    lists = own.select("file").distinct()
+    more = lists.select("file", F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.lit("; a pair list").alias("value")), F.struct(F.lit(1).alias("seq"), F.lit("-200 100 40 50 0.5 0.25").alias("value")), F.struct(F.lit(2).alias("seq"), F.lit("7").alias("value")), F.struct(F.lit(1 << 40).alias("seq"), F.lit("&").alias("value")), F.struct(F.lit(1 << 41).alias("seq"), F.lit("never read at all").alias("value")))).alias("x")).select("file", "x.*")
+    return own.unionByName(more)
+
+
+query("S1_pair_list", """SELECT 'list' || s_nationkey AS file, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place, 'phase' || s_suppkey AS phase_path, CAST(s_suppkey % 30 AS DOUBLE) AS n_days,
+ CASE WHEN s_suppkey % 2 = 0 THEN CAST(0.5 AS DOUBLE) ELSE 1 END AS weight, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1 END AS cross_flag, CASE WHEN s_suppkey % 4 = 0 THEN 'a' END AS az_offset_path, CAST(NULL AS VARCHAR) AS rg_offset_path FROM supplier""")(
+    lambda s, d: text.read_pair_list(s, _pair_lists(s, d)).select("file", F.row_number().over(Window.partitionBy("file").orderBy("input_seq")).cast("long").alias("place"), "phase_path", "n_days", "weight", "cross_flag", "az_offset_path", "rg_offset_path")
+)
+query("S1_grid_spec", "SELECT DISTINCT 'list' || s_nationkey AS file, -200000.0 AS origin_x, 100000.0 AS origin_y, 40 AS nx, 50 AS ny, 500.0 AS dx, 250.0 AS dy FROM supplier")(lambda s, d: text.read_grid_spec(s, _pair_lists(s, d)))
+
+
+def _scene_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scenes of suppliers as GeoJSON (every third) and as text (two of three, so that some are both), in tables of file and text."""
+    k = C("s_suppkey")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (k % 300).cast("int"))
+    vector = lambda n, a: F.concat_ws(" ", *[F.format_string("%.1f", (k + 10.0 * n + m + a)) for m in range(3)])
+    pairs = [("ImageName", F.concat(F.lit("scene "), k)), ("Date", day.cast("string")), ("CorrectedTime", F.lit("23 59 58.5")), ("MLRangeSize", F.lit("101")), ("MLAzimuthSize", F.lit("200")), ("NumberRangeLooks", F.lit("4")), ("NumberAzimuthLooks", F.lit("5")),
+             ("SLCRangePixelSize", F.lit("2.5")), ("SLCAzimuthPixelSize", F.lit("4")), ("MLCenterRange", (850000 + k).cast("string")), ("RangeErrorCorrection", F.lit("5")), ("SpaceCraftAltitude", F.lit("700000")), ("EarthRadiusMajor", F.lit("6378137")), ("EarthRadiusMinor", F.lit("6356752")),
+             ("PRF", F.lit("500")), ("Wavelength", F.lit("0.056")), ("PassType", F.lit("Descending")), ("LookDirection", F.when(k % 2 == 0, "left").otherwise("right")), ("NumberOfStateVectors", F.when(k % 7 == 0, "4").otherwise("6")), ("StateVectorInterval", F.lit("10")), ("TimeOfFirstStateVector", F.lit("86340")), ("CenterLatLon", F.lit("[70.5, 10.5]"))]
+    pairs += [(f"SV_{kind}_{n}", vector(n, a)) for n in range(1, 7) for kind, a in (("Pos", 0.0), ("Vel", 0.5))]
+    body = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((10.0, 70.0), (10.0, 71.0), (11.0, 71.0), (11.0, 70.0), (10.0, 70.0))])).alias("coordinates")).alias("geometry"), F.struct(*[v.cast("string").alias(n) for n, v in pairs]).alias("properties")))
+    lines = ["Image name :  text {0}", "Image date : {1}", "; sizes", "101 200 4 5", "6378.137 6356.752 {2} 70.5 700 5", "70 10", "70 11", "71 10", "71 11", "70.5 10.5", "2.5 4", "descending", "{3}", "state", "23 59 58.5", "500", "0.056", "6", "86340", "10"]
+    parts = [F.lit(x) if "{" not in x else F.concat(F.lit(x[: x.index("{")]), {"0": k.cast("string"), "1": F.upper(F.date_format(day, "dd MMM yyyy")), "2": ((850000 + k) / 1000).cast("string"), "3": F.when(k % 2 == 0, "left").otherwise("right")}[x[x.index("{") + 1]], F.lit(x[x.index("}") + 1 :])) for x in lines]
+    parts += [vector(n, a) for n in range(1, 7) for a in (0.0, 0.5)] + [F.when(k % 5 == 0, "deltaT 3.5")]
+    return (rows.where(k % 3 == 0).select(F.concat(F.lit("/s/"), k, F.lit(".geojson")).alias("file"), body.alias("text")), rows.where(k % 3 < 2).select(F.concat(F.lit("/t/"), k, F.lit(".geodat")).alias("file"), F.concat_ws("\n", *parts).alias("text")))
+
+
+# what both layouts say is the same; 4 state vectors are too few
+query("S5_S6_typed_scenes", """WITH s AS (SELECT *, s_suppkey % 3 = 0 AS g FROM supplier WHERE s_suppkey % 3 < 2)
+ SELECT CAST(s_suppkey AS VARCHAR) AS scene_id, CASE WHEN g THEN 'geojson' ELSE 'text' END AS source, CASE WHEN g THEN 'scene ' ELSE 'text ' END || s_suppkey AS label, CAST(DATE '2020-01-01' + CAST(s_suppkey % 300 AS INT) AS DATE) AS image_date,
+ round(86398.5 + CASE WHEN NOT g AND s_suppkey % 5 = 0 THEN 3.5 ELSE 0.004 END, 6) AS seconds, CAST(849995 + s_suppkey AS DOUBLE) AS rc, CAST(849495 + s_suppkey AS DOUBLE) AS rn, CAST(850495 + s_suppkey AS DOUBLE) AS rf, CAST(10 AS DOUBLE) AS range_pixel, CAST(20 AS DOUBLE) AS azimuth_pixel,
+ CASE WHEN s_suppkey % 2 = 0 THEN 'left' ELSE 'right' END AS look_dir, 'descending' AS pass_type, CAST(700000 AS DOUBLE) AS altitude, CAST(70.5 AS DOUBLE) AS lat0, CAST(71 AS DOUBLE) AS lat3, CAST(s_suppkey + 32 AS DOUBLE) AS z3, CAST(86360 AS DOUBLE) AS t3,
+ CASE WHEN g AND s_suppkey % 7 = 0 THEN 'states' END AS problem FROM s""")(
+    lambda s, d: (lambda g, t: scenes.all_scenes(scenes.geojson_scenes(s, g), scenes.text_scenes(s, t)))(*_scene_files(s, d)).select(
+        "scene_id", "source", "label", "image_date", r6(C("seconds"), "seconds"), "rc", "rn", "rf", "range_pixel", "azimuth_pixel", "look_dir", "pass_type", "altitude",
+        C("control_points")[0]["lat"].alias("lat0"), C("control_points")[4]["lat"].alias("lat3"), C("states")[2]["z"].alias("z3"), C("states")[2]["t"].alias("t3"), "problem",
+    )
+)
 
 
 # ---- kernels, streams and whole plans ----

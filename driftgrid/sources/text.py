@@ -135,7 +135,7 @@ def read_scenes_geojson(spark: SparkSession, path: str | DataFrame) -> DataFrame
     number = lambda n: get(n).cast("double")
     count = F.coalesce(get("NumberOfStateVectors").cast("int"), F.lit(0))
     place = lambda kind, k: _numbers(F.try_element_at("properties", F.concat(F.lit(f"SV_{kind}_"), k.cast("string"))))
-    state = lambda k: F.struct((number("SV_t0") + (k - 1) * number("SV_dt")).alias("t"), *[F.get(place(kind, k), F.lit(n)).alias(c) for kind, names in (("Pos", "x y z"), ("Vel", "vx vy vz")) for n, c in enumerate(names.split())])
+    state = lambda k: F.struct((F.coalesce(number("TimeOfFirstStateVector"), number("SV_t0")) + (k - 1) * F.coalesce(number("StateVectorInterval"), number("SV_dt"))).alias("t"), *[F.get(place(kind, k), F.lit(n)).alias(c) for kind, names in (("Pos", "x y z"), ("Vel", "vx vy vz")) for n, c in enumerate(names.split())])
     states = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), state))
     corners = F.transform(F.get(F.col("geometry.coordinates"), F.lit(0)), lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
     centre = number("MLCenterRange") - F.coalesce(number("RangeErrorCorrection"), F.lit(0.0))
