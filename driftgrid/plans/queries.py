@@ -319,6 +319,19 @@ on("A6_merge_rounds", ("obs_fx",), f""", a AS (SELECT i, j, {SUM_COLUMNS} FROM o
  u AS (SELECT i, j, vs * f AS vs, ss * f AS ss, es * f * f AS es FROM f UNION ALL SELECT * FROM b) SELECT i, j, round(CAST(sum(vs) / sum(ss) AS DOUBLE), 8) AS vx, round(CAST(sum(es) / pow(sum(ss), 2) AS DOUBLE), 8) AS ex FROM u GROUP BY 1, 2""")(
     lambda o: mosaic.finish(mosaic.merge_rounds([mosaic.mosaic_sums(o.where("pair_id % 2 = 0")), mosaic.mosaic_sums(o.where("pair_id % 2 = 1"))], 2, (0, 100, 0, 20))).select("i", "j", r6(C("vx"), "vx", 8), r6(C("ex"), "ex", 8))
 )
+def _six_rounds_sql() -> str:
+    """Six families of pairs, folded one after another: before each, the sums so far are feathered at the edges of what they cover."""
+    out = [f"r{k} AS MATERIALIZED (SELECT i, j, {SUM_COLUMNS} FROM obs_fx WHERE pair_id % 6 = {k} GROUP BY 1, 2)" for k in range(6)] + ["g0 AS MATERIALIZED (SELECT * FROM r0)"]
+    for k in range(1, 6):
+        out.append(f"""e{k} AS MATERIALIZED (SELECT x.i, x.j FROM g{k - 1} x JOIN g{k - 1} y ON abs(x.i - y.i) <= 1 AND abs(x.j - y.j) <= 1 GROUP BY x.i, x.j HAVING count(*) < (least(x.i + 1, 99) - greatest(x.i - 1, 0) + 1) * (least(x.j + 1, 19) - greatest(x.j - 1, 0) + 1)),
+ f{k} AS MATERIALIZED (SELECT a.*, coalesce((SELECT min(least(greatest(sqrt(pow(a.i - e.i, 2) + pow(a.j - e.j, 2)), 0.5) / 2, 1)) FROM e{k} e WHERE abs(e.i - a.i) <= 2 AND abs(e.j - a.j) <= 2), 1) AS f FROM g{k - 1} a),
+ g{k} AS MATERIALIZED (SELECT i, j, sum(vs) AS vs, sum(ss) AS ss, sum(es) AS es FROM (SELECT i, j, vs * f AS vs, ss * f AS ss, es * f * f AS es FROM f{k} UNION ALL SELECT * FROM r{k}) GROUP BY 1, 2)""")
+    return ", " + ",\n ".join(out) + " SELECT i, j, round(CAST(vs / ss AS DOUBLE), 6) AS vx, round(CAST(es / pow(ss, 2) AS DOUBLE), 6) AS ex FROM g5"
+
+
+on("A6_six_rounds", ("obs_fx",), _six_rounds_sql())(
+    lambda o: plans.velocity_mosaic([mosaic.mosaic_sums(o.where(f"pair_id % 6 = {k}")) for k in range(6)], 2, (0, 100, 0, 20)).select("i", "j", r6(C("vx"), "vx"), r6(C("ex"), "ex"))
+)
 on("A7_seed_from_reference", ("obs_fx", "cells_fx"), ", u AS (SELECT i, j, z / 100 / 4 AS v, CAST(0.25 AS DOUBLE) AS s FROM cells_fx UNION ALL SELECT i, j, vx * weight / sx / sx, weight / sx / sx FROM obs_fx) SELECT i, j, round(sum(v) / sum(s), 6) AS vx FROM u GROUP BY 1, 2")(
     lambda o, c: mosaic.finish(mosaic.add_sums(mosaic.seed_from_reference(c.select("i", "j", (C("z") / 100).alias("vx"), C("z").alias("vy"), F.lit(2.0).alias("ex"), F.lit(2.0).alias("ey"))), mosaic.mosaic_sums(o))).select("i", "j", r6(C("vx"), "vx"))
 )
@@ -701,6 +714,12 @@ OPTICAL_SQL = f""", m AS (SELECT *, {OPTICAL_WEIGHT} AS weight FROM (SELECT *, j
 OB_FEATHER = FEATHER.replace("obs_fx", "ob")
 FINISHED = f", fin AS (SELECT i, j, {MEANS} FROM fe GROUP BY i, j)"
 FOUR = ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in ("vx", "vy", "ex", "ey"))
+IRREGULAR_SQL = ORACLE_SQL["J7_point_in_triangle"].replace("round((", "((").replace(" / twice, 5)", " / twice)").replace("SELECT set_id, tri_id, CAST(i", ", jc AS (SELECT set_id, tri_id, CAST(i", 1) + """ AND i >= 0 AND i < 2000 AND j >= 0 AND j < 20),
+ ob AS (SELECT set_id AS pair_id, i, j, arg_min(vx, tri_id) AS vx, arg_min(vy, tri_id) AS vy, 200.0 AS sx, 200.0 AS sy, 1.0 AS weight, 0 AS dt, 0 AS vz, 0 AS i_min, 2000 AS i_max, 0 AS j_min, 20 AS j_max FROM jc GROUP BY 1, 2, 3)"""
+query("irregular_round", IRREGULAR_SQL + OB_FEATHER + ", m AS (SELECT i, j, " + MEANS + " FROM fe GROUP BY i, j) SELECT i, j, round(CAST(vx AS DOUBLE), 4) AS vx, round(CAST(vy AS DOUBLE), 4) AS vy, round(CAST(ex AS DOUBLE), 4) AS ex, n FROM m")(
+    lambda s, d: mosaic.finish(plans.irregular_sums(s.sql(TRI.replace("pairs_fx", "{p}"), p=fixture(s, d, "pairs_fx")), (0, 2000, 0, 20), max_edge=14.0, max_area=60.0)).select("i", "j", *[r6(C(c), c, 4) for c in ("vx", "vy", "ex")], "n")
+)
+
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:

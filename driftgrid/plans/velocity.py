@@ -10,7 +10,7 @@ from driftgrid.functions.dates import date_weight
 from driftgrid.functions.velocity import YEAR, optical_variance, optical_velocity
 from driftgrid.operators import calibrate, geocode, images
 from driftgrid.operators.blocks import sample_feathered
-from driftgrid.operators.grid import cells_for_pairs, crossing_pairs
+from driftgrid.operators.grid import cells_for_pairs, crossing_pairs, point_in_triangle
 from driftgrid.operators.mosaic import clip_to_reference, feather, finish, mask_policy, merge_rounds, mosaic_sums, valid_sample, within_max_dt
 from driftgrid.operators.sampling import attach_layers, sample_bilinear, sample_ties
 
@@ -172,6 +172,27 @@ def phase_samples(samples: DataFrame) -> DataFrame:
     return samples.where("phase > -2e7").withColumns({"dr": rest / c("two_k"), "sr": error / c("two_k")})
 
 
+def phase_azimuth_sums(samples: DataFrame, fl: int = 3, **options) -> DataFrame:
+    """The sums of the mixed round: range from unwrapped phase, azimuth from offsets.
+
+    samples has what phase_samples needs beside da, sa and the geometry of the speckle round. A sample without phase, or off by more than
+    2e7, takes no part; the error of the phase goes through the same propagation as that of offsets.
+    """
+    return speckle_sums(phase_samples(samples), fl, **options)
+
+
+def irregular_sums(triangles: DataFrame, box: tuple[int, int, int, int], fl: int = 3, sigma: float = 200.0, max_edge: float = 15.0, max_area: float = 75.0) -> DataFrame:
+    """The sums of the irregular round: planes through the good triangles(set_id, tri_id, x1, y1, vx1, vy1, x2 ...), in cells.
+
+    A cell on the edge of several triangles of a set takes the first one. Velocities have one error, sigma, and take part in feathering and sums as
+    all others do. box is the grid's.
+    """
+    cells = point_in_triangle(triangles, max_edge, max_area).where(f"i >= {box[0]} and i < {box[1]} and j >= {box[2]} and j < {box[3]}")
+    one = cells.groupBy("set_id", "i", "j").agg(F.min_by(F.struct("vx", "vy"), "tri_id").alias("v")).select("set_id", "i", "j", "v.*")
+    obs = one.withColumns({n: F.lit(b) for n, b in zip(BOX, box, strict=True)} | {"sx": F.lit(sigma), "sy": F.lit(sigma)})
+    return mosaic_sums(feather(obs, ["set_id"], fl))
+
+
 def velocity_mosaic(rounds: list[DataFrame], fl: int, box: tuple[int, int, int, int], seed: DataFrame | None = None) -> DataFrame:
     """The fold. rounds are sums in the order optical, crossing phase, crossing offsets, phase with azimuth offsets, speckle, irregular."""
     return finish(merge_rounds(rounds, fl, box, seed))

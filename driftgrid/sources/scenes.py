@@ -138,8 +138,9 @@ def all_scenes(*layouts: DataFrame) -> DataFrame:
 
 def radar_scenes(scenes: DataFrame) -> DataFrame:
     """Scenes without a problem in the columns of the geocoding kernels; times in seconds of the day, pixels in multiple looks."""
-    ends = {f"{c}_{n}": f(F.transform("control_points", lambda p, c=c: p[c])) for c in ("lat", "lon") for n, f in (("min", F.array_min), ("max", F.array_max))}
-    states = F.transform("states", lambda s: F.struct(*[s[c].alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")]))
+    places = {c: F.col(f"control_points.{c}") for c in ("lat", "lon")}
+    ends = {f"{c}_{n}": f(p) for c, p in places.items() for n, f in (("min", F.array_min), ("max", F.array_max))}
+    states = F.transform("states", lambda s: F.struct(*[s[n].alias(n) for n in ("x", "y", "z", "vx", "vy", "vz")]))
     good = scenes.where("problem is null").withColumns(ends)
     first, second = F.get("states", F.lit(0)), F.get("states", F.lit(1))
     return good.select(

@@ -265,3 +265,22 @@ def test_calibration_plan_end_to_end(spark, sf_dir):
     got = plans.calibration_fit(ties, pairs, scenes, offsets, "const").first()
     way = [(r.slant**2 - 2 * r.slant * (120 * math.sin(r.theta_d) + 45 * math.cos(r.theta_d)) + 120**2 + 45**2) ** 0.5 - r.slant for r in rows]
     assert got.const == pytest.approx(12.5 - sum(way) / len(way), abs=1e-4) and got.bn == 120.0 and got.n == len(rows) and got.n_given >= got.n
+
+
+def test_mixed_round_takes_its_range_from_phase(spark, sf_dir):
+    from driftgrid.functions import velocity
+    from driftgrid.plans import velocity as plans
+    from driftgrid.plans.fixtures import fixture
+
+    own = fixture(spark, sf_dir, "radar_fx").where("pair_id < 4")
+    geometry = {"slant": 850000.0, "radius": 6371000.0, "orbit": 7071000.0, "flat_orbit": 7071000.0, "theta_c": 0.4, "flat_theta_c": 0.4, "bn": 20.0, "bp": 5.0, "two_k": 222.0}
+    rows = own.withColumns({n: F.lit(v) for n, v in geometry.items()})
+    c = F.col
+    topo = velocity.topo_phase(c("slant"), c("z"), c("radius"), c("orbit"), c("flat_orbit"), c("theta_c"), c("flat_theta_c"), c("bn"), c("bp"), c("two_k"))
+    phased = rows.withColumn("phase", F.when(c("i") % 5 != 0, c("dr") * c("two_k") + topo).otherwise(-2e9))
+    got = {(r.i, r.j): r for r in plans.phase_azimuth_sums(phased.drop("dr", "sr"), 0).collect()}
+    ready = plans.phase_samples(phased.drop("dr", "sr")).select("pair_id", "i", "j", c("sr").alias("phase_sr"))
+    want = {(r.i, r.j): r for r in plans.speckle_sums(own.join(ready, ["pair_id", "i", "j"]).withColumn("sr", c("phase_sr")), 0).collect()}
+    assert got.keys() == want.keys() and got and not any(i % 5 == 0 for i, _ in got)
+    for k, r in want.items():
+        assert got[k].vx_sum == pytest.approx(r.vx_sum, rel=1e-6, abs=1e-9) and got[k].x_scale == pytest.approx(r.x_scale, rel=1e-9)

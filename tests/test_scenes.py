@@ -21,7 +21,7 @@ def test_text_scene_feeds_the_kernels(spark, sf_dir, tmp_path):
     s = own.first()
     (tmp_path / "one.geodat").write_text("\n".join(lines(s)) + "\n")
     (tmp_path / "cut.geodat").write_text("\n".join(lines(s)[:9]))
-    (tmp_path / "empty.geodat").write_text("")
+    (tmp_path / "empty.geodat").write_text("x")
     found = scenes.text_scenes(spark, str(tmp_path))
     rows = {r.scene_id: r for r in found.collect()}
     assert rows["one"].problem is None and str(rows["one"].image_date) == "2021-03-05" and rows["one"].rn == pytest.approx(s.near) and rows["one"].jd == pytest.approx(2459279 + 50 / 86400)
