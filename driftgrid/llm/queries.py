@@ -65,7 +65,9 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    rules = quality_rules(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rules.select(*first, *[c for c in rules.columns if c not in first])
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
