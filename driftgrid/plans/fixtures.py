@@ -41,10 +41,10 @@ SQL = {
         CAST(0.01 * (s_suppkey % 3) AS DOUBLE) AS px0, CAST(0.000001 * (s_suppkey % 5) AS DOUBLE) AS px1, CAST(-0.000001 * (s_suppkey % 4) AS DOUBLE) AS px2,
         CAST(-0.01 * (s_suppkey % 4) AS DOUBLE) AS py0, CAST(0.000001 * (s_suppkey % 3) AS DOUBLE) AS py1, CAST(0.000001 * (s_suppkey % 2) AS DOUBLE) AS py2,
         CAST(1.5 AS DOUBLE) AS sigma_x_res, CAST(2.0 AS DOUBLE) AS sigma_y_res, CAST(0.04 AS DOUBLE) AS mean_sigma_x, CAST(0.05 AS DOUBLE) AS mean_sigma_y FROM {supplier}""",
-    "optical_cells_fx": """SELECT s.s_suppkey AS match_id, CAST(floor(p.p_partkey / 8) AS INT) AS i, CAST(p.p_partkey % 8 AS INT) AS j,
-        CAST((p.p_size - 25) * 0.02 + 0.01 * (s.s_suppkey % 7) AS DOUBLE) AS dx, CAST((p.p_partkey % 17) * 0.015 - 0.02 * (s.s_suppkey % 5) AS DOUBLE) AS dy,
-        CAST(0.02 + 0.01 * (p.p_partkey % 5) AS DOUBLE) AS sx, CAST(0.03 + 0.01 * (p.p_partkey % 3) AS DOUBLE) AS sy
-        FROM {supplier} s JOIN {part} p ON p.p_partkey < 64 WHERE (p.p_partkey * 13 + s.s_suppkey * 5) % 23 <> 0""",
+    "optical_cells_fx": """SELECT l_suppkey AS match_id, CAST(floor(l_partkey % 64 / 8) AS INT) AS i, CAST(l_partkey % 8 AS INT) AS j,
+        CAST((max(l_quantity) - 25) * 0.02 + 0.01 * (l_suppkey % 7) AS DOUBLE) AS dx, CAST(count(*) % 17 * 0.015 - 0.02 * (l_suppkey % 5) AS DOUBLE) AS dy,
+        CAST(0.02 + max(l_discount) / 2 AS DOUBLE) AS sx, CAST(0.03 + max(l_tax) / 4 AS DOUBLE) AS sy
+        FROM {lineitem} WHERE (l_partkey % 64 * 13 + l_suppkey * 5) % 23 <> 0 GROUP BY l_suppkey, l_partkey % 64, l_partkey % 8""",
     "ties_fx": """SELECT l_suppkey AS pair_id, (l_quantity - 25) / 500 AS theta_d, (l_discount - 0.05) * 10 AS x,
         CAST(CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE 10.0 END AS DOUBLE) AS weight,
         -12.5 * sin((l_quantity - 25) / 500) - 3.0 * (l_discount - 0.05) * 10 * cos((l_quantity - 25) / 500)

@@ -765,3 +765,7 @@ THIRD_SQL = """, ed AS (SELECT x.i, x.j FROM one x JOIN one y ON abs(x.i - y.i)
 on("velocity_mosaic", ("radar_fx", "pairs_fx"), FOLD_SQL + SECOND_SQL + THIRD_SQL)(
     lambda r, p: plans.velocity_mosaic([plans.crossing_sums(r, p), plans.speckle_sums(r)], 2, (0, 100, 0, 20)).select("i", "j", *[r6(C(c), c, 4) for c in ("vx", "vy", "ex", "ey")])
 )
+
+
+# the queries of the readers fill the same registry
+from driftgrid.plans import source_queries  # noqa: E402, F401

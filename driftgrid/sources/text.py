@@ -65,14 +65,14 @@ def read_image_list(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Image, geodat, weight (1), and an antenna pattern only if its name holds 'poly' or 'alos'."""
     f = F.split("line", r"\s+")
     get = lambda k: F.get(f, F.lit(k))
-    return _lines(spark, path).where(F.size(f) >= 2).select(F.col("seq").alias("input_seq"), get(0).alias("image_path"), get(1).alias("geodat_path"), F.coalesce(get(2).cast("double"), F.lit(1.0)).alias("weight"), F.when(F.lower(get(3)).rlike("poly|alos"), get(3)).alias("antenna_pattern"))
+    return _lines(spark, path).where(F.size(f) >= 2).select("file", F.col("seq").alias("input_seq"), get(0).alias("image_path"), get(1).alias("geodat_path"), F.coalesce(get(2).cast("double"), F.lit(1.0)).alias("weight"), F.when(F.lower(get(3)).rlike("poly|alos"), get(3)).alias("antenna_pattern"))
 
 
 def read_optical_list(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """S3: match, fit (the match with .fit where missing) and mask."""
     f = F.split("line", r"\s+")
     get = lambda k: _none(F.get(f, F.lit(k)))
-    return _lines(spark, path).select(F.col("seq").alias("input_seq"), get(0).alias("match_path"), F.coalesce(get(1), F.concat(get(0), F.lit(".fit"))).alias("fit_path"), get(2).alias("mask_path"))
+    return _lines(spark, path).select("file", F.col("seq").alias("input_seq"), get(0).alias("match_path"), F.coalesce(get(1), F.concat(get(0), F.lit(".fit"))).alias("fit_path"), get(2).alias("mask_path"))
 
 
 def read_irregular_points(spark: SparkSession, path: str | DataFrame, south: bool, rot: float, std_lat: float) -> DataFrame:
@@ -222,7 +222,7 @@ def read_tie_points(spark: SparkSession, path: str | DataFrame, mode: str) -> Da
 def read_ll_points(spark: SparkSession, path: str | DataFrame, dem: DataFrame | None = None, rot: float = 45.0, std_lat: float = 70.0, origin: tuple[float, float] = (0.0, 0.0), step: float = 1.0) -> DataFrame:
     """Lat, lon and z; without a z, that of dem(i, j, z) on a grid of step km from origin; points with z below 0 have null z and are invalid."""
     f = F.split("line", r"\s+")
-    rows = _lines(spark, path).select(F.col("seq").alias("point_id"), *[F.get(f, F.lit(k)).cast("double").alias(n) for k, n in enumerate(("lat", "lon", "z"))])
+    rows = _lines(spark, path).select("file", F.col("seq").alias("point_id"), *[F.get(f, F.lit(k)).cast("double").alias(n) for k, n in enumerate(("lat", "lon", "z"))])
     if dem is not None:
         from driftgrid.functions.geo import ll_to_xy
         from driftgrid.operators.sampling import sample_bilinear
