@@ -411,3 +411,132 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     lats = F.transform("ring", lambda p: p[1])
     centred = C("properties.centre_lat").between(F.array_min(lats), F.array_max(lats))
     return f.select("properties.scene_id", "type", C("geometry.type").alias("shape"), F.size("ring").cast("long").alias("corners"), (C("ring")[0] == C("ring")[4]).alias("closed"), centred.alias("centred"), "properties.look_direction", "properties.near_range", "properties.last_second", F.size("properties.states").cast("long").alias("n_states"))
+
+
+# ---- whole plans from raw planes ----
+#: The middle of the images: latitude, longitude from the orbit's plane, and distance from the pole on the projection, in km.
+MIDDLE_LAT, MIDDLE_LON, CELL, AROUND = 69.68, 10.6, 8, 8
+_lat = np.radians(MIDDLE_LAT)
+_std = np.radians(70.0)
+_e = q.geo.ECC2**0.5
+_t = lambda a: np.tan(np.pi / 4 - a / 2) / ((1 - _e * np.sin(a)) / (1 + _e * np.sin(a))) ** (_e / 2)
+MIDDLE_RHO = float(q.geo.RADIUS_KM * np.cos(_std) / np.sqrt(1 - q.geo.ECC2 * np.sin(_std) ** 2) * _t(_lat) / _t(_std))
+
+
+def coarse_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 60 by 50 pixels of a km and a fifth of a second, on the circular orbits, with the box of cells around each."""
+    turn = F.radians((C("scene_id") * 37 % 360).cast("double") + (MIDDLE_LON + 45))
+    i, j = F.floor(-MIDDLE_RHO * F.cos(turn) / CELL).cast("int"), F.floor(MIDDLE_RHO * F.sin(turn) / CELL).cast("int")
+    boxes = {"i_min": i - AROUND, "i_max": i + AROUND + 1, "j_min": j - AROUND, "j_max": j + AROUND + 1}
+    made = {"pixel": F.lit(1000.0), "prf": F.lit(5.0), "n_range": F.lit(60), "n_azimuth": F.lit(50), "weight": (0.5 + C("scene_id") % 3 * 0.25).cast("double"), "image_date": F.date_add(F.lit("2020-01-01").cast("date"), (C("scene_id") % 90).cast("int")), "pass_type": (C("scene_id") % 2).cast("int")}
+    return q._scenes(spark, sf_dir).withColumns(boxes | made)
+
+
+def ground_layers(scenes: DataFrame) -> dict[str, DataFrame]:
+    cells = q.grid.cells_for_pairs(scenes.select("i_min", "i_max", "j_min", "j_max")).select("i", "j").distinct()
+    i, j = C("i"), C("j")
+    made = {"z": (F.abs(i * 7 + j * 3) % 100 * 10).cast("double"), "code": F.when(F.abs(i + j) % 9 == 0, 1).otherwise(0), "dzdx": (F.abs(i) % 5 * 0.01).cast("double"), "dzdy": (F.abs(j) % 4 * 0.01).cast("double")}
+    return {n: cells.select("i", "j", c.alias(n)) for n, c in made.items()}
+
+
+MAJ, MIN = q.geo.MAJOR_KM, q.geo.MINOR_KM
+ORBIT = "7071000.0"
+
+
+def n_sql(lat: str) -> str:
+    return f"(1000 * {MAJ} * {MAJ} / sqrt(pow({MAJ} * cos({lat}), 2) + pow({MIN} * sin({lat}), 2)))"
+
+
+def seen_sql(lat: str, h: str, name: str) -> str:
+    """Columns of a place (lat and lam in radians, own the orbit's longitude): its distance from the axis and height over the equator's plane, then what lies abreast."""
+    return f"({n_sql(lat)} + {h}) * cos({lat}) AS q{name}, ({n_sql(lat)} * pow(CAST({MIN} AS DOUBLE) / {MAJ}, 2) + {h}) * sin({lat}) AS z{name}"
+
+
+def pixel_sql(name: str) -> str:
+    ahead = f"(q{name} * cos(lam - radians(own)))"
+    return f"sqrt(q{name} * q{name} + z{name} * z{name} + {ORBIT} * {ORBIT} - 2 * {ORBIT} * sqrt({ahead} * {ahead} + z{name} * z{name})) AS slant{name}, ((atan2(z{name}, {ahead}) - radians(70.0)) * {ORBIT} / 7500.0 + 5) * 5 AS azimuth{name}, sqrt(q{name} * q{name} + z{name} * z{name}) AS away{name}"
+
+
+STEP = "radians(0.0025)"
+GROUND_SQL = f"""WITH RECURSIVE s AS (SELECT s_suppkey AS pair_id, CAST(s_suppkey * 37 % 360 AS DOUBLE) AS own, CAST(0.5 + s_suppkey % 3 * 0.25 AS DOUBLE) AS weight FROM supplier),
+ mi AS (SELECT *, CAST(floor(-{MIDDLE_RHO} * cos(radians(own + {MIDDLE_LON + 45})) / {CELL}) AS INT) AS i0, CAST(floor({MIDDLE_RHO} * sin(radians(own + {MIDDLE_LON + 45})) / {CELL}) AS INT) AS j0 FROM s),
+ bx AS (SELECT *, i0 - {AROUND} AS i_min, i0 + {AROUND + 1} AS i_max, j0 - {AROUND} AS j_min, j0 + {AROUND + 1} AS j_max FROM mi),
+ ci AS (SELECT *, CAST(unnest(range(i_min, i_max)) AS INT) AS i FROM bx), cj AS (SELECT *, CAST(unnest(range(j_min, j_max)) AS INT) AS j FROM ci),
+ rh AS (SELECT *, CAST(abs(i * 7 + j * 3) % 100 * 10 AS DOUBLE) AS h, {CELL} * sqrt(CAST(i * i + j * j AS DOUBLE)) AS rho, atan2(CAST(j AS DOUBLE), CAST(-i AS DOUBLE)) - pi() / 4 AS lam FROM cj),
+ ch AS (SELECT *, pi() / 2 - 2 * atan(rho * {q.t_sql("radians(70.0)", q.ECC)} / ({q.geo.RADIUS_KM} * {q.CM70})) AS chi FROM rh),
+ la AS (SELECT *, chi + {q.E2 / 2 + 5 * q.E4 / 24 + q.E6 / 12} * sin(2 * chi) + {7 * q.E4 / 48 + 29 * q.E6 / 240} * sin(4 * chi) + {7 * q.E6 / 120} * sin(6 * chi) AS lat FROM ch),
+ pl AS (SELECT *, {seen_sql("lat", "h", "")}, {seen_sql(f"(lat - {STEP})", "0", "1")}, {seen_sql(f"(lat + {STEP})", "0", "2")}, sqrt(pow({n_sql("lat")} * cos(lat), 2) + pow({n_sql("lat")} * pow(CAST({MIN} AS DOUBLE) / {MAJ}, 2) * sin(lat), 2)) + h AS ground FROM la),
+ px AS (SELECT *, {pixel_sql("")}, {pixel_sql("1")}, {pixel_sql("2")} FROM pl),
+ lk AS (SELECT *, (slant - 800000) / 1000 AS range, acos((slant * slant + {ORBIT} * {ORBIT} - ground * ground) / (2 * slant * {ORBIT})) AS theta, acos(({ORBIT} * {ORBIT} - slant * slant - ground * ground) / (2 * slant * ground)) AS psi FROM px)"""
+
+IMAGE_SQL = GROUND_SQL + """, ob AS (SELECT pair_id, i, j, i_min, i_max, j_min, j_max, weight, ((1 + 0.01 * azimuth) * (2 + 0.02 * range) + pair_id % 7) * pow(sin(psi), 3) AS value FROM lk WHERE range >= 0 AND range <= 59 AND azimuth >= 0 AND azimuth <= 49)""" + q.OB_FEATHER
+
+
+def _image_samples(spark: SparkSession, sf_dir: str, fl: int) -> DataFrame:
+    scenes = coarse_scenes(spark, sf_dir)
+    pixels = scenes.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("j"))
+    pixels = pixels.withColumn("power", (1 + 0.01 * C("i")) * (2 + 0.02 * C("j")) + C("scene_id") % 7)
+    return q.plans.image_samples(scenes, pixels, {"z": ground_layers(scenes)["z"]}, "none", CELL * 1000.0, fl=fl)
+
+
+@q.query("image_mosaic", IMAGE_SQL + ", m AS (SELECT i, j, sum(value * f * weight) / sum(f) AS value FROM fe GROUP BY 1, 2) SELECT i, j, round(value, 3) AS value, round(log10(value) * 1000) / 100 AS sigma0 FROM m")
+def _image_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image mosaic from pixels: cells geocoded on a DEM, bilinear power, incidence, feathering and the average with gains."""
+    found = q.plans.image_mosaic(_image_samples(spark, sf_dir, 3))
+    return found.select("i", "j", q.r6(C("value"), "value", 3), "sigma0")
+
+
+@q.query("image_mosaic_nearest", IMAGE_SQL.replace(q.OB_FEATHER, "") + ", r AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY abs(pair_id % 90 - 41), pair_id) AS k FROM ob) SELECT i, j, round(value, 3) AS value, round(log10(value) * 1000) / 100 AS sigma0 FROM r WHERE k = 1")
+def _image_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images, of each cell the one nearest to a date."""
+    found = q.plans.image_mosaic(_image_samples(spark, sf_dir, 0), "nearest_date", "2020-02-11")
+    return found.select("i", "j", q.r6(C("value"), "value", 3), "sigma0")
+
+
+U, V = "(range / 4)", "(azimuth / 4)"
+SAMPLED_SQL = GROUND_SQL + f""", of AS (SELECT *, theta - 0.3 AS td, (azimuth - 25) / 50 AS x, 0.01 * {U} * {V} + 0.1 * (pair_id % 5) AS dr0, 0.2 - 0.01 * {U} + 0.005 * {V} AS da0, 0.05 + 0.002 * {U} AS sr0, 0.03 + 0.001 * {V} AS sa0 FROM lk WHERE range >= 0 AND range <= 60 AND azimuth >= 0 AND azimuth <= 48),
+ bs AS (SELECT *, 50 + pair_id % 7 + 3 * x + 0.5 * x * x AS bn, 20 + x AS bp, sin(td) AS s, cos(td) AS c FROM of),
+ cal AS (SELECT *, dr0 * 2.5 - (sqrt(slant * slant - 2 * slant * (bn * s + bp * c) + bn * bn + bp * bp) - slant + 0.75) AS dr, da0 * 4 - (0.2 + slant * sin(theta) * 1e-6 - slant * cos(theta) * 2e-6) - 0.3 * x AS da, greatest(0.02, least(sr0, 0.2)) * 2.5 AS sr1, sqrt(pow(least(sa0, 0.2), 2) + 0.01 * 0.01) * 4 AS sa1, bn * 15 / (slant * sin(theta)) AS de FROM bs)"""
+
+
+def _radar_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Pairs with their calibration, scenes, offsets on grids of 13 by 16 nodes, and the layers of the ground."""
+    scenes = coarse_scenes(spark, sf_dir)
+    k = C("pair_id")
+    known = {"r0": 0, "a0": 0, "delta_r": 4.0, "delta_a": 4.0, "n_days": 12.0, "range_pixel": 2.5, "azimuth_pixel": 4.0, "theta_c": 0.3, "sigma_streaks": 0.01, "sigma_range": 0.02, "dbn": 3.0, "dbnq": 0.5, "bp": 20.0, "dbp": 1.0, "dbpq": 0.0, "const": 0.75, "c1": 0.2, "dbc": 1e-6, "dbh": 2e-6, "doffdx": 0.3}
+    diagonal = lambda n, a, off: F.array(*[F.lit(a * (r + 1) if r == c else off if {r, c} == {0, n - 1} else 0.0) for r in range(n) for c in range(n)])
+    pairs = scenes.select(C("scene_id").alias("pair_id"), "scene_id", "i_min", "i_max", "j_min", "j_max", "weight").withColumns({n: F.lit(v) for n, v in known.items()} | {"bn": 50.0 + k % 7, "range_cov": diagonal(6, 1e-6, 1e-7), "azimuth_cov": F.transform(F.sequence(F.lit(0), F.lit(15)), lambda n: F.when(n == 0, 1e-6).when(n == 15, 4e-6).otherwise(0.0))})
+    nodes = pairs.select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("j"))
+    i, j = C("i"), C("j")
+    offsets = nodes.withColumns({"dr": 0.01 * i * j + 0.1 * (k % 5), "da": 0.2 - 0.01 * j + 0.005 * i, "sr": 0.05 + 0.002 * j, "sa": 0.03 + 0.001 * i})
+    return pairs, scenes, offsets, ground_layers(scenes)
+
+
+HEADING = f"atan2((azimuth2 - azimuth1) * 7500 / 5 * away / {ORBIT}, away2 * acos(({ORBIT} * {ORBIT} + away2 * away2 - slant2 * slant2) / (2 * {ORBIT} * away2)) - away1 * acos(({ORBIT} * {ORBIT} + away1 * away1 - slant1 * slant1) / (2 * {ORBIT} * away1)))"
+SR = "sqrt(sr1 * sr1 + de * de + 1e-6 * s * s + 2e-6 * x * x * s * s + 3e-6 * x * x * c * c + 4e-6 * pow(x, 4) * s * s + 5e-6 * pow(x, 4) * c * c + 6e-6 - 2e-7 * s)"
+
+
+@q.query("radar_samples", SAMPLED_SQL + f""" SELECT pair_id, i, j, CASE WHEN abs(i + j) % 9 = 0 THEN 1 ELSE 0 END AS code, round(psi, 5) AS psi, round(theta, 5) AS theta,
+ round({HEADING}, 3) AS heading,
+ round(dr, 2) AS dr, round(da, 3) AS da, round({SR}, 4) AS sr, round(sqrt(sa1 * sa1 + 1e-6 + 4e-6 * x * x), 4) AS sa FROM cal""")
+def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw offsets of pairs on output cells: geocoded places, bilinear offsets, baselines, azimuth terms, errors with covariances, and the heading."""
+    rows = q.plans.radar_samples(*_radar_inputs(spark, sf_dir), CELL * 1000.0)
+    return rows.select("pair_id", "i", "j", "code", *[q.r6(C(c), c, d) for c, d in (("psi", 5), ("theta", 5), ("heading", 3), ("dr", 2), ("da", 3), ("sr", 4), ("sa", 4))])
+
+
+WINDOW = (2458860.5, 2458950.5)
+OVERLAP = q.DW.replace("2449900.5", str(WINDOW[0])).replace("2449990.5", str(WINDOW[1]))
+DATED_SQL = SAMPLED_SQL + f""", dated AS (SELECT *, a + 6 - 0.5 * ({WINDOW[0]} + {WINDOW[1]}) AS dt, {OVERLAP} AS overlap FROM (SELECT *, 2458849.5 + pair_id * 7 % 180 AS a, 2458849.5 + pair_id * 7 % 180 + 12 AS b FROM cal)),
+ radar_fx AS (SELECT pair_id, i, j, i_min, i_max, j_min, j_max, weight * overlap AS weight, dt, dr, da, {SR} AS sr, sqrt(sa1 * sa1 + 1e-6 + 4e-6 * x * x) AS sa, psi, {HEADING} AS heading, atan2(CAST(-i AS DOUBLE), CAST(-j AS DOUBLE)) AS xy, h AS z, CAST(abs(i) % 5 * 0.01 AS DOUBLE) AS dzdx, CAST(abs(j) % 4 * 0.01 AS DOUBLE) AS dzdy,
+  CASE WHEN abs(i + j) % 9 = 0 THEN 1 ELSE 0 END AS code, CAST(12 AS DOUBLE) AS n_days, CAST(0.3 AS DOUBLE) AS tide_rate, CAST(0 AS DOUBLE) AS submergence FROM dated WHERE overlap > 0)"""
+
+
+@q.query("speckle_from_offsets", DATED_SQL + q.SPECKLE_SQL + q.OB_FEATHER + f", fin AS (SELECT i, j, {q.MEANS} FROM fe GROUP BY i, j) SELECT CAST(floor(i / 16.0) AS BIGINT) AS bi, CAST(floor(j / 16.0) AS BIGINT) AS bj, round(CAST(avg(vx) AS DOUBLE)) AS vx, round(CAST(avg(vy) AS DOUBLE)) AS vy, round(CAST(avg(dt) AS DOUBLE), 2) AS dt, CAST(sum(n) AS BIGINT) AS n FROM fin GROUP BY 1, 2")
+def _from_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speckle round end to end, from dated pairs, scenes and raw offsets; in means over blocks of 16 by 16 cells, because headings come out of an iteration."""
+    pairs, scenes, offsets, layers = _radar_inputs(spark, sf_dir)
+    pairs = pairs.withColumns({"jd1": 2458849.5 + C("pair_id") * 7 % 180, "tide_rate": F.lit(0.3)})
+    found = q.mosaic.finish(q.plans.speckle_round(pairs, scenes, offsets, layers, *WINDOW, cell=CELL * 1000.0))
+    blocks = found.groupBy(F.floor(C("i") / 16).alias("bi"), F.floor(C("j") / 16).alias("bj"))
+    return blocks.agg(q.r6(F.avg("vx"), "vx", 0), q.r6(F.avg("vy"), "vy", 0), q.r6(F.avg("dt"), "dt", 2), F.sum("n").alias("n"))

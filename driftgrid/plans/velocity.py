@@ -63,7 +63,7 @@ def radar_samples(pairs: DataFrame, scenes: DataFrame, offsets: DataFrame, layer
 
     pairs has pair_id, scene_id, the box, n_days, weight, the offset grid (r0, a0, delta_r, delta_a), range_pixel and azimuth_pixel in m, theta_c, sigma_streaks, sigma_range and
     the range and azimuth parameters bn.. dbpq, const, c1, dbc, dbh, doffdx with covariances range_cov (36) and azimuth_cov (16). layers are cell tables: z, code and
-    the slopes dzdx, dzdy. Cells off the image, or without offsets, have no row.
+    the slopes dzdx, dzdy. Cells off the image, or without offsets, have no row. Where pairs have dt, tide_rate or submergence, samples do too.
     """
     at = cells_for_pairs(pairs.select("pair_id", "scene_id", *BOX))
     at = attach_layers(at, **layers).where("z is not null")
@@ -92,7 +92,8 @@ def radar_samples(pairs: DataFrame, scenes: DataFrame, offsets: DataFrame, layer
         "xy": geo.xy_angle((origin[0] + F.col("j") * cell) / 1000, (origin[1] + F.col("i") * cell) / 1000, south),
     }
     boxes = pairs.select("pair_id", *BOX)
-    return rows.select("pair_id", "i", "j", "lat", "lon", "z", "code", "dzdx", "dzdy", "psi", "theta", "heading", "n_days", "weight", *[k.alias(n) for n, k in made.items()]).join(boxes, "pair_id")
+    more = [c for c in ("dt", "tide_rate", "submergence") if c in pairs.columns]
+    return rows.select("pair_id", "i", "j", "lat", "lon", "z", "code", "dzdx", "dzdy", "psi", "theta", "heading", "n_days", "weight", *more, *[k.alias(n) for n, k in made.items()]).join(boxes, "pair_id")
 
 
 def _corrected(samples: DataFrame) -> DataFrame:
@@ -126,6 +127,18 @@ def speckle_sums(samples: DataFrame, fl: int = 3, reference: DataFrame | None =
     return mosaic_sums(feather(obs, ["pair_id"], fl))
 
 
+def pairs_in_window(pairs: DataFrame, jd1: float, jd2: float, overlap: bool = True) -> DataFrame:
+    """pairs(jd1, n_days, weight) that share time with the window, their weights times that share, or with overlap False those within it; dt is from the window's middle."""
+    share = date_weight(F.col("jd1"), F.col("jd1") + F.col("n_days"), F.lit(jd1), F.lit(jd2))
+    kept = pairs.withColumn("_share", share).where("_share > 0" if overlap else "_share > 0.99999")
+    return kept.withColumns({"weight": F.col("weight") * F.col("_share"), "dt": F.col("jd1") + F.col("n_days") / 2 - 0.5 * (jd1 + jd2)}).drop("_share")
+
+
+def speckle_round(pairs: DataFrame, scenes: DataFrame, offsets: DataFrame, layers: dict[str, DataFrame], jd1: float, jd2: float, overlap: bool = True, fl: int = 3, **grid) -> DataFrame:
+    """P1, then the sums of the speckle round from raw offsets: inputs as for radar_samples, pairs with jd1 too. Pairs out of the window go before a cell is made."""
+    return speckle_sums(radar_samples(pairs_in_window(pairs, jd1, jd2, overlap), scenes, offsets, layers, **grid), fl)
+
+
 def speckle_mosaic(samples: DataFrame, **options) -> DataFrame:
     """The speckle round by itself."""
     return finish(speckle_sums(samples, **options))
