@@ -238,33 +238,6 @@ def radar_grid(scenes: DataFrame, step: int) -> DataFrame:
     return cells.select("scene_id", (F.col("azimuth").cast("long") * F.col("n_range").cast("long") + F.col("range")).alias("sample_id"), F.col("range").cast("double"), F.col("azimuth").cast("double"))
 
 
-def radar_grid_to_ground(scenes: DataFrame, samples: DataFrame, dem: DataFrame, rot: float, std_lat: float, origin: tuple[float, float], step: float, mask: DataFrame | None = None, rounds: int = 4) -> DataFrame:
-    """samples(scene_id, sample_id, range, azimuth) on the surface of dem(i, j, z): lat, lon, height and mask.
-
-    The grid's step and origin are km. A round locates all samples at their height and reads the height of that place from the DEM by a bilinear
-    join; heights settle after a few. Places off the DEM have height 0 and the mask's default 0.
-    """
-    from driftgrid.functions.geo import ll_to_xy
-    from driftgrid.operators.sampling import sample_bilinear, sample_nearest
-
-    keys = ["scene_id", "sample_id"]
-    at = samples.withColumn("h", F.lit(0.0))
-
-    def uv(located: DataFrame) -> DataFrame:
-        p = located.where("lat is not null").withColumn("p", ll_to_xy(F.col("lat"), F.col("lon"), rot, std_lat))
-        return p.select(*keys, ((F.col("p.x") - origin[0]) / step).alias("u"), ((F.col("p.y") - origin[1]) / step).alias("v"))
-
-    for _ in range(rounds):
-        heights = sample_bilinear(uv(locate(scenes, at)), dem, keys, ["z"], policy="zero").withColumnRenamed("z", "h")
-        at = samples.join(heights, keys, "left").withColumn("h", F.coalesce("h", F.lit(0.0)))
-    located = locate(scenes, at)
-    out = at.select(*keys, "range", "azimuth", F.col("h").alias("height")).join(located, keys)
-    if mask is None:
-        return out
-    codes = sample_nearest(uv(located), mask, "code").select(*keys, F.col("code").alias("mask"))
-    return out.join(codes, keys, "left")
-
-
 def scene_footprints(scenes: DataFrame) -> DataFrame:
     """Per scene a 3 x 3 array of (sample_id, lat, lon) at near, mid, far and start, mid, end, row by row, and its centre."""
     k = F.explode(F.sequence(F.lit(0), F.lit(8)))

@@ -540,3 +540,24 @@ def _from_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = q.mosaic.finish(q.plans.speckle_round(pairs, scenes, offsets, layers, *WINDOW, cell=CELL * 1000.0))
     blocks = found.groupBy(F.floor(C("i") / 16).alias("bi"), F.floor(C("j") / 16).alias("bj"))
     return blocks.agg(q.r6(F.avg("vx"), "vx", 0), q.r6(F.avg("vy"), "vy", 0), q.r6(F.avg("dt"), "dt", 2), F.sum("n").alias("n"))
+
+
+# ---- formulas without a query of their own ----
+q.per_row("F5_to_ellipsoid", "points_fx", q.P, {"sphere": (lambda: q.geo.to_spherical(C("h"), C("lat"), 6371000.0), f"h + ({q.ER_SQL} * 1000 - 6371000)"), "back": (lambda: q.geo.to_ellipsoid(q.geo.to_spherical(C("h"), C("lat"), 6371000.0), C("lat"), 6371000.0), "h")}, 4)
+q.per_row("F4_cell_xy", "cells_fx", ["i", "j"], {"x": (lambda: q.geo.cell_xy(C("i"), C("j"), -200.5, 100.25, 0.5, 0.25)["x"], "-200.5 + j * CAST(0.5 AS DOUBLE)"), "y": (lambda: q.geo.cell_xy(C("i"), C("j"), -200.5, 100.25, 0.5, 0.25)["y"], "100.25 + i * CAST(0.25 AS DOUBLE)")})
+q.per_row("F23_fine_beam_final", "samples_fx", q.S, {"sigma": (lambda: q.image.fine_beam_final(C("sr")), "sr / CAST(27.3 AS DOUBLE) - CAST(0.0058 AS DOUBLE)")})
+
+CORNERS = [(0, 0), (1, 0), (1, 1), (0, 1)]
+
+
+@q.query("S6_scene_bounds", f"""WITH c AS (SELECT s_suppkey, 60 + s_suppkey * 7 % 25 + a AS lat, CAST(s_suppkey * 37 % 350 + b AS DOUBLE) AS lon FROM supplier, (VALUES {", ".join(map(str, CORNERS))}) k(a, b)), p AS (SELECT s_suppkey, {q.RHO} * sin(radians(lon + 45)) AS x, -{q.RHO} * cos(radians(lon + 45)) AS y FROM c)
+ SELECT 'scene' || s_suppkey AS scene_id, round(min(x), 4) AS x_min, round(max(x), 4) AS x_max, round(min(y), 4) AS y_min, round(max(y), 4) AS y_max FROM p GROUP BY s_suppkey""")
+def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features written as files, read, and boxed on the projection."""
+    k = C("s_suppkey")
+    lat, lon = 60 + k * 7 % 25, k * 37 % 350
+    ring = F.array(F.array(*[F.array((lon + b).cast("double"), (lat + a).cast("double")) for a, b in [*CORNERS, CORNERS[0]]]))
+    body = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"), F.struct(F.concat(F.lit("scene "), k).alias("ImageName")).alias("properties")))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("scene"), k, F.lit(".geojson")).alias("file"), body.alias("text"))
+    found = text.scene_bounds(text.read_scenes_geojson(spark, write_files(files, new_folder(spark, "features"))), 45.0, 70.0)
+    return found.select("scene_id", *[q.r6(C(c), c, 4) for c in ("x_min", "x_max", "y_min", "y_max")])

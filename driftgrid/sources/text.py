@@ -266,9 +266,3 @@ def read_flattening_baselines(spark: SparkSession, path: str | DataFrame, omega:
         return summed
     rest = initial.join(summed.select("pair_id"), "pair_id", "left_anti").select("pair_id", "bn", "bp", "dbn", "dbp", *[F.lit(0.0).alias(c) for c in ("dbnq", "dbpq", "omega")])
     return summed.unionByName(rest)
-
-
-def pair_list_defaults(rows: DataFrame) -> DataFrame:
-    """One-column rows(line) as pairs, for lists that are already a table."""
-    f = F.split(F.trim("line"), r"\s+")
-    return rows.select(*[c for c in rows.columns if c != "line"], F.size(f).alias("n_fields"), _none(F.get(f, F.lit(0))).alias("phase_path"), F.get(f, F.lit(3)).cast("double").alias("n_days"), F.coalesce(F.get(f, F.lit(4)).cast("double"), F.lit(1.0)).alias("weight"), F.coalesce(F.get(f, F.lit(9)).cast("int"), F.lit(1)).alias("cross_flag"))
