@@ -5,11 +5,14 @@ hash), so only anchors, about a sixth as many as words, are counted over the cor
 document alone are never moved. Around each recurring anchor a document has a fragment: the words of its neighbouring windows
 with that anchor. Equal fragments are merged, which leaves few of a hot passage.
 
-Windows are then confirmed: they are counted by their words over the merged fragments, summed before the shuffle, and those that start in
-two documents or more stay, with their first document. Confirmed windows are dealt by anchor into shards of at most about ``shard`` windows;
-the windows of an anchor that has more go to several. Each shard is compiled into an Aho-Corasick automaton, through which the
-fragments with its anchors are streamed to locate every occurrence. Where an anchor has more than ``shard`` fragments, they are dealt to several
-tasks, each with the automaton. The places go back to the documents, which are read once more.
+Merged fragments are dealt by anchor into shards of about ``shard``. Equal windows meet there, so each shard confirms, word for word,
+those that start in two documents or more, compiles them into an Aho-Corasick automaton with their first document, and streams
+its fragments through it to locate every occurrence.
+
+An anchor of more than ``shard`` fragments is hot and goes another way. Its windows are confirmed by counts over the corpus, summed before
+the shuffle, and dealt to as many automata as they need; its fragments are streamed by several tasks, each with the automaton, and
+places meet fragments under as many salts as there are multiples of ``shard``. Either way, places go back to the documents,
+which are read once more. Fragments are known by two 64-bit hashes of their words with different seeds.
 
 Windows are judged on the input. Null texts have no words. Rows with a null doc_id are neither earlier nor later than
 others and lose nothing; of rows that repeat a doc_id none is earlier. Extra columns are ignored.
@@ -31,7 +34,7 @@ from .shingles import gram_codes, text_codes, word_list
 
 WIDTH, GRAM = 13, 4
 #: Windows or fragments of a shard, about.
-SHARD = 20_000
+SHARD = 8_000
 
 FRAGMENTS = "doc_id bigint, text_hash bigint, pos int, anchor bigint, fragment string"
 
@@ -105,6 +108,45 @@ def _window_rows(width: int):
     return run
 
 
+#: What a fragment is known by, and the places of windows in it.
+KEY = ["fragment_hash", "fragment_check"]
+LOCATED = "anchor bigint, fragment_hash bigint, fragment_check bigint, places array<int>, firsts array<bigint>"
+
+
+def _places(fragments: pd.DataFrame, automaton: ahocorasick.Automaton, streams: list[tuple], width: int) -> pd.DataFrame:
+    """Rows of LOCATED for the fragments in whose words (as codes) the automaton finds windows."""
+    hits = [[]] * len(streams)
+    if len(automaton):
+        automaton.make_automaton()
+        hits = [list(automaton.iter(stream)) for stream in streams]
+    lists = {"places": [[end - width + 1 for end, _ in h] for h in hits], "firsts": [[first for _, first in h] for h in hits]}
+    return fragments[["anchor", *KEY]].assign(**{k: pd.Series(v, fragments.index, dtype=object) for k, v in lists.items()})[[bool(h) for h in hits]]
+
+
+def _confirmed_and_located(width: int):
+    """For the merged fragments of a shard, which has all fragments of its anchors: the places of windows that recur."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        codes: dict[str, int] = {}
+        streams = [tuple([codes.setdefault(w, len(codes)) for w in fragment.split(" ")]) for fragment in group["fragment"]]
+        first: dict[tuple, int] = {}
+        last: dict[tuple, int] = {}
+        for stream, low, high in zip(streams, group["low"].tolist(), group["high"].tolist(), strict=True):
+            for p in range(len(stream) - width + 1):
+                window = stream[p : p + width]
+                if first.setdefault(window, low) > low:
+                    first[window] = low
+                if last.setdefault(window, high) < high:
+                    last[window] = high
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, low in first.items():
+            if low < last[window]:
+                automaton.add_word(window, low)
+        return _places(group, automaton, streams, width)
+
+    return run
+
+
 def _located(width: int):
     """For a task's confirmed windows (window, first) and merged fragments: places of windows in each, and their first documents."""
 
@@ -113,17 +155,9 @@ def _located(width: int):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, first in zip(windows["window"], windows["first"].tolist(), strict=True):
             automaton.add_word(tuple([codes.setdefault(w, len(codes) + 1) for w in window.split(" ")]), first)
-        places, firsts = [], []
-        if len(automaton):
-            automaton.make_automaton()
-        known = codes.get
-        for fragment in fragments["fragment"]:
-            # a word of no window is 0, which no window has
-            hits = list(automaton.iter(tuple([known(w, 0) for w in fragment.split(" ")]))) if len(automaton) else []
-            places.append([end - width + 1 for end, _ in hits])
-            firsts.append([first for _, first in hits])
-        lists = {k: pd.Series(v, dtype=object) for k, v in (("places", places), ("firsts", firsts))}
-        return pd.DataFrame({"fragment_hash": fragments["fragment_hash"], "fragment": fragments["fragment"], **lists})[[bool(p) for p in places]]
+        # a word of no window is 0, which no window has
+        streams = [tuple([codes.get(w, 0) for w in fragment.split(" ")]) for fragment in fragments["fragment"]]
+        return _places(fragments, automaton, streams, width)
 
     return run
 
@@ -149,8 +183,12 @@ def _kept_rows(width: int):
     return run
 
 
-def _locate(merged: DataFrame, width: int, shard: int) -> DataFrame:
-    """fragment_hash, fragment, places and firsts; merged(anchor, fragment_hash, fragment, low, high) is a written table."""
+def _merged(fragments: DataFrame) -> DataFrame:
+    return fragments.groupBy("anchor", *KEY, "fragment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+
+
+def _locate_hot(merged: DataFrame, width: int, shard: int) -> DataFrame:
+    """Rows of LOCATED for anchors with more fragments than a task takes; merged is a written table."""
     spark = merged.sparkSession
     with arrow_rows(spark, 2000):
         windows = merged.select("anchor", "fragment", "low", "high").mapInArrow(_window_rows(width), "anchor bigint, window string, low bigint, high bigint")
@@ -159,16 +197,30 @@ def _locate(merged: DataFrame, width: int, shard: int) -> DataFrame:
     sizes = confirmed.groupBy("anchor").agg(F.count("*").alias("n_windows")).join(merged.groupBy("anchor").agg(F.count("*").alias("n_fragments")), "anchor")
     parts = sizes.select("anchor", F.ceil(F.col("n_windows") / shard).cast("int").alias("automata"), F.ceil(F.col("n_fragments") / shard).cast("int").alias("streams"))
     parts = written(parts, "parts")
-    shards = max(1, math.ceil(confirmed.count() / shard))
-    cold = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    # an anchor with too much for one task has tasks of its own, one for each of its automata and streams
-    task = F.when((F.col("automata") == 1) & (F.col("streams") == 1), cold).otherwise(F.xxhash64("anchor", "automaton", "stream").bitwiseOR(F.lit(-1 << 63)))
+    task = F.xxhash64("anchor", "automaton", "stream").alias("task")
     all_of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     own = lambda value, name: F.pmod(F.xxhash64(value), F.col(name)).cast("int")
-    left = confirmed.join(parts, "anchor").withColumn("automaton", own("window", "automata")).withColumn("stream", all_of("streams")).select(task.alias("task"), "window", "first")
-    right = merged.join(parts, "anchor").withColumn("stream", own("fragment", "streams")).withColumn("automaton", all_of("automata")).select(task.alias("task"), "fragment_hash", "fragment")
-    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(_located(width), "fragment_hash bigint, fragment string, places array<int>, firsts array<bigint>")
-    return written(found, "located")
+    left = confirmed.join(parts, "anchor").withColumn("automaton", own("window", "automata")).withColumn("stream", all_of("streams")).select(task, "window", "first")
+    right = merged.join(parts, "anchor").withColumn("stream", own("fragment", "streams")).withColumn("automaton", all_of("automata")).select(task, "anchor", *KEY, "fragment")
+    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(_located(width), LOCATED)
+
+
+def _locate(fragments: DataFrame, width: int, shard: int) -> DataFrame:
+    """doc_id, text_hash, pos, places, firsts for fragments(FRAGMENTS, KEY), a written table, in which windows recur."""
+    rows = fragments.select("doc_id", "text_hash", "pos", "anchor", *KEY)
+    hot = fragments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("anchor", F.ceil(F.col("n") / shard).cast("int").alias("salts"))
+    hot = written(hot, "hot")
+    some_hot = not hot.isEmpty()
+    shards = max(1, math.ceil(fragments.count() / shard))
+    cold = fragments.join(hot, "anchor", "left_anti") if some_hot else fragments
+    by_shard = _merged(cold).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    found = rows.join(written(by_shard.applyInPandas(_confirmed_and_located(width), LOCATED), "located").drop("anchor"), KEY)
+    if some_hot:
+        located = written(_locate_hot(written(_merged(fragments.join(hot, "anchor", "left_semi")), "merged"), width, shard), "located-hot")
+        salted = located.join(hot, "anchor").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        places = rows.join(hot, "anchor").withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.col("salts")).cast("int"))
+        found = found.select("doc_id", "text_hash", "pos", "places", "firsts").unionByName(places.drop("anchor", "salts").join(salted.drop("anchor", "salts"), [*KEY, "salt"]).select("doc_id", "text_hash", "pos", "places", "firsts"))
+    return found
 
 
 def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -181,10 +233,8 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard
         recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
         per_doc = anchors.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
         fragments = known.join(per_doc, "doc_id").select("doc_id", "text_hash", "text", "anchors").mapInArrow(_fragment_rows(width, gram), FRAGMENTS)
-        fragments = written(fragments.withColumn("fragment_hash", F.xxhash64("fragment")), "fragments")
-        merged = written(fragments.groupBy("fragment_hash", "fragment").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "merged")
-        located = _locate(merged, width, shard)
-        hits = fragments.select("doc_id", "text_hash", "pos", "fragment_hash", "fragment").join(located, ["fragment_hash", "fragment"])
+        hashes = {"fragment_hash": F.xxhash64("fragment"), "fragment_check": F.xxhash64(F.lit(1), "fragment")}
+        hits = _locate(written(fragments.withColumns(hashes), "fragments"), width, shard)
         earlier = F.filter(F.zip_with("places", "firsts", lambda p, f: F.when(f < F.col("doc_id"), p + F.col("pos"))), lambda x: x.isNotNull())
         starts = hits.select("doc_id", "text_hash", earlier.alias("starts")).where(F.size("starts") > 0)
         # the starts of one document: no more than it has words
