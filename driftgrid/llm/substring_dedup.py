@@ -70,22 +70,27 @@ def _fragment_rows(width: int, gram: int):
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in schema.names}
-            for doc_id, text_hash, text, anchors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                codes, raw, begin, end = text_codes(text)
+            parts: list[tuple] = []
+            words: list[bytes] = []
+            bounds = batch.column(3).offsets.to_numpy()
+            values = batch.column(3).values.to_numpy(zero_copy_only=False)
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                codes, raw, _, _ = text_codes(text)
                 own = _anchors(codes, width, gram)
-                starts = np.flatnonzero(np.diff(own, prepend=own[:1] ^ 1))
-                starts = starts[np.isin(own[starts], np.array(anchors, np.int64))]
-                changes = np.append(np.flatnonzero(np.diff(own)) + 1, len(own))
-                for s, e in zip(starts.tolist(), changes[np.searchsorted(changes, starts, "right")].tolist(), strict=True):
-                    # a run longer than the places of one gram repeats it; it is cut, so that fragments stay short
-                    for p in range(s, e, 2 * width):
-                        out["doc_id"].append(doc_id)
-                        out["text_hash"].append(text_hash)
-                        out["pos"].append(p)
-                        out["anchor"].append(int(own[s]))
-                        out["fragment"].append(b" ".join(raw[begin[p] : end[min(p + 2 * width, e) + width - 2]].split()).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+                changes = np.flatnonzero(np.diff(own, prepend=own[:1] ^ 1))
+                wanted = np.isin(own[changes], values[bounds[k] : bounds[k + 1]])
+                starts, ends = changes[wanted], np.append(changes[1:], len(own))[wanted]
+                # a run longer than the places of one gram repeats it; it is cut, so that fragments stay short
+                cuts = -(-(ends - starts) // (2 * width))
+                at = np.repeat(starts, cuts) + 2 * width * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+                until = np.minimum(at + 2 * width, np.repeat(ends, cuts)) + width - 1
+                parts.append((np.full(len(at), k), at, own[at]))
+                split = raw.split()
+                words += [b" ".join(split[p:q]) for p, q in zip(at.tolist(), until.tolist(), strict=True)]
+            row, pos, anchor = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
+            own_rows = pa.array(row.astype(np.int64))
+            columns = [batch.column(0).take(own_rows), batch.column(1).take(own_rows), pa.array(pos.astype(np.int32)), pa.array(anchor.astype(np.int64)), pa.array(words, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("anchor", pa.int64()), ("fragment", pa.string())])
     return run
@@ -113,12 +118,44 @@ KEY = ["fragment_hash", "fragment_check"]
 LOCATED = "anchor bigint, fragment_hash bigint, fragment_check bigint, places array<int>, firsts array<bigint>"
 
 
-def _places(fragments: pd.DataFrame, automaton: ahocorasick.Automaton, streams: list[tuple], width: int) -> pd.DataFrame:
-    """Rows of LOCATED for the fragments in whose words (as codes) the automaton finds windows."""
+class _Letters(dict):
+    """A letter for each word, so that windows are strings; ValueError where there are more words than code points."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = letter = chr(len(self) + 1)
+        return letter
+
+
+class _Numbers(dict):
+    """A tuple of one number for each word."""
+
+    def __missing__(self, word: str) -> tuple[int]:
+        self[word] = number = (len(self) + 1,)
+        return number
+
+
+def _coded(fragments: pd.Series) -> list:
+    """Fragments as strings with a letter for each word, or as tuples of numbers where letters run out."""
+    try:
+        letters = _Letters()
+        return ["".join(map(letters.__getitem__, fragment.split(" "))) for fragment in fragments]
+    except ValueError:
+        numbers = _Numbers()
+        return [sum(map(numbers.__getitem__, fragment.split(" ")), ()) for fragment in fragments]
+
+
+def _places(fragments: pd.DataFrame, streams: list, windows: dict) -> pd.DataFrame:
+    """Rows of LOCATED for fragments, coded as streams, in which the automaton of windows finds some that begin before their last document."""
+    sequences = isinstance(next(iter(windows), ""), tuple)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE if sequences else ahocorasick.KEY_STRING)
+    width = 1
+    for window, first in windows.items():
+        automaton.add_word(window, first)
+        width = len(window)
     hits = [[]] * len(streams)
-    if len(automaton):
+    if windows:
         automaton.make_automaton()
-        hits = [list(automaton.iter(stream)) for stream in streams]
+        hits = [[h for h in automaton.iter(stream) if h[1] < high] for stream, high in zip(streams, fragments["high"].tolist(), strict=True)]
     lists = {"places": [[end - width + 1 for end, _ in h] for h in hits], "firsts": [[first for _, first in h] for h in hits]}
     return fragments[["anchor", *KEY]].assign(**{k: pd.Series(v, fragments.index, dtype=object) for k, v in lists.items()})[[bool(h) for h in hits]]
 
@@ -127,10 +164,9 @@ def _confirmed_and_located(width: int):
     """For the merged fragments of a shard, which has all fragments of its anchors: the places of windows that recur."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        codes: dict[str, int] = {}
-        streams = [tuple([codes.setdefault(w, len(codes)) for w in fragment.split(" ")]) for fragment in group["fragment"]]
-        first: dict[tuple, int] = {}
-        last: dict[tuple, int] = {}
+        streams = _coded(group["fragment"])
+        first: dict = {}
+        last: dict = {}
         for stream, low, high in zip(streams, group["low"].tolist(), group["high"].tolist(), strict=True):
             for p in range(len(stream) - width + 1):
                 window = stream[p : p + width]
@@ -138,11 +174,7 @@ def _confirmed_and_located(width: int):
                     first[window] = low
                 if last.setdefault(window, high) < high:
                     last[window] = high
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, low in first.items():
-            if low < last[window]:
-                automaton.add_word(window, low)
-        return _places(group, automaton, streams, width)
+        return _places(group, streams, {window: low for window, low in first.items() if low < last[window]})
 
     return run
 
@@ -151,13 +183,8 @@ def _located(width: int):
     """For a task's confirmed windows (window, first) and merged fragments: places of windows in each, and their first documents."""
 
     def run(windows: pd.DataFrame, fragments: pd.DataFrame) -> pd.DataFrame:
-        codes: dict[str, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, first in zip(windows["window"], windows["first"].tolist(), strict=True):
-            automaton.add_word(tuple([codes.setdefault(w, len(codes) + 1) for w in window.split(" ")]), first)
-        # a word of no window is 0, which no window has
-        streams = [tuple([codes.get(w, 0) for w in fragment.split(" ")]) for fragment in fragments["fragment"]]
-        return _places(fragments, automaton, streams, width)
+        coded = _coded(pd.concat([windows["window"], fragments["fragment"]]))
+        return _places(fragments, coded[len(windows) :], dict(zip(coded[: len(windows)], windows["first"].tolist(), strict=True)))
 
     return run
 
@@ -201,7 +228,7 @@ def _locate_hot(merged: DataFrame, width: int, shard: int) -> DataFrame:
     all_of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     own = lambda value, name: F.pmod(F.xxhash64(value), F.col(name)).cast("int")
     left = confirmed.join(parts, "anchor").withColumn("automaton", own("window", "automata")).withColumn("stream", all_of("streams")).select(task, "window", "first")
-    right = merged.join(parts, "anchor").withColumn("stream", own("fragment", "streams")).withColumn("automaton", all_of("automata")).select(task, "anchor", *KEY, "fragment")
+    right = merged.join(parts, "anchor").withColumn("stream", own("fragment", "streams")).withColumn("automaton", all_of("automata")).select(task, "anchor", *KEY, "fragment", "high")
     return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(_located(width), LOCATED)
 
 

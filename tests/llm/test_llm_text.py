@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -239,3 +240,21 @@ def test_words_and_codes_agree(text):
     assert [raw[a:b] for a, b in zip(starts, ends)] == words == [w.encode() for w in WORD.findall(text)]
     known = dict(zip(words, codes.tolist()))
     assert [known[w] for w in words] == codes.tolist() and len(set(known.values())) == len(known)
+
+
+def test_fragments_are_coded_alike_with_letters_and_numbers(monkeypatch):
+    fragments = pd.Series(["a b c a", "b", "é a"])
+    letters = substring_dedup._coded(fragments)
+    assert [[ord(c) for c in s] for s in letters] == [[1, 2, 3, 1], [2], [4, 1]]
+
+    def no_more(self, word):
+        raise ValueError
+
+    monkeypatch.setattr(substring_dedup._Letters, "__missing__", no_more)
+    numbers = substring_dedup._coded(fragments)
+    assert numbers == [(1, 2, 3, 1), (2,), (4, 1)]
+    rows = pd.DataFrame({"anchor": [7, 8], "fragment_hash": [1, 2], "fragment_check": [3, 4], "high": [9, 5]})
+    for streams in (letters, numbers):
+        # the second window begins in no document before the last one of the fragment
+        found = substring_dedup._places(rows, streams[:2], {streams[0][1:3]: 6, streams[0][2:4]: 9})
+        assert found["anchor"].tolist() == [7] and found["places"].tolist() == [[1]] and found["firsts"].tolist() == [[6]]
