@@ -5,7 +5,7 @@ hash), so only anchors, about a sixth as many as words, are counted over the cor
 document alone are never moved. Around each recurring anchor a document has a fragment: the words of its neighbouring windows
 with that anchor. Equal fragments are merged, which leaves few of a hot passage.
 
-Merged fragments are dealt by anchor into shards of about ``shard``. Equal windows meet there, so each shard confirms, word for word,
+Merged fragments are dealt by anchor into shards of about an eighth of ``shard``. Equal windows meet there, so each shard confirms, word for word,
 those that start in two documents or more, compiles them into an Aho-Corasick automaton with their first document, and streams
 its fragments through it to locate every occurrence.
 
@@ -238,7 +238,8 @@ def _locate(fragments: DataFrame, width: int, shard: int) -> DataFrame:
     hot = fragments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("anchor", F.ceil(F.col("n") / shard).cast("int").alias("salts"))
     hot = written(hot, "hot")
     some_hot = not hot.isEmpty()
-    shards = max(1, math.ceil(fragments.count() / shard))
+    # small shards: the children of an automaton's root are searched in turn, and are as many as the first words of its windows
+    shards = max(1, math.ceil(fragments.count() / max(1, shard // 8)))
     cold = fragments.join(hot, "anchor", "left_anti") if some_hot else fragments
     by_shard = _merged(cold).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     found = rows.join(written(by_shard.applyInPandas(_confirmed_and_located(width), LOCATED), "located").drop("anchor"), KEY)
