@@ -3,6 +3,7 @@
 import pytest
 
 from driftgrid.plans.fixtures import fixture
+from driftgrid.plans.queries import QUERIES
 
 
 def plan(df) -> str:
@@ -13,3 +14,8 @@ def plan(df) -> str:
 def test_bands_are_joined_on_their_rows(spark, sf_dir, name):
     found = plan(fixture(spark, sf_dir, name))
     assert "NestedLoop" not in found and "Cartesian" not in found
+
+
+@pytest.mark.parametrize("name", ["J12_sample_ties", "J8_geocode_points", "radar_samples", "speckle_from_offsets", "image_mosaic", "image_mosaic_nearest"])
+def test_exploded_tables_are_not_broadcast(spark, sf_dir, name):
+    assert "Broadcast" not in plan(QUERIES[name](spark, sf_dir))
