@@ -85,11 +85,10 @@ def rtc_area_sum(cells: DataFrame, columns: int = 3, rows: int = 2, least_db: fl
 def orbit_coverage(scenes: DataFrame, slack: float = 45.0) -> DataFrame:
     """Of scenes(scene_id, start, n_azimuth, azimuth_looks, prf, states) those whose state vectors miss the acquisition by more than slack s, with the gaps.
 
-    start is in seconds of the day, states an array of structs with t.
+    start is in seconds of the day, states an array of structs with t. The first and the last vector count, as they stand in the file.
     """
     end = F.col("start") + F.col("n_azimuth") * F.col("azimuth_looks") / F.col("prf")
-    times = F.transform("states", lambda s: s["t"])
-    gaps = scenes.select("scene_id", (F.array_min(times) - F.col("start")).alias("late"), (end - F.array_max(times)).alias("early"))
+    gaps = scenes.select("scene_id", (F.get("states", F.lit(0))["t"] - F.col("start")).alias("late"), (end - F.get("states", F.size("states") - 1)["t"]).alias("early"))
     return gaps.where((F.col("late") > slack) | (F.col("early") > slack))
 
 
