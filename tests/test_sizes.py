@@ -1,7 +1,10 @@
 """What large tables need: no join that compares all rows, and none that sends tables whole to every task without knowing how large they are."""
 
+import numpy as np
 import pytest
 
+from driftgrid.operators.blocks import edge_distance
+from driftgrid.operators.images import orbit_coverage
 from driftgrid.plans.fixtures import fixture
 from driftgrid.plans.queries import QUERIES
 
@@ -19,3 +22,20 @@ def test_bands_are_joined_on_their_rows(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["J12_sample_ties", "J8_geocode_points", "radar_samples", "speckle_from_offsets", "image_mosaic", "image_mosaic_nearest"])
 def test_exploded_tables_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_valid_cells_beyond_the_box_count_as_neighbours():
+    """A grid of 6 x 3 cells, of which the box has the first three rows: only the cell beside a hole whose places in the box aren't made up for is an edge."""
+    valid = np.pad(np.ones((6, 3), bool), 1)
+    inside = np.pad(np.ones((3, 3), bool), ((1, 4), (1, 1)))
+    valid[3, 1] = False
+    f = edge_distance(valid, inside, 2)
+    # the box's second row lacks a cell; its last row and the one after it have more cells around than the box has there
+    assert f[2, 1] == f[2, 2] == 0.25
+    assert f[3, 2] == 0.5
+    assert f[4, 1] == f[4, 2] == f[5, 2] == 1
+
+
+def test_orbit_coverage_takes_the_first_and_the_last_vector(spark):
+    scenes = spark.createDataFrame([(1, 50.0, 1000, 4, 500.0, [(119.0,), (110.0,)])], "scene_id long, start double, n_azimuth int, azimuth_looks int, prf double, states array<struct<t:double>>")
+    assert [tuple(r) for r in orbit_coverage(scenes).collect()] == [(1, 69.0, -52.0)]
