@@ -3,6 +3,9 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from driftgrid.operators import calibrate, fit
 from driftgrid.operators.blocks import edge_distance
 from driftgrid.operators.images import orbit_coverage
 from driftgrid.plans.fixtures import fixture
@@ -39,3 +42,12 @@ def test_valid_cells_beyond_the_box_count_as_neighbours():
 def test_orbit_coverage_takes_the_first_and_the_last_vector(spark):
     scenes = spark.createDataFrame([(1, 50.0, 1000, 4, 500.0, [(119.0,), (110.0,)])], "scene_id long, start double, n_azimuth int, azimuth_looks int, prf double, states array<struct<t:double>>")
     assert [tuple(r) for r in orbit_coverage(scenes).collect()] == [(1, 69.0, -52.0)]
+
+
+def test_each_pass_of_a_fit_reads_the_ties_once(spark):
+    """A pass is a checkpoint, so passes before it aren't done again; pairs are solved in batches, not in a Python call each."""
+    ties = spark.range(40).selectExpr("id % 2 AS pair_id", "(id - 20) / 200 AS theta_d", "(id % 7 - 3) / 5 AS x", "8.5e5D AS slant", "0.75D AS y")
+    found = plan(calibrate.range_params(ties, "bpdbp"))
+    assert "MapInPandas" not in found and "Join" not in found
+    one = plan(fit.qr_fit(ties, ["pair_id"], F.col("y"), F.lit(1.0), [F.lit(1.0)]))
+    assert "FlatMapGroups" not in one
