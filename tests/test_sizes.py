@@ -22,6 +22,12 @@ def test_bands_are_joined_on_their_rows(spark, sf_dir, name):
     assert "NestedLoop" not in found and "Cartesian" not in found
 
 
+@pytest.mark.parametrize("name", ["obs_fx", "radar_fx"])
+def test_bands_are_not_broadcast(spark, sf_dir, name):
+    """Nine rows for each pair, which Spark takes to be as small as the pairs' own table."""
+    assert "Broadcast" not in plan(fixture(spark, sf_dir, name))
+
+
 @pytest.mark.parametrize("name", ["J12_sample_ties", "J8_geocode_points", "radar_samples", "speckle_from_offsets", "image_mosaic", "image_mosaic_nearest"])
 def test_exploded_tables_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, sf_dir))
