@@ -28,6 +28,11 @@ def test_bands_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(fixture(spark, sf_dir, name))
 
 
+def test_facets_are_projected_once_a_batch(spark, sf_dir):
+    found = plan(QUERIES["F28_plane_areas"](spark, sf_dir))
+    assert "lambda" not in found and found.count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("name", ["J12_sample_ties", "J8_geocode_points", "radar_samples", "speckle_from_offsets", "image_mosaic", "image_mosaic_nearest"])
 def test_exploded_tables_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, sf_dir))
