@@ -7,9 +7,9 @@ millionths, so a document's score is an exact sum, and whether it reaches ``thre
 Null or empty texts have no words and fail. Repeated rows are judged alike. A null doc_id is never trusted. With no trusted
 document all weights are 0 and only the base rules decide. Extra columns of the input are ignored.
 
-``fitted_rules`` also derives a threshold from the trusted documents: a part of them is held out, weights are counted without it, and
-the threshold is the mean ratio that ``KEPT_SHARE`` of the held-out ones that pass the base rules reach. Documents that took no part in the
-counts score lower than those that did, so a threshold from the latter would reject clean text, most on small tables.
+``fitted_rules`` also derives a threshold from all trusted documents: they are dealt into parts, each is scored with weights counted without
+its own part, and the threshold is the mean ratio that ``KEPT_SHARE`` of those that pass the base rules reach. Documents that took no part in
+the counts score lower than those that did, so a threshold from the latter would reject clean text, most on small tables.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, sieve, words
+from .common import scratch, settled, sieve, words, written
 
 BUCKETS = 1 << 14
 #: Words of a window of the repetition rule.
 WINDOW = 8
 #: Mean log-likelihood ratio, in millionths of a nat, that a document must reach.
 THRESHOLD = -80_000
-#: Share of held-out trusted documents that a derived threshold keeps.
+#: Share of trusted documents that a derived threshold keeps.
 KEPT_SHARE = 0.99
-#: Of the trusted documents one in five is held out, this many at most (about).
-HELD_OUT = 5_000
+#: Parts of the trusted documents; each is scored without its own counts.
+PARTS = 5
 
 
 def _grams(w: Column, buckets: int) -> Column:
@@ -43,18 +43,19 @@ def _flags(trusted: DataFrame) -> DataFrame:
     return trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
 
 
-def _all_weights(docs: DataFrame, flags: DataFrame, buckets: int, columns: list[str]) -> list[list[int]]:
-    """The weights of each of ``columns``, which are 1 for the trusted documents that it counts; all in one pass."""
+def _all_weights(docs: DataFrame, flags: DataFrame, buckets: int, parts: int) -> list[list[int]]:
+    """The weights over all of flags(trusted_id, part), then those without each of the parts 1 to ``parts``; all in one pass."""
     own = docs.select("doc_id", "text").join(flags.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = own.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in columns], words(F.col("text")).alias("w")).select(*columns, F.explode(_grams(F.col("w"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), *[F.sum(c).alias(c) for c in columns])
-    held = {r["bucket"]: tuple(r)[1:] for r in counts.collect()}  # at most ``buckets`` rows
-    raw, *sums = (sum(x[k] for x in held.values()) for k in range(len(columns) + 1))
-    none = (0,) * (len(columns) + 1)
-    rows = docs.sparkSession.createDataFrame([(b, *held.get(b, none)) for b in range(buckets)], ", ".join(["bucket int", "raw bigint", *[f"{c} bigint" for c in columns]]))
-    ratio = lambda c, good: F.log((F.col(c) + 1) / (good + buckets)) - F.log((F.col("raw") + 1) / (raw + buckets)) if good else F.lit(0.0)
-    found = rows.select("bucket", *[F.round(ratio(c, good) * 1e6).cast("long").alias(c) for c, good in zip(columns, sums, strict=True)]).orderBy("bucket").collect()
-    return [[r[c] for r in found] for c in columns]
+    grams = own.select((F.coalesce("part", F.lit(0)) * buckets).cast("int").alias("first"), words(F.col("text")).alias("w")).select("first", F.explode(_grams(F.col("w"), buckets)).alias("bucket"))
+    held = dict(grams.groupBy((F.col("first") + F.col("bucket")).alias("place")).count().collect())  # a row for each part and bucket, at most
+    counts = [[held.get(k * buckets + b, 0) for b in range(buckets)] for k in range(max(parts, 1) + 1)]
+    raw, good = [sum(x) for x in zip(*counts, strict=True)], [sum(x) for x in zip(*counts[1:], strict=True)]
+    columns = [good, *[[g - x for g, x in zip(good, counts[k], strict=True)] for k in range(1, parts + 1)]]
+    names = [f"good{k}" for k in range(len(columns))]
+    rows = docs.sparkSession.createDataFrame(list(zip(range(buckets), raw, *columns, strict=True)), ", ".join(["bucket int", "raw bigint", *[f"{n} bigint" for n in names]]))
+    ratio = lambda c, n: F.log((F.col(c) + 1) / (n + buckets)) - F.log((F.col("raw") + 1) / (sum(raw) + buckets)) if n else F.lit(0.0)
+    found = rows.select("bucket", *[F.round(ratio(c, sum(x)) * 1e6).cast("long").alias(c) for c, x in zip(names, columns, strict=True)]).orderBy("bucket").collect()
+    return [[r[c] for r in found] for c in names]
 
 
 def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
@@ -62,22 +63,45 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
 
     docs(doc_id, text); trusted(doc_id). The counts are summed before they are shuffled; the result has ``buckets`` numbers.
     """
-    return _all_weights(docs, _flags(trusted).withColumn("good", F.lit(1)), buckets, ["good"])[0]
+    return _all_weights(docs, _flags(trusted).withColumn("part", F.lit(1)), buckets, 0)[0]
 
 
 def fitted_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[list[int], int]:
-    """The weights over all trusted documents, and the derived threshold; THRESHOLD where nothing can be held out."""
-    flags = _flags(trusted)
-    parts = 1_000_000
-    share = min(parts // 5, parts * HELD_OUT // max(flags.count(), 1))
-    apart = F.pmod(F.xxhash64("trusted_id", F.lit(23)), F.lit(parts)) < share
-    weights, without = _all_weights(docs, flags.select("trusted_id", F.lit(1).alias("good"), (~apart).cast("int").alias("fit")), buckets, ["good", "fit"])
-    if not any(without):
+    """The weights over all trusted documents, and the derived threshold; THRESHOLD where none can be scored without its own counts."""
+    flags = _flags(trusted).withColumn("part", (F.pmod(F.xxhash64("trusted_id", F.lit(23)), F.lit(PARTS)) + 1).cast("int"))
+    weights, *without = _all_weights(docs, flags, buckets, PARTS)
+    usable = [k for k, w in enumerate(without, 1) if any(w)]
+    if not usable:
         return weights, THRESHOLD
-    held = docs.select("doc_id", "text").join(F.broadcast(flags.where(apart)), F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    scored = settled(_judged(held, without, 0, buckets)).where("not base_failed")
-    found = scored.select(F.percentile(F.col("llr_millionths") / F.col("n_grams"), 1 - KEPT_SHARE).alias("t")).first()["t"]
-    return weights, THRESHOLD if found is None else math.floor(found)
+    held = docs.select("doc_id", "text").join(flags.where(F.col("part").isin(usable)).hint("merge"), F.col("doc_id") == F.col("trusted_id"))
+    own = held.select(F.struct("doc_id", "part").alias("doc_id"), "text")
+    scored = settled(_judged(own, sum(without, []), 0, buckets, (F.col("doc_id.part") - 1) * buckets)).where("not base_failed")
+    with scratch(docs.sparkSession):
+        found = reached_by(written(scored.select(F.floor(F.col("llr_millionths") / F.col("n_grams")).alias("value")), "quality-held"), KEPT_SHARE)
+    return weights, THRESHOLD if found is None else found
+
+
+def reached_by(values: DataFrame, share: float) -> int | None:
+    """The largest whole number of values(value) that this share of them reaches; None without values.
+
+    Values are counted in ranges of 4,096, then one by one in the range that holds the number.
+    """
+    counted = lambda rows, c: sorted(rows.groupBy(c.alias("c")).count().collect())
+    span = F.shiftright("value", 12)
+    ranges = counted(values, span)
+    total = sum(n for _, n in ranges)
+    below = total - math.ceil(share * total)  # as many may be left out
+    for k, n in ranges:
+        if below < n:
+            break
+        below -= n
+    else:
+        return None
+    for value, n in counted(values.where(span == k), F.col("value")):
+        if below < n:
+            return value
+        below -= n
+    return None
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -113,9 +137,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOL
     return settled(_judged(docs, gram_weights(docs, trusted, buckets), threshold, buckets))
 
 
-def _judged(docs: DataFrame, weights: list[int], threshold: int, buckets: int) -> DataFrame:
+def _judged(docs: DataFrame, weights: list[int], threshold: int, buckets: int, first: Column | None = None) -> DataFrame:
+    """first is the place of a document's own weights, where there are several tables of them in one list."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
-    score = F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
+    score = F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b if first is None else first + b))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return (

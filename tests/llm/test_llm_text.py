@@ -185,6 +185,36 @@ def test_quality_rules(spark, sf_dir, texts):
         assert r.kept == (not failed and r.llr_millionths >= quality_rules.THRESHOLD * n)
 
 
+def test_whole_threshold(spark):
+    """Values on both sides of ranges of 4,096, and negative ones."""
+    values = [(k * 7919) % 20_011 - 10_000 for k in range(700)]
+    df = spark.createDataFrame([(v,) for v in values], "value long")
+    for share in (0.99, 0.5, 1.0, 0.001):
+        assert quality_rules.reached_by(df, share) == max(v for v in values if sum(x >= v for x in values) >= share * len(values))
+    assert quality_rules.reached_by(df.limit(0), 0.99) is None
+
+
+def test_threshold_is_of_all_trusted_documents(spark, sf_dir, texts, monkeypatch):
+    """Every trusted document that passes the base rules is scored, by weights without its own part."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    part = {r.doc_id: r.p for r in trusted.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 23), {quality_rules.PARTS}) AS p").collect()}
+    ratios = []
+    for p in range(quality_rules.PARTS):
+        scores = llr_brute(texts, {i for i, k in part.items() if k != p}, quality_rules.BUCKETS)
+        for i in (i for i, k in part.items() if k == p and i in texts):
+            n, *_, repeated = base_row(texts[i])
+            if n >= 20 and 100 * repeated <= 30 * n:
+                ratios.append(scores[i][1] / scores[i][0])
+    seen = []
+    whole = quality_rules.reached_by
+    monkeypatch.setattr(quality_rules, "reached_by", lambda values, share: seen.append(values.count()) or whole(values, share))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    _, threshold = quality_rules.fitted_rules(docs, trusted)
+    assert seen == [len(ratios)]
+    want = sorted(ratios)[len(ratios) - math.ceil(quality_rules.KEPT_SHARE * len(ratios))]
+    assert abs(threshold - want) <= 2
+
+
 def test_quality_rules_odd_rows(spark, make_docs, odd_texts):
     docs = make_docs(odd_texts, extra=("w", "h", "s", "grams", "kept", "trusted_id"))
     labels = spark.createDataFrame([(6,), (None,), (6,)], "doc_id long")
