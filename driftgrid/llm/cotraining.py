@@ -78,13 +78,13 @@ class CoTraining:
             self.constant = next(iter(counts), 0.5)
             return
         own = known.where("not held").select("text_view", "meta_view", "label", F.lit(1.0).alias("weight"))
-        unlabelled = self.rows.where("doc_id is not null").join(label.select("doc_id"), "doc_id", "left_anti")
         extra: dict[str, list[DataFrame]] = {v: [] for v in self.VIEWS}
         self.models = {v: self._fit(own, v) for v in self.VIEWS}
         for k in range(rounds):
             p = {v: F.col(f"{v}_p") for v in self.VIEWS}
-            scored = self._margins(unlabelled).select("doc_id", "h", *[(1 / (1 + F.exp(-F.col(f"{v}_margin")))).alias(f"{v}_p") for v in self.VIEWS])
-            scored = written(scored, "cotraining-scores")
+            scored = self._margins(self.rows.where("doc_id is not null")).select("doc_id", "h", *[(1 / (1 + F.exp(-F.col(f"{v}_margin")))).alias(f"{v}_p") for v in self.VIEWS])
+            # labelled documents go after the scoring, so that scores are shuffled for it, not features
+            scored = written(settled(scored).join(label.select("doc_id"), "doc_id", "left_anti"), "cotraining-scores")
             sure = {(v, c): (p[v] >= confidence if c else p[v] <= 1 - confidence) for v in self.VIEWS for c in counts}
             found = scored.agg(*[F.count(F.when(s, True)).alias(f"{v}{c}") for (v, c), s in sure.items()]).first()
             self.exchanged.append({key: found[k] for k, key in enumerate(sure)})

@@ -220,6 +220,23 @@ def test_co_training(spark, make_docs, odd_texts):
     assert cotraining.classify_quality(docs.limit(0), labels).count() == 0
 
 
+def test_co_training_shuffles_scores_not_features(spark, make_docs, monkeypatch):
+    """Labelled documents are taken out after the scoring; above the join nothing is computed from features."""
+    docs = make_docs([prose(k, 60) if k % 2 else "buy $$$ " * 30 for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    plans, write = [], cotraining.written
+
+    def spy(df, name, **options):
+        if name == "cotraining-scores":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, **options)
+
+    monkeypatch.setattr(cotraining, "written", spy)
+    cotraining.classify_quality(docs, labels, rounds=1, added=10)
+    (found,) = plans
+    assert "Join LeftAnti" in found and "UDF" not in found.split("Join LeftAnti")[0]
+
+
 def test_pipeline_judges_untrusted_documents(spark, make_docs, tmp_path):
     """The ratio must reject junk that the base rules pass, and keep clean documents that nobody labelled."""
     rng = np.random.default_rng(5)
