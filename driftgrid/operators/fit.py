@@ -59,7 +59,7 @@ def qr_fit(df: DataFrame, keys: list[str], y: Column, sigma: Column, basis: list
     k = len(basis)
     side = k + 1
     cols = [(b / sigma).cast("double").alias(f"_b{n}") for n, b in enumerate(basis)]
-    rows = df.select(*keys, *cols, (y / sigma).cast("double").alias("_y"), F.coalesce(e, F.lit(0.0)).cast("double").alias("_e") if e is not None else F.lit(0.0).alias("_e")).dropna(subset=[*[f"_b{n}" for n in range(k)], "_y"])
+    rows = df.select(*keys, *cols, (y / sigma).cast("double").alias("_y"), F.coalesce(e, F.lit(0.0)).cast("double").alias("_e") if e is not None else F.lit(0.0).alias("_e"))
     kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
 
     def triangles(batches):
@@ -71,6 +71,9 @@ def qr_fit(df: DataFrame, keys: list[str], y: Column, sigma: Column, basis: list
 
         for pdf in batches:
             values = pdf[[*[f"_b{n}" for n in range(k)], "_y"]].to_numpy(float)
+            # rows are dropped here: Spark would make every formula once more for a filter on all of them
+            whole = ~np.isnan(values).any(axis=1)
+            pdf, values = pdf[whole], values[whole]
             rest = pdf["_e"].to_numpy(float)
             for key, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)

@@ -62,3 +62,11 @@ def test_each_pass_of_a_fit_reads_the_ties_once(spark):
     assert "MapInPandas" not in found and "Join" not in found
     one = plan(fit.qr_fit(ties, ["pair_id"], F.col("y"), F.lit(1.0), [F.lit(1.0)]))
     assert "FlatMapGroups" not in one
+
+
+def test_a_fit_makes_its_formulas_once(spark):
+    """Rows without a number are dropped in the task: as a filter, Spark makes every formula a second time for it."""
+    ties = spark.range(60).selectExpr("id % 2 AS pair_id", "CASE WHEN id < 58 THEN (id - 20) / 200 END AS theta_d", "CASE WHEN id = 57 THEN double('NaN') ELSE 2.0D END AS slope")
+    found = fit.qr_fit(ties, ["pair_id"], F.col("slope") * F.sin("theta_d"), F.lit(1.0), [F.sin("theta_d")])
+    assert not [line for line in plan(found).splitlines() if "Filter" in line and "SIN" in line.upper()]
+    assert {r["pair_id"]: (r["n"], round(r["params"][0], 9)) for r in found.collect()} == {0: (29, 2.0), 1: (28, 2.0)}
