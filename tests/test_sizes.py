@@ -91,3 +91,8 @@ def test_blocks_are_feathered_many_in_a_call(spark):
         want |= {(k or None, i, j, f"{k} {i} {j}"): f[i + 4, j + 4] for i, j in own}
     got = made.collect()
     assert len(got) == len(want) and {(r["k"], r["i"], r["j"], r["name"]): r["f"] for r in got} == want
+
+
+def test_geocoded_places_are_not_joined_again(spark, sf_dir):
+    """The points' table stays small on disk for long, so that Spark would broadcast it whole."""
+    assert "Broadcast" not in plan(QUERIES["J8_geocode_places"](spark, sf_dir))
