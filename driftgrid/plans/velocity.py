@@ -71,9 +71,9 @@ def radar_samples(pairs: DataFrame, scenes: DataFrame, offsets: DataFrame, layer
     at = at.withColumn("p", p).withColumn("lat", F.col("p.lat")).withColumn("lon", F.col("p.lon")).withColumn("h", F.col("z"))
     keys = ["pair_id", "i", "j"]
     place = geocode.radar_geometry(at.select(*keys, "scene_id", "lat", "lon", "h"), scenes, keys).where("range is not null and heading is not null")
-    ties = place.select("pair_id", F.struct("i", "j").alias("tie_id"), F.col("range").alias("r"), F.col("azimuth").alias("a"))
+    ties = place.select("pair_id", F.struct("i", "j", *geocode.GEOMETRY).alias("tie_id"), F.col("range").alias("r"), F.col("azimuth").alias("a"))  # with the geometry, or it would be made twice
     found = sample_ties(ties, pairs.select("pair_id", "r0", "a0", "delta_r", "delta_a"), offsets, ["da", "dr", "sa", "sr"]).dropna().select("pair_id", "tie_id.*", "da", "dr", "sa", "sr")
-    rows = at.drop("scene_id", "p", "h").join(sorted_in(place.drop("scene_id")), keys).join(sorted_in(found), keys).join(sorted_in(pairs.drop(*BOX)), "pair_id").join(sorted_in(scenes.select("scene_id", "n_azimuth", "look_left")), "scene_id")
+    rows = at.drop("scene_id", "p", "h").join(sorted_in(found), keys).join(sorted_in(pairs.drop(*BOX)), "pair_id").join(sorted_in(scenes.select("scene_id", "n_azimuth", "look_left")), "scene_id")
     ground = geo.earth_radius(F.radians("lat")) * 1000 + F.col("z")
     rows = rows.withColumn("look", geo.look_geometry(F.col("slant"), ground, F.col("orbit"))).withColumns({"theta": F.col("look.theta"), "psi": F.col("look.psi")}).drop("look")
     rows = rows.withColumn("theta_d", F.col("theta") - F.col("theta_c")).withColumn("x_az", geo.norm_azimuth(F.col("azimuth"), F.col("n_azimuth")))
@@ -220,9 +220,9 @@ def image_samples(scenes: DataFrame, pixels: DataFrame, layers: dict[str, DataFr
     p = geo.xy_to_ll((origin[0] + F.col("j") * cell) / 1000, (origin[1] + F.col("i") * cell) / 1000, south, rot, std_lat)
     at = at.withColumn("p", p).select("scene_id", "i", "j", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), F.col("z").alias("h"))
     place = geocode.radar_geometry(at, scenes.drop(*BOX), ["i", "j"]).where("range is not null")
-    points = place.select("scene_id", F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("range").alias("u"), F.col("azimuth").alias("v"))
-    power = sample_bilinear(points, pixels, ["scene_id", "pi", "pj"], ["power"], ["scene_id"]).dropna().select("scene_id", F.col("pi").alias("i"), F.col("pj").alias("j"), "power")
-    rows = power.join(sorted_in(place), ["scene_id", "i", "j"]).join(sorted_in(at), ["scene_id", "i", "j"]).join(sorted_in(scenes.select("scene_id", *BOX, "image_date", "pass_type", "weight")), "scene_id")
+    points = place.select("scene_id", F.col("i").alias("pi"), F.col("j").alias("pj"), "slant", "orbit", F.col("range").alias("u"), F.col("azimuth").alias("v"))  # with the geometry, or it would be made twice
+    power = sample_bilinear(points, pixels, ["scene_id", "pi", "pj", "slant", "orbit"], ["power"], ["scene_id"]).dropna().select("scene_id", F.col("pi").alias("i"), F.col("pj").alias("j"), "slant", "orbit", "power")
+    rows = power.join(sorted_in(at), ["scene_id", "i", "j"]).join(sorted_in(scenes.select("scene_id", *BOX, "image_date", "pass_type", "weight")), "scene_id")
     look = geo.look_geometry(F.col("slant"), geo.earth_radius(F.radians("lat")) * 1000 + F.col("h"), F.col("orbit"))
     rows = rows.withColumn("look", look)
     value = image.sensor_calibration(F.col("power"), F.lit(sensor), F.degrees("look.theta"), F.col("look.psi"), F.lit(beta_nought), F.lit(1.0))

@@ -96,3 +96,9 @@ def test_blocks_are_feathered_many_in_a_call(spark):
 def test_geocoded_places_are_not_joined_again(spark, sf_dir):
     """The points' table stays small on disk for long, so that Spark would broadcast it whole."""
     assert "Broadcast" not in plan(QUERIES["J8_geocode_places"](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["radar_samples", "speckle_from_offsets", "image_mosaic"])
+def test_geometry_is_made_once(spark, sf_dir, name):
+    found = plan(QUERIES[name](spark, sf_dir))
+    assert found.count("orbit#") and len([line for line in found.splitlines() if "MapInArrow" in line and "heading" in line]) == 1
