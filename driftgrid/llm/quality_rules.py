@@ -104,13 +104,20 @@ def reached_by(values: DataFrame, share: float) -> int | None:
     return None
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with w (its words) and the counts of the base rules."""
+def base_rules(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """docs(doc_id, text) with grams (buckets of words, then of pairs) and the counts of the base rules.
+
+    Windows are hashed only where they may recur: one that recurs has ``WINDOW - 3`` runs of four words that were there before, so the
+    buckets of the two pairs of each such run were there before too.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = "[^\\x20\\x09-\\x0D]"
     n, w, h = F.size("w"), F.col("w"), F.col("h")
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(blank))
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    runs = lambda k: F.slice("grams", n + k, F.greatest(n - 3, F.lit(0)))
+    fours = F.zip_with(runs(1), runs(3), lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")))
+    doubtful = F.size("fours") - F.size(F.array_distinct("fours")) >= WINDOW - 3
+    hashes = F.when(doubtful, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     # starts of windows found twice or more, in order: neighbours in order of the hash are compared
     pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     s = F.col("s")
@@ -121,10 +128,12 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return (
         docs.select("doc_id", text.alias("text"))
         .select("*", words(F.col("text")).alias("w"), lines.alias("lines"))
+        .select("*", _grams(w, buckets).alias("grams"))
+        .select("*", fours.alias("fours"))
         .select("*", hashes.alias("h"))
         .select("*", F.when(F.size(F.array_distinct(h)) < F.size(h), pairs).alias("s"))
         .select(
-            "doc_id", "w", n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            "doc_id", "grams", n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             F.when(s.isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
@@ -144,8 +153,7 @@ def _judged(docs: DataFrame, weights: list[int], threshold: int, buckets: int, f
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return (
-        base_rules(docs)
-        .select("doc_id", *counts, _grams(F.col("w"), buckets).alias("grams"))
+        base_rules(docs, buckets)
         .select("doc_id", *counts, F.size("grams").cast("long").alias("n_grams"), score.alias("llr_millionths"), failed.alias("base_failed"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr_millionths") >= threshold * F.col("n_grams")))
     )

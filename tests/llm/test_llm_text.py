@@ -288,3 +288,22 @@ def test_fragments_are_coded_alike_with_letters_and_numbers(monkeypatch):
         # the second window begins in no document before the last one of the fragment
         found = substring_dedup._places(rows, streams[:2], {streams[0][1:3]: 6, streams[0][2:4]: 9})
         assert found["anchor"].tolist() == [7] and found["places"].tolist() == [[1]] and found["firsts"].tolist() == [[6]]
+
+
+def test_windows_are_hashed_only_where_they_may_recur(spark, make_docs):
+    """Counts as by brute force about the bound of five known runs, also where buckets collide; only a text with such runs has its windows hashed."""
+    rng = random.Random(11)
+    fresh = [f"w{k}" for k in range(40)]
+    texts = {k: " ".join(fresh[:k]) for k in range(13)}
+    texts |= {100 + k: " ".join(fresh + fresh[3 : 3 + k]) for k in range(6, 11)} | {200 + k: " ".join(["a"] * k) for k in range(7, 12)} | {300 + k: " ".join(["a", "b", "c"] * k) for k in range(2, 5)}
+    texts |= {400 + k: " ".join(rng.choice("abc") for _ in range(60)) for k in range(20)}
+    docs = make_docs(list(texts.values()), list(texts))
+    for buckets in (quality_rules.BUCKETS, 2):
+        rows = {r.doc_id: r for r in quality_rules.base_rules(docs, buckets).collect()}
+        for k, t in texts.items():
+            w = t.split()
+            windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+            assert rows[k].n_repeat_words == len({i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(8)}), (k, buckets)
+            assert len(rows[k].grams) == max(0, 2 * len(w) - 1)
+    hashed = [line for line in quality_rules.base_rules(docs)._jdf.queryExecution().executedPlan().toString().splitlines() if "xxhash64" in line]
+    assert len(hashed) == 1 and "array_distinct(fours" in hashed[0].split("xxhash64")[0]
