@@ -1,9 +1,12 @@
 """Rows and plans that the small tables don't have."""
 
 import comparing
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from driftgrid.operators import geocode
 from driftgrid.plans.queries import ORACLE_SQL, QUERIES, _scenes
 
 
@@ -16,3 +19,41 @@ def test_places_on_the_edge_of_a_box_count(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     comparing.assert_same(QUERIES["J8_geocode_places"](spark, str(tmp_path)), con, ORACLE_SQL["J8_geocode_places"])
     assert {r.lon_min % 1 for r in _scenes(spark, str(tmp_path)).collect()} == {0.0}
+
+
+def shuffled(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    gateway, store = spark.sparkContext._gateway, spark._jsc.sc().statusStore()
+    none = gateway.jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pairs_of_points_and_scenes_are_not_shuffled(spark, sf_dir):
+    """All points are in the boxes of all scenes: their pairs are 9,000, many times the rows of both sides."""
+    scenes = _scenes(spark, sf_dir).withColumns({"lon_min": F.lit(0.0), "lon_max": F.lit(9.0), "lat_min": F.lit(70.6), "lat_max": F.lit(79.4)})
+    points = spark.range(900).selectExpr("id AS point_id", "71 + id % 80 / 10D AS lat", "id % 9 + 0.5D AS lon", "0D AS h")
+    before = shuffled(spark)
+    assert geocode.geocode_points(points, scenes).count() == 9000
+    assert shuffled(spark) - before < 4500
+
+
+def test_blocks_geocode_as_the_kernel_does(spark, sf_dir, monkeypatch):
+    """Scenes of 9 to 12 vectors with wavering orbits, in many parts, against the kernel on every pair in a box."""
+    monkeypatch.setattr(geocode, "BLOCK_SCENES", 3)
+    monkeypatch.setattr(geocode, "BLOCK_POINTS", 100)
+    waver = lambda s: F.struct(*[(s[c] + (F.sin(s["z"]) * 30 if c in "xyz" else F.cos(s["z"]) / 2)).alias(c) for c in geocode.STATE])
+    some = _scenes(spark, sf_dir).withColumns({"states": F.slice(F.transform("states", waver), 1, (12 - F.col("scene_id") % 4).cast("int")), "lon_min": F.col("lon_min") - 30, "lon_max": F.col("lon_max") + 30, "n_azimuth": (1000 + F.col("scene_id") * 4000).cast("int")}).persist()
+    points = spark.range(3000).selectExpr("id AS point_id", "60 + id * 7 % 2400 / 100D AS lat", "CASE WHEN id <> 5 THEN id * 37 % 3600 / 10D END AS lon", "CASE WHEN id % 50 <> 0 THEN id % 9 * 300D END AS h", "'p' || id AS name").persist()
+    got = {(r.scene_id, r.point_id): (r.name, r.range, r.azimuth) for r in geocode.geocode_points(points, some, keep=("name",)).collect()}
+    want = {}
+    rows = [r for r in points.collect() if r.lon is not None]
+    for s in some.collect():
+        own = [r for r in rows if s.lat_min - 0.5 <= r.lat <= s.lat_max + 0.5 and s.lon_min - 0.5 <= r.lon <= s.lon_max + 0.5]
+        n = len(own)
+        scene = {c: np.full(n, s[c]) for c in geocode.SCENE if c != "flat"} | {"vectors": np.repeat(np.array([[list(v) for v in s.states]]), n, axis=0)}
+        r, a, _, _, good = geocode._image_place(*[np.array([x[c] if x[c] is not None else np.nan for x in own]) for c in ("lat", "lon", "h")], scene)
+        want |= {(s.scene_id, x.point_id): (x.name, float(r[k]) if good[k] else None, float(a[k]) if good[k] else None) for k, x in enumerate(own)}
+    assert got == want
+    found = sum(v[1] is not None for v in want.values())
+    assert 100 < found < len(want) / 2
