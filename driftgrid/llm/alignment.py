@@ -24,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, scratch, written
+from .common import arrow_rows, read_rows, scratch, written
 from .tokens import _BYTES
 
 #: Tokens of side A after which a block of documents ends.
 BLOCK_TOKENS = 1 << 17
+#: Bytes of blocks after which a row group ends; a reader holds one whole.
+ROW_GROUP = 1 << 24
 #: Nonzeros that one step of a product expands.
 STEP = 1 << 20
 
@@ -252,8 +254,8 @@ def align_documents(docs: DataFrame, tokenizer: str, pieces: str, block_tokens:
     spark = docs.sparkSession
     with scratch(spark):
         with arrow_rows(spark, 100):
-            blocks = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(tokenizer, pieces, block_tokens), BLOCKS), "aligned")
-        with arrow_rows(spark, 4):
+            blocks = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(tokenizer, pieces, block_tokens), BLOCKS), "aligned", **{"parquet.block.size": str(ROW_GROUP)})
+        with arrow_rows(spark, 4), read_rows(spark, 32):  # a block is most of a megabyte, and a task has as many as its documents make
             pairs = blocks.select("block", "keys", "counts").mapInArrow(_pairs, "block bigint, key bigint, n bigint")
             totals = written(pairs.groupBy("key").agg(F.sum("n").alias("total")), "pair-totals")
             side = F.col("key").bitwiseAND(0xFFFFFFFF).alias("b")

@@ -36,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", lasting: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", lasting: bool = False, **options: str) -> DataFrame:
     """df, written once as a table in the shared folder and read back.
 
     This cuts the lineage: a lost executor costs the rows in flight, not what came before. The table goes at the end of the innermost
-    scratch() block, unless it is lasting: then at the end of the one around that, if any.
+    scratch() block, unless it is lasting: then at the end of the one around that, if any. Further options are those of the writer.
     """
     path = f"{shared_dir(df.sparkSession)}/driftgrid-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     owners = _SCRATCH[:-1] if lasting else _SCRATCH
     if owners:
         owners[-1].append(path)
@@ -64,17 +64,25 @@ def scratch(spark: SparkSession):
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows while an action inside the block runs; long texts make large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows while an action inside the block runs; long texts make large rows."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def read_rows(spark: SparkSession, rows: int):
+    """Parquet read by so many rows at once while an action inside the block runs: Spark's 4,096 are gigabytes where a row is most of a megabyte."""
+    return _setting(spark, "spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array: runs of characters other than ASCII white space; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
