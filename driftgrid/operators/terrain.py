@@ -16,19 +16,25 @@ from driftgrid.functions.geo import ll_to_xy
 from driftgrid.stages import kept
 
 from .geocode import _kernel, _numbers, _on_ground, _orbit, flat_scenes
+from .grid import sorted_in
 from .sampling import sample_bilinear, sample_nearest
 
 KEYS = ("scene_id", "sample_id", "azimuth", "range")
 STATE = ("h", "low", "high", "f_low", "f_high", "before")
 
 
-def _heights(at: DataFrame, scenes: DataFrame, dem: DataFrame, uv, keys: list[str]) -> DataFrame:
-    """at(keys, h) with lat, lon and z, the height of the DEM (0 where it has none) at the place of height h; samples without a place have no row."""
+def _heights(at: DataFrame, scenes: DataFrame, dem: DataFrame, uv, keys: list[str], ladder: Column | None = None) -> DataFrame:
+    """at(keys, h) with lat, lon and z, the height of the DEM (0 where it has none) at the place of height h; samples without a place have no row.
+
+    With a ladder, at has no h and each row stands for all heights of the ladder.
+    """
 
     def work(batch, scene):
         return dict(zip(("lat", "lon"), _on_ground(batch, scene, _numbers(batch, "h")[0]), strict=True))
 
-    located = _kernel(at.join(flat_scenes(scenes), "scene_id"), keys, work, ("lat", "lon")).where("lat is not null")
+    seen = at.join(sorted_in(flat_scenes(scenes)), "scene_id")
+    seen = seen if ladder is None else seen.withColumn("h", ladder)  # after the join, so that a row is shuffled once
+    located = _kernel(seen, keys, work, ("lat", "lon")).where("lat is not null")
     points = located.withColumn("p", uv(F.col("lat"), F.col("lon"))).select(*keys, "lat", "lon", F.col("p.u").alias("u"), F.col("p.v").alias("v"))
     return sample_bilinear(points, dem, [*keys, "lat", "lon"], ["z"], policy="zero")
 
@@ -86,7 +92,7 @@ def radar_grid_on_terrain(
     if mask is not None:
         points = settled.withColumn("p", uv(F.col("lat"), F.col("lon"))).select(*settled.columns, F.col("p.u").alias("u"), F.col("p.v").alias("v"))
         settled = sample_nearest(points, mask, "code").withColumnRenamed("code", "mask").drop("u", "v")
-    return samples.join(settled.drop("range", "azimuth"), ["scene_id", "sample_id"], "left")
+    return samples.join(sorted_in(settled.drop("range", "azimuth")), ["scene_id", "sample_id"], "left")
 
 
 def _flagged(settled: DataFrame, scenes: DataFrame, dem: DataFrame, uv, least: float, most: float, levels: int) -> DataFrame:
@@ -101,12 +107,12 @@ def _flagged(settled: DataFrame, scenes: DataFrame, dem: DataFrame, uv, least: f
         return {"look": np.arccos(np.clip((slant**2 + top**2 - earth**2) / (2 * slant * top), -1, 1))}
 
     columns = list(settled.columns)
-    seen = _kernel(settled.join(flat_scenes(scenes), "scene_id"), columns, work, ("look",))
+    seen = _kernel(settled.join(sorted_in(flat_scenes(scenes)), "scene_id"), columns, work, ("look",))
     line = Window.partitionBy("scene_id", "azimuth").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the image has columns
     seen = seen.withColumn("shadow", F.coalesce(F.col("look") < F.max("look").over(line), F.lit(False))).drop("look")
     # a height of the ladder is above the DEM at its place or not; more than one change from below to above means more than one place
     ladder = F.explode(F.array(*[F.lit(least + (most - least) * k / levels) for k in range(levels + 1)]))
-    tried = _heights(settled.select(*KEYS, ladder.alias("h")), scenes, dem, uv, [*KEYS, "h"])
+    tried = _heights(settled.select(*KEYS), scenes, dem, uv, [*KEYS, "h"], ladder)
     sides = F.transform(F.array_sort(F.collect_list(F.struct("h", (F.col("z") > F.col("h")).alias("under")))), lambda x: x["under"])
     falls = tried.groupBy("scene_id", "sample_id").agg(sides.alias("s")).select("scene_id", "sample_id", F.size(F.filter(F.transform("s", lambda x, k: x & ~F.coalesce(F.get("s", k + 1), F.lit(True))), lambda x: x)).alias("falls"))
-    return seen.join(falls, ["scene_id", "sample_id"], "left").withColumn("layover", F.coalesce(F.col("falls") > 1, F.lit(False))).drop("falls")
+    return seen.join(sorted_in(falls), ["scene_id", "sample_id"], "left").withColumn("layover", F.coalesce(F.col("falls") > 1, F.lit(False))).drop("falls")

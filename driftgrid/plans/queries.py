@@ -665,7 +665,7 @@ def _on_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = 1500 + 4.0 * C("p.y") / 20 - 3.0 * C("p.x") / 20
     back = geocode.radar_geometry(found.select("scene_id", "sample_id", "lat", "lon", C("height").alias("h")), _scenes(spark, sf_dir), ["sample_id"])
     back = back.select("scene_id", "sample_id", C("range").alias("r2"), C("azimuth").alias("a2"))
-    both = found.join(back, ["scene_id", "sample_id"], "left")
+    both = found.join(grid.sorted_in(back), ["scene_id", "sample_id"], "left")
     near = (F.abs(C("r2") - C("range")) < 0.05) & (F.abs(C("a2") - C("azimuth")) < 0.05)
     return both.select("scene_id", "azimuth", "range", F.coalesce(F.abs(C("height") - plane) < 0.2, F.lit(False)).alias("on_dem"), F.coalesce(near, F.lit(False)).alias("on_sphere"), (C("round") <= 12).alias("quick"), "layover")
 

@@ -57,3 +57,19 @@ def test_blocks_geocode_as_the_kernel_does(spark, sf_dir, monkeypatch):
     assert got == want
     found = sum(v[1] is not None for v in want.values())
     assert 100 < found < len(want) / 2
+
+
+def broadcast(spark, after: int = -1) -> tuple[int, int]:
+    """The last query that ran, and how many tables those after the given one have sent to all tasks."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    ids = [i for i in (runs.apply(k).executionId() for k in range(runs.size())) if i > after]
+    graphs = [store.planGraph(i).allNodes() for i in ids]
+    return max([after, *ids]), sum(g.apply(k).name() == "BroadcastExchange" for g in graphs for k in range(g.size()))
+
+
+def test_rounds_on_terrain_broadcast_nothing(spark, sf_dir):
+    """Scenes with their states, and samples, which Spark takes to be as small as the table of suppliers."""
+    before, _ = broadcast(spark)
+    assert QUERIES["J11_terrain"](spark, sf_dir).where("on_dem and on_sphere").count() == 300
+    assert broadcast(spark, before)[1] == 0
