@@ -34,6 +34,22 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, keys: list[str], values
     return joined.groupBy(*keys).agg(*out)
 
 
+def sample_squares(points: DataFrame, cells: DataFrame, grid_keys: list[str], values: list[str]) -> DataFrame:
+    """J3 (strict) for wide points(grid_keys, u, v, ...): those of which no corner with weight is missing, without u and v, with values of cells(grid_keys, i, j).
+
+    Cells go to the four squares that they are a corner of, so that points are neither multiplied nor grouped.
+    """
+    ends = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    square = F.explode(F.array(*[F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.lit(k).alias("corner")) for k, (di, dj) in enumerate(ends)]))
+    of = cells.select(*grid_keys, square.alias("_square"), *values).groupBy(*grid_keys, F.col("_square.i").alias("_i"), F.col("_square.j").alias("_j"))
+    squares = of.agg(*[F.max(F.when(F.col("_square.corner") == k, F.col(v))).alias(f"_{v}_{k}") for v in values for k in range(4)])
+    own = [c for c in points.columns if c not in ("u", "v")]
+    at = points.select(*own, F.floor("u").cast("int").alias("_j"), F.floor("v").cast("int").alias("_i"), (F.col("u") - F.floor("u")).alias("_t"), (F.col("v") - F.floor("v")).alias("_s"))
+    weights = [(F.col("_s") if di else 1 - F.col("_s")) * (F.col("_t") if dj else 1 - F.col("_t")) for di, dj in ends]
+    summed = lambda v: sum((F.when(w > 0, w * F.col(f"_{v}_{k}")).otherwise(0.0) for k, w in enumerate(weights)), F.lit(0.0))
+    return at.join(sorted_in(squares), [*grid_keys, "_i", "_j"]).select(*own, *[summed(v).alias(v) for v in values]).dropna(subset=values)
+
+
 def sample_nearest(points: DataFrame, mask: DataFrame, value: str, default: int = 0, grid_keys: list[str] | None = None) -> DataFrame:
     """points(u, v) with the value of the nearest cell, or the default where there is none."""
     grid_keys = grid_keys or []

@@ -12,7 +12,7 @@ from driftgrid.operators import calibrate, geocode, images
 from driftgrid.operators.blocks import sample_feathered
 from driftgrid.operators.grid import cells_for_pairs, crossing_pairs, point_in_triangle, sorted_in
 from driftgrid.operators.mosaic import clip_to_reference, feather, finish, mask_policy, merge_rounds, mosaic_sums, valid_sample, within_max_dt
-from driftgrid.operators.sampling import attach_layers, sample_bilinear, sample_ties
+from driftgrid.operators.sampling import attach_layers, sample_bilinear, sample_squares, sample_ties
 
 BOX = ("i_min", "i_max", "j_min", "j_max")
 
@@ -65,15 +65,19 @@ def radar_samples(pairs: DataFrame, scenes: DataFrame, offsets: DataFrame, layer
     the range and azimuth parameters bn.. dbpq, const, c1, dbc, dbh, doffdx with covariances range_cov (36) and azimuth_cov (16). layers are cell tables: z, code and
     the slopes dzdx, dzdy. Cells off the image, or without offsets, have no row. Where pairs have dt, tide_rate or submergence, samples do too.
     """
-    at = cells_for_pairs(pairs.select("pair_id", "scene_id", *BOX))
+    at = cells_for_pairs(pairs.select("pair_id", "scene_id", *BOX)).drop(*BOX)
     at = attach_layers(at, **layers).where("z is not null")
     p = geo.xy_to_ll((origin[0] + F.col("j") * cell) / 1000, (origin[1] + F.col("i") * cell) / 1000, south, rot, std_lat)
-    at = at.withColumn("p", p).withColumn("lat", F.col("p.lat")).withColumn("lon", F.col("p.lon")).withColumn("h", F.col("z"))
-    keys = ["pair_id", "i", "j"]
-    place = geocode.radar_geometry(at.select(*keys, "scene_id", "lat", "lon", "h"), scenes, keys).where("range is not null and heading is not null")
-    ties = place.select("pair_id", F.struct("i", "j", *geocode.GEOMETRY).alias("tie_id"), F.col("range").alias("r"), F.col("azimuth").alias("a"))  # with the geometry, or it would be made twice
-    found = sample_ties(ties, pairs.select("pair_id", "r0", "a0", "delta_r", "delta_a"), offsets, ["da", "dr", "sa", "sr"]).dropna().select("pair_id", "tie_id.*", "da", "dr", "sa", "sr")
-    rows = at.drop("scene_id", "p", "h").join(sorted_in(found), keys).join(sorted_in(pairs.drop(*BOX)), "pair_id").join(sorted_in(scenes.select("scene_id", "n_azimuth", "look_left")), "scene_id")
+    own = [c for c in at.columns if c != "scene_id"]
+    at = at.withColumn("p", p).select("scene_id", *own, F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), F.col("z").alias("h"))
+    # cells go along with all that they have, from here to the end: each join back would shuffle them again
+    place = geocode.radar_geometry(at, scenes, [*own, "lat", "lon"]).where("range is not null and heading is not null").drop("scene_id")
+    header = pairs.select("pair_id", "r0", "a0", "delta_r", "delta_a")
+    place = place.join(sorted_in(header), "pair_id").select(*place.columns, ((F.col("range") - F.col("r0")) / F.col("delta_r")).alias("u"), ((F.col("azimuth") - F.col("a0")) / F.col("delta_a")).alias("v"))
+    found = sample_squares(place, offsets, ["pair_id"], ["da", "dr", "sa", "sr"])
+    # the pairs' covariances come last, with what is needed of their scenes, and aren't shuffled with the cells
+    known = pairs.join(sorted_in(scenes.select("scene_id", "n_azimuth", "look_left")), "scene_id")
+    rows = found.join(sorted_in(known), "pair_id")
     ground = geo.earth_radius(F.radians("lat")) * 1000 + F.col("z")
     rows = rows.withColumn("look", geo.look_geometry(F.col("slant"), ground, F.col("orbit"))).withColumns({"theta": F.col("look.theta"), "psi": F.col("look.psi")}).drop("look")
     rows = rows.withColumn("theta_d", F.col("theta") - F.col("theta_c")).withColumn("x_az", geo.norm_azimuth(F.col("azimuth"), F.col("n_azimuth")))

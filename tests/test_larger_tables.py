@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from driftgrid.operators import geocode
+from driftgrid.operators import geocode, sampling
 from driftgrid.plans.queries import ORACLE_SQL, QUERIES, _scenes
 
 
@@ -73,3 +73,20 @@ def test_rounds_on_terrain_broadcast_nothing(spark, sf_dir):
     before, _ = broadcast(spark)
     assert QUERIES["J11_terrain"](spark, sf_dir).where("on_dem and on_sphere").count() == 300
     assert broadcast(spark, before)[1] == 0
+
+
+def test_squares_sample_as_corners_do(spark):
+    """Holes, nulls, places on nodes and on lines of nodes, off the grid, and a grid that isn't there."""
+    cells = spark.range(180).selectExpr("CAST(id % 2 AS INT) AS g", "CAST(id div 2 % 9 AS INT) - 2 AS i", "CAST(id div 18 AS INT) AS j", "CASE WHEN id % 31 <> 7 THEN sin(id) END AS a", "id * 1.5D AS b").where("(i * 5 + j + g) % 13 <> 0")
+    points = spark.range(900).selectExpr("id AS k", "CAST(id % 3 AS INT) AS g", "id * 7 % 45 / 4D - 0.5 AS u", "CASE WHEN id <> 8 THEN id * 11 % 48 / 4D - 3 END AS v", "'p' || id AS name")
+    want = {r.k: r for r in sampling.sample_bilinear(points, cells, ["k"], ["a", "b"], ["g"]).dropna().collect()}
+    got = sampling.sample_squares(points, cells, ["g"], ["a", "b"]).collect()
+    assert 100 < len(got) < 600 and {r.k for r in got} == set(want) and len(got) == len(want)
+    assert all(r.name == f"p{r.k}" and abs(r.a - want[r.k].a) < 1e-12 and abs(r.b - want[r.k].b) < 1e-9 for r in got)
+
+
+def test_cells_are_not_multiplied_on_their_way_to_samples(spark, sf_dir):
+    """Ten pairs of 289 cells, of which four corners each went through two shuffles."""
+    before = shuffled(spark)
+    assert QUERIES["radar_samples"](spark, sf_dir).count() > 1000
+    assert shuffled(spark) - before < 25000
